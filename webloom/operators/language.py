@@ -30,14 +30,14 @@ def words(text: Column) -> Column:
 def _word_grams(word: Column) -> Column:
     """array of the 1- to 3-grams of ' word ', the lone blank left out."""
     padded = F.concat(F.lit(" "), word, F.lit(" "))
-    by_length = [
-        F.transform(
-            F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i, n=n: F.substring(padded, i, F.lit(n))
+
+    def of_length(n: int) -> Column:
+        return F.transform(
+            F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i: F.substring(padded, i, F.lit(n))
         )
-        for n in range(2, MAX_GRAM + 1)
-    ]
+
     single = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.lit(1)))
-    return F.concat(single, *by_length)
+    return F.concat(single, *[of_length(n) for n in range(2, MAX_GRAM + 1)])
 
 
 def grams(texts: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -48,8 +48,11 @@ def grams(texts: DataFrame, text: str, *keep: str) -> DataFrame:
 
 def profiles(labelled: DataFrame, text: str, lang: str) -> DataFrame:
     """profiles(lang, n, gram, cnt) of labelled texts."""
-    named = labelled.select(F.col(lang).alias("lang"), text)
-    counts = grams(named, text, "lang").groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("cnt"))
+    named = explode_as(labelled.select(F.col(lang).alias("lang"), words(F.col(text)).alias("words")), "words", "word")
+    # Count words first: the grams of a frequent word are cut once per language, not once per occurrence.
+    per_word = named.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("w"))
+    cut = explode_as(per_word.select("lang", "w", _word_grams(F.col("word")).alias("grams")), "grams", "gram")
+    counts = cut.groupBy("lang", "gram").agg(F.sum("w").alias("cnt"))
     return counts.select("lang", F.length("gram").alias("n"), "gram", "cnt")
 
 
@@ -100,7 +103,7 @@ def scores(texts: DataFrame, profile: DataFrame, key: str, text: str) -> DataFra
 
     def score(i: int, lang: str) -> Column:
         cost = [F.col(f"n{n}") * F.coalesce(F.col("costs")[f"{lang}:{n}"], F.lit(0.0)) for n in range(1, MAX_GRAM + 1)]
-        return F.round((F.col(f"g{i}") - sum(cost[1:], cost[0])) / n_grams, 9)
+        return (F.col(f"g{i}") - sum(cost[1:], cost[0])) / n_grams
 
     entries = F.array(
         *[F.struct(F.lit(lang).alias("lang"), score(i, lang).alias("score")) for i, lang in enumerate(langs)]
@@ -116,7 +119,7 @@ def detect(texts: DataFrame, profile: DataFrame, key: str, text: str) -> DataFra
     best = (
         scores(texts, profile, key, text)
         .groupBy(key)
-        .agg(F.min_by("lang", F.struct(-F.col("score"), F.col("lang"))).alias("language"))
+        .agg(F.min_by("lang", F.struct(-F.round("score", 9), F.col("lang"))).alias("language"))
     )
     return texts.select(key).join(best, key, "left").withColumn("language", F.coalesce("language", F.lit(UNKNOWN)))
 

@@ -1,0 +1,564 @@
+"""Ranked full-text search and title autocomplete over tables of queries.
+
+Index: `postings(language, field, term, id, tf, len)`, one row per document, field and term. Queries are parsed into
+clauses; every clause kind yields `(query_id, language, clause, id, score)`, and one evaluation combines them. All
+steps are joins and partial aggregates, so any number of queries runs in one plan.
+
+Sizes: nothing is broadcast by hint. What the queries ask for (clauses, weights, candidates, hits) is written to the
+shared folder before it meets the index or the documents; the planner then knows its real size, broadcasts it while
+it is below the threshold, so that neither index nor documents are shuffled, and shuffles on the term otherwise.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from webloom.functions.rows import explode_as
+from webloom.functions.text import TOKEN, term_counts, tokens
+from webloom.session import written
+
+# Fixed values.
+FIELD_BOOSTS = {"title": 3.0, "text": 1.0, "keywords": 2.0}
+RESULT_SIZE = 20
+SUMMARY_LENGTH = 500
+MAX_FRAGMENTS = 5
+PRE_TAG, POST_TAG = "<b>", "</b>"
+SUGGESTION_HITS = 20
+SUGGESTIONS = 6
+K1, B = 1.2, 0.75
+
+DOMAIN_TOKEN = r"^domain:(\S+)"
+EXCLUDE_TOKEN = r"^-(\S+)"
+MAX_DISTANCE = 2
+CLAUSE = r'[+|]?\s*(?:"[^"]*"(?:~\d*)?|[^\s"+|()]+)'
+
+
+def boost(field: Column) -> Column:
+    chain = F.when(F.lit(False), F.lit(0.0))
+    for name, value in FIELD_BOOSTS.items():
+        chain = chain.when(field == name, F.lit(value))
+    return chain
+
+
+# ---- index ---------------------------------------------------------------------------------------------------------
+
+
+def postings(sites: DataFrame) -> DataFrame:
+    """language, field, term, id, tf, len (number of tokens in that field of that document)."""
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("tokens")) for f in FIELD_BOOSTS])
+    per_field = explode_as(sites.select("language", "id", fields.alias("fields")), "fields", "f").select(
+        "language", "id", "f.field", F.size("f.tokens").alias("len"), term_counts(F.col("f.tokens")).alias("terms")
+    )
+    return explode_as(per_field, "terms", "t").select("language", "field", "t.term", "id", "t.tf", "len")
+
+
+def field_stats(sites: DataFrame) -> DataFrame:
+    """language, field, n_docs, avg_len over the documents where the field is not empty; a few rows per language."""
+    fields = F.array(
+        *[F.struct(F.lit(f).alias("field"), F.size(tokens(F.col(f))).alias("len")) for f in FIELD_BOOSTS]
+    )
+    lengths = explode_as(sites.select("language", fields.alias("fields")), "fields", "f").select("language", "f.*")
+    return (
+        lengths.filter("len > 0")
+        .groupBy("language", "field")
+        .agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
+    )
+
+
+# ---- queries -------------------------------------------------------------------------------------------------------
+
+
+def parse_queries(queries: DataFrame) -> DataFrame:
+    """query_id, language, text, domain, exclude from `queries(query_id, query, lang)`.
+
+    The last domain wins; excluded words are lower-cased, as the analyser lower-cases documents.
+    """
+    parts = queries.select("query_id", F.col("lang").alias("language"), F.split("query", " ").alias("tokens"))
+    return parts.select(
+        "query_id",
+        "language",
+        F.trim(
+            F.array_join(F.filter("tokens", lambda t: ~t.rlike(DOMAIN_TOKEN) & ~t.rlike(EXCLUDE_TOKEN)), " ")
+        ).alias("text"),
+        F.regexp_extract(
+            F.try_element_at(F.filter("tokens", lambda t: t.rlike(DOMAIN_TOKEN)), F.lit(-1)), DOMAIN_TOKEN, 1
+        ).alias("domain"),
+        F.transform(
+            F.filter("tokens", lambda t: t.rlike(EXCLUDE_TOKEN) & ~t.rlike(DOMAIN_TOKEN)),
+            lambda t: F.lower(F.regexp_extract(t, EXCLUDE_TOKEN, 1)),
+        ).alias("exclude"),
+    )
+
+
+def clauses(parsed: DataFrame) -> DataFrame:
+    """query_id, language, clause, op, kind, terms, distance: one row per clause of the query text.
+
+    kind is `terms` (any of the terms), `phrase`, `prefix` or `fuzzy`. op says how the clause is combined with those
+    to its left: `and` after a plus sign, `or` otherwise. Parentheses separate words and do not group; a distance
+    after a phrase is read and not used, the phrase stays exact.
+    """
+    found = F.regexp_extract_all("text", F.lit(CLAUSE), F.lit(0))
+    split = parsed.select("query_id", "language", F.posexplode(found).alias("clause", "raw"))
+    split = split.withColumn("body", F.trim(F.regexp_replace("raw", r"^[+|]\s*", "")))
+    fuzzy = r'^[^"~]+~(\d?)$'
+    kind = (
+        F.when(F.col("body").startswith('"'), F.lit("phrase"))
+        .when(F.col("body").rlike(r"^[^*]+\*$"), F.lit("prefix"))
+        .when(F.col("body").rlike(fuzzy), F.lit("fuzzy"))
+        .otherwise(F.lit("terms"))
+    )
+    digit = F.regexp_extract("body", fuzzy, 1)
+    distance = F.when(digit == "", F.lit(MAX_DISTANCE)).otherwise(F.least(digit.cast("int"), F.lit(MAX_DISTANCE)))
+    analysed = split.select(
+        "query_id",
+        "language",
+        "clause",
+        F.when(F.startswith("raw", F.lit("+")), F.lit("and")).otherwise(F.lit("or")).alias("op"),
+        kind.alias("kind"),
+        tokens(F.regexp_replace("body", r"~\d*$", "")).alias("terms"),
+        F.when(kind == "fuzzy", distance).alias("distance"),
+    )
+    return analysed.filter(F.size("terms") > 0)
+
+
+# ---- matching ------------------------------------------------------------------------------------------------------
+
+
+_IDF = "ln(1 + (n_docs - df + 0.5D) / (df + 0.5D))"
+
+
+def document_frequency(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """language, field, term, df for the terms in `wanted(language, term)`."""
+    return (
+        index.join(wanted.select("language", "term").distinct(), ["language", "term"], "left_semi")
+        .groupBy("language", "field", "term")
+        .agg(F.count(F.lit(1)).alias("df"))
+    )
+
+
+def _relevance(idf: Column) -> Column:
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
+    return boost(F.col("field")) * idf * F.col("tf") * (K1 + 1) / norm
+
+
+def _bm25(wanted: DataFrame, index: DataFrame, stats: DataFrame) -> DataFrame:
+    """query_id, language, clause, id, score for `wanted(query_id, language, clause, term)`.
+
+    The weights are joined to the query terms first; the index is read once for the frequencies and once here.
+    """
+    weights = written(
+        wanted.join(document_frequency(index, wanted), ["language", "term"])
+        .join(stats, ["language", "field"])
+        .select("query_id", "language", "clause", "field", "term", "avg_len", F.expr(_IDF).alias("idf")),
+        "weights",
+    )
+    return index.join(weights, ["language", "field", "term"]).select(
+        "query_id", "language", "clause", "id", _relevance(F.col("idf")).alias("score")
+    )
+
+
+def term_matches(parsed_clauses: DataFrame, index: DataFrame, stats: DataFrame) -> DataFrame:
+    """Matches of `terms` clauses."""
+    wanted = parsed_clauses.filter("kind = 'terms'").select(
+        "query_id", "language", "clause", F.explode(F.array_distinct("terms")).alias("term")
+    )
+    return _bm25(wanted, index, stats)
+
+
+def fuzzy_matches(parsed_clauses: DataFrame, index: DataFrame, stats: DataFrame) -> DataFrame:
+    """Matches of `fuzzy` clauses: as terms, for every vocabulary term within the distance."""
+    wanted = parsed_clauses.filter("kind = 'fuzzy'").select(
+        "query_id", "language", "clause", "distance", F.explode("terms").alias("wanted")
+    )
+    return _bm25(fuzzy_terms(wanted, index), index, stats)
+
+
+def _deletions(term: Column) -> Column:
+    """All strings left after deleting up to two characters of `term`, itself included."""
+
+    def shorter(words: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                words,
+                lambda w: F.transform(
+                    F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))),
+                    lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))),
+                ),
+            )
+        )
+
+    level = F.array(term)
+    out = level
+    for _ in range(MAX_DISTANCE):
+        level = F.array_distinct(shorter(level))
+        out = F.concat(out, level)
+    return F.array_distinct(out)
+
+
+def fuzzy_terms(wanted: DataFrame, index: DataFrame) -> DataFrame:
+    """query_id, language, clause, term: vocabulary terms within `distance` of `wanted`.
+
+    Two terms within edit distance k share a string that is left after at most k deletions in each, so candidates
+    come from an equi-join on such strings and the distance is computed for candidates only. Terms whose length is
+    out of reach of all wanted ones are skipped before their deletions are listed.
+    """
+    reach = wanted.agg(
+        F.struct(F.min(F.length("wanted") - F.col("distance")), F.max(F.length("wanted") + F.col("distance")))
+    ).scalar()
+    vocabulary = index.select("language", "term").distinct().withColumn("reach", reach)
+    vocabulary = vocabulary.filter(F.length("term").between(F.col("reach.col1"), F.col("reach.col2")))
+    near = explode_as(vocabulary.select("language", "term", _deletions(F.col("term")).alias("keys")), "keys", "key")
+    asked = explode_as(wanted.withColumn("keys", _deletions(F.col("wanted"))), "keys", "key")
+    return (
+        near.join(asked, ["language", "key"])
+        .filter(F.levenshtein("term", "wanted") <= F.col("distance"))
+        .select("query_id", "language", "clause", "term")
+        .distinct()
+    )
+
+
+def with_prefixes(terms: DataFrame, term: str, prefixes: DataFrame) -> DataFrame:
+    """One row per term and prefix length that occurs in `prefixes(prefix)`, with `prefix`.
+
+    Turns "starts with" into an equi-join. The lengths come as one array, no longer than the longest prefix.
+    """
+    lengths = prefixes.agg(F.array_sort(F.collect_set(F.length("prefix")))).scalar()
+    cut = F.transform(
+        F.filter(F.col("lengths"), lambda n: n <= F.length(term)), lambda n: F.substring(term, F.lit(1), n)
+    )
+    return explode_as(terms.withColumn("lengths", lengths).withColumn("cut", cut).drop("lengths"), "cut", "prefix")
+
+
+def prefix_matches(parsed_clauses: DataFrame, index: DataFrame) -> DataFrame:
+    """Matches of `prefix` clauses: the field boost for every field with a term that starts with the prefix.
+
+    The vocabulary is searched first, then the index is joined with the terms found.
+    """
+    wanted = parsed_clauses.filter("kind = 'prefix'").select(
+        "query_id", "language", "clause", F.element_at("terms", -1).alias("prefix")
+    )
+    vocabulary = index.select("language", "term").distinct()
+    found = written(
+        with_prefixes(vocabulary, "term", wanted)
+        .join(wanted, ["language", "prefix"])
+        .select("query_id", "language", "clause", "term"),
+        "prefix_terms",
+    )
+    return (
+        index.join(found, ["language", "term"])
+        .groupBy("query_id", "language", "clause", "id", "field")
+        .agg(F.first(boost(F.col("field"))).alias("score"))
+        .select("query_id", "language", "clause", "id", "score")
+    )
+
+
+def phrase_matches(
+    parsed_clauses: DataFrame, index: DataFrame, stats: DataFrame, sites: DataFrame
+) -> DataFrame:
+    """Scores of `phrase` clauses: the phrase frequency takes the place of tf, the idf of its terms add up.
+
+    The index narrows, the text decides: the rarest term of a phrase names the candidate fields, and only their token
+    string is searched for the whole phrase.
+    """
+    phrases = parsed_clauses.filter("kind = 'phrase'").select("query_id", "language", "clause", "terms")
+    asked = phrases.select("query_id", "language", "clause", F.explode("terms").alias("term"))
+    # A term that a phrase repeats counts as often as it occurs there.
+    per_phrase = asked.groupBy("query_id", "language", "clause", "term").agg(F.count(F.lit(1)).alias("times"))
+    known = per_phrase.join(document_frequency(index, asked), ["language", "term"]).join(stats, ["language", "field"])
+    weights = (
+        known.groupBy("query_id", "language", "clause", "field")
+        .agg(
+            F.min_by("term", F.struct("df", "term")).alias("term"),
+            F.sum(F.col("times") * F.expr(_IDF)).alias("idf"),
+            F.first("avg_len").alias("avg_len"),
+            F.count(F.lit(1)).alias("n_known"),
+        )
+        .join(phrases, ["query_id", "language", "clause"])
+        .filter(F.col("n_known") == F.size(F.array_distinct("terms")))
+        .drop("n_known")
+    )
+    # Every token gets a blank of its own on both sides, so that neighbouring matches do not share one.
+    needle = F.concat(F.lit(" "), F.array_join("terms", "  "), F.lit(" "))
+    candidates = written(
+        index.join(written(weights.withColumn("needle", needle), "phrases"), ["language", "field", "term"]).select(
+            "query_id", "language", "clause", "id", "field", "len", "avg_len", "idf", "needle"
+        ),
+        "candidates",
+    )
+    field_text = F.when(F.lit(False), F.lit(""))
+    for name in FIELD_BOOSTS:
+        field_text = field_text.when(F.col("field") == name, F.col(name))
+    spaced = F.concat(F.lit(" "), F.array_join(tokens(field_text), "  "), F.lit(" "))
+    hits = (
+        candidates.join(sites.select("language", "id", *FIELD_BOOSTS), ["language", "id"])
+        .withColumn("spaced", spaced)
+        .withColumn(
+            "tf",
+            (F.length("spaced") - F.length(F.replace("spaced", "needle", F.lit("")))) / F.length("needle"),
+        )
+    )
+    return hits.filter("tf > 0").select("query_id", "language", "clause", "id", _relevance(F.col("idf")).alias("score"))
+
+
+# ---- evaluation ----------------------------------------------------------------------------------------------------
+
+
+def combine(matched: DataFrame, parsed_clauses: DataFrame) -> DataFrame:
+    """query_id, language, id, score of the documents that satisfy a query, from clause matches.
+
+    Clauses combine from left to right: `and` needs both sides and adds their scores, `or` needs one and adds the
+    scores of those present. The list per document is as long as the query has clauses.
+    """
+    per_clause = matched.groupBy("query_id", "language", "id", "clause").agg(F.sum("score").alias("score"))
+    per_document = per_clause.groupBy("query_id", "language", "id").agg(
+        F.map_from_entries(F.collect_list(F.struct("clause", "score"))).alias("found")
+    )
+    ops = parsed_clauses.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("clause", "op"))).alias("ops")
+    )
+
+    def step(state: Column, clause: Column) -> Column:
+        own = F.try_element_at("found", clause["clause"])
+        both = state["score"].isNotNull() & own.isNotNull()
+        either = F.when(
+            state["score"].isNotNull() | own.isNotNull(),
+            F.coalesce(state["score"], F.lit(0.0)) + F.coalesce(own, F.lit(0.0)),
+        )
+        score = (
+            F.when(state["first"], own)
+            .when(clause["op"] == "and", F.when(both, state["score"] + own))
+            .otherwise(either)
+        )
+        return F.struct(F.lit(False).alias("first"), score.alias("score"))
+
+    start = F.struct(F.lit(True).alias("first"), F.lit(None).cast("double").alias("score"))
+    return (
+        per_document.join(ops, "query_id")
+        .select("query_id", "language", "id", F.aggregate("ops", start, step)["score"].alias("score"))
+        .filter(F.col("score").isNotNull())
+    )
+
+
+def restrict_domain(hits: DataFrame, parsed: DataFrame, sites: DataFrame) -> DataFrame:
+    """Keep hits on the host a query names; queries without one keep everything."""
+    named = parsed.filter("domain <> ''").select("query_id", F.col("domain").alias("wanted"))
+    inside = hits.join(named, "query_id").join(
+        sites.select("language", "id", F.col("domain").alias("wanted")), ["language", "id", "wanted"], "left_semi"
+    )
+    return hits.join(named, "query_id", "left_anti").unionByName(inside.drop("wanted"))
+
+
+def exclude_terms(hits: DataFrame, parsed: DataFrame, index: DataFrame) -> DataFrame:
+    """Drop hits whose text holds an excluded word."""
+    banned = explode_as(parsed.select("query_id", "language", "exclude"), "exclude", "term")
+    out = index.filter("field = 'text'").join(banned, ["language", "term"]).select("query_id", "id")
+    return hits.join(out, ["query_id", "id"], "left_anti")
+
+
+def top_hits(hits: DataFrame, size: int = RESULT_SIZE) -> DataFrame:
+    """Best `size` hits per query; ties by id. Tasks keep `size` rows per query before the exchange."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("rounded"), "id")
+    return (
+        hits.withColumn("rounded", F.round("score", 6))
+        .withColumn("rank_no", F.row_number().over(order))
+        .filter(F.col("rank_no") <= size)
+        .select("query_id", "rank_no", "language", "id", F.col("rounded").alias("score"))
+    )
+
+
+def matches(parsed_clauses: DataFrame, index: DataFrame, stats: DataFrame, sites: DataFrame) -> DataFrame:
+    """query_id, language, clause, id, score over the clause kinds that occur; there are four kinds in all."""
+    by_kind = {
+        "terms": lambda: term_matches(parsed_clauses, index, stats),
+        "fuzzy": lambda: fuzzy_matches(parsed_clauses, index, stats),
+        "prefix": lambda: prefix_matches(parsed_clauses, index),
+        "phrase": lambda: phrase_matches(parsed_clauses, index, stats, sites),
+    }
+    present = {r.kind for r in parsed_clauses.select("kind").distinct().collect()} or {"terms"}
+    found = [build() for kind, build in by_kind.items() if kind in present]
+    return reduce(DataFrame.unionByName, found)
+
+
+def search(queries: DataFrame, sites: DataFrame, index: DataFrame, stats: DataFrame) -> DataFrame:
+    """query_id, rank_no, language, id, score for `queries(query_id, query, lang)`."""
+    parsed = written(parse_queries(queries), "parsed")
+    split = written(clauses(parsed), "clauses")
+    hits = combine(matches(split, index, stats, sites), split)
+    return top_hits(exclude_terms(restrict_domain(hits, parsed, sites), parsed, index))
+
+
+# ---- presentation --------------------------------------------------------------------------------------------------
+
+
+def highlight_terms(queries: DataFrame) -> DataFrame:
+    """query_id, marks array<struct(kind, term, distance)>: what a query marks in a text."""
+    split = clauses(parse_queries(queries))
+    each = split.select(
+        "query_id",
+        F.transform(
+            "terms", lambda t: F.struct(F.col("kind").alias("kind"), t.alias("term"), F.col("distance").alias("distance"))
+        ).alias("marks"),
+    )
+    return each.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("marks"))).alias("marks"))
+
+
+def fragments(text: Column, marks: Column) -> Column:
+    """Up to five sentences of `text` that hold a marked word, with these tagged. Applied to hits only."""
+
+    def is_hit(word: Column) -> Column:
+        return F.exists(
+            marks,
+            lambda m: F.when(m["kind"] == "prefix", F.startswith(word, m["term"]))
+            .when(m["kind"] == "fuzzy", F.levenshtein(word, m["term"]) <= m["distance"])
+            .otherwise(word == m["term"]),
+        )
+
+    def tagged(sentence: Column) -> Column:
+        pieces = F.regexp_extract_all(sentence, F.lit(rf"{TOKEN}|[^\p{{L}}\p{{N}}]+"), F.lit(0))
+        return F.array_join(
+            F.transform(
+                pieces,
+                lambda p: F.when(is_hit(F.lower(p)), F.concat(F.lit(PRE_TAG), p, F.lit(POST_TAG))).otherwise(p),
+            ),
+            "",
+        )
+
+    sentences = F.split(text, r"(?<=[.!?])\s+")
+    return F.slice(
+        F.filter(F.transform(sentences, tagged), lambda s: F.contains(s, F.lit(POST_TAG))), 1, MAX_FRAGMENTS
+    )
+
+
+def summary(text: Column, marked: Column) -> Column:
+    """Fragments, each after '...', while the length so far is below 500; the start of the text if there is none."""
+    joined = F.aggregate(
+        marked,
+        F.lit(""),
+        lambda done, f: F.when(F.length(done) < SUMMARY_LENGTH, F.concat(done, F.lit("..."), f)).otherwise(done),
+    )
+    head = F.when(
+        F.length(text) > SUMMARY_LENGTH, F.concat(F.substring(text, 1, SUMMARY_LENGTH), F.lit("..."))
+    ).otherwise(text)
+    return F.when(F.size(marked) > 0, joined).otherwise(head)
+
+
+def with_fragments(hits: DataFrame, queries: DataFrame, sites: DataFrame) -> DataFrame:
+    """Hits with their document and `fragments`."""
+    return (
+        written(hits, "hits")
+        .join(sites, ["language", "id"])
+        .join(highlight_terms(queries), "query_id", "left")
+        .withColumn("fragments", F.when(F.col("marks").isNotNull(), fragments(F.col("text"), F.col("marks"))))
+        .withColumn("fragments", F.coalesce("fragments", F.array().cast("array<string>")))
+    )
+
+
+def shape_hits(marked: DataFrame) -> DataFrame:
+    """query_id, rank_no, title, link, text (summary), full_text, rank, tags."""
+    optional = {
+        "page_rank": F.lit(None).cast("double"),
+        "tags": F.lit(None).cast("string"),
+    }
+    for name, empty in optional.items():
+        if name not in marked.columns:
+            marked = marked.withColumn(name, empty)
+    return marked.select(
+        "query_id",
+        "rank_no",
+        "title",
+        "link",
+        summary(F.col("text"), F.col("fragments")).alias("text"),
+        F.col("text").alias("full_text"),
+        F.coalesce("page_rank", F.lit(1.0)).alias("rank"),
+        F.split("tags", ",").alias("tags"),
+    )
+
+
+def hits_json(shaped: DataFrame) -> DataFrame:
+    """query_id, rank_no and one JSON document per hit, under the names clients read."""
+    body = F.struct("title", "link", "text", F.col("full_text").alias("full-text"), "rank", "tags")
+    return shaped.select("query_id", "rank_no", F.to_json(body).alias("json"))
+
+
+def counts(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """query_id, n_hits; a query that finds nothing, or cannot be run, has 0."""
+    found = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    return queries.select("query_id").join(found, "query_id", "left").select(
+        "query_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_hits")
+    )
+
+
+# ---- autocomplete --------------------------------------------------------------------------------------------------
+
+
+def guarded(inputs: DataFrame) -> DataFrame:
+    """`inputs(query_id, query, lang)` that get suggestions: no operators in the input; language lower-cased."""
+    return inputs.filter(~F.col("query").rlike('domain:|-|"')).withColumn("lang", F.lower("lang"))
+
+
+def autocomplete(inputs: DataFrame, sites: DataFrame, hits: int = SUGGESTION_HITS) -> DataFrame:
+    """query_id, rank_no, suggestion: up to six distinct lower-cased titles per input.
+
+    A title scores one point per input word it holds, the last word counting as a prefix, and one more for every pair
+    and triple of neighbouring input words it holds in that order, again with the last one as a prefix. Prefixes are
+    looked up by their length, so all lookups are equi-joins.
+    """
+    asked = guarded(inputs).select(
+        "query_id", F.col("lang").alias("language"), tokens(F.col("query")).alias("words")
+    )
+    asked = asked.filter(F.size("words") > 0)
+    shingles = _shingles(F.col("words"))
+    wanted = written(
+        explode_as(asked.select("query_id", "language", shingles.alias("s")), "s", "w").select(
+            "query_id", "language", "w.at", "w.size", "w.gram", "w.is_last"
+        ),
+        "wanted",
+    )
+    titles = sites.select("language", "id", "title", tokens(F.col("title")).alias("words"))
+    grams = (
+        explode_as(titles.select("language", "id", _shingles(F.col("words")).alias("s")), "s", "g")
+        .select("language", "id", F.col("g.size").alias("size"), F.col("g.gram").alias("gram"))
+    )
+    whole = grams.join(wanted.filter(~F.col("is_last")), ["language", "size", "gram"])
+    ends = wanted.filter("is_last").withColumnRenamed("gram", "prefix")
+    by_prefix = with_prefixes(grams, "gram", ends).join(ends, ["language", "size", "prefix"])
+    points = (
+        whole.select("query_id", "language", "id", "at", "size")
+        .unionByName(by_prefix.select("query_id", "language", "id", "at", "size"))
+        .distinct()
+        .groupBy("query_id", "language", "id")
+        .agg(F.count(F.lit(1)).alias("points"))
+    )
+    order = Window.partitionBy("query_id").orderBy(F.desc("points"), "id")
+    best = points.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= hits)
+    titled = sites.select("language", "id", F.lower("title").alias("suggestion"))
+    named = written(best, "best").join(titled, ["language", "id"])
+    # At most `hits` rows per input are left.
+    first = named.groupBy("query_id", "suggestion").agg(F.min("at").alias("at"))
+    again = Window.partitionBy("query_id").orderBy("at")
+    return (
+        first.withColumn("rank_no", F.row_number().over(again))
+        .filter(F.col("rank_no") <= SUGGESTIONS)
+        .select("query_id", "rank_no", "suggestion")
+    )
+
+
+def _shingles(words: Column) -> Column:
+    """array<struct(at, size, gram, is_last)> of the 1-, 2- and 3-word sequences; at is the place of the first word."""
+
+    def of_size(n: int) -> Column:
+        starts = F.filter(F.transform(words, lambda w, i: i), lambda i: i + n <= F.size(words))
+        return F.transform(
+            starts,
+            lambda i: F.struct(
+                i.alias("at"),
+                F.lit(n).alias("size"),
+                F.array_join(F.slice(words, i + 1, n), " ").alias("gram"),
+                (i + n == F.size(words)).alias("is_last"),
+            ),
+        )
+
+    return F.concat(of_size(1), of_size(2), of_size(3))

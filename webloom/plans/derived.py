@@ -54,5 +54,16 @@ def link_table(spark: SparkSession, folder: str) -> DataFrame:
     return stored(spark, folder, "links", lambda: links.links_from_pages(pages(spark, folder)))
 
 
+def indexed_sites(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of the accepted languages: what is searched."""
+    return language.accepted(sites(spark, folder))
+
+
 def postings(spark: SparkSession, folder: str) -> DataFrame:
-    return stored(spark, folder, "postings", lambda: search.postings(sites(spark, folder)), "language")
+    return stored(
+        spark, folder, "postings", lambda: search.postings(spread(indexed_sites(spark, folder))), "language"
+    )
+
+
+def field_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return stored(spark, folder, "field_stats", lambda: search.field_stats(indexed_sites(spark, folder)))

@@ -17,7 +17,7 @@ from webloom.plans.derived import link_table
 from webloom.sources.tables import read_table
 
 TOP = 50
-EGO = "france.size7"
+EGO = "nation_6.size7"
 
 
 def trade_edges(spark: SparkSession, folder: str) -> DataFrame:

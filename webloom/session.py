@@ -28,7 +28,9 @@ def build_session(master: str | None = None, app: str = "webloom", **conf: str)
         )
     )
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false")
+        builder = builder.master(master).config("spark.ui.enabled", "false").config(
+            "spark.ui.showConsoleProgress", "false"
+        )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
