@@ -111,13 +111,6 @@ def sites_delete(spark: SparkSession, folder: str) -> DataFrame:
     return documents.sites_delete(table, table.filter(F.col("link").rlike("://(spam|cheap)")))
 
 
-def visited_update(spark: SparkSession, folder: str) -> DataFrame:
-    """Visited keys after fetching every page: requested URL and canonical final URL, each once."""
-    fetched = extract.with_link(read_table(spark, folder, "pages")).filter(F.col("link").isNotNull())
-    both = F.explode(F.array(urls.with_default_scheme(F.col("url")), F.col("link"))).alias("u")
-    return fetched.select(both).select(urls.url_key(F.col("u")).alias("url_key")).distinct()
-
-
 QUERIES = {
     "links_scan": links_scan,
     "links_explode": links_explode,
