@@ -52,14 +52,10 @@ def links_scan(links: DataFrame) -> DataFrame:
 
 
 def links_explode(sites: DataFrame) -> DataFrame:
-    """Cells of a wide table with one anchor map per source."""
-    return sites.select("src", F.explode("anchors").alias("dst", "anchor_text"))
-
-
-def wide(links: DataFrame) -> DataFrame:
-    """One row per source with the map of its targets; the number of targets is bounded by the pages of that source."""
-    entries = F.map_from_entries(F.collect_list(F.struct("dst", "anchor_text")))
-    return links.groupBy("src").agg(entries.alias("anchors"))
+    """Cells of page records `sites(link, anchors)`, whose anchors are a map from target to text."""
+    # Outer, because the filter inferred for a plain explode would compute the anchors of every page twice.
+    cells = sites.select("link", F.explode_outer("anchors").alias("dst", "anchor_text"))
+    return cells.filter(F.col("dst").isNotNull())
 
 
 def link_lookup(links: DataFrame, key: str) -> DataFrame:

@@ -25,14 +25,14 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def blocks(arrivals: DataFrame, count: int | None = None) -> DataFrame:
+def blocks(arrivals: DataFrame, count: int | None = None, *keep: str) -> DataFrame:
     """arrival_id, domain, url, ts (microseconds), block; blocks are ranges of ORDER, numbered in that order.
 
     Written to storage, because the block numbers are only meaningful for one evaluation of the range bounds.
     `count` fixes the number of blocks; by default it follows the shuffle settings.
     """
     narrow = arrivals.filter(F.col("domain").isNotNull()).select(
-        "arrival_id", "domain", "url", micros(F.col("ts")).alias("ts")
+        "arrival_id", "domain", "url", micros(F.col("ts")).alias("ts"), *keep
     )
     ranged = narrow.repartitionByRange(count, *ORDER) if count else narrow.repartitionByRange(*ORDER)
     return written(ranged.withColumn("block", F.spark_partition_id()), "arrivals", "block")
@@ -84,13 +84,20 @@ def admitted_positions(ts: np.ndarray, period: int, last: int | None) -> tuple[n
 
 
 def _walk(block: pd.DataFrame, period: int, carry: int | None) -> tuple[pd.DataFrame, int | None]:
-    """One block in order with `admitted`; also the last admission of its last domain."""
+    """One block in order with `admitted`; also the last admission of its last domain.
+
+    A domain starts from its own `since`, the admission before all arrivals; only the first one can have a carry.
+    """
     block = block.sort_values(list(ORDER), kind="stable", ignore_index=True)
     ts = block["ts"].to_numpy()
     starts = np.flatnonzero(np.r_[True, block["domain"].to_numpy()[1:] != block["domain"].to_numpy()[:-1]])
-    flags, last = [], carry
+    since = block["since"].astype("Int64")
+    flags, last = [], None
     for number, (start, end) in enumerate(zip(starts, np.r_[starts[1:], len(ts)])):
-        found, last = admitted_positions(ts[start:end], period, carry if number == 0 else None)
+        first = None if pd.isna(since.iloc[start]) else int(since.iloc[start])
+        if number == 0 and carry is not None:
+            first = carry
+        found, last = admitted_positions(ts[start:end], period, first)
         flags.append(found)
     block["admitted"] = np.concatenate(flags)
     return block, last
@@ -103,7 +110,8 @@ def _exits(rows: DataFrame, period: int, carries: dict[int, int]) -> dict[int, d
         block = int(pdf["block"].iloc[0])
         walked, last = _walk(pdf, period, carries.get(block))
         ends = walked["domain"].iloc[[0, -1]].tolist()
-        return pd.DataFrame({"block": [block], "first": [ends[0]], "last": [ends[1]], "exit": [last]})
+        out = {"block": [block], "first": [ends[0]], "last": [ends[1]], "exit": pd.array([last], dtype="Int64")}
+        return pd.DataFrame(out)
 
     found = rows.groupBy("block").applyInPandas(summarise, "block int, first string, last string, exit long")
     return {r.block: r.asDict() for r in found.collect()}
@@ -119,6 +127,8 @@ def _stale(order: list[int], exits: dict[int, dict], used: dict[int, int], only_
         if exits[before]["last"] != exits[block]["first"]:
             continue
         domain, carry = exits[block]["first"], exits[before]["exit"]
+        if carry is None:
+            continue
         if used.get(block) != carry and not (only_first and domain in touched):
             stale[block] = carry
             touched.add(domain)
@@ -143,13 +153,23 @@ def settle(rows: DataFrame, period: int) -> dict[int, int]:
     return used
 
 
-def admit(arrivals: DataFrame, period_seconds: int = PERIOD_SECONDS, count: int | None = None) -> DataFrame:
+def admit(
+    arrivals: DataFrame,
+    period_seconds: int = PERIOD_SECONDS,
+    count: int | None = None,
+    earlier: DataFrame | None = None,
+) -> DataFrame:
     """arrival_id, domain, url, ts, admitted: true iff no arrival of the domain was admitted in the period before it.
 
-    A refused arrival does not extend the period.
+    A refused arrival does not extend the period. `earlier(domain, since)` holds the last admission in microseconds
+    of domains that were seen before these arrivals.
     """
     period = period_seconds * 1_000_000
-    rows = blocks(arrivals, count)
+    if earlier is None:
+        started = arrivals.withColumn("since", F.lit(None).cast("long"))
+    else:
+        started = arrivals.join(earlier, "domain", "left")
+    rows = blocks(started, count, "since")
     carries = settle(rows, period)
 
     def flag(pdf: pd.DataFrame) -> pd.DataFrame:

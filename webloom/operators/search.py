@@ -480,7 +480,7 @@ def shape_hits(marked: DataFrame) -> DataFrame:
 def hits_json(shaped: DataFrame) -> DataFrame:
     """query_id, rank_no and one JSON document per hit, under the names clients read."""
     body = F.struct("title", "link", "text", F.col("full_text").alias("full-text"), "rank", "tags")
-    return shaped.select("query_id", "rank_no", F.to_json(body).alias("json"))
+    return shaped.select("query_id", "rank_no", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def counts(queries: DataFrame, hits: DataFrame) -> DataFrame:

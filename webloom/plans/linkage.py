@@ -21,7 +21,7 @@ def links_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def links_explode(spark: SparkSession, folder: str) -> DataFrame:
-    return links.links_explode(links.wide(link_table(spark, folder)))
+    return links.links_explode(extract.site_records(pages(spark, folder)))
 
 
 def links_no_protocol(spark: SparkSession, folder: str) -> DataFrame:
@@ -143,7 +143,7 @@ _COUNTS = "SELECT dst AS id, count(DISTINCT src) AS num_of_refs FROM links GROUP
 
 ORACLES = {
     "links_scan": _on_links("SELECT dst FROM links"),
-    "links_explode": _on_links("SELECT src, dst, anchor_text FROM links"),
+    "links_explode": sql.with_ctes(*sql.TO_ANCHORS, select="SELECT link, dst, anchor_text FROM page_anchors"),
     "links_no_protocol": _on_links("SELECT src, dst, anchor_text, version FROM links"),
     "link_lookup": _on_links("SELECT src, dst, anchor_text FROM links WHERE src = (SELECT min(src) FROM links)"),
     "link_contains": _on_links("""

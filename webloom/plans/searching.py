@@ -99,6 +99,10 @@ def search_hits(spark: SparkSession, folder: str) -> DataFrame:
     return shaped.select("query_id", "rank_no", "title", "link", "full_text", "rank", F.col("tags").isNull().alias("no_tags"))
 
 
+def export_hits_json(spark: SparkSession, folder: str) -> DataFrame:
+    return search.hits_json(search.shape_hits(_marked(spark, folder, PLAIN)))
+
+
 def search_counts(spark: SparkSession, folder: str) -> DataFrame:
     return search.counts(query_table(spark, COUNTED), _run(spark, folder, COUNTED))
 
@@ -129,6 +133,7 @@ QUERIES = {
     "search_highlight": search_highlight,
     "search_summary": search_summary,
     "search_hits": search_hits,
+    "export_hits_json": export_hits_json,
     "search_counts": search_counts,
     "autocomplete": autocomplete,
     "autocomplete_guard": autocomplete_guard,
@@ -377,6 +382,16 @@ SELECT r.query_id, r.rank_no, d.link,
         *_PLAIN_HITS,
         select=f"""
 SELECT query_id, rank_no, title, link, text AS full_text, 1.0::DOUBLE AS rank, true AS no_tags {_RANKED_DOCS}""",
+    ),
+    "export_hits_json": sql.with_ctes(
+        *_PLAIN_HITS,
+        _FRAGMENTS,
+        _SUMMARIES,
+        select=f"""
+SELECT r.query_id, r.rank_no, json_object('title', d.title, 'link', d.link, 'text',
+         CASE WHEN n > 0 THEN summary WHEN length(d.text) > 500 THEN substring(d.text, 1, 500) || '...' ELSE d.text END,
+         'full-text', d.text, 'rank', 1.0::DOUBLE, 'tags', NULL)::VARCHAR AS json
+{_RANKED_DOCS} JOIN summaries s ON s.query_id = r.query_id AND s.rank_no = r.rank_no""",
     ),
     "search_counts": _term_search(
         _asked((1, "en", 0, "eriner"), (2, "en", 0, "zzzz"), (4, "xx", 0, "the")),
