@@ -115,14 +115,18 @@ def with_anchors(cleaned_pages: DataFrame, default_self: bool = True) -> DataFra
     return grouped.drop("targets")
 
 
-def page_anchors(pages: DataFrame, default_self: bool = True) -> DataFrame:
-    """Long form: page_id, link, dst, anchor_text and pos, the place of the first anchor with that target."""
-    entries = with_anchors(cleaned(pages), default_self).select("page_id", "link", "anchors")
-    return explode_as(entries, "anchors", "a").select(
+def anchors_long(entries: DataFrame) -> DataFrame:
+    """Long form of `entries(page_id, link, anchors)`: page_id, link, dst, anchor_text, pos of the first such anchor."""
+    return explode_as(entries.select("page_id", "link", "anchors"), "anchors", "a").select(
         "page_id", "link", F.col("a.dst").alias("dst"), F.col("a.text").alias("anchor_text"), "a.pos"
     )
 
 
+def page_anchors(pages: DataFrame, default_self: bool = True) -> DataFrame:
+    """Long anchor table of pages."""
+    return anchors_long(with_anchors(cleaned(pages), default_self))
+
+
 def with_fields(cleaned_pages: DataFrame) -> DataFrame:
     """Add title, text, keywords and metadata."""
     parsed = cleaned_pages.withColumn("metas", html.metas(F.col("clean")))
@@ -135,18 +139,21 @@ def with_fields(cleaned_pages: DataFrame) -> DataFrame:
     )
 
 
+SITE_COLUMNS = ("page_id", "id", "link", "domain", "title", "text", "keywords", "metadata")
+
+
+def _as_sites(parsed: DataFrame) -> DataFrame:
+    return parsed.withColumn("id", urls.site_id(F.col("link"))).withColumn("domain", urls.host_of(F.col("link")))
+
+
 def sites(pages: DataFrame) -> DataFrame:
     """The document part of a page record: id, link, domain (host), title, text, keywords, metadata."""
-    return with_fields(cleaned(pages)).select(
-        "page_id",
-        urls.site_id(F.col("link")).alias("id"),
-        "link",
-        urls.host_of(F.col("link")).alias("domain"),
-        "title",
-        "text",
-        "keywords",
-        "metadata",
-    )
+    return _as_sites(with_fields(cleaned(pages))).select(*SITE_COLUMNS)
+
+
+def crawl_records(pages: DataFrame) -> DataFrame:
+    """Documents and anchors in one pass over the HTML, to be stored; what follows reads columns of it."""
+    return _as_sites(with_anchors(with_fields(cleaned(pages)))).select(*SITE_COLUMNS, "anchors")
 
 
 def site_records(pages: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from webloom.functions import urls
 from webloom.operators import extract, frontier, language, politeness
 from webloom.plans import sql
-from webloom.plans.derived import pages, sites, stored
+from webloom.plans.derived import anchors, sites
 from webloom.sources.tables import read_table
 
 PERIOD = 7200  # seconds; the events of one user are hours apart
@@ -17,10 +17,6 @@ CRAWL_STEP = 7  # seconds between two pages of the crawl order
 ROUNDS = 4
 
 
-def anchors(spark: SparkSession, folder: str) -> DataFrame:
-    return stored(spark, folder, "anchors", lambda: extract.page_anchors(pages(spark, folder)))
-
-
 def page_visits(spark: SparkSession, folder: str) -> DataFrame:
     """url_key of every page over https: the part of the web that was fetched before."""
     linked = extract.with_link(read_table(spark, folder, "pages")).filter("link LIKE 'https:%'")

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.operators import extract, language, links, search  # noqa: F401
+from webloom.operators import extract, language, links, search
 from webloom.session import written
 from webloom.sources.tables import read_table, spread
 
@@ -38,10 +38,19 @@ def profiles(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def records(spark: SparkSession, folder: str) -> DataFrame:
+    """Everything extracted from the pages, in one pass over their HTML."""
+    return stored(spark, folder, "records", lambda: extract.crawl_records(pages(spark, folder)))
+
+
+def anchors(spark: SparkSession, folder: str) -> DataFrame:
+    """page_id, link, dst, anchor_text, pos."""
+    return extract.anchors_long(records(spark, folder))
+
+
 def build_sites(spark: SparkSession, folder: str) -> DataFrame:
     """Latest document per link with its language, for the accepted and the refused languages alike."""
-    # Stored first: identification reads the text several times, extraction should run once.
-    found = written(extract.sites(pages(spark, folder)).withColumn("version", F.col("page_id")), "page_sites")
+    found = spread(records(spark, folder).drop("anchors")).withColumn("version", F.col("page_id"))
     tagged = language.with_language(found, profiles(spark, folder), "page_id", "text")
     return links.latest(tagged.drop("page_id"), ("language", "id"), "version")
 
@@ -51,7 +60,7 @@ def sites(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def link_table(spark: SparkSession, folder: str) -> DataFrame:
-    return stored(spark, folder, "links", lambda: links.links_from_pages(pages(spark, folder)))
+    return stored(spark, folder, "links", lambda: links.links_from_anchors(anchors(spark, folder)))
 
 
 def indexed_sites(spark: SparkSession, folder: str) -> DataFrame:

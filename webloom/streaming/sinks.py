@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from webloom.operators import extract, language, links
 from webloom.session import written
+from webloom.sources.tables import spread
 from webloom.sources.versioned import write_version
 from webloom.streaming.frontier import _triggered
 
@@ -27,13 +28,14 @@ def store_pages(profile: DataFrame, sites_path: str, links_path: str):
     """
 
     def run(pages: DataFrame, batch_id: int) -> None:
-        found = written(extract.sites(pages), "batch_sites")
-        tagged = language.accepted(language.with_language(found, profile, "page_id", "text"))
-        sites = links.latest(tagged, ("language", "id"), "page_id")
-        documents = written(sites.select(*SITE_SCHEMA.fieldNames(), "page_id"), "batch_documents")
-        write_version(documents.drop("page_id"), sites_path, batch_id, "language")
+        found = written(extract.crawl_records(spread(pages)), "batch_records")
+        tagged = written(
+            language.accepted(language.with_language(found.drop("anchors"), profile, "page_id", "text")), "batch_sites"
+        )
+        documents = links.latest(tagged, ("language", "id"), "page_id").select(*SITE_SCHEMA.fieldNames())
+        write_version(documents, sites_path, batch_id, "language")
         linked = tagged.filter(F.col("language") == language.LINKED_LANGUAGE).select("page_id")
-        anchors = extract.page_anchors(pages).join(linked, "page_id", "left_semi")
+        anchors = extract.anchors_long(found.join(linked, "page_id", "left_semi"))
         write_version(links.links_from_anchors(anchors).drop("version"), links_path, batch_id)
 
     return run
