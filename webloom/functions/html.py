@@ -1,9 +1,11 @@
 """Text, title, keywords, metadata and anchors of an HTML page as column expressions.
 
-The input of every function but `clean_html` is HTML that went through `clean_html`. All patterns are linear in the
-page: quantifiers over tag attributes are possessive, the rest is lazy up to a fixed terminator.
+The input of every function but `clean_html` is HTML that went through `clean_html`. Quantifiers over tag attributes are
+possessive, the others are lazy up to a fixed terminator.
 
-Where the markup is broken the rule is: an unclosed <b> ends at the next block tag, an unclosed <a> at the next <a>.
+Where the markup is broken the rules are: an unclosed <b> ends at the next block tag, an unclosed <a> at the next <a>,
+an unclosed heading at the next heading, and a tag that is not closed before the next "<" is not a tag. Every match thus
+ends where the next one can begin, and no page makes a pattern scan the same text again and again.
 """
 
 from __future__ import annotations
@@ -24,20 +26,21 @@ BLOCK_TAGS = (
 )
 BREAKING_BLOCK_TAGS = BLOCK_TAGS.replace("hr|br|", "hr|")
 
-ATTRS = r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+"""
+ATTRS = r"""[^<>"']*+(?:(?:"[^"]*+"|'[^']*+')[^<>"']*+)*+"""
 NOT_VISIBLE = (
-    r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<[!?][^>]*>"
+    r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<[!?][^<>]*>"
 )
 BLOCK_TAG = rf"(?i)</?(?:{BLOCK_TAGS})\b{ATTRS}>"
 ANY_TAG = rf"</?[a-zA-Z]{ATTRS}>"
-TITLE = r"(?is)<title\b[^>]*>(.*?)(?:</title\s*>|\z)"
+TITLE = r"(?is)<title\b[^<>]*>(.*?)(?:</title\s*>|\z)"
 META = rf"(?i)<meta\b({ATTRS})>"
 BASE = rf"(?i)<base\b({ATTRS})>"
 ANCHOR = rf"(?is)<a\s{ATTRS}>.*?(?=</a\s*>|<a\s|\z)"
 ANCHOR_TAG = rf"(?i)^<a({ATTRS})>"
-HEADING = rf"<h([123])\b{ATTRS}>.*?</h\1\s*>"
+HEADING = rf"<h[123]\b{ATTRS}>.*?(?=</?h[1-6]\b|\z)"
 BOLD = rf"<b(?:\s{ATTRS})?>.*?(?=</b\s*>|</?(?:{BREAKING_BLOCK_TAGS})\b|\z)"
-CHILD = rf"(?is)<(\w+)\b{ATTRS}>.*?</\1\s*>"
+VOID_TAGS = "area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr"
+CHILD = rf"(?is)<(?!(?:{VOID_TAGS})\b)(\w+)\b{ATTRS}>.*?(?:</\1\s*>|\z)"
 ATTR = r"""[^\s=>"'/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+))?"""
 SPACE = r"[ \t\n\f\r\x{A0}]+"
 ENTITY = "&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]*;?)"
@@ -141,7 +144,7 @@ def keywords(clean: Column, meta_attributes: Column) -> Column:
     """Text of heading children and bold runs, then the contents of description and keyword metas."""
 
     def heading_children(fragment: Column) -> Column:
-        inner = F.regexp_replace(fragment, rf"(?is)^<h[123]\b{ATTRS}>|</h[123]\s*>$", "")
+        inner = F.regexp_replace(fragment, rf"(?i)^<h[123]\b{ATTRS}>", "")
         children = F.regexp_extract_all(inner, F.lit(CHILD), F.lit(0))
         return F.flatten(
             F.transform(

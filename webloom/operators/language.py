@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.rows import explode_as
+from webloom.functions.text import term_counts
 
 # Fixed values.
 ACCEPTED_LANGUAGES = ("en", "fa", "ar", "ru", "es")
@@ -27,23 +28,33 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}]+"), F.lit(0))
 
 
-def _word_grams(word: Column) -> Column:
-    """array of the 1- to 3-grams of ' word ', the lone blank left out."""
-    padded = F.concat(F.lit(" "), word, F.lit(" "))
+def grams_of_words(words_table: DataFrame, *keep: str) -> DataFrame:
+    """One row per gram of each row's `word`, padded with one blank: `keep`, n, gram. The lone blank is no gram.
 
-    def of_length(n: int) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i: F.substring(padded, i, F.lit(n))
-        )
-
-    single = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.lit(1)))
-    return F.concat(single, *[of_length(n) for n in range(2, MAX_GRAM + 1)])
+    Two generators over plain expressions instead of nested lambdas, so the whole step is compiled code.
+    """
+    padded = F.concat(F.lit(" "), F.col("word"), F.lit(" ")).alias("padded")
+    placed = words_table.select(*keep, padded).select(
+        *keep, "padded", F.explode(F.sequence(F.lit(1), F.length("padded"))).alias("at")
+    )
+    cut = F.array(
+        *[
+            F.struct(F.lit(n).alias("n"), F.substring("padded", F.col("at"), F.lit(n)).alias("gram"))
+            for n in range(1, MAX_GRAM + 1)
+        ]
+    )
+    each = placed.select(*keep, F.explode(cut).alias("g")).select(*keep, "g.n", "g.gram")
+    return each.filter((F.length("gram") == F.col("n")) & (F.col("gram") != " "))
 
 
 def grams(texts: DataFrame, text: str, *keep: str) -> DataFrame:
-    """One row per gram occurrence with the columns `keep`; narrow, so the text itself is not copied along."""
-    by_word = explode_as(texts.select(*keep, words(F.col(text)).alias("words")), "words", "word")
-    return explode_as(by_word.select(*keep, _word_grams(F.col("word")).alias("grams")), "grams", "gram")
+    """One row per distinct word of a text and gram place in it: `keep`, tf (of the word), n, gram.
+
+    Words are counted inside the row first, so a word that a text repeats is cut into grams once. Rows are narrow: the
+    text itself is not copied along.
+    """
+    counted = explode_as(texts.select(*keep, term_counts(words(F.col(text))).alias("words")), "words", "w")
+    return grams_of_words(counted.select(*keep, F.col("w.term").alias("word"), F.col("w.tf").alias("tf")), *keep, "tf")
 
 
 def profiles(labelled: DataFrame, text: str, lang: str) -> DataFrame:
@@ -51,9 +62,8 @@ def profiles(labelled: DataFrame, text: str, lang: str) -> DataFrame:
     named = explode_as(labelled.select(F.col(lang).alias("lang"), words(F.col(text)).alias("words")), "words", "word")
     # Count words first: the grams of a frequent word are cut once per language, not once per occurrence.
     per_word = named.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("w"))
-    cut = explode_as(per_word.select("lang", "w", _word_grams(F.col("word")).alias("grams")), "grams", "gram")
-    counts = cut.groupBy("lang", "gram").agg(F.sum("w").alias("cnt"))
-    return counts.select("lang", F.length("gram").alias("n"), "gram", "cnt")
+    counts = grams_of_words(per_word, "lang", "w").groupBy("lang", "n", "gram").agg(F.sum("w").alias("cnt"))
+    return counts.select("lang", "n", "gram", "cnt")
 
 
 def profile_totals(profile: DataFrame) -> DataFrame:
@@ -85,8 +95,8 @@ def scores(texts: DataFrame, profile: DataFrame, key: str, text: str) -> DataFra
         .join(gains, "gram", "left")
         .groupBy(key)
         .agg(
-            *[F.sum(F.coalesce(f"g{i}", F.lit(0.0))).alias(f"g{i}") for i in range(len(langs))],
-            *[F.sum(F.when(F.length("gram") == n, 1).otherwise(0)).alias(f"n{n}") for n in range(1, MAX_GRAM + 1)],
+            *[F.sum(F.col("tf") * F.coalesce(f"g{i}", F.lit(0.0))).alias(f"g{i}") for i in range(len(langs))],
+            *[F.sum(F.when(F.col("n") == n, F.col("tf")).otherwise(0)).alias(f"n{n}") for n in range(1, MAX_GRAM + 1)],
         )
     )
     costs = profile_totals(profile).agg(
