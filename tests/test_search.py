@@ -17,13 +17,14 @@ SITES = [
 def index(spark):
     sites = spark.createDataFrame(SITES, "id string, domain string, title string, text string, keywords string")
     sites = sites.withColumn("language", F.lit("en")).withColumn("link", F.concat(F.lit("http://x/"), "id")).cache()
-    return sites, search.postings(sites).cache(), search.field_stats(sites).cache()
+    postings = search.postings(sites).cache()
+    terms, stats = search.dictionary(postings).cache(), search.field_stats(sites).cache()
+    return search.Index(sites, postings, terms, stats, search.title_grams(sites).cache())
 
 
 def run(spark, index, *queries):
-    sites, postings, stats = index
     asked = spark.createDataFrame([(i, q, "en") for i, q in enumerate(queries)], "query_id int, query string, lang string")
-    hits = search.search(asked, sites, postings, stats).collect()
+    hits = search.search(asked, index).collect()
     return [{r.id for r in hits if r.query_id == i} for i in range(len(queries))], asked, hits
 
 
@@ -100,8 +101,7 @@ def test_kinds_and_operators(spark, index):
     ]
 
 
-def test_top_hits_are_limited(spark, index):
-    sites, postings, stats = index
+def test_top_hits_are_limited(spark):
     hits = spark.range(500).select(
         F.lit(1).alias("query_id"), F.lit("en").alias("language"), F.col("id").cast("string"), (F.col("id") % 7).cast("double").alias("score")
     )
@@ -125,8 +125,7 @@ def test_fuzzy_terms_are_complete(spark):
 
 def test_highlight_and_summary(spark, index):
     _, asked, _ = run(spark, index, "red ru*", "zzz")
-    sites, postings, stats = index
-    marked = search.with_fragments(search.search(asked, sites, postings, stats), asked, sites)
+    marked = search.with_fragments(search.search(asked, index), asked, index.sites)
     got = {r.id: r.fragments for r in marked.collect()}
     assert got["1"] == ["The quick <b>red</b> fox.", "It <b>runs</b>!", "A <b>red</b> <b>red</b> dog"]
     shaped = {r.link[-1]: r for r in search.shape_hits(marked).collect()}
@@ -154,13 +153,13 @@ def test_optional_document_fields(spark):
 
 
 def test_autocomplete(spark, index):
-    sites, _, _ = index
     rows = [(1, "re", "EN"), (2, "red fo", "en"), (3, "-x", "en"), (4, "", "en"), (5, "fox", "xx")]
-    got = search.autocomplete(spark.createDataFrame(rows, "query_id int, query string, lang string"), sites).collect()
+    asked = spark.createDataFrame(rows, "query_id int, query string, lang string")
+    got = search.autocomplete(asked, index.sites, index.titles).collect()
     assert {(r.query_id, r.rank_no, r.suggestion) for r in got} >= {(1, 1, "red fox"), (2, 1, "red fox")}
     assert {r.query_id for r in got} == {1, 2}
     many = spark.range(40).select(
         F.lit("en").alias("language"), F.col("id").cast("string"), F.concat(F.lit("Word "), F.col("id").cast("string")).alias("title")
     )
     ask = spark.createDataFrame([(1, "wo", "en")], "query_id int, query string, lang string")
-    assert search.autocomplete(ask, many).count() == search.SUGGESTIONS
+    assert search.autocomplete(ask, many, search.title_grams(many)).count() == search.SUGGESTIONS

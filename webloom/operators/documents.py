@@ -6,14 +6,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import urls
-from webloom.operators.links import latest
+from webloom.operators import language
 
 SITE_KEY = ("language", "id")
 
 
+def latest_documents(rows: DataFrame, recency: str = "version") -> DataFrame:
+    """The most recent document per key, for stored rows whose recency is unique per key.
+
+    The winners are found on the narrow columns alone, by a hash aggregate, and select the documents afterwards: the
+    text is moved once and never sorted.
+    """
+    winners = rows.groupBy(*SITE_KEY).agg(F.max(recency).alias(recency))
+    return rows.join(winners, [*SITE_KEY, recency], "left_semi")
+
+
 def sites_upsert(stored: DataFrame, arrived: DataFrame, recency: str = "version") -> DataFrame:
     """A document that arrives again replaces the stored one as a whole."""
-    return latest(stored.unionByName(arrived), SITE_KEY, recency)
+    return latest_documents(stored.unionByName(arrived), recency)
+
+
+def identified(found: DataFrame, profile: DataFrame) -> DataFrame:
+    """Stored page documents `found(page_id, id, text, ...)` with their language, the latest page per (language, id).
+
+    Language and winner are decided on narrow columns; the documents meet the result in one join.
+    """
+    spoken = language.detect(found, profile, "page_id", "text")
+    winners = (
+        found.select("page_id", "id")
+        .join(spoken, "page_id")
+        .groupBy(*SITE_KEY)
+        .agg(F.max("page_id").alias("page_id"))
+        .select("page_id", "language")
+    )
+    return found.join(winners, "page_id")
 
 
 def site_lookup(sites: DataFrame, language: str, link: str) -> DataFrame:

@@ -23,31 +23,25 @@ def cleaned(pages: DataFrame) -> DataFrame:
 
 
 def extract_rejects(pages: DataFrame) -> DataFrame:
-    """Pages and anchors that extraction refuses, counted by reason."""
-    linked = with_link(pages).select(
-        "link",
-        F.regexp_extract(urls.with_default_scheme(F.trim("url")), r"^(\w+)://", 1).alias("scheme"),
+    """Pages and anchors that extraction refuses or accepts, counted by reason, in one pass over the pages."""
+    linked = with_link(pages).withColumn(
+        "clean", F.when(F.col("link").isNotNull(), html.clean_html(F.col("html")))
     )
-    reason = (
+    scheme = F.lower(F.regexp_extract(urls.with_default_scheme(F.trim("url")), r"^(\w+)://", 1))
+    page_reason = (
         F.when(F.col("link").isNotNull(), F.lit("page_accepted"))
-        .when(~F.lower("scheme").isin(*urls.HTTP_SCHEMES), F.lit("page_bad_protocol"))
+        .when(~scheme.isin(*urls.HTTP_SCHEMES), F.lit("page_bad_protocol"))
         .otherwise(F.lit("page_malformed_url"))
     )
-    anchor_reason = (
-        F.when(F.col("a.dst").isNotNull(), F.lit("anchor_accepted"))
-        .when(urls.is_http(F.col("a.resolved")), F.lit("anchor_malformed_url"))
-        .otherwise(F.lit("anchor_bad_protocol"))
-    )
-    return (
-        linked.select(reason.alias("reason"))
-        .unionByName(
-            explode_as(_with_targets(cleaned(pages)).select("targets"), "targets", "a").select(
-                anchor_reason.alias("reason")
-            )
-        )
-        .groupBy("reason")
-        .agg(F.count(F.lit(1)).alias("n"))
+    anchor_reasons = F.transform(
+        "targets",
+        lambda a: F.when(a["dst"].isNotNull(), F.lit("anchor_accepted"))
+        .when(urls.is_http(a["resolved"]), F.lit("anchor_malformed_url"))
+        .otherwise(F.lit("anchor_bad_protocol")),
     )
+    reasons = F.concat(F.array(page_reason), F.coalesce(anchor_reasons, F.array().cast("array<string>")))
+    listed = explode_as(_with_targets(linked).select(reasons.alias("reasons")), "reasons", "reason")
+    return listed.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _with_targets(cleaned_pages: DataFrame) -> DataFrame:

@@ -90,10 +90,17 @@ def outcomes(checked: DataFrame, sites: DataFrame, anchors: DataFrame, visited:
     """
     pages = sites.select(F.when(accepted, F.lit("page_stored")).otherwise(F.lit("language_skip")).alias("outcome"))
     known = visited.select("url_key").distinct().withColumn("known", F.lit(True))
-    sent = anchors.select(urls.url_key(F.col("dst")).alias("url_key")).join(known, "url_key", "left")
-    sent = sent.select(F.when(F.col("known"), F.lit("anchor_seen")).otherwise(F.lit("anchor_sent")).alias("outcome"))
-    tagged = checked.select("outcome").unionByName(pages).unionByName(sent)
-    return tagged.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    # Counted per target first, so that a target found on very many pages is one row in the join.
+    targets = anchors.groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
+    sent = targets.select(urls.url_key(F.col("dst")).alias("url_key"), "n").join(known, "url_key", "left")
+    anchor = F.when(F.col("known"), F.lit("anchor_seen")).otherwise(F.lit("anchor_sent"))
+    one = F.lit(1).cast("long").alias("n")
+    tagged = (
+        checked.select("outcome", one)
+        .unionByName(pages.select("outcome", one))
+        .unionByName(sent.select(anchor.alias("outcome"), "n"))
+    )
+    return tagged.groupBy("outcome").agg(F.sum("n").alias("n"))
 
 
 def tag_repeats(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.rows import explode_as
+from webloom.session import written
 
 # Fixed values.
 MAX_WEIGHT = 5
@@ -45,8 +46,14 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 
 def multi_lookup(adj: DataFrame, keys: DataFrame) -> DataFrame:
-    """Adjacency rows for `keys(domain, pos)`; a domain without a row gives one row of NULLs. Carries list order `pos`."""
-    return keys.join(adj, "domain", "left")
+    """Adjacency rows for `keys(domain, pos)`; a domain without a row gives one row of NULLs. Carries list order `pos`.
+
+    An inner join and the missing keys, instead of one outer join: the list can be broadcast to the adjacency, and if
+    it is too large for that, the partitions of a domain with very many neighbours can still be split.
+    """
+    found = adj.join(keys, "domain")
+    missing = keys.join(adj.select("domain").distinct(), "domain", "left_anti")
+    return found.unionByName(missing, allowMissingColumns=True)
 
 
 def numbered(adj: DataFrame) -> DataFrame:
@@ -103,7 +110,7 @@ def ego_rows(adj: DataFrame, domain: str) -> DataFrame:
 
 
 def top_domains(edges: DataFrame, n: int) -> DataFrame:
-    """The `n` domains with most references from other domains: domain, in_links, pos (1-based rank)."""
+    """The `n` domains with most references from other domains: domain, in_links, pos (1-based rank). Written."""
     ranked = (
         edges.filter("src <> dst")
         .groupBy(F.lower("dst").alias("domain"))
@@ -115,26 +122,20 @@ def top_domains(edges: DataFrame, n: int) -> DataFrame:
     order = F.array_sort(
         F.collect_list(F.struct((-F.col("in_links")).alias("neg"), "domain", "in_links"))
     )
-    return ranked.agg(order.alias("list")).select(F.posexplode("list").alias("at", "d")).select(
-        "d.domain", "d.in_links", (F.col("at") + 1).alias("pos")
-    )
+    numbered_list = ranked.agg(order.alias("list")).select(F.posexplode("list").alias("at", "d"))
+    return written(numbered_list.select("d.domain", "d.in_links", (F.col("at") + 1).alias("pos")), "top")
 
 
 def restrict(adj: DataFrame, top: DataFrame) -> DataFrame:
-    """Adjacency rows whose both ends are in the list `top(domain, pos)`.
-
-    The list has as many rows as its parameter says, which bounds the broadcast.
-    """
-    keys = F.broadcast(top.select("domain", "pos"))
-    ends = F.broadcast(top.select(F.col("domain").alias("neighbour")))
-    return adj.join(keys, "domain").join(ends, "neighbour", "left_semi")
+    """Adjacency rows whose both ends are in the stored list `top(domain, pos)`."""
+    ends = top.select(F.col("domain").alias("neighbour"))
+    return adj.join(top.select("domain", "pos"), "domain").join(ends, "neighbour", "left_semi")
 
 
 def top_graph_vertices(adj: DataFrame, top: DataFrame) -> DataFrame:
     """Vertices of the induced subgraph: listed domains that have a row, or are neighbours of a listed domain."""
-    rows = adj.join(F.broadcast(top.select("domain", "pos")), "domain")
-    listed = F.broadcast(top.select(F.col("domain").alias("id")))
-    return graph_vertices(rows).join(listed, "id", "left_semi")
+    rows = adj.join(top.select("domain", "pos"), "domain")
+    return graph_vertices(rows).join(top.select(F.col("domain").alias("id")), "id", "left_semi")
 
 
 def export_json(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from webloom.session import written
 
 PERIOD_SECONDS = 30  # fixed value: one fetch per domain in this time
 ORDER = ("domain", "ts", "url", "arrival_id")
+ROWS_PER_BLOCK = 1_000_000
 SPECULATIVE_ROUNDS = 3
 
 
@@ -29,12 +30,15 @@ def blocks(arrivals: DataFrame, count: int | None = None, *keep: str) -> DataFra
     """arrival_id, domain, url, ts (microseconds), block; blocks are ranges of ORDER, numbered in that order.
 
     Written to storage, because the block numbers are only meaningful for one evaluation of the range bounds.
-    `count` fixes the number of blocks; by default it follows the shuffle settings.
+    `count` fixes the number of blocks; by default a block holds about a million arrivals.
     """
     narrow = arrivals.filter(F.col("domain").isNotNull()).select(
         "arrival_id", "domain", "url", micros(F.col("ts")).alias("ts"), *keep
     )
-    ranged = narrow.repartitionByRange(count, *ORDER) if count else narrow.repartitionByRange(*ORDER)
+    if count is None:
+        cores = narrow.sparkSession.sparkContext.defaultParallelism
+        count = max(cores, -(-narrow.count() // ROWS_PER_BLOCK))
+    ranged = narrow.repartitionByRange(count, *ORDER)
     return written(ranged.withColumn("block", F.spark_partition_id()), "arrivals", "block")
 
 

@@ -12,6 +12,8 @@ it is below the threshold, so that neither index nor documents are shuffled, and
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +35,7 @@ K1, B = 1.2, 0.75
 DOMAIN_TOKEN = r"^domain:(\S+)"
 EXCLUDE_TOKEN = r"^-(\S+)"
 MAX_DISTANCE = 2
+PUSHED_VALUES = 64
 CLAUSE = r'[+|]?\s*(?:"[^"]*"(?:~\d*)?|[^\s"+|()]+)'
 
 
@@ -43,6 +46,16 @@ def boost(field: Column) -> Column:
     return chain
 
 
+class Index(NamedTuple):
+    """The stored tables a search reads."""
+
+    sites: DataFrame
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+    titles: DataFrame
+
+
 # ---- index ---------------------------------------------------------------------------------------------------------
 
 
@@ -68,6 +81,30 @@ def field_stats(sites: DataFrame) -> DataFrame:
     )
 
 
+def dictionary(index: DataFrame) -> DataFrame:
+    """language, field, term, df: number of documents per term."""
+    return index.groupBy("language", "field", "term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def title_grams(sites: DataFrame) -> DataFrame:
+    """language, id, size, gram: the 1- to 3-word sequences of every title."""
+    words = sites.select("language", "id", _shingles(tokens(F.col("title"))).alias("s"))
+    return explode_as(words, "s", "g").select(
+        "language", "id", F.col("g.size").alias("size"), F.col("g.gram").alias("gram")
+    )
+
+
+def _lookup(table: DataFrame, wanted: DataFrame, column: str = "term") -> DataFrame:
+    """`table` reduced to the values in `wanted`, as a filter the scan can use, if these are few; else unchanged.
+
+    A table sorted by the column then skips the row groups that hold none of them. The join that follows decides.
+    """
+    values = [r[0] for r in wanted.select(column).distinct().limit(PUSHED_VALUES + 1).collect()]
+    if not values or len(values) > PUSHED_VALUES:
+        return table
+    return table.filter(reduce(or_, [F.col(column) == v for v in values]))
+
+
 # ---- queries -------------------------------------------------------------------------------------------------------
 
 
@@ -130,50 +167,43 @@ def clauses(parsed: DataFrame) -> DataFrame:
 _IDF = "ln(1 + (n_docs - df + 0.5D) / (df + 0.5D))"
 
 
-def document_frequency(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """language, field, term, df for the terms in `wanted(language, term)`."""
-    return (
-        index.join(wanted.select("language", "term").distinct(), ["language", "term"], "left_semi")
-        .groupBy("language", "field", "term")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
-
-
 def _relevance(idf: Column) -> Column:
     norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
     return boost(F.col("field")) * idf * F.col("tf") * (K1 + 1) / norm
 
 
-def _bm25(wanted: DataFrame, index: DataFrame, stats: DataFrame) -> DataFrame:
+def _bm25(wanted: DataFrame, index: Index) -> DataFrame:
     """query_id, language, clause, id, score for `wanted(query_id, language, clause, term)`.
 
-    The weights are joined to the query terms first; the index is read once for the frequencies and once here.
+    The weights are joined to the query terms first, from the dictionary; the postings are read once.
     """
     weights = written(
-        wanted.join(document_frequency(index, wanted), ["language", "term"])
-        .join(stats, ["language", "field"])
+        wanted.join(index.terms, ["language", "term"])
+        .join(index.stats, ["language", "field"])
         .select("query_id", "language", "clause", "field", "term", "avg_len", F.expr(_IDF).alias("idf")),
         "weights",
     )
-    return index.join(weights, ["language", "field", "term"]).select(
-        "query_id", "language", "clause", "id", _relevance(F.col("idf")).alias("score")
+    return (
+        _lookup(index.postings, weights)
+        .join(weights, ["language", "field", "term"])
+        .select("query_id", "language", "clause", "id", _relevance(F.col("idf")).alias("score"))
     )
 
 
-def term_matches(parsed_clauses: DataFrame, index: DataFrame, stats: DataFrame) -> DataFrame:
+def term_matches(parsed_clauses: DataFrame, index: Index) -> DataFrame:
     """Matches of `terms` clauses."""
     wanted = parsed_clauses.filter("kind = 'terms'").select(
         "query_id", "language", "clause", F.explode(F.array_distinct("terms")).alias("term")
     )
-    return _bm25(wanted, index, stats)
+    return _bm25(wanted, index)
 
 
-def fuzzy_matches(parsed_clauses: DataFrame, index: DataFrame, stats: DataFrame) -> DataFrame:
+def fuzzy_matches(parsed_clauses: DataFrame, index: Index) -> DataFrame:
     """Matches of `fuzzy` clauses: as terms, for every vocabulary term within the distance."""
     wanted = parsed_clauses.filter("kind = 'fuzzy'").select(
         "query_id", "language", "clause", "distance", F.explode("terms").alias("wanted")
     )
-    return _bm25(fuzzy_terms(wanted, index), index, stats)
+    return _bm25(fuzzy_terms(wanted, index.terms), index)
 
 
 def _deletions(term: Column) -> Column:
@@ -198,7 +228,7 @@ def _deletions(term: Column) -> Column:
     return F.array_distinct(out)
 
 
-def fuzzy_terms(wanted: DataFrame, index: DataFrame) -> DataFrame:
+def fuzzy_terms(wanted: DataFrame, terms: DataFrame) -> DataFrame:
     """query_id, language, clause, term: vocabulary terms within `distance` of `wanted`.
 
     Two terms within edit distance k share a string that is left after at most k deletions in each, so candidates
@@ -208,7 +238,7 @@ def fuzzy_terms(wanted: DataFrame, index: DataFrame) -> DataFrame:
     reach = wanted.agg(
         F.struct(F.min(F.length("wanted") - F.col("distance")), F.max(F.length("wanted") + F.col("distance")))
     ).scalar()
-    vocabulary = index.select("language", "term").distinct().withColumn("reach", reach)
+    vocabulary = terms.select("language", "term").distinct().withColumn("reach", reach)
     vocabulary = vocabulary.filter(F.length("term").between(F.col("reach.col1"), F.col("reach.col2")))
     near = explode_as(vocabulary.select("language", "term", _deletions(F.col("term")).alias("keys")), "keys", "key")
     asked = explode_as(wanted.withColumn("keys", _deletions(F.col("wanted"))), "keys", "key")
@@ -232,7 +262,7 @@ def with_prefixes(terms: DataFrame, term: str, prefixes: DataFrame) -> DataFrame
     return explode_as(terms.withColumn("lengths", lengths).withColumn("cut", cut).drop("lengths"), "cut", "prefix")
 
 
-def prefix_matches(parsed_clauses: DataFrame, index: DataFrame) -> DataFrame:
+def prefix_matches(parsed_clauses: DataFrame, index: Index) -> DataFrame:
     """Matches of `prefix` clauses: the field boost for every field with a term that starts with the prefix.
 
     The vocabulary is searched first, then the index is joined with the terms found.
@@ -240,7 +270,7 @@ def prefix_matches(parsed_clauses: DataFrame, index: DataFrame) -> DataFrame:
     wanted = parsed_clauses.filter("kind = 'prefix'").select(
         "query_id", "language", "clause", F.element_at("terms", -1).alias("prefix")
     )
-    vocabulary = index.select("language", "term").distinct()
+    vocabulary = index.terms.select("language", "term").distinct()
     found = written(
         with_prefixes(vocabulary, "term", wanted)
         .join(wanted, ["language", "prefix"])
@@ -248,16 +278,15 @@ def prefix_matches(parsed_clauses: DataFrame, index: DataFrame) -> DataFrame:
         "prefix_terms",
     )
     return (
-        index.join(found, ["language", "term"])
+        _lookup(index.postings, found)
+        .join(found, ["language", "term"])
         .groupBy("query_id", "language", "clause", "id", "field")
         .agg(F.first(boost(F.col("field"))).alias("score"))
         .select("query_id", "language", "clause", "id", "score")
     )
 
 
-def phrase_matches(
-    parsed_clauses: DataFrame, index: DataFrame, stats: DataFrame, sites: DataFrame
-) -> DataFrame:
+def phrase_matches(parsed_clauses: DataFrame, index: Index) -> DataFrame:
     """Scores of `phrase` clauses: the phrase frequency takes the place of tf, the idf of its terms add up.
 
     The index narrows, the text decides: the rarest term of a phrase names the candidate fields, and only their token
@@ -267,7 +296,7 @@ def phrase_matches(
     asked = phrases.select("query_id", "language", "clause", F.explode("terms").alias("term"))
     # A term that a phrase repeats counts as often as it occurs there.
     per_phrase = asked.groupBy("query_id", "language", "clause", "term").agg(F.count(F.lit(1)).alias("times"))
-    known = per_phrase.join(document_frequency(index, asked), ["language", "term"]).join(stats, ["language", "field"])
+    known = per_phrase.join(index.terms, ["language", "term"]).join(index.stats, ["language", "field"])
     weights = (
         known.groupBy("query_id", "language", "clause", "field")
         .agg(
@@ -282,8 +311,9 @@ def phrase_matches(
     )
     # Every token gets a blank of its own on both sides, so that neighbouring matches do not share one.
     needle = F.concat(F.lit(" "), F.array_join("terms", "  "), F.lit(" "))
+    weights = written(weights.withColumn("needle", needle), "phrases")
     candidates = written(
-        index.join(written(weights.withColumn("needle", needle), "phrases"), ["language", "field", "term"]).select(
+        _lookup(index.postings, weights).join(weights, ["language", "field", "term"]).select(
             "query_id", "language", "clause", "id", "field", "len", "avg_len", "idf", "needle"
         ),
         "candidates",
@@ -293,7 +323,7 @@ def phrase_matches(
         field_text = field_text.when(F.col("field") == name, F.col(name))
     spaced = F.concat(F.lit(" "), F.array_join(tokens(field_text), "  "), F.lit(" "))
     hits = (
-        candidates.join(sites.select("language", "id", *FIELD_BOOSTS), ["language", "id"])
+        candidates.join(index.sites.select("language", "id", *FIELD_BOOSTS), ["language", "id"])
         .withColumn("spaced", spaced)
         .withColumn(
             "tf",
@@ -351,10 +381,10 @@ def restrict_domain(hits: DataFrame, parsed: DataFrame, sites: DataFrame) -> Dat
     return hits.join(named, "query_id", "left_anti").unionByName(inside.drop("wanted"))
 
 
-def exclude_terms(hits: DataFrame, parsed: DataFrame, index: DataFrame) -> DataFrame:
+def exclude_terms(hits: DataFrame, parsed: DataFrame, postings_table: DataFrame) -> DataFrame:
     """Drop hits whose text holds an excluded word."""
     banned = explode_as(parsed.select("query_id", "language", "exclude"), "exclude", "term")
-    out = index.filter("field = 'text'").join(banned, ["language", "term"]).select("query_id", "id")
+    out = postings_table.filter("field = 'text'").join(banned, ["language", "term"]).select("query_id", "id")
     return hits.join(out, ["query_id", "id"], "left_anti")
 
 
@@ -369,25 +399,24 @@ def top_hits(hits: DataFrame, size: int = RESULT_SIZE) -> DataFrame:
     )
 
 
-def matches(parsed_clauses: DataFrame, index: DataFrame, stats: DataFrame, sites: DataFrame) -> DataFrame:
+def matches(parsed_clauses: DataFrame, index: Index) -> DataFrame:
     """query_id, language, clause, id, score over the clause kinds that occur; there are four kinds in all."""
     by_kind = {
-        "terms": lambda: term_matches(parsed_clauses, index, stats),
-        "fuzzy": lambda: fuzzy_matches(parsed_clauses, index, stats),
-        "prefix": lambda: prefix_matches(parsed_clauses, index),
-        "phrase": lambda: phrase_matches(parsed_clauses, index, stats, sites),
+        "terms": term_matches,
+        "fuzzy": fuzzy_matches,
+        "prefix": prefix_matches,
+        "phrase": phrase_matches,
     }
     present = {r.kind for r in parsed_clauses.select("kind").distinct().collect()} or {"terms"}
-    found = [build() for kind, build in by_kind.items() if kind in present]
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, [m(parsed_clauses, index) for kind, m in by_kind.items() if kind in present])
 
 
-def search(queries: DataFrame, sites: DataFrame, index: DataFrame, stats: DataFrame) -> DataFrame:
+def search(queries: DataFrame, index: Index) -> DataFrame:
     """query_id, rank_no, language, id, score for `queries(query_id, query, lang)`."""
     parsed = written(parse_queries(queries), "parsed")
     split = written(clauses(parsed), "clauses")
-    hits = combine(matches(split, index, stats, sites), split)
-    return top_hits(exclude_terms(restrict_domain(hits, parsed, sites), parsed, index))
+    hits = combine(matches(split, index), split)
+    return top_hits(exclude_terms(restrict_domain(hits, parsed, index.sites), parsed, index.postings))
 
 
 # ---- presentation --------------------------------------------------------------------------------------------------
@@ -499,8 +528,10 @@ def guarded(inputs: DataFrame) -> DataFrame:
     return inputs.filter(~F.col("query").rlike('domain:|-|"')).withColumn("lang", F.lower("lang"))
 
 
-def autocomplete(inputs: DataFrame, sites: DataFrame, hits: int = SUGGESTION_HITS) -> DataFrame:
-    """query_id, rank_no, suggestion: up to six distinct lower-cased titles per input.
+def autocomplete(
+    inputs: DataFrame, sites: DataFrame, titles: DataFrame, hits: int = SUGGESTION_HITS
+) -> DataFrame:
+    """query_id, rank_no, suggestion: up to six distinct lower-cased titles per input; `titles` are `title_grams`.
 
     A title scores one point per input word it holds, the last word counting as a prefix, and one more for every pair
     and triple of neighbouring input words it holds in that order, again with the last one as a prefix. Prefixes are
@@ -517,14 +548,9 @@ def autocomplete(inputs: DataFrame, sites: DataFrame, hits: int = SUGGESTION_HIT
         ),
         "wanted",
     )
-    titles = sites.select("language", "id", "title", tokens(F.col("title")).alias("words"))
-    grams = (
-        explode_as(titles.select("language", "id", _shingles(F.col("words")).alias("s")), "s", "g")
-        .select("language", "id", F.col("g.size").alias("size"), F.col("g.gram").alias("gram"))
-    )
-    whole = grams.join(wanted.filter(~F.col("is_last")), ["language", "size", "gram"])
+    whole = titles.join(wanted.filter(~F.col("is_last")), ["language", "size", "gram"])
     ends = wanted.filter("is_last").withColumnRenamed("gram", "prefix")
-    by_prefix = with_prefixes(grams, "gram", ends).join(ends, ["language", "size", "prefix"])
+    by_prefix = with_prefixes(titles, "gram", ends).join(ends, ["language", "size", "prefix"])
     points = (
         whole.select("query_id", "language", "id", "at", "size")
         .unionByName(by_prefix.select("query_id", "language", "id", "at", "size"))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.operators import extract, language, links, search
+from webloom.operators import documents, extract, language, links, search
 from webloom.session import written
 from webloom.sources.tables import read_table, spread
 
@@ -50,9 +50,8 @@ def anchors(spark: SparkSession, folder: str) -> DataFrame:
 
 def build_sites(spark: SparkSession, folder: str) -> DataFrame:
     """Latest document per link with its language, for the accepted and the refused languages alike."""
-    found = spread(records(spark, folder).drop("anchors")).withColumn("version", F.col("page_id"))
-    tagged = language.with_language(found, profiles(spark, folder), "page_id", "text")
-    return links.latest(tagged.drop("page_id"), ("language", "id"), "version")
+    found = spread(records(spark, folder).drop("anchors"))
+    return documents.identified(found, profiles(spark, folder)).withColumnRenamed("page_id", "version")
 
 
 def sites(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,10 +68,22 @@ def indexed_sites(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def postings(spark: SparkSession, folder: str) -> DataFrame:
-    return stored(
-        spark, folder, "postings", lambda: search.postings(spread(indexed_sites(spark, folder))), "language"
-    )
+    """Sorted by term within each language, so that a lookup of few terms skips most row groups."""
+
+    def build() -> DataFrame:
+        index = search.postings(spread(indexed_sites(spark, folder)))
+        return index.repartitionByRange("language", "term").sortWithinPartitions("language", "term")
 
+    return stored(spark, folder, "postings", build, "language")
 
-def field_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return stored(spark, folder, "field_stats", lambda: search.field_stats(indexed_sites(spark, folder)))
+
+def search_index(spark: SparkSession, folder: str) -> search.Index:
+    """The stored tables a search reads."""
+    documents_table, index = indexed_sites(spark, folder), postings(spark, folder)
+    return search.Index(
+        documents_table,
+        index,
+        stored(spark, folder, "terms", lambda: search.dictionary(index)),
+        stored(spark, folder, "field_stats", lambda: search.field_stats(documents_table)),
+        stored(spark, folder, "title_grams", lambda: search.title_grams(documents_table), "language"),
+    )

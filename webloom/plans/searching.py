@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.operators import search
 from webloom.plans import sql
-from webloom.plans.derived import field_stats, indexed_sites, postings
+from webloom.plans.derived import indexed_sites, search_index
 from webloom.sources.tables import read_table
 
 Row = tuple[int, str, str]
@@ -47,9 +47,7 @@ def query_table(spark: SparkSession, rows: list[Row]) -> DataFrame:
 
 
 def _run(spark: SparkSession, folder: str, rows: list[Row]) -> DataFrame:
-    return search.search(
-        query_table(spark, rows), indexed_sites(spark, folder), postings(spark, folder), field_stats(spark, folder)
-    )
+    return search.search(query_table(spark, rows), search_index(spark, folder))
 
 
 def search_postings(spark: SparkSession, folder: str) -> DataFrame:
@@ -108,7 +106,8 @@ def search_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def autocomplete(spark: SparkSession, folder: str) -> DataFrame:
-    return search.autocomplete(query_table(spark, TYPED), indexed_sites(spark, folder))
+    index = search_index(spark, folder)
+    return search.autocomplete(query_table(spark, TYPED), index.sites, index.titles)
 
 
 def autocomplete_guard(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,10 +8,9 @@ nothing and locking nothing: it writes a new table next to the old one.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.operators.links import latest
-
 
 def write_version(rows: DataFrame, path: str, version: int, *partition_by: str) -> None:
     """Write one batch of rows as version `version`; idempotent."""
@@ -22,8 +21,13 @@ def write_version(rows: DataFrame, path: str, version: int, *partition_by: str)
 
 
 def read_latest(spark: SparkSession, path: str, schema: T.StructType, keys: tuple[str, ...]) -> DataFrame:
-    """Latest row per key over all versions; `schema` is that of the rows, without `version`."""
-    return latest(read_versions(spark, path, schema), keys, "version")
+    """Latest row per key over all versions; `schema` is that of the rows, without `version`.
+
+    Keys are unique within a version. The winners are found on the key columns alone and select the rows.
+    """
+    rows = read_versions(spark, path, schema)
+    winners = rows.groupBy(*keys).agg(F.max("version").alias("version"))
+    return rows.join(winners, [*keys, "version"], "left_semi")
 
 
 def read_versions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

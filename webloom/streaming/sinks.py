@@ -29,12 +29,17 @@ def store_pages(profile: DataFrame, sites_path: str, links_path: str):
 
     def run(pages: DataFrame, batch_id: int) -> None:
         found = written(extract.crawl_records(spread(pages)), "batch_records")
-        tagged = written(
-            language.accepted(language.with_language(found.drop("anchors"), profile, "page_id", "text")), "batch_sites"
+        spoken = written(language.detect(found.drop("anchors"), profile, "page_id", "text"), "batch_languages")
+        accepted = language.accepted(spoken)
+        winners = (
+            accepted.join(found.select("page_id", "id"), "page_id")
+            .groupBy("language", "id")
+            .agg(F.max("page_id").alias("page_id"))
+            .select("page_id", "language")
         )
-        documents = links.latest(tagged, ("language", "id"), "page_id").select(*SITE_SCHEMA.fieldNames())
+        documents = found.join(winners, "page_id").select(*SITE_SCHEMA.fieldNames())
         write_version(documents, sites_path, batch_id, "language")
-        linked = tagged.filter(F.col("language") == language.LINKED_LANGUAGE).select("page_id")
+        linked = accepted.filter(F.col("language") == language.LINKED_LANGUAGE).select("page_id")
         anchors = extract.anchors_long(found.join(linked, "page_id", "left_semi"))
         write_version(links.links_from_anchors(anchors).drop("version"), links_path, batch_id)
 
