@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webloom.session import written
 
@@ -22,24 +23,29 @@ ROWS_PER_BLOCK = 1_000_000
 SPECULATIVE_ROUNDS = 3
 
 
-def micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
+def micros(rows: DataFrame, column: str = "ts") -> Column:
+    """A timestamp column in microseconds; one without time zone counts as UTC, whatever the session zone is."""
+    if isinstance(rows.schema[column].dataType, T.TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{column}`)")
+    return F.unix_micros(F.col(column))
 
 
 def blocks(arrivals: DataFrame, count: int | None = None, *keep: str) -> DataFrame:
-    """arrival_id, domain, url, ts (microseconds), block; blocks are ranges of ORDER, numbered in that order.
+    """arrival_id, domain, url, ts (microseconds), block, seq; blocks are ranges of ORDER, numbered in that order.
 
-    Written to storage, because the block numbers are only meaningful for one evaluation of the range bounds.
+    seq numbers the rows in that order. Written to storage, because block and seq are only meaningful for one
+    evaluation of the range bounds.
     `count` fixes the number of blocks; by default a block holds about a million arrivals.
     """
     narrow = arrivals.filter(F.col("domain").isNotNull()).select(
-        "arrival_id", "domain", "url", micros(F.col("ts")).alias("ts"), *keep
+        "arrival_id", "domain", "url", micros(arrivals).alias("ts"), *keep
     )
     if count is None:
         cores = narrow.sparkSession.sparkContext.defaultParallelism
         count = max(cores, -(-narrow.count() // ROWS_PER_BLOCK))
-    ranged = narrow.repartitionByRange(count, *ORDER)
-    return written(ranged.withColumn("block", F.spark_partition_id()), "arrivals", "block")
+    ranged = narrow.repartitionByRange(count, *ORDER).sortWithinPartitions(*ORDER)
+    numbered = ranged.withColumn("block", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id())
+    return written(numbered, "arrivals", "block")
 
 
 def schedule(arrivals: DataFrame, period_seconds: int = PERIOD_SECONDS, count: int | None = None) -> DataFrame:
@@ -49,7 +55,7 @@ def schedule(arrivals: DataFrame, period_seconds: int = PERIOD_SECONDS, count: i
     number and the maximum are first taken within a block, then shifted by what the earlier blocks of the domain hold.
     """
     period = F.lit(period_seconds * 1_000_000).cast("long")
-    here = Window.partitionBy("domain", "block").orderBy("ts", "url", "arrival_id")
+    here = Window.partitionBy("domain", "block").orderBy("seq")
     local = (
         blocks(arrivals, count)
         .withColumn("n", F.row_number().over(here).cast("long"))
@@ -90,21 +96,31 @@ def admitted_positions(ts: np.ndarray, period: int, last: int | None) -> tuple[n
 def _walk(block: pd.DataFrame, period: int, carry: int | None) -> tuple[pd.DataFrame, int | None]:
     """One block in order with `admitted`; also the last admission of its last domain.
 
-    A domain starts from its own `since`, the admission before all arrivals; only the first one can have a carry.
+    An arrival a whole period after the one before it is admitted whatever came earlier, so only stretches of closer
+    arrivals are walked. A domain starts from its own `since`, the admission before all arrivals; the first domain
+    may have a carry instead. While such an admission still matters, the whole domain is walked.
     """
-    block = block.sort_values(list(ORDER), kind="stable", ignore_index=True)
-    ts = block["ts"].to_numpy()
-    starts = np.flatnonzero(np.r_[True, block["domain"].to_numpy()[1:] != block["domain"].to_numpy()[:-1]])
-    since = block["since"].astype("Int64")
-    flags, last = [], None
-    for number, (start, end) in enumerate(zip(starts, np.r_[starts[1:], len(ts)])):
-        first = None if pd.isna(since.iloc[start]) else int(since.iloc[start])
-        if number == 0 and carry is not None:
-            first = carry
-        found, last = admitted_positions(ts[start:end], period, first)
-        flags.append(found)
-    block["admitted"] = np.concatenate(flags)
-    return block, last
+    block = block.sort_values("seq", ignore_index=True)
+    ts, domain = block["ts"].to_numpy(), block["domain"].to_numpy()
+    first = np.r_[True, domain[1:] != domain[:-1]]
+    restart = first | np.r_[True, np.diff(ts) >= period]
+    prior = np.where(first, block["since"].to_numpy(dtype="float64", na_value=np.nan), np.nan)
+    if carry is not None:
+        prior[0] = carry
+    flags = restart.copy()
+    heads, starts = np.flatnonzero(first), np.flatnonzero(restart)
+    ends = np.r_[starts[1:], len(ts)]
+    for start, end in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
+        flags[start:end], _ = admitted_positions(ts[start:end], period, None)
+    head_ends = np.r_[heads[1:], len(ts)]
+    held = ts[heads] - prior[heads] < period
+    for start, end in zip(heads[held], head_ends[held]):
+        flags[start:end], _ = admitted_positions(ts[start:end], period, int(prior[start]))
+    block["admitted"] = flags
+    inside = np.flatnonzero(flags[heads[-1] :])
+    if len(inside):
+        return block, int(ts[heads[-1] + inside[-1]])
+    return block, int(prior[heads[-1]])
 
 
 def _exits(rows: DataFrame, period: int, carries: dict[int, int]) -> dict[int, dict]:
@@ -117,7 +133,8 @@ def _exits(rows: DataFrame, period: int, carries: dict[int, int]) -> dict[int, d
         out = {"block": [block], "first": [ends[0]], "last": [ends[1]], "exit": pd.array([last], dtype="Int64")}
         return pd.DataFrame(out)
 
-    found = rows.groupBy("block").applyInPandas(summarise, "block int, first string, last string, exit long")
+    narrow = rows.select("block", "domain", "ts", "since", "seq")
+    found = narrow.groupBy("block").applyInPandas(summarise, "block int, first string, last string, exit long")
     return {r.block: r.asDict() for r in found.collect()}
 
 

@@ -72,12 +72,12 @@ def politeness_admit_hot(spark: SparkSession, folder: str) -> DataFrame:
 
 def politeness_schedule(spark: SparkSession, folder: str) -> DataFrame:
     slots = politeness.schedule(_arrivals(spark, folder, "user_id"), PERIOD)
-    return slots.select("arrival_id", "domain", politeness.micros(F.col("slot")).alias("slot_us"))
+    return slots.select("arrival_id", "domain", F.unix_micros("slot").alias("slot_us"))
 
 
 def politeness_schedule_hot(spark: SparkSession, folder: str) -> DataFrame:
     slots = politeness.schedule(_arrivals(spark, folder, "event_type"), HOT_PERIOD)
-    return slots.select("arrival_id", "domain", politeness.micros(F.col("slot")).alias("slot_us"))
+    return slots.select("arrival_id", "domain", F.unix_micros("slot").alias("slot_us"))
 
 
 def crawl_outcomes(spark: SparkSession, folder: str) -> DataFrame:

@@ -102,13 +102,14 @@ def politeness_batches(state_path: str, sink_path: str, period_seconds: int = PE
 
     def run(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
+        rows = written(rows, "batch")
         domains = written(rows.select("domain").distinct(), "domains")
         stored = read_versions(spark, state_path, LAST_SCHEMA).filter(f"version < {batch_id}")
         earlier = written(latest(stored.join(domains, "domain", "left_semi"), ("domain",), "version"), "earlier")
         checked = admit(rows, period_seconds, earlier=earlier.select("domain", "since"))
         write_version(checked, sink_path, batch_id)
         done = spark.read.parquet(f"{sink_path}/version={batch_id}").filter("admitted")
-        write_version(done.groupBy("domain").agg(F.max(micros(F.col("ts"))).alias("since")), state_path, batch_id)
+        write_version(done.groupBy("domain").agg(F.max(micros(done)).alias("since")), state_path, batch_id)
 
     return run
 
@@ -162,7 +163,7 @@ def politeness_stream(rows: DataFrame, period_seconds: int = PERIOD_SECONDS) ->
 
     State per domain is one number. Rows with admitted = false go back to the frontier.
     """
-    keyed = rows.filter("domain IS NOT NULL").select("arrival_id", "domain", "url", micros(rows["ts"]).alias("ts"))
+    keyed = rows.filter("domain IS NOT NULL").select("arrival_id", "domain", "url", micros(rows).alias("ts"))
     return keyed.groupBy("domain").transformWithStateInPandas(
         statefulProcessor=PolitenessState(period_seconds),
         outputStructType="arrival_id long, domain string, url string, ts long, admitted boolean",
