@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from webloom.operators import language
+from webloom.sources.profiles import read_profiles, write_profiles
 
 TRAIN = [
     ("en", "The cat and the dog. THE END of it"),
@@ -67,3 +68,10 @@ def test_routing(spark):
     sites = spark.createDataFrame([("en",), ("fa",), ("de",), ("error",)], "language string")
     got = {r.language: r.stores for r in language.routed(sites).select("language", F.col("stores")).collect()}
     assert got == {"en": ["documents", "links"], "fa": ["documents"]}
+
+
+def test_profile_files(spark, profile, tmp_path):
+    write_profiles(profile, str(tmp_path / "files"))
+    assert sorted(read_profiles(spark, str(tmp_path / "files")).collect()) == sorted(profile.collect())
+    (tmp_path / "one").write_text('{"freq": {"a": 3,\n " b": 2},\n "n_words": [3, 2, 0], "name": "xx"}')
+    assert sorted(read_profiles(spark, str(tmp_path / "one")).collect()) == [("xx", 1, "a", 3), ("xx", 2, " b", 2)]

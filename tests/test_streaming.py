@@ -36,9 +36,13 @@ def test_visited_filter_over_batches(spark):
 
     assert arrive(("http://e.com/a", 1), ("http://e.com/a/", 2), ("http://nodomain", 1)) == ["http://e.com/a"]
     assert arrive(("http://www.e.com/a", 3), ("e.com/b", 4)) == ["http://e.com/a", "http://e.com/b"]
-    # A batch that runs twice keeps its own rows.
-    again = spark.createDataFrame([("http://www.e.com/a", 3), ("e.com/b", 4)], schema)
-    frontier.visited_filter(visited, sink)(again, 1)
+    # A batch that runs twice keeps its own rows, and counts the same outcomes.
+    again = spark.createDataFrame([("http://www.e.com/a", 3), ("e.com/b", 4), ("http://nodomain", 5)], schema)
+    counts = fresh_path(spark, "counts")
+    for _ in range(2):
+        frontier.visited_filter(visited, sink, counts)(again, 1)
+    found = {r.outcome: r.n for r in spark.read.parquet(counts).collect()}
+    assert found == {"no_domain": 1, "unvisited": 1, "visited_skip": 1}
     assert sorted(r.link for r in spark.read.parquet(sink).collect()) == ["http://e.com/a", "http://e.com/b"]
 
 
@@ -60,6 +64,17 @@ def test_politeness_state_survives_batches(spark):
     assert {r.arrival_id: r.admitted for r in spark.read.parquet(keyed_sink).collect()} == want
 
 
+def test_refused_rows_come_back(spark):
+    queue, sink, table, state = (fresh_path(spark, n) for n in ("queue", "out", "last", "state"))
+    frontier.create_state(spark, table)
+    arrivals(spark, [(0, "d", 0), (1, "d", 1), (2, "d", 2), (3, "e", 2)]).write.parquet(f"{queue}/start")
+    for _ in range(4):
+        rows = frontier.read_frontier(spark, queue, ARRIVAL, recursiveFileLookup="true")
+        frontier.start_politeness(rows, table, sink, state, 30, requeue_path=queue).awaitTermination()
+    admitted = spark.read.parquet(sink).filter("admitted").collect()
+    assert {r.arrival_id: r.ts.second + 60 * r.ts.minute for r in admitted} == {0: 0, 3: 2, 1: 31, 2: 62}
+
+
 def test_page_store(spark):
     train = spark.createDataFrame([("en", "the cat and the dog"), ("de", "der hund und die katze")], "lang string, text string")
     profile = language.profiles(train, "text", "lang").cache()

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from webloom.operators import language
 from webloom.plans import sql
 from webloom.plans.derived import profiles, sites
+from webloom.session import fresh_path
+from webloom.sources.profiles import read_profiles, write_profiles
 from webloom.sources.tables import read_table, spread
 
 
@@ -19,6 +21,13 @@ def language_profiles(spark: SparkSession, folder: str) -> DataFrame:
     return language.profiles(_documents(spark, folder), "text", "lang")
 
 
+def language_profile_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The profiles after they were written as files and read back."""
+    path = fresh_path(spark, "profile_files")
+    write_profiles(profiles(spark, folder), path)
+    return read_profiles(spark, path)
+
+
 def language_profile_totals(spark: SparkSession, folder: str) -> DataFrame:
     return language.profile_totals(profiles(spark, folder))
 
@@ -44,6 +53,7 @@ def route_by_language(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "language_profiles": language_profiles,
+    "language_profile_files": language_profile_files,
     "language_profile_totals": language_profile_totals,
     "detect_language": detect_language,
     "detect_scores": detect_scores,
@@ -55,6 +65,9 @@ _DETECTED = sql.detection("detected", "documents", "doc_id")
 
 ORACLES = {
     "language_profiles": sql.with_ctes(sql.PROFILES, select="SELECT lang, n, gram, cnt::BIGINT AS cnt FROM profiles"),
+    "language_profile_files": sql.with_ctes(
+        sql.PROFILES, select="SELECT lang, n, gram, cnt::BIGINT AS cnt FROM profiles"
+    ),
     "language_profile_totals": sql.with_ctes(
         sql.PROFILES,
         select="""

@@ -53,37 +53,64 @@ def _triggered(writer: Any, once: bool) -> Any:
     return writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{FLUSH_SECONDS} seconds")
 
 
-def visited_filter(visited_path: str, sink_path: str):
+def visited_filter(visited_path: str, sink_path: str, outcomes_path: str | None = None):
     """foreachBatch function: drop URLs seen before, write the rest to the sink and their keys to the visited table.
 
     Both writes carry the batch number as version, so a repeated batch replaces its own output. Versions from this
     batch number on are left out of the comparison, or a repeated batch would find its own keys. The visited set is
     scanned and not shuffled: the keys of the batch are written first, so the planner sees that they are few.
+
+    With `outcomes_path` the numbers of rows passed on, skipped as visited and refused for lack of a domain are
+    written there as `(outcome, n)`.
     """
 
     def run(rows: DataFrame, batch_id: int) -> None:
-        keyed = batch.keyed(rows)
-        arrived = written(batch.first_per_key(keyed.filter(keyed["domain"].isNotNull())), "arrived")
+        keyed = written(batch.keyed(rows), "keyed")
+        arrived = written(batch.first_per_key(keyed.filter("domain IS NOT NULL")), "arrived")
         earlier = read_versions(rows.sparkSession, visited_path, VISITED_SCHEMA).filter(f"version < {batch_id}")
         known = earlier.select("url_key").join(arrived.select("url_key"), "url_key", "left_semi").distinct()
         fresh = written(arrived.join(known, "url_key", "left_anti"), "fresh")
         write_version(fresh, sink_path, batch_id)
         write_version(fresh.select("url_key"), visited_path, batch_id)
+        if outcomes_path:
+            write_version(_outcomes(keyed, fresh), outcomes_path, batch_id)
 
     return run
 
 
+def _outcomes(keyed: DataFrame, fresh: DataFrame) -> DataFrame:
+    refused = F.count(F.when(F.col("domain").isNull(), 1))
+    arrived = keyed.agg(refused.alias("no_domain"), (F.count(F.lit(1)) - refused).alias("kept"))
+    counted = arrived.withColumn("passed", fresh.agg(F.count(F.lit(1))).scalar())
+    return counted.select(
+        F.explode(
+            F.create_map(
+                F.lit("no_domain"),
+                "no_domain",
+                F.lit("unvisited"),
+                "passed",
+                F.lit("visited_skip"),
+                F.col("kept") - F.col("passed"),
+            )
+        ).alias("outcome", "n")
+    )
+
+
 def start_visited_filter(
-    rows: DataFrame, visited_path: str, sink_path: str, checkpoint: str, once: bool = True
+    rows: DataFrame,
+    visited_path: str,
+    sink_path: str,
+    checkpoint: str,
+    once: bool = True,
+    outcomes_path: str | None = None,
 ) -> StreamingQuery:
     """Streaming visited filter over `rows(url, ts, ...)`.
 
     `visited_path` must hold at least one version; use `create_visited` for a new table. Visited URLs never expire, so
     they live in a table and not in operator state, which would grow without bound.
     """
-    writer = rows.writeStream.foreachBatch(visited_filter(visited_path, sink_path)).option(
-        "checkpointLocation", checkpoint
-    )
+    run = visited_filter(visited_path, sink_path, outcomes_path)
+    writer = rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return _triggered(writer, once).start()
 
 
@@ -93,11 +120,14 @@ def create_visited(spark: SparkSession, path: str, keys: DataFrame | None = None
     write_version(rows, path, -1)
 
 
-def politeness_batches(state_path: str, sink_path: str, period_seconds: int = PERIOD_SECONDS):
+def politeness_batches(
+    state_path: str, sink_path: str, period_seconds: int = PERIOD_SECONDS, requeue_path: str | None = None
+):
     """foreachBatch function: admission of a micro batch, with the last admission per domain in a table.
 
     Uses the batch operator, so a domain with most of the arrivals is cut into blocks here too. Writes
-    `(arrival_id, domain, url, ts, admitted)` to the sink; refused rows go back to the frontier from there.
+    `(arrival_id, domain, url, ts, admitted)` to the sink. With `requeue_path` refused rows go back to the frontier,
+    one period later, in a folder of their own per batch; read such a frontier with recursiveFileLookup.
     """
 
     def run(rows: DataFrame, batch_id: int) -> None:
@@ -108,7 +138,13 @@ def politeness_batches(state_path: str, sink_path: str, period_seconds: int = PE
         earlier = written(latest(stored.join(domains, "domain", "left_semi"), ("domain",), "version"), "earlier")
         checked = admit(rows, period_seconds, earlier=earlier.select("domain", "since"))
         write_version(checked, sink_path, batch_id)
-        done = spark.read.parquet(f"{sink_path}/version={batch_id}").filter("admitted")
+        written_rows = spark.read.parquet(f"{sink_path}/version={batch_id}")
+        if requeue_path:
+            later = F.timestamp_micros(micros(written_rows) + F.lit(period_seconds * 1_000_000).cast("long"))
+            again = written_rows.filter("NOT admitted").withColumn("ts", later.cast(rows.schema["ts"].dataType))
+            target = f"{requeue_path.rstrip('/')}/requeued-{batch_id}"
+            again.select("arrival_id", "domain", "url", "ts").write.mode("overwrite").parquet(target)
+        done = written_rows.filter("admitted")
         write_version(done.groupBy("domain").agg(F.max(micros(done)).alias("since")), state_path, batch_id)
 
     return run
@@ -121,9 +157,10 @@ def start_politeness(
     checkpoint: str,
     period_seconds: int = PERIOD_SECONDS,
     once: bool = True,
+    requeue_path: str | None = None,
 ) -> StreamingQuery:
     """Admission over a stream of `rows(arrival_id, domain, url, ts)`; start a new state with `create_state`."""
-    run = politeness_batches(state_path, sink_path, period_seconds)
+    run = politeness_batches(state_path, sink_path, period_seconds, requeue_path)
     writer = rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return _triggered(writer, once).start()
 
