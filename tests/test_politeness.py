@@ -59,11 +59,41 @@ def test_against_one_by_one(spark, name, count):
     assert {r.arrival_id: r.slot for r in planned.collect()} == slots
 
 
-def test_linear_fallback_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(politeness, "SPECULATIVE_ROUNDS", 0)
-    rows = [("hot", i) for i in range(1000)] + [("hotter", i) for i in range(0, 2000, 7)]
-    got = {r.arrival_id: r.admitted for r in politeness.admit(arrivals(spark, rows), 31, 7).collect()}
-    assert got == expected(rows, 31)[0]
+def test_several_levels(spark, monkeypatch):
+    monkeypatch.setattr(politeness, "FAN_IN", 2)
+    rows = [("hot", i) for i in range(1000)] + [("hotter", i) for i in range(0, 2000, 7)] + [("c", 5)]
+    for period in (1, 31, 700, 5000):
+        got = {r.arrival_id: r.admitted for r in politeness.admit(arrivals(spark, rows), period, 11).collect()}
+        assert got == expected(rows, period)[0]
+
+
+def test_late_arrivals_of_a_known_domain(spark):
+    """Arrivals in several blocks before, around and after the admission known from earlier batches."""
+    rows = [("d", i) for i in range(0, 400, 3)]
+    base = int(EPOCH.replace(tzinfo=dt.timezone.utc).timestamp())
+    earlier = spark.createDataFrame([("d", (base + 200) * 1_000_000)], "domain string, since long")
+    got = politeness.admit(arrivals(spark, rows), 30, 5, earlier).filter("admitted").collect()
+    want, last = [], 200
+    for i, (_, at) in enumerate(rows):
+        if at - last >= 30:
+            want.append(i)
+            last = at
+    assert sorted(r.arrival_id for r in got) == want
+
+
+def test_steps_stand_for_their_arrivals():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        period = int(rng.integers(1, 40))
+        parts = [np.sort(rng.integers(100 * i, 100 * i + 100, int(rng.integers(1, 30)))) for i in range(4)]
+        whole = np.concatenate(parts)
+        before = int(rng.integers(-50, whole[0] + 1))
+        bound = int(whole[0]) + period
+        steps = [politeness.transfer(p, period, int(p[0]) + period) for p in parts]
+        t, v = politeness.composed(steps, period, bound)
+        assert (t[:-1] < bound).all()
+        _, last = politeness.admitted_positions(whole, period, before)
+        assert politeness._after((t, v), np.asarray([before]), period)[0] == last
 
 
 def test_earlier_admissions_count(spark):

@@ -2,7 +2,8 @@
 
 Both rules run through the arrivals of a domain in order, and one domain may hold a large part of all arrivals. The
 arrivals are therefore cut into blocks by range partitioning on (domain, ts, url, arrival_id): a popular domain spans
-many blocks of bounded size, and what one block passes on to the next is a single number per domain.
+many blocks of bounded size, and what one block passes on to the next is a single number per domain. Both rules are
+prefix operations over the blocks, so no block waits for the one before it.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from webloom.session import written
 PERIOD_SECONDS = 30  # fixed value: one fetch per domain in this time
 ORDER = ("domain", "ts", "url", "arrival_id")
 ROWS_PER_BLOCK = 1_000_000
-SPECULATIVE_ROUNDS = 3
+FAN_IN = 8
 
 
 def micros(rows: DataFrame, column: str = "ts") -> Column:
@@ -93,85 +94,133 @@ def admitted_positions(ts: np.ndarray, period: int, last: int | None) -> tuple[n
     return flags, last
 
 
-def _walk(block: pd.DataFrame, period: int, carry: int | None) -> tuple[pd.DataFrame, int | None]:
-    """One block in order with `admitted`; also the last admission of its last domain.
+def _flags(ts: np.ndarray, domain: np.ndarray, since: np.ndarray, period: int) -> np.ndarray:
+    """Admission flags of a sorted block; `since` is the last admission before a domain's rows here, NaN if none.
 
     An arrival a whole period after the one before it is admitted whatever came earlier, so only stretches of closer
-    arrivals are walked. A domain starts from its own `since`, the admission before all arrivals; the first domain
-    may have a carry instead. While such an admission still matters, the whole domain is walked.
+    arrivals are walked. While the admission before the block still matters, the whole domain is walked.
     """
-    block = block.sort_values("seq", ignore_index=True)
-    ts, domain = block["ts"].to_numpy(), block["domain"].to_numpy()
     first = np.r_[True, domain[1:] != domain[:-1]]
     restart = first | np.r_[True, np.diff(ts) >= period]
-    prior = np.where(first, block["since"].to_numpy(dtype="float64", na_value=np.nan), np.nan)
-    if carry is not None:
-        prior[0] = carry
     flags = restart.copy()
-    heads, starts = np.flatnonzero(first), np.flatnonzero(restart)
+    starts = np.flatnonzero(restart)
     ends = np.r_[starts[1:], len(ts)]
-    for start, end in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
+    close = ends - starts > 1
+    for start, end in zip(starts[close], ends[close]):
         flags[start:end], _ = admitted_positions(ts[start:end], period, None)
+    heads = np.flatnonzero(first)
     head_ends = np.r_[heads[1:], len(ts)]
-    held = ts[heads] - prior[heads] < period
+    held = ts[heads] - since[heads] < period
     for start, end in zip(heads[held], head_ends[held]):
-        flags[start:end], _ = admitted_positions(ts[start:end], period, int(prior[start]))
-    block["admitted"] = flags
-    inside = np.flatnonzero(flags[heads[-1] :])
-    if len(inside):
-        return block, int(ts[heads[-1] + inside[-1]])
-    return block, int(prior[heads[-1]])
+        flags[start:end], _ = admitted_positions(ts[start:end], period, int(since[start]))
+    return flags
 
 
-def _exits(rows: DataFrame, period: int, carries: dict[int, int]) -> dict[int, dict]:
-    """Per block: first and last domain, and the last admission of the last one given the carries. One row a block."""
+# A step function from the last admission before some arrivals to the last one after them: if the first arrival that
+# may be admitted is at most t[i] (and after t[i - 1]), the result is v[i]; beyond the last t nothing is admitted.
+Steps = tuple[np.ndarray, np.ndarray]
 
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        block = int(pdf["block"].iloc[0])
-        walked, last = _walk(pdf, period, carries.get(block))
-        ends = walked["domain"].iloc[[0, -1]].tolist()
-        out = {"block": [block], "first": [ends[0]], "last": [ends[1]], "exit": pd.array([last], dtype="Int64")}
-        return pd.DataFrame(out)
 
-    narrow = rows.select("block", "domain", "ts", "since", "seq")
-    found = narrow.groupBy("block").applyInPandas(summarise, "block int, first string, last string, exit long")
-    return {r.block: r.asDict() for r in found.collect()}
+def _pruned(t: np.ndarray, v: np.ndarray, bound: int) -> Steps:
+    """Drop steps that no admission before the arrivals can reach, and join neighbours with one result.
 
+    What is left is at most one period of arrivals of one domain, however many arrivals the function stands for.
+    """
+    keep = int(np.searchsorted(t, bound, side="left")) + 1
+    t, v = t[:keep], v[:keep]
+    ends = np.r_[v[1:] != v[:-1], True]
+    return t[ends], v[ends]
 
-def _stale(order: list[int], exits: dict[int, dict], used: dict[int, int], only_first: bool) -> dict[int, int]:
-    """Blocks whose carry differs from the one they were walked with: block -> carry.
 
-    With `only_first` one block per domain is returned, the first; those behind it would be walked in vain.
-    """
-    stale, touched = {}, set()
-    for before, block in zip(order, order[1:]):
-        if exits[before]["last"] != exits[block]["first"]:
-            continue
-        domain, carry = exits[block]["first"], exits[before]["exit"]
-        if carry is None:
-            continue
-        if used.get(block) != carry and not (only_first and domain in touched):
-            stale[block] = carry
-            touched.add(domain)
-    return stale
-
-
-def settle(rows: DataFrame, period: int) -> dict[int, int]:
-    """The last admission each block inherits from the blocks before it; at most one number per block.
-
-    Every block is walked as if nothing came before it, then again where the real predecessor says otherwise, until
-    nothing changes. Admissions usually fall into step within a block, so two or three rounds settle everything. If
-    not, only the first unsettled block of each domain is walked per round, so the work stays linear in the blocks.
+def transfer(ts: np.ndarray, period: int, bound: int) -> Steps:
+    """Steps of sorted arrivals: follow "next admission" from every arrival at once, by pointer doubling."""
+    following = np.searchsorted(ts, ts + period, side="left")
+    target = np.where(following < len(ts), following, np.arange(len(ts)))
+    while not np.array_equal(further := target[target], target):
+        target = further
+    return _pruned(ts, ts[target], bound)
+
+
+def _after(steps: Steps, last: np.ndarray, period: int) -> np.ndarray:
+    t, v = steps
+    at = np.searchsorted(t, last + period, side="left")
+    return np.where(at < len(t), v[np.minimum(at, len(t) - 1)], last)
+
+
+def composed(parts: list[Steps], period: int, bound: int) -> Steps:
+    """Steps of several groups of arrivals that follow each other."""
+    t, v = parts[0]
+    for part in parts[1:]:
+        t, v = _pruned(np.concatenate([t, part[0]]), np.concatenate([_after(part, v, period), part[1]]), bound)
+    return t, v
+
+
+_NODE = "domain string, k long, base long, since long, t array<long>, v array<long>"
+
+
+def _nodes(segments: pd.DataFrame) -> list[Steps]:
+    return [(np.asarray(t), np.asarray(v)) for t, v in zip(segments["t"], segments["v"])]
+
+
+def carried(rows: DataFrame, period: int) -> DataFrame | None:
+    """domain, block, carry: the last admission before each block of a domain that spans several; None without such.
+
+    A prefix scan over step functions. Blocks are turned into functions in parallel, runs of FAN_IN of them composed
+    level by level until a domain has one run left, and the admissions handed down through the levels again. No task
+    holds more than FAN_IN functions of at most a period of arrivals each, and nothing passes through the driver.
     """
-    used: dict[int, int] = {}
-    exits = _exits(rows, period, used)
-    order = sorted(exits)
-    turn = 0
-    while stale := _stale(order, exits, used, only_first=turn >= SPECULATIVE_ROUNDS):
-        used.update(stale)
-        exits.update(_exits(rows.filter(F.col("block").isin(*stale)), period, used))
-        turn += 1
-    return used
+    spans = Window.partitionBy("domain")
+    segments = written(
+        rows.groupBy("domain", "block")
+        .agg(F.first("since").alias("since"))
+        .withColumn("parts", F.count(F.lit(1)).over(spans))
+        .filter("parts > 1")
+        .withColumn("k", F.row_number().over(spans.orderBy("block")).cast("long") - 1),
+        "segments",
+    )
+    longest = segments.agg(F.max("parts")).first()[0]
+    if longest is None:
+        return None
+
+    def leaf(pdf: pd.DataFrame) -> pd.DataFrame:
+        ts = np.sort(pdf["ts"].to_numpy())
+        since = pdf["since"].iloc[0]
+        base = int(ts[0]) if pd.isna(since) else max(int(ts[0]), int(since))
+        t, v = transfer(ts, period, base + period)
+        head = pdf[["domain", "k", "since"]].iloc[:1].assign(base=base, t=[t], v=[v])
+        return head[["domain", "k", "base", "since", "t", "v"]]
+
+    def join_run(pdf: pd.DataFrame) -> pd.DataFrame:
+        run = pdf.sort_values("k", ignore_index=True)
+        base = int(run["base"].iloc[0])
+        t, v = composed(_nodes(run), period, base + period)
+        head = run[["domain", "parent", "base", "since"]].iloc[:1].rename(columns={"parent": "k"})
+        return head.assign(t=[t], v=[v])[["domain", "k", "base", "since", "t", "v"]]
+
+    def hand_down(pdf: pd.DataFrame) -> pd.DataFrame:
+        run = pdf.sort_values("k", ignore_index=True)
+        last = None if pd.isna(run["carry"].iloc[0]) else int(run["carry"].iloc[0])
+        out = []
+        for t, v in _nodes(run):
+            out.append(last)
+            last = int(v[0]) if last is None else int(_after((t, v), np.asarray([last]), period)[0])
+        return pd.DataFrame({"domain": run["domain"], "k": run["k"], "carry": pd.array(out, dtype="Int64")})
+
+    parent = F.floor(F.col("k") / FAN_IN).alias("parent")
+    spread_rows = rows.select("domain", "block", "ts", "since").join(
+        segments.select("domain", "block", "k"), ["domain", "block"]
+    )
+    levels = [written(spread_rows.groupBy("domain", "k").applyInPandas(leaf, _NODE), "steps")]
+    while longest > FAN_IN:
+        runs = levels[-1].select("*", parent).groupBy("domain", "parent")
+        levels.append(written(runs.applyInPandas(join_run, _NODE), "steps"))
+        longest = -(-longest // FAN_IN)
+    down = segments.filter("k = 0").select("domain", F.lit(0).cast("long").alias("parent"), F.col("since").alias("carry"))
+    for nodes in reversed(levels):
+        runs = nodes.select("*", parent).join(down, ["domain", "parent"]).groupBy("domain", "parent")
+        handed = written(runs.applyInPandas(hand_down, "domain string, k long, carry long"), "carries")
+        down = handed.withColumnRenamed("k", "parent")
+    return segments.join(handed, ["domain", "k"]).select("domain", "block", "carry")
 
 
 def admit(
@@ -191,14 +240,19 @@ def admit(
     else:
         started = arrivals.join(earlier, "domain", "left")
     rows = blocks(started, count, "since")
-    carries = settle(rows, period)
+    carries = carried(rows, period)
+    if carries is not None:
+        rows = rows.join(carries, ["domain", "block"], "left").withColumn("since", F.coalesce("carry", "since"))
 
     def flag(pdf: pd.DataFrame) -> pd.DataFrame:
-        walked, _ = _walk(pdf, period, carries.get(int(pdf["block"].iloc[0])))
-        return walked[["arrival_id", "domain", "url", "ts", "admitted"]]
+        block = pdf.sort_values("seq", ignore_index=True)
+        since = block["since"].to_numpy(dtype="float64", na_value=np.nan)
+        block["admitted"] = _flags(block["ts"].to_numpy(), block["domain"].to_numpy(), since, period)
+        return block[["arrival_id", "domain", "url", "ts", "admitted"]]
 
     schema = "arrival_id long, domain string, url string, ts long, admitted boolean"
-    flagged = rows.groupBy("block").applyInPandas(flag, schema)
+    columns = rows.select("block", "seq", "arrival_id", "domain", "url", "ts", "since")
+    flagged = columns.groupBy("block").applyInPandas(flag, schema)
     return flagged.withColumn("ts", F.timestamp_micros("ts"))
 
 
