@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from webloom.session import build_session
+from webloom.session import build_session, remove_scratch
 
 
 @pytest.fixture(scope="session")
@@ -14,4 +14,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    remove_scratch(session)
     session.stop()

@@ -134,11 +134,6 @@ def detect(texts: DataFrame, profile: DataFrame, key: str, text: str) -> DataFra
     return texts.select(key).join(best, key, "left").withColumn("language", F.coalesce("language", F.lit(UNKNOWN)))
 
 
-def with_language(texts: DataFrame, profile: DataFrame, key: str, text: str) -> DataFrame:
-    """`texts` with a column language."""
-    return texts.join(detect(texts, profile, key, text), key)
-
-
 def accepted(sites: DataFrame) -> DataFrame:
     return sites.filter(F.col("language").isin(*ACCEPTED_LANGUAGES))
 

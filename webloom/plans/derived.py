@@ -8,20 +8,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webloom.operators import documents, extract, language, links, search
-from webloom.session import written
+from webloom.session import write_scratch
 from webloom.sources.tables import read_table, spread
 
-_stored: dict[tuple[str, str, str], DataFrame] = {}
+_stored: dict[tuple[str, str, str], tuple[str, T.StructType]] = {}
 
 
 def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame], *partition_by: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, folder, name)
     if key not in _stored:
-        _stored[key] = written(build(), name, *partition_by)
-    return _stored[key]
+        table = build()
+        _stored[key] = write_scratch(table, name, *partition_by), table.schema
+    path, schema = _stored[key]
+    return spark.read.schema(schema).parquet(path)
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:

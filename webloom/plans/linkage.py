@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.functions import urls
 from webloom.operators import documents, extract, links
 from webloom.plans import sql
 from webloom.plans.derived import link_table, pages, sites

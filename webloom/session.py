@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -38,34 +37,40 @@ def build_session(master: str | None = None, app: str = "webloom", **conf: str)
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a local one only where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = os.path.join(tempfile.gettempdir(), f"webloom-{spark.sparkContext.applicationId}")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's own folder below the shared one; intermediate tables go there."""
+    return f"{shared_dir(spark).rstrip('/')}/webloom-{spark.sparkContext.applicationId}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new, unused path in the scratch folder."""
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back.
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; call it when all results have been read or written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    Cuts lineage on storage that outlives executors, and gives the optimizer the real size of the result: a join
-    side written this way is broadcast only if its files are below spark.sql.autoBroadcastJoinThreshold.
-    """
+
+def write_scratch(df: DataFrame, name: str, *partition_by: str) -> str:
+    """Write `df` to a new path in the scratch folder and return the path."""
     path = fresh_path(df.sparkSession, name)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
 
+def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    """Write `df` to the shared folder and read it back.
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint that keeps the partition layout; for steps that depend on which rows share a task."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    Cuts lineage on storage that outlives executors, and gives the optimizer the real size of the result: a join
+    side written this way is broadcast only if its files are below spark.sql.autoBroadcastJoinThreshold.
+    """
+    path = write_scratch(df, name, *partition_by)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
