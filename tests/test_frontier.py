@@ -46,7 +46,21 @@ def test_expand_matches_search(spark):
     assert {r.url: r.round for r in got.collect()} == reach
 
 
-def test_repeats(spark):
-    rows = [("k", "u", 1, 1), ("k", "u", 2, 2), ("k", "u", 2, 3), ("m", "v", 2, 4)]
-    df = spark.createDataFrame(rows, "url_key string, url string, ts int, arrival_id int")
-    assert {r.arrival_id: r.repeat for r in frontier.tag_repeats(df).collect()} == {1: False, 2: True, 3: True, 4: False}
+def test_copies_and_outcomes(spark):
+    rows = [("k", "u", 1)] * 200 + [("m", "v", 2), ("k", "t", 1)]
+    found = frontier.with_copies(spark.createDataFrame(rows, "url_key string, url string, ts int"))
+    assert sorted(found.collect()) == [("k", "t", 1, 201), ("m", "v", 2, 1)]
+    counted = frontier.outcomes(
+        found.select(F.lit("visited_skip").alias("outcome"), (F.col("copies") - 1).alias("n")),
+        spark.createDataFrame([("en",), ("de",)], "language string"),
+        spark.createDataFrame([("http://e.com",)] * 5 + [("http://h.org",)], "dst string"),
+        spark.createDataFrame([("http://e.com",)], "u string").select(urls.url_key(F.col("u")).alias("url_key")),
+        F.col("language") == "en",
+    )
+    assert {r.outcome: r.n for r in counted.collect()} == {
+        "visited_skip": 200,
+        "page_stored": 1,
+        "language_skip": 1,
+        "anchor_seen": 5,
+        "anchor_sent": 1,
+    }

@@ -27,11 +27,16 @@ def frontier_rejects(frontier: DataFrame) -> DataFrame:
     return keyed(frontier).select(reason).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def first_per_key(rows: DataFrame) -> DataFrame:
-    """Earliest row (ts, url) per url_key, combined before the exchange."""
+def with_copies(rows: DataFrame) -> DataFrame:
+    """Earliest row (ts, url) per url_key with the number of its `copies`, combined before the exchange."""
     rest = [c for c in rows.columns if c != "url_key"]
     first = F.min_by(F.struct(*rest), F.struct("ts", "url")).alias("first")
-    return rows.groupBy("url_key").agg(first).select("url_key", "first.*").select(*rows.columns)
+    grouped = rows.groupBy("url_key").agg(first, F.count(F.lit(1)).alias("copies"))
+    return grouped.select("url_key", "first.*", "copies").select(*rows.columns, "copies")
+
+
+def first_per_key(rows: DataFrame) -> DataFrame:
+    return with_copies(rows).drop("copies")
 
 
 def unvisited(frontier: DataFrame, visited: DataFrame) -> DataFrame:
@@ -85,8 +90,8 @@ def expand(seeds: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
 def outcomes(checked: DataFrame, sites: DataFrame, anchors: DataFrame, visited: DataFrame, accepted: Column) -> DataFrame:
     """outcome, n: what became of frontier rows, pages and anchors.
 
-    `checked(outcome)` are tagged frontier rows, `sites(language)` parsed pages, `anchors(dst)` the targets found on
-    accepted pages.
+    `checked(outcome, n)` are counted frontier rows, `sites(language)` parsed pages, `anchors(dst)` the targets found
+    on accepted pages.
     """
     pages = sites.select(F.when(accepted, F.lit("page_stored")).otherwise(F.lit("language_skip")).alias("outcome"))
     known = visited.select("url_key").distinct().withColumn("known", F.lit(True))
@@ -96,22 +101,8 @@ def outcomes(checked: DataFrame, sites: DataFrame, anchors: DataFrame, visited:
     anchor = F.when(F.col("known"), F.lit("anchor_seen")).otherwise(F.lit("anchor_sent"))
     one = F.lit(1).cast("long").alias("n")
     tagged = (
-        checked.select("outcome", one)
+        checked.select("outcome", "n")
         .unionByName(pages.select("outcome", one))
         .unionByName(sent.select(anchor.alias("outcome"), "n"))
     )
     return tagged.groupBy("outcome").agg(F.sum("n").alias("n"))
-
-
-def tag_repeats(rows: DataFrame) -> DataFrame:
-    """Add `repeat`: whether an earlier row (ts, url, arrival_id) has the same url_key.
-
-    The first row per key comes from an aggregate and is joined back, so no window gathers all copies of a URL.
-    """
-    first = rows.groupBy("url_key").agg(F.min(F.struct("ts", "url", "arrival_id"))["arrival_id"].alias("first_id"))
-    return (
-        rows.join(first, "url_key", "left")
-        .withColumn("repeat", F.coalesce(F.col("arrival_id") != F.col("first_id"), F.lit(False)))
-        .drop("first_id")
-    )
-

@@ -9,6 +9,7 @@ from webloom.functions import urls
 from webloom.operators import extract, frontier, language, politeness
 from webloom.plans import sql
 from webloom.plans.derived import anchors, sites
+from webloom.session import written
 from webloom.sources.tables import read_table
 
 PERIOD = 7200  # seconds; the events of one user are hours apart
@@ -89,27 +90,24 @@ def crawl_outcomes(spark: SparkSession, folder: str) -> DataFrame:
             F.timestamp_seconds(F.col("page_id") * CRAWL_STEP).alias("ts"),
         )
     )
+    refused = arrived.filter("domain IS NULL").select(F.lit("no_domain").alias("outcome"), F.lit(1).alias("n"))
     known = page_visits(spark, folder).withColumn("known", F.lit(True))
-    tagged = frontier.tag_repeats(arrived).join(known, "url_key", "left")
-    skipped = F.col("repeat") | F.coalesce("known", F.lit(False))
-    checked = tagged.select(
-        "arrival_id", "domain", "url", "ts", F.when(skipped, F.lit("visited_skip")).alias("outcome")
+    keys = written(
+        frontier.with_copies(arrived.filter("domain IS NOT NULL")).join(known, "url_key", "left"), "frontier_keys"
     )
-    admitted = politeness.admit(checked.filter("outcome IS NULL"))
-    outcome = checked.join(admitted.select("arrival_id", "admitted"), "arrival_id", "left").select(
-        F.coalesce(
-            "outcome",
-            F.when(F.col("domain").isNull(), F.lit("no_domain"))
-            .when(F.col("admitted"), F.lit("fetched"))
-            .otherwise(F.lit("domain_skip")),
-        ).alias("outcome")
+    # Of an unknown URL the first copy is tried and the others are skipped; of a known one all are.
+    skipped = keys.select(
+        F.lit("visited_skip").alias("outcome"), (F.col("copies") - F.when(F.col("known"), 0).otherwise(1)).alias("n")
     )
+    tried = politeness.admit(keys.filter("known IS NULL")).select(
+        F.when(F.col("admitted"), F.lit("fetched")).otherwise(F.lit("domain_skip")).alias("outcome"),
+        F.lit(1).alias("n"),
+    )
+    checked = refused.unionByName(skipped).unionByName(tried)
     accepted = F.col("language").isin(*language.ACCEPTED_LANGUAGES)
     stored_links = sites(spark, folder).filter(accepted).select("link").distinct()
     kept_anchors = anchors(spark, folder).join(stored_links, "link", "left_semi")
-    return frontier.outcomes(
-        outcome, sites(spark, folder), kept_anchors, page_visits(spark, folder), accepted
-    )
+    return frontier.outcomes(checked, sites(spark, folder), kept_anchors, page_visits(spark, folder), accepted)
 
 
 def trade_links(spark: SparkSession, folder: str) -> DataFrame:
