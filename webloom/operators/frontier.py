@@ -87,7 +87,9 @@ def expand(seeds: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
     return visited
 
 
-def outcomes(checked: DataFrame, sites: DataFrame, anchors: DataFrame, visited: DataFrame, accepted: Column) -> DataFrame:
+def outcomes(
+    checked: DataFrame, sites: DataFrame, anchors: DataFrame, visited: DataFrame, accepted: Column
+) -> DataFrame:
     """outcome, n: what became of frontier rows, pages and anchors.
 
     `checked(outcome, n)` are counted frontier rows, `sites(language)` parsed pages, `anchors(dst)` the targets found

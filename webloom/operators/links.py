@@ -98,7 +98,7 @@ def ref_counts_multi(links: DataFrame) -> DataFrame:
 
 
 def link_totals(links: DataFrame) -> DataFrame:
-    """Number of sources and of cells. The sources are counted from the per-source counts: one pre-aggregated shuffle."""
+    """Number of sources and of cells, both from the counts per source: one pre-aggregated shuffle."""
     per_source = links.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
     return per_source.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("cells"))
 

@@ -215,7 +215,8 @@ def carried(rows: DataFrame, period: int) -> DataFrame | None:
         runs = levels[-1].select("*", parent).groupBy("domain", "parent")
         levels.append(written(runs.applyInPandas(join_run, _NODE), "steps"))
         longest = -(-longest // FAN_IN)
-    down = segments.filter("k = 0").select("domain", F.lit(0).cast("long").alias("parent"), F.col("since").alias("carry"))
+    root = F.lit(0).cast("long").alias("parent")
+    down = segments.filter("k = 0").select("domain", root, F.col("since").alias("carry"))
     for nodes in reversed(levels):
         runs = nodes.select("*", parent).join(down, ["domain", "parent"]).groupBy("domain", "parent")
         handed = written(runs.applyInPandas(hand_down, "domain string, k long, carry long"), "carries")

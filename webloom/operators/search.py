@@ -428,7 +428,8 @@ def highlight_terms(queries: DataFrame) -> DataFrame:
     each = split.select(
         "query_id",
         F.transform(
-            "terms", lambda t: F.struct(F.col("kind").alias("kind"), t.alias("term"), F.col("distance").alias("distance"))
+            "terms",
+            lambda t: F.struct(F.col("kind").alias("kind"), t.alias("term"), F.col("distance").alias("distance")),
         ).alias("marks"),
     )
     return each.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("marks"))).alias("marks"))

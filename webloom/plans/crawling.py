@@ -57,7 +57,10 @@ def visited_update(spark: SparkSession, folder: str) -> DataFrame:
 
 def _arrivals(spark: SparkSession, folder: str, domain: str) -> DataFrame:
     return read_table(spark, folder, "events").select(
-        F.col("event_id").alias("arrival_id"), F.col(domain).cast("string").alias("domain"), F.col("props").alias("url"), "ts"
+        F.col("event_id").alias("arrival_id"),
+        F.col(domain).cast("string").alias("domain"),
+        F.col("props").alias("url"),
+        "ts",
     )
 
 

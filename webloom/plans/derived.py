@@ -17,7 +17,10 @@ from webloom.sources.tables import read_table, spread
 _stored: dict[tuple[str, str, str], tuple[str, T.StructType]] = {}
 
 
-def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame], *partition_by: str) -> DataFrame:
+def stored(
+    spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame], *partition_by: str
+) -> DataFrame:
+    """The table `name` of the input `folder`: built and written at first use, read afterwards."""
     key = (spark.sparkContext.applicationId, folder, name)
     if key not in _stored:
         table = build()

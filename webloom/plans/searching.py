@@ -94,7 +94,8 @@ def search_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 def search_hits(spark: SparkSession, folder: str) -> DataFrame:
     shaped = search.shape_hits(_marked(spark, folder, PLAIN))
-    return shaped.select("query_id", "rank_no", "title", "link", "full_text", "rank", F.col("tags").isNull().alias("no_tags"))
+    no_tags = F.col("tags").isNull().alias("no_tags")
+    return shaped.select("query_id", "rank_no", "title", "link", "full_text", "rank", no_tags)
 
 
 def export_hits_json(spark: SparkSession, folder: str) -> DataFrame:

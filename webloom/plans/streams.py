@@ -1,4 +1,7 @@
-"""Streaming queries; each runs over what is available and returns what it wrote. The checks are those of the batch twins."""
+"""Streaming queries; each runs over what is available and returns what it wrote.
+
+The checks are those of the batch twins.
+"""
 
 from __future__ import annotations
 
@@ -33,7 +36,10 @@ def stream_frontier(spark: SparkSession, folder: str) -> DataFrame:
 
 def _arrivals(spark: SparkSession, folder: str) -> DataFrame:
     return _stream(spark, folder, "events").select(
-        F.col("event_id").alias("arrival_id"), F.col("user_id").cast("string").alias("domain"), F.col("props").alias("url"), "ts"
+        F.col("event_id").alias("arrival_id"),
+        F.col("user_id").cast("string").alias("domain"),
+        F.col("props").alias("url"),
+        "ts",
     )
 
 
