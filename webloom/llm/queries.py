@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import bpe_automaton, token_files, warc
+from webloom.llm import bpe_automaton, fuzzy_hash, token_files, warc
 from webloom.llm.batches import documents
 
 END_ID = 1  # closes each document in the token files
@@ -24,6 +24,10 @@ def op3_bpe_automaton(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_automaton.encode_decode(documents(spark, folder), tokenizer_file())
 
 
+def op5_fuzzy_hash(spark: SparkSession, folder: str) -> DataFrame:
+    return fuzzy_hash.fingerprints(documents(spark, folder))
+
+
 def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     archives = warc.read_archives(warc.write_archives(documents(spark, folder, "pages")))
     return archives.filter("kind = 'record'").select(
@@ -34,6 +38,7 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_bpe_automaton": op3_bpe_automaton,
+    "op5_fuzzy_hash": op5_fuzzy_hash,
     "op8_warc": op8_warc,
 }
 
