@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from webloom.llm import bpe_automaton, fuzzy_hash, token_files, warc
+from webloom.llm import bpe_automaton, fuzzy_hash, language_bits, quality_cnn, token_files, warc
 from webloom.llm.batches import documents
 
 END_ID = 1  # closes each document in the token files
@@ -35,11 +36,42 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+GOOD_SCORE = 0.3  # documents that score less are low quality
+
+
+def id_fold(folds: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % folds
+
+
+def quality_model(spark: SparkSession, folder: str) -> quality_cnn.Network:
+    labels = documents(spark, folder, "labels").filter(id_fold(5) != 0)
+    return quality_cnn.fit(documents(spark, folder), labels)
+
+
+def op9_quality_cnn(spark: SparkSession, folder: str) -> DataFrame:
+    scored = quality_cnn.score(documents(spark, folder), quality_model(spark, folder))
+    return scored.select(
+        "doc_id",
+        (id_fold(5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= GOOD_SCORE).cast("int").alias("predicted"),
+    )
+
+
+def op10_language_bits(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    filters = language_bits.fit(docs.filter(id_fold(4) != 2))
+    found = language_bits.predict(docs, filters)
+    return found.select("doc_id", (id_fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_bpe_automaton": op3_bpe_automaton,
     "op5_fuzzy_hash": op5_fuzzy_hash,
     "op8_warc": op8_warc,
+    "op9_quality_cnn": op9_quality_cnn,
+    "op10_language_bits": op10_language_bits,
 }
 
 ORACLES: dict[str, str] = {}
