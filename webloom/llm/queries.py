@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import bpe_automaton, fuzzy_hash, language_bits, quality_cnn, token_files, warc
+from webloom.llm import bpe_automaton, fuzzy_hash, language_bits, quality_cnn, superminhash, token_files, warc
 from webloom.llm.batches import documents
 
 END_ID = 1  # closes each document in the token files
@@ -25,6 +25,10 @@ def op3_bpe_automaton(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_automaton.encode_decode(documents(spark, folder), tokenizer_file())
 
 
+def op4_superminhash(spark: SparkSession, folder: str) -> DataFrame:
+    return superminhash.near_duplicates(documents(spark, folder))
+
+
 def op5_fuzzy_hash(spark: SparkSession, folder: str) -> DataFrame:
     return fuzzy_hash.fingerprints(documents(spark, folder))
 
@@ -68,6 +72,7 @@ def op10_language_bits(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_bpe_automaton": op3_bpe_automaton,
+    "op4_superminhash": op4_superminhash,
     "op5_fuzzy_hash": op5_fuzzy_hash,
     "op8_warc": op8_warc,
     "op9_quality_cnn": op9_quality_cnn,
