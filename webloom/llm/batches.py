@@ -120,6 +120,18 @@ def chunks(strings: list[bytes], limit: int = 1 << 22) -> Iterator[tuple[int, in
         yield first, len(strings)
 
 
+def slices(strings: list[str], limit: int = 1 << 20, most: int = 512) -> Iterator[tuple[int, int]]:
+    """Ranges of at most `most` consecutive texts with about `limit` characters each; a longer text comes alone."""
+    first, size = 0, 0
+    for i, s in enumerate(strings):
+        if i > first and (size + len(s) > limit or i - first >= most):
+            yield first, i
+            first, size = i, 0
+        size += len(s)
+    if first < len(strings):
+        yield first, len(strings)
+
+
 def shared_output(spark, name: str) -> str:
     """A new folder for files, below the one that the cluster shares."""
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"

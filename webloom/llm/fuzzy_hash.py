@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.batches import map_batches, mix, partitions, texts
+from webloom.llm.batches import map_batches, mix, partitions, slices, texts
 from webloom.session import written
 
 WINDOW = 7
@@ -154,7 +154,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ranged = rows.repartitionByRange(partitions(docs), F.desc("id"), F.xxhash64("text")).sortWithinPartitions(*order)
     result = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = [part.split(" ")[0] for part in result.split(", ")]
-    slice_size = 256
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         part = TaskContext.get().partitionId()
@@ -163,11 +162,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         held: list[str] = []
         for batch in batches:
             ids, strings = batch.column("id").to_pylist(), texts(batch)
-            for at in range(0, len(ids), slice_size):
+            for at, to in slices(strings, most=256):
                 if not keys:
                     yield dict.fromkeys(names, [None]) | blank | {"head": strings[:1]}
-                keys += ids[at : at + slice_size]
-                held += strings[at : at + slice_size]
+                keys += ids[at:to]
+                held += strings[at:to]
                 if len(keys) > 1:
                     out = compared(keys, held)
                     yield out | {k: v * len(out["id"]) for k, v in blank.items()}

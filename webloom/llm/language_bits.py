@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.batches import GOLDEN, map_batches, mix, texts
+from webloom.llm.batches import GOLDEN, map_batches, mix, slices, texts
 
 SLOT_BITS = 19  # slots of the filters, as a power of two
 PROBES = 2  # slots of an n-gram
@@ -102,12 +102,12 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
         table = np.unpackbits(letters).astype(bool)
         for batch in batches:
             strings, number = texts(batch), np.array(batch.column("number"), np.int64)
-            for at in range(0, len(strings), 256):
-                values, owner, _ = grams(strings[at : at + 256], table)
+            for at, to in slices(strings, most=256):
+                values, owner, _ = grams(strings[at:to], table)
                 order = np.lexsort((owner, values))
                 values, owner = values[order], owner[order]
                 new = np.append(True, (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])) if len(values) else []
-                values, langs = values[new], number[at : at + 256][owner[new]]
+                values, langs = values[new], number[at:to][owner[new]]
                 order = np.lexsort((langs, values))
                 values, langs = values[order], langs[order]
                 if not len(values):
@@ -179,9 +179,9 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
         table = np.unpackbits(filters.letters).astype(bool)
         for batch in batches:
             keys, strings = batch.column("id").to_pylist(), texts(batch)
-            for at in range(0, len(keys), 256):
-                names, score = predict_texts(filters, strings[at : at + 256], table)
-                yield {"id": keys[at : at + 256], "lang_pred": names, "score": score}
+            for at, to in slices(strings, most=256):
+                names, score = predict_texts(filters, strings[at:to], table)
+                yield {"id": keys[at:to], "lang_pred": names, "score": score}
 
     kind = rows.schema["id"].dataType.simpleString()
     return map_batches(rows, work, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)

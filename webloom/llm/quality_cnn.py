@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.batches import map_batches, texts
+from webloom.llm.batches import map_batches, slices, texts
 from webloom.session import written
 
 CHUNK, STEP = 512, 384  # bytes of a chunk, and from one chunk to the next
@@ -208,7 +208,7 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
         net = shared.value
         for batch in batches:
             keys, strings = batch.column("id"), texts(batch)
-            yield {"id": keys, "score": np.concatenate([score_texts(net, strings[at : at + 64]) for at in range(0, len(strings), 64)] or [np.empty(0)])}
+            yield {"id": keys, "score": np.concatenate([score_texts(net, strings[at:to]) for at, to in slices(strings, most=64)] or [np.empty(0)])}
 
     kind = rows.schema["id"].dataType.simpleString()
     return map_batches(rows, work, f"id {kind}, score double").withColumnRenamed("id", id_col)

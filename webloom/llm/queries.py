@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import bpe_automaton, fuzzy_hash, language_bits, quality_cnn, superminhash, token_files, warc
+from webloom.llm import (
+    bpe_automaton,
+    decontaminate,
+    fuzzy_hash,
+    language_bits,
+    quality_cnn,
+    secrets,
+    superminhash,
+    token_files,
+    warc,
+)
 from webloom.llm.batches import documents
 
 END_ID = 1  # closes each document in the token files
@@ -17,6 +27,10 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, folder), documents(spark, folder, "benchmark"))
+
+
 def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_files(token_files.write_files(documents(spark, folder), tokenizer_file(), END_ID))
 
@@ -33,6 +47,22 @@ def op5_fuzzy_hash(spark: SparkSession, folder: str) -> DataFrame:
     return fuzzy_hash.fingerprints(documents(spark, folder))
 
 
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    rules = secrets.BASE + secrets.MORE
+    found = secrets.scan(documents(spark, folder), rules).select("doc_id", "found")
+    base = F.filter("found", lambda s: s["kind"] < len(secrets.BASE))
+    counts = [
+        F.size(F.filter("found", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{rule.name}")
+        for n, rule in enumerate(secrets.BASE)
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(secrets.described(base, rules), 256).alias("base_sha256"),
+        secrets.described(F.col("found"), rules).alias("spans"),
+    )
+
+
 def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     archives = warc.read_archives(warc.write_archives(documents(spark, folder, "pages")))
     return archives.filter("kind = 'record'").select(
@@ -70,10 +100,12 @@ def op10_language_bits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_token_files": op2_token_files,
     "op3_bpe_automaton": op3_bpe_automaton,
     "op4_superminhash": op4_superminhash,
     "op5_fuzzy_hash": op5_fuzzy_hash,
+    "op7_secrets": op7_secrets,
     "op8_warc": op8_warc,
     "op9_quality_cnn": op9_quality_cnn,
     "op10_language_bits": op10_language_bits,

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.batches import GOLDEN, map_batches, mix, powers, texts
+from webloom.llm.batches import GOLDEN, map_batches, mix, powers, slices, texts
 from webloom.llm.components import components
 from webloom.llm.shingles import hashed_shingles, overlap
 from webloom.session import written
@@ -73,8 +73,8 @@ def shingle_rows(rows: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             ids, strings = batch.column("id").to_pylist(), texts(batch)
-            for at in range(0, len(ids), 1024):
-                values, offsets = hashed_shingles([t.encode() for t in strings[at : at + 1024]])
+            for at, to in slices(strings, 1 << 22, 1024):
+                values, offsets = hashed_shingles([t.encode() for t in strings[at:to]])
                 sizes = np.diff(offsets)
                 full = np.flatnonzero(sizes)
                 filled = np.append(0, np.cumsum(sizes[full]))
@@ -85,7 +85,7 @@ def shingle_rows(rows: DataFrame) -> DataFrame:
                         bands[row] = b
                     for k in range(2):
                         keys[k, full] = np.add.reduceat(mix(values + np.uint64(k + 1)), filled[:-1]).view(np.int64)
-                yield {"id": ids[at : at + 1024], "n_shingles": sizes, "set_a": keys[0], "set_b": keys[1], "bands": bands}
+                yield {"id": ids[at:to], "n_shingles": sizes, "set_a": keys[0], "set_b": keys[1], "bands": bands}
 
     return map_batches(rows, work, "id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
