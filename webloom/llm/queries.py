@@ -51,10 +51,7 @@ def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
     rules = secrets.BASE + secrets.MORE
     found = secrets.scan(documents(spark, folder), rules).select("doc_id", "found")
     base = F.filter("found", lambda s: s["kind"] < len(secrets.BASE))
-    counts = [
-        F.size(F.filter("found", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{rule.name}")
-        for n, rule in enumerate(secrets.BASE)
-    ]
+    counts = [secrets.count_of("found", n).alias(f"n_{rule.name}") for n, rule in enumerate(secrets.BASE)]
     return found.select(
         "doc_id",
         *counts,

@@ -150,8 +150,9 @@ def matches(text: Column, rule: Rule, number: int) -> Column:
     return F.aggregate(steps, start, add)["spans"]
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with a column `found`: spans of all rules as array<struct<start, kind, end>>, by start, then kind.
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col: str = "doc_id", text_col: str = "text",
+         out_col: str = "found") -> DataFrame:
+    """`docs` with a column out_col (replaced if it exists): spans of all rules as array<struct<start, kind, end>>, by start, then kind.
 
     kind is the place of the rule in `rules`; spans count code points, the end is exclusive. Matches of a rule are the
     leftmost ones that do not overlap; those whose judged group is shorter than the rule's least length are dropped.
@@ -172,7 +173,12 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col: str = "
             at_least = f"{rule.pattern[:-1]}{{{rule.least},}}"  # a run of one class: as long as it must be
         hit = F.coalesce(likely, F.lit(False)) & text.rlike(at_least)
         parts.append(F.when(hit, matches(text, rule, number)).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>")))
-    return joined.withColumn("found", F.array_sort(F.concat(*parts))).drop("rules__")
+    return joined.withColumn(out_col, F.array_sort(F.concat(*parts))).drop("rules__")
+
+
+def count_of(found: str, number: int) -> Column:
+    """Spans of one rule."""
+    return F.size(F.filter(found, lambda s: s["kind"] == number)).cast("long")
 
 
 def described(found: Column, rules: tuple[Rule, ...]) -> Column:
