@@ -1,8 +1,70 @@
-"""Corpus cleaning: stages that each write a table the next one reads."""
+"""Corpus cleaning: stages that each write a table which the next one reads.
 
-STAGES = []
+Low-quality documents go, one document of each group of near duplicates stays, documents that overlap with benchmark
+items go, secrets are masked, and what is left is encoded.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from webloom.llm import bpe_automaton, decontaminate, quality_cnn, secrets, superminhash
+from webloom.llm.batches import documents
+from webloom.llm.queries import GOOD_SCORE, quality_model, tokenizer_file
+from webloom.session import written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts."""
+    return quality_cnn.keep_good(docs, quality_model(spark, sf_dir), GOOD_SCORE)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group, once; documents without an id stay."""
+    groups = superminhash.near_duplicates(docs)
+    others = groups.filter("NOT kept").select("doc_id").distinct()
+    stay = docs.join(others, "doc_id", "left_anti")
+    nameless = F.when(F.col("doc_id").isNull(), F.xxhash64(*docs.columns))
+    copies = Window.partitionBy("doc_id", nameless).orderBy(F.xxhash64("text"))
+    numbered = stay.withColumn("copy__", F.row_number().over(copies))
+    return numbered.filter((F.col("copy__") == 1) | F.col("doc_id").isNull()).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with no benchmark item."""
+    found = decontaminate.leaks(docs, documents(spark, sf_dir, "benchmark"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked in their texts."""
+    found = secrets.scan(docs, out_col="spans__")
+    clean = found.withColumn("text", secrets.masked(F.col("text"), F.col("spans__")))
+    length = F.when(F.size("spans__") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", length).select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of every document."""
+    return bpe_automaton.encode_decode(docs, tokenizer_file())
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("encoding", encoding),
+]
+
+# The classifier and the tokenizer cannot be expressed in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder; every stage but the last is written to the shared folder."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -212,3 +212,16 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
 
     kind = rows.schema["id"].dataType.simpleString()
     return map_batches(rows, work, f"id {kind}, score double").withColumnRenamed("id", id_col)
+
+
+def keep_good(docs: DataFrame, net: Network, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` whose text scores `least` or more, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            strings = texts(batch, text_col)
+            for at, to in slices(strings, most=64):
+                yield batch.slice(at, to - at).filter(pa.array(score_texts(shared.value, strings[at:to]) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
