@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -25,15 +26,16 @@ def documents(spark, folder: str, name: str = "documents") -> DataFrame:
 
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow with a generator of column dictionaries (name to list or array) instead of record batches."""
-    kind = T.StructType.fromDDL(schema)
-    arrow = to_arrow_schema(kind)
+    fields = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in work(batches):
-            arrays = [pa.array(columns[field.name], type=field.type, from_pandas=True) for field in arrow]
+            found = ((columns[field.name], field.type) for field in arrow)
+            arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=kind, from_pandas=True) for c, kind in found]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return df.mapInArrow(run, kind)
+    return df.mapInArrow(run, fields)
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
@@ -144,6 +146,12 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def release(spark) -> None:
+    """Free shuffle files of finished phases: they go when the driver's JVM collects the objects that own them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,6 +11,7 @@ from webloom.llm import (
     fuzzy_hash,
     language_bits,
     quality_cnn,
+    repeated_bytes,
     secrets,
     superminhash,
     token_files,
@@ -47,6 +48,10 @@ def op5_fuzzy_hash(spark: SparkSession, folder: str) -> DataFrame:
     return fuzzy_hash.fingerprints(documents(spark, folder))
 
 
+def op6_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_bytes.remove_repeats(documents(spark, folder))
+
+
 def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
     rules = secrets.BASE + secrets.MORE
     found = secrets.scan(documents(spark, folder), rules).select("doc_id", "found")
@@ -102,6 +107,7 @@ QUERIES = {
     "op3_bpe_automaton": op3_bpe_automaton,
     "op4_superminhash": op4_superminhash,
     "op5_fuzzy_hash": op5_fuzzy_hash,
+    "op6_repeated_bytes": op6_repeated_bytes,
     "op7_secrets": op7_secrets,
     "op8_warc": op8_warc,
     "op9_quality_cnn": op9_quality_cnn,
