@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.batches import GOLDEN, map_batches, mix, powers, slices, texts
+from webloom.llm.batches import GOLDEN, map_batches, mix, partitions, powers, slices, texts
 from webloom.llm.components import components
 from webloom.llm.shingles import hashed_shingles, overlap
 from webloom.session import written
@@ -24,6 +24,8 @@ ROWS = 5  # slots of a band
 BANDS = 40  # a pair of similarity 0.75 shares no band with probability 2e-5, one of 0.8 with 1e-7
 SLOTS = ROWS * BANDS
 SIMILAR = 75  # linked if 100 * intersection >= SIMILAR * union
+LIKELY = 0.63  # share of equal slots below which a pair is not verified again; 0.75 less five deviations
+GROUP = 256  # members of a bucket compared with each other in one go
 _BLOCK = 1 << 16  # shingles handled at a time; each holds its permutation in SLOTS bytes
 
 
@@ -67,8 +69,13 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return mix(key + GOLDEN * np.arange(1, key.shape[1] + 1, dtype=np.uint64))
 
 
+def short_signature(signature: np.ndarray) -> np.ndarray:
+    """One byte per slot."""
+    return (mix(signature.view(np.uint64).copy()) >> np.uint64(56)).astype(np.uint8)
+
+
 def shingle_rows(rows: DataFrame) -> DataFrame:
-    """id, n_shingles, set_a, set_b (128-bit key of the set), bands of each (id, text)."""
+    """id, n_shingles, set_a, set_b (128-bit key of the set), bands and short signature of each (id, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -79,15 +86,21 @@ def shingle_rows(rows: DataFrame) -> DataFrame:
                 full = np.flatnonzero(sizes)
                 filled = np.append(0, np.cumsum(sizes[full]))
                 bands: list = [[]] * len(sizes)
+                short = [b""] * len(sizes)
                 keys = np.zeros((2, len(sizes)), np.int64)
                 if len(full):
-                    for row, b in zip(full.tolist(), band_keys(signatures(values, filled)).view(np.int64)):
-                        bands[row] = b
+                    slots = signatures(values, filled)
+                    for row, b, x in zip(full.tolist(), band_keys(slots).view(np.int64), short_signature(slots)):
+                        bands[row], short[row] = b, x.tobytes()
                     for k in range(2):
                         keys[k, full] = np.add.reduceat(mix(values + np.uint64(k + 1)), filled[:-1]).view(np.int64)
-                yield {"id": ids[at:to], "n_shingles": sizes, "set_a": keys[0], "set_b": keys[1], "bands": bands}
+                yield {
+                    "id": ids[at:to], "n_shingles": sizes, "set_a": keys[0], "set_b": keys[1], "bands": bands,
+                    "signature": short,
+                }
 
-    return map_batches(rows, work, "id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    schema = "id long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary"
+    return map_batches(rows, work, schema)
 
 
 def verified(pairs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -128,20 +141,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = written(shingle_rows(rows), "shingle-sets")
     known = sets.filter((F.col("n_shingles") > 0) & F.col("id").isNotNull())
     classes = written(known.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("size")), "set-classes")
-    reps = known.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    # Merge joins: what moves is then the same share of the input at every size.
+    chosen = classes.select(F.col("rep").alias("id")).distinct().hint("merge")
+    reps = known.select("id", "n_shingles", "bands").join(chosen, "id", "left_semi")
     banded = reps.select(F.col("id").alias("rep"), F.col("n_shingles").alias("size"), F.explode("bands").alias("key")).distinct()
     centres = banded.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).filter("centre <> last")
     members = written(banded.join(centres.drop("last"), "key"), "bucket-members")
     stars = members.filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
     stars = written(stars, "star-pairs")
     wanted = stars.select("a").union(stars.select("b")).distinct().withColumnRenamed("a", "id")
-    needed = written(rows.join(wanted, "id", "left_semi"), "candidate-texts")
+    needed = written(rows.join(wanted.hint("merge"), "id", "left_semi"), "candidate-texts")
     checked = written(verified(stars, needed), "verified-stars")
     linked = F.col("common") * 100 >= F.col("total") * SIMILAR
     links = checked.filter(linked).select("a", "b")
     found = components(links)
-    rest = written(apart(members, checked, found), "apart-pairs")
-    more = verified(rest, needed).filter(linked).select("a", "b")
+    slots = known.select(F.col("id").alias("rep"), "bands", "signature").dropDuplicates(["rep"])
+    more = written(apart(members, checked, found, slots.join(needed.withColumnRenamed("id", "rep"), "rep")), "late-links")
     found = components(links.union(more))
     label = classes.join(found, classes["rep"] == found["node"], "left").select(
         "set_a", "set_b", F.coalesce("component", "rep").alias("component_id")
@@ -156,12 +171,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def apart(members: DataFrame, checked: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a bucket, are in different components and may still be linked.
+def apart(members: DataFrame, checked: DataFrame, found: DataFrame, slots: DataFrame) -> DataFrame:
+    """Links (a, b) between members of a bucket that are in different components, as far as components need them.
 
     With d the Jaccard distance, d(a, b) >= |d(a, centre) - d(b, centre)|, and the sizes of linked sets differ by the
-    factor SIMILAR at most; pairs that this rules out are not formed. A bucket's members that its centre's component
-    holds and that are too near the centre for any other member of the bucket drop out before pairs are formed.
+    factor SIMILAR at most. A bucket's members that its centre's component holds and that are too near the centre for
+    any other member of the bucket drop out. The others are compared in tasks, GROUP by GROUP of a bucket: a pair in the
+    first bucket that it shares only, and on full sets if LIKELY of its slots agree. `slots` has rep, bands, signature
+    and text.
     """
     distance = checked.select(
         F.col("a").alias("rep"), F.col("b").alias("centre"), (1 - F.col("common") / F.col("total")).alias("distance")
@@ -186,13 +203,63 @@ def apart(members: DataFrame, checked: DataFrame, found: DataFrame) -> DataFrame
         (F.col("component") != F.col("home")) | (F.col("distance") >= F.col("nearest") - slack)
     )
     open_ = written(open_.select("key", "rep", "size", "distance", "component"), "open-members")
-    one, other = open_.alias("x"), open_.alias("y")
-    pairs = one.join(
-        other,
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.rep") > F.col("y.rep"))
-        & (F.col("x.component") != F.col("y.component"))
-        & (F.abs(F.col("x.distance") - F.col("y.distance")) <= slack)
-        & (F.least("x.size", "y.size") * 100 >= F.greatest("x.size", "y.size") * SIMILAR),
-    )
-    return pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    count = open_.groupBy("key").agg(F.ceil(F.count("*") / GROUP).alias("blocks"))
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    cut = open_.join(count, "key").withColumn("block", block).join(slots, "rep")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    both = cut.select("key", "rep", "size", "distance", "component", "bands", "signature", "text", "block", other)
+    both = both.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    dealt = both.repartition(partitions(members), "key", "low", "high").sortWithinPartitions("key", "low", "high", "rep")
+    names = ("block", "rep", "size", "distance", "component", "bands", "signature", "text")
+
+    def links(key: int, held: dict[str, list]) -> tuple[list[int], list[int]]:
+        block, rep, size, distance, component = (np.array(held[n]) for n in names[:5])
+        bands = np.array(held["bands"], np.int64)
+        slot = np.frombuffer(b"".join(held["signature"]), np.uint8).reshape(len(rep), SLOTS)
+        alone = block.min() == block.max()
+        sets: dict[int, np.ndarray] = {}
+        one, two = [], []
+
+        def shingles(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = hashed_shingles([(held["text"][i] or "").encode()])[0]
+            return sets[i]
+
+        for i in range(len(rep) - 1):
+            j = np.arange(i + 1, len(rep))
+            ok = (component[j] != component[i]) & (np.abs(distance[j] - distance[i]) <= slack)
+            ok &= np.minimum(size[j], size[i]) * 100 >= np.maximum(size[j], size[i]) * SIMILAR
+            if not alone:
+                ok &= block[j] != block[i]
+            j = j[ok]
+            j = j[(slot[j] == slot[i]).sum(axis=1) >= LIKELY * SLOTS]
+            j = j[bands[i][(bands[j] == bands[i]).argmax(axis=1)] == key]
+            for k in j.tolist():
+                if component[i] != component[k]:
+                    common = overlap(shingles(i), shingles(k))
+                    if common * 100 >= (len(shingles(i)) + len(shingles(k)) - common) * SIMILAR:
+                        one.append(int(max(rep[i], rep[k])))
+                        two.append(int(min(rep[i], rep[k])))
+                        component[component == component[k]] = component[i]
+        return one, two
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        held: dict[str, list] = {n: [] for n in names}
+        current = None
+        for batch in batches:
+            columns = {n: batch.column(n).to_pylist() for n in names}
+            group = np.stack([np.array(batch.column(n), np.int64) for n in ("key", "low", "high")], 1)
+            cuts = np.flatnonzero(np.append(True, (group[1:] != group[:-1]).any(axis=1))).tolist() + [len(group)]
+            for x, y in zip(cuts, cuts[1:]):
+                if current is not None and current != tuple(group[x]):
+                    a, b = links(int(current[0]), held)
+                    yield {"a": a, "b": b}
+                    held = {n: [] for n in names}
+                current = tuple(group[x])
+                for n in names:
+                    held[n] += columns[n][x:y]
+        if held["rep"]:
+            a, b = links(int(current[0]), held)
+            yield {"a": a, "b": b}
+
+    return map_batches(dealt, work, "a long, b long").distinct()
