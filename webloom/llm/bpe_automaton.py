@@ -27,11 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from webloom.llm.batches import map_batches, texts
-from webloom.llm.words import split_words
+from webloom.llm.batches import map_batches, slices, texts
+from webloom.llm.words import WORD_END, Memory, visible_runs, words_of
 
-WORD_END = "</w>"
-CACHED_WORDS = 200_000  # words kept per task with their ids; only speed depends on it
+REMEMBERED = 200_000  # runs of visible characters kept per generation with their ids; only speed depends on it
 
 
 class Table:
@@ -206,27 +205,25 @@ def compile_file(path: str) -> Automaton:
 
 
 class Encoder:
-    """Ids and labels of texts; remembers frequent words as ready strings."""
+    """Ids and labels of texts. What a run between white space gives is remembered, over the tasks of a worker too."""
 
     def __init__(self, automaton: Automaton):
-        self.automaton = automaton
-        self.ids: dict[str, str] = {}
-        self.labels: dict[str, str] = {}
+        self.automaton, self.memory = automaton, Memory(REMEMBERED)
+
+    def _encode(self, runs: list[str]) -> list[tuple[str, str]]:
+        words = [words_of(r) for r in runs]
+        distinct = list({w for some in words for w in some})
+        ids_of = dict(zip(distinct, self.automaton.encode(distinct)))
+        out = []
+        for some in words:
+            ids = [i for w in some for i in ids_of[w]]
+            out.append((" ".join(map(str, ids)), self.automaton.decode(ids)))
+        return out
 
     def run(self, documents: list[str]) -> Iterator[tuple[str, str]]:
         """Per text: decimal ids joined by one blank, and the decoded text."""
-        split = [split_words(t) for t in documents]
-        wanted: set[str] = set()
-        for words in split:
-            wanted.update(words)
-        if len(self.ids) > CACHED_WORDS:
-            self.ids.clear()
-            self.labels.clear()
-        new = list(wanted - self.ids.keys())
-        for word, ids in zip(new, self.automaton.encode(new)):
-            self.ids[word], self.labels[word] = " ".join(map(str, ids)), self.automaton.decode(ids)
-        for words in split:
-            yield " ".join(map(self.ids.__getitem__, words)), " ".join(map(self.labels.__getitem__, words))
+        for found in self.memory.of([visible_runs(t) for t in documents], self._encode):
+            yield " ".join([f[0] for f in found]), " ".join([f[1] for f in found])
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,16 +234,15 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     ignored, an empty table gives an empty one. `tokenizer` is read on the driver; executors get the compiled tables,
     whose size is that of the vocabulary.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(compile_file(tokenizer))
-    slice_size = 512
+    shared = docs.sparkSession.sparkContext.broadcast(Encoder(compile_file(tokenizer)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        encoder = Encoder(shared.value)
+        encoder = shared.value
         for batch in batches:
             strings, keys = texts(batch), batch.column("id")
             out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-            for first in range(0, len(strings), slice_size):
-                for ids, decoded in encoder.run(strings[first : first + slice_size]):
+            for first, last in slices(strings):
+                for ids, decoded in encoder.run(strings[first:last]):
                     out["n_tokens"].append(ids.count(" ") + 1 if ids else 0)
                     out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
                     out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())

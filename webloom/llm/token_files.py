@@ -14,6 +14,7 @@ that hold the requested documents; every frame it reads is checked.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -26,8 +27,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.batches import filesystem, map_batches, partitions, shared_output, texts
-from webloom.llm.words import END, START, split_words
+from webloom.llm.batches import filesystem, map_batches, partitions, shared_output, slices, texts
+from webloom.llm.words import END, START, WORD_END, Memory, visible_runs, words_of
 from webloom.session import written
 
 # Fixed values of the public seekable zstandard format.
@@ -36,7 +37,7 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 
 FRAME_IDS = 1 << 16
-CACHED_WORDS = 200_000  # words kept per task with their ids; only speed depends on it
+REMEMBERED = 400_000  # runs of visible characters kept per generation with their ids; only speed depends on it
 _ENTRY, _FOOTER = "<III", "<IBI"
 _FOOTER_SIZE = struct.calcsize(_FOOTER)
 _ENTRY_SIZE = struct.calcsize(_ENTRY)
@@ -134,34 +135,51 @@ class Reader:
 
 
 class LibraryEncoder:
-    """Ids of texts from the tokenizers library, which sees each distinct word once."""
+    """Ids of texts from the tokenizers library, which gets each distinct word once.
 
-    def __init__(self, path_or_json: str):
+    Texts are cut where the tokenizer itself cuts them, and what a run between white space gives is remembered, over the
+    tasks of a worker too.
+    """
+
+    def __init__(self, stored: str):
+        self.stored, self.memory = stored, Memory(REMEMBERED)
+        self.tokenizer = None
+
+    def _open(self) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
-        self.tokenizer = Tokenizer.from_str(path_or_json)
+        self.tokenizer = Tokenizer.from_str(self.stored)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = {w: self.tokenizer.token_to_id(w) for w in (START, END)}
-        # Words come normalized and split.
+        # Words come normalized and split; the library gets them between blanks.
         self.tokenizer.normalizer = None
-        self.tokenizer.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known: dict[str, bytes] = {}
+        self.tokenizer.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        for label, number in self.tokenizer.get_vocab().items():
+            self.ends[number] = label.endswith(WORD_END)
+
+    def _encode(self, runs: list[str]) -> list[bytes]:
+        if self.tokenizer is None:
+            self._open()
+        mixed = {r: words_of(r) for r in runs if not r.isalpha()}
+        distinct = {r for r in runs if r not in mixed}
+        for words in mixed.values():
+            distinct.update(words)
+        distinct = list(distinct - self.special.keys())
+        encoded = self.tokenizer.encode_batch_fast([" ".join(distinct)], add_special_tokens=False)[0]
+        ids = np.array(encoded.ids, "<u4")
+        cuts = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]  # every word ends with a token that marks its end
+        data = ids.tobytes()
+        of = {w: data[4 * a : 4 * b] for w, a, b in zip(distinct, cuts[:-1], cuts[1:], strict=True)}
+        of |= {w: np.uint32(n).tobytes() for w, n in self.special.items()}
+        return [b"".join(map(of.__getitem__, mixed[r])) if r in mixed else of[r] for r in runs]
 
     def run(self, documents: list[str]) -> Iterator[np.ndarray]:
-        split = [split_words(t) for t in documents]
-        wanted: set[str] = set()
-        for words in split:
-            wanted.update(words)
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        new = [w for w in wanted - self.known.keys() if w not in self.special]
-        for word, encoded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[word] = np.array(encoded.ids, "<u4").tobytes()
-        self.known |= {w: np.array([n], "<u4").tobytes() for w, n in self.special.items()}
-        for words in split:
-            yield np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
+        for found in self.memory.of([visible_runs(t) for t in documents], self._encode):
+            yield np.frombuffer(b"".join(found), "<u4")
 
 
 def write_files(
@@ -177,24 +195,24 @@ def write_files(
     spark = docs.sparkSession
     folder = shared_output(spark, "token-files")
     with open(tokenizer, encoding="utf-8") as file:
-        shared = spark.sparkContext.broadcast(file.read())
+        shared = spark.sparkContext.broadcast(LibraryEncoder(file.read()))
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     tie = F.xxhash64("text")
     ranged = rows.repartitionByRange(partitions(docs), F.col("id"), tie).sortWithinPartitions("id", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        encoder, sink, writer = LibraryEncoder(shared.value), None, None
+        encoder, sink, writer = shared.value, None, None
         n_ids, first, last, path = 0, None, None, ""
         for batch in batches:
             keys, strings = batch.column("id").to_pylist(), texts(batch)
-            for at in range(0, len(keys), 512):
-                if writer is None and keys:
+            for at, to in slices(strings):
+                if writer is None:
                     name = f"{folder}/{uuid.uuid4().hex}.ids.zst"
                     system, path = filesystem(name)
                     system.create_dir(path.rpartition("/")[0], recursive=True)
                     sink = system.open_output_stream(path, compression=None)
                     writer, first, path = Writer(sink, level), keys[0], name
-                for key, ids in zip(keys[at : at + 512], encoder.run(strings[at : at + 512])):
+                for key, ids in zip(keys[at:to], encoder.run(strings[at:to])):
                     writer.add(key, np.append(ids, np.uint32(end_id)))
                     n_ids, last = n_ids + len(ids) + 1, key
         if writer is not None:
