@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import gc
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,6 +148,19 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def share(spark, value):
+    """Broadcast a value whose class workers need not be able to import. Its size must be bounded."""
+    return spark.sparkContext.broadcast([cloudpickle.dumps(value)])
+
+
+def held(shared):
+    """The value of `share`, one object per worker, which keeps what tasks add to it."""
+    box = shared.value
+    if len(box) == 1:
+        box[:] = [None, pickle.loads(box[0])]
+    return box[1]
+
+
 def release(spark) -> None:
     """Free shuffle files of finished phases: they go when the driver's JVM collects the objects that own them."""
     gc.collect()

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from webloom.llm.batches import map_batches, slices, texts
+from webloom.llm.batches import held, map_batches, share, slices, texts
 from webloom.llm.words import WORD_END, Memory, visible_runs, words_of
 
 REMEMBERED = 200_000  # runs of visible characters kept per generation with their ids; only speed depends on it
@@ -234,10 +234,10 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     ignored, an empty table gives an empty one. `tokenizer` is read on the driver; executors get the compiled tables,
     whose size is that of the vocabulary.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Encoder(compile_file(tokenizer)))
+    shared = share(docs.sparkSession, Encoder(compile_file(tokenizer)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        encoder = shared.value
+        encoder = held(shared)
         for batch in batches:
             strings, keys = texts(batch), batch.column("id")
             out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.batches import chunks, concatenated, map_batches, mix, powers, texts, word_hashes
+from webloom.llm.batches import chunks, concatenated, held, map_batches, mix, powers, share, texts, word_hashes
 from webloom.session import written
 
 # Places that a mask looks at. The first serves items that are shorter than the others.
@@ -110,7 +110,7 @@ class SeedFilter:
 
 def candidates(docs: DataFrame, allowed: SeedFilter) -> DataFrame:
     """id, text, hashes, places of the documents that have a seed the filter lets through."""
-    shared = docs.sparkSession.sparkContext.broadcast(allowed)
+    shared = share(docs.sparkSession, allowed)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -119,7 +119,7 @@ def candidates(docs: DataFrame, allowed: SeedFilter) -> DataFrame:
                 hashes, offsets = tokens(strings[first:last])
                 at_all, value_all = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
                 for at, value in seeds(hashes, offsets):
-                    keep = shared.value.passes(value)
+                    keep = held(shared).passes(value)
                     at_all.append(at[keep])
                     value_all.append(value[keep])
                 at, value = np.concatenate(at_all), np.concatenate(value_all)

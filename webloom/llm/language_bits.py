@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.batches import GOLDEN, map_batches, mix, slices, texts
+from webloom.llm.batches import GOLDEN, held, map_batches, mix, share, slices, texts
 
 SLOT_BITS = 19  # slots of the filters, as a power of two
 PROBES = 2  # slots of an n-gram
@@ -171,11 +171,11 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
     Null texts and texts without a letter get `und` and 0; a text with letters but no known n-gram, and ties, get the
     first language by name. Repeated rows are kept; an empty table gives an empty one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
+    shared = share(docs.sparkSession, filters)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        filters = shared.value
+        filters = held(shared)
         table = np.unpackbits(filters.letters).astype(bool)
         for batch in batches:
             keys, strings = batch.column("id").to_pylist(), texts(batch)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.batches import map_batches, slices, texts
+from webloom.llm.batches import held, map_batches, share, slices, texts
 from webloom.session import written
 
 CHUNK, STEP = 512, 384  # bytes of a chunk, and from one chunk to the next
@@ -201,11 +201,11 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
     """id_col and score (0 to 1, higher: better) of every text, over all its bytes. Null texts are empty, an empty text
     is one chunk of padding. Repeated rows are kept; an empty table gives an empty one; equal texts get equal scores.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = share(docs.sparkSession, net)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        net = shared.value
+        net = held(shared)
         for batch in batches:
             keys, strings = batch.column("id"), texts(batch)
             yield {"id": keys, "score": np.concatenate([score_texts(net, strings[at:to]) for at, to in slices(strings, most=64)] or [np.empty(0)])}
@@ -216,12 +216,12 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
 
 def keep_good(docs: DataFrame, net: Network, least: float, text_col: str = "text") -> DataFrame:
     """The rows of `docs` whose text scores `least` or more, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = share(docs.sparkSession, net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             strings = texts(batch, text_col)
             for at, to in slices(strings, most=64):
-                yield batch.slice(at, to - at).filter(pa.array(score_texts(shared.value, strings[at:to]) >= least))
+                yield batch.slice(at, to - at).filter(pa.array(score_texts(held(shared), strings[at:to]) >= least))
 
     return docs.mapInArrow(run, docs.schema)

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.batches import filesystem, map_batches, partitions, shared_output, slices, texts
+from webloom.llm.batches import filesystem, held, map_batches, partitions, share, shared_output, slices, texts
 from webloom.llm.words import END, START, WORD_END, Memory, visible_runs, words_of
 from webloom.session import written
 
@@ -195,13 +195,13 @@ def write_files(
     spark = docs.sparkSession
     folder = shared_output(spark, "token-files")
     with open(tokenizer, encoding="utf-8") as file:
-        shared = spark.sparkContext.broadcast(LibraryEncoder(file.read()))
+        shared = share(spark, LibraryEncoder(file.read()))
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     tie = F.xxhash64("text")
     ranged = rows.repartitionByRange(partitions(docs), F.col("id"), tie).sortWithinPartitions("id", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        encoder, sink, writer = shared.value, None, None
+        encoder, sink, writer = held(shared), None, None
         n_ids, first, last, path = 0, None, None, ""
         for batch in batches:
             keys, strings = batch.column("id").to_pylist(), texts(batch)
