@@ -93,3 +93,23 @@ def test_coinciding_targets_last_one_wins(spark):
     df = spark.createDataFrame([(1, "https://www.e.com/", body)], SCHEMA)
     cells = {(r.src, r.dst): r.anchor_text for r in links.links_from_pages(df).collect()}
     assert cells == {("e.com", "t.org/a"): "two", ("e.com", "t.org/b"): "b"}
+
+
+def test_character_references(spark):
+    cases = {
+        "&#00000065;": "A",
+        "&#x0000000041;b": "Ab",
+        "&#65": "A",
+        "&check;&rightarrow;": "✓→",
+        "&NotEqualTilde;": "≂̸",
+        "&amp;lt;": "&lt;",
+        "&#99999999999999999999;": "&#99999999999999999999;",
+        "&#x110000;&#xD800;&#0;": "&#x110000;&#xD800;&#0;",
+        "&nosuchname;": "&nosuchname;",
+        f"&{'a' * 60};": f"&{'a' * 60};",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    for attribute in (False, True):
+        got = {r.t: r.o for r in df.select("t", html.decode_entities(F.col("t"), attribute).alias("o")).collect()}
+        want = {k: v for k, v in cases.items() if k != "&#65" or not attribute}
+        assert {k: got[k] for k in want} == want

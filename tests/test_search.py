@@ -171,3 +171,22 @@ def test_autocomplete(spark, index):
     )
     ask = spark.createDataFrame([(1, "wo", "en")], "query_id int, query string, lang string")
     assert search.autocomplete(ask, many, search.title_grams(many)).count() == search.SUGGESTIONS
+
+
+def test_long_distances_and_cut_prefixes(spark, index):
+    df = spark.createDataFrame([(1, "a~12 b~0 c~01 foo-bar*", "en")], "query_id int, query string, lang string")
+    got = search.clauses(search.parse_queries(df)).orderBy("clause").collect()
+    assert [(r.kind, r.terms, r.distance) for r in got] == [
+        ("fuzzy", ["a"], 2),
+        ("fuzzy", ["b"], 0),
+        ("fuzzy", ["c"], 1),
+        ("prefix", ["foo", "bar"], None),
+    ]
+    found, _, _ = run(spark, index, "red-fo*", "blue-qu*", "quick-ca*", "fo*")
+    assert found == [{"1", "5"}, set(), {"3"}, {"1", "2", "5"}]
+
+
+def test_many_terms(spark, index):
+    """More terms than any list a filter would carry."""
+    found, _, _ = run(spark, index, " ".join(f"w{i}" for i in range(300)) + " sleeps")
+    assert found == [{"2"}]

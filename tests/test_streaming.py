@@ -1,9 +1,11 @@
 import datetime as dt
+import os
 
 from webloom.operators import language
 from webloom.operators.links import LINK_KEY
-from webloom.session import STATE_STORE, fresh_path
-from webloom.sources.versioned import read_latest
+from webloom.plans import streams
+from webloom.session import STATE_STORE, fresh_path, scratch_dir
+from webloom.sources.versioned import compact, read_latest
 from webloom.streaming import frontier, sinks
 from pyspark.sql import types as T
 
@@ -27,11 +29,14 @@ def test_visited_filter_over_batches(spark):
     source, sink, visited, state = (fresh_path(spark, n) for n in ("in", "out", "visited", "state"))
     schema = T.StructType.fromDDL("url string, ts long")
     frontier.create_visited(spark, visited)
+    runs = []
 
     def arrive(*rows):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
         stream = frontier.read_frontier(spark, source, schema)
-        frontier.start_visited_filter(stream, visited, sink, state).awaitTermination()
+        query = frontier.start_visited_filter(stream, visited, sink, state)
+        query.awaitTermination()
+        runs.append(query.id)
         return sorted(r.link for r in spark.read.parquet(sink).collect())
 
     assert arrive(("http://e.com/a", 1), ("http://e.com/a/", 2), ("http://nodomain", 1)) == ["http://e.com/a"]
@@ -39,8 +44,10 @@ def test_visited_filter_over_batches(spark):
     # A batch that runs twice keeps its own rows, and counts the same outcomes.
     again = spark.createDataFrame([("http://www.e.com/a", 3), ("e.com/b", 4), ("http://nodomain", 5)], schema)
     counts = fresh_path(spark, "counts")
+    spark.sparkContext.setLocalProperty("sql.streaming.queryId", runs[0])
     for _ in range(2):
         frontier.visited_filter(visited, sink, counts)(again, 1)
+    spark.sparkContext.setLocalProperty("sql.streaming.queryId", None)
     found = {r.outcome: r.n for r in spark.read.parquet(counts).collect()}
     assert found == {"no_domain": 1, "unvisited": 1, "visited_skip": 1}
     assert sorted(r.link for r in spark.read.parquet(sink).collect()) == ["http://e.com/a", "http://e.com/b"]
@@ -95,3 +102,50 @@ def test_page_store(spark):
         ("e.com/a", "e.com/x"): "and the",
         ("e.com/a", "e.com/y"): "and",
     }
+
+
+def test_new_checkpoint_goes_on(spark):
+    """A table outlives the checkpoint of the stream that wrote it, also when it was compacted in between."""
+    schema = T.StructType.fromDDL("url string, ts long")
+    visited, folded, sink = (fresh_path(spark, n) for n in ("visited", "folded", "out"))
+    frontier.create_visited(spark, visited)
+
+    def run(table, *urls):
+        source, state = fresh_path(spark, "in"), fresh_path(spark, "state")
+        for url in urls:  # a micro batch per file
+            spark.createDataFrame([(url, 1)], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = frontier.read_frontier(spark, source, schema, max_files=1)
+        frontier.start_visited_filter(stream, table, sink, state).awaitTermination()
+        return sorted(r.link for r in spark.read.parquet(sink).collect())
+
+    first = ["http://e.com/a", "http://e.com/b", "http://e.com/c"]
+    assert run(visited, *first) == first
+    compact(spark, visited, folded, frontier.VISITED_SCHEMA, ("url_key",))
+    assert run(folded, "http://e.com/a", "http://e.com/d") == [*first, "http://e.com/d"]
+    assert run(folded, "http://e.com/d", "http://e.com/b", "http://e.com/e") == [*first, "http://e.com/d", "http://e.com/e"]
+    assert read_latest(spark, folded, frontier.VISITED_SCHEMA, ("url_key",)).count() == 5
+
+
+def test_folder_and_file_tables(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"http://e.com/{i}", "<p>x") for i in range(20)], "page_id long, url string, html string")
+    rows.repartition(3).write.parquet(str(tmp_path / "folder" / "pages.parquet"))
+    (tmp_path / "file").mkdir()
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    (part,) = (tmp_path / "one").glob("part-*")
+    part.rename(tmp_path / "file" / "pages.parquet")
+    for name in ("folder", "file"):
+        out = streams._stream(spark, str(tmp_path / name), "pages")
+        sink = fresh_path(spark, "out")
+        frontier.write_frontier(out, sink, fresh_path(spark, "state")).awaitTermination()
+        assert spark.read.parquet(sink).count() == 20
+
+
+def test_batches_leave_no_scratch(spark):
+    schema = T.StructType.fromDDL("url string, ts long")
+    visited, sink = fresh_path(spark, "visited"), fresh_path(spark, "out")
+    frontier.create_visited(spark, visited)
+    run = frontier.visited_filter(visited, sink)
+    for i in range(10):
+        run(spark.createDataFrame([(f"http://e.com/{i}", i)], schema), i)
+    left = os.listdir(scratch_dir(spark).removeprefix("file:"))
+    assert not [n for n in left if n.startswith(("keyed-", "arrived-", "fresh-"))]

@@ -123,3 +123,21 @@ def test_induced_subgraph(spark):
         ("b", "a", 4),
     ]
     assert {r.id for r in graph.top_graph_vertices(adj, top).collect()} == {"a", "b"}
+
+
+def test_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from webloom import session
+
+    def fake(master, folder):
+        conf = SimpleNamespace(get=lambda key, other: folder)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+
+    assert session.shared_dir(fake("yarn", "hdfs://x/y")) == "hdfs://x/y"
+    assert session.shared_dir(fake("local[4]", None))
+    for master in ("yarn", "spark://h:7077", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.shared_dir(fake(master, None))

@@ -10,6 +10,7 @@ ends where the next one can begin, and no page makes a pattern scan the same tex
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
@@ -43,30 +44,46 @@ VOID_TAGS = "area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr"
 CHILD = rf"(?is)<(?!(?:{VOID_TAGS})\b)(\w+)\b{ATTRS}>.*?(?:</\1\s*>|\z)"
 ATTR = r"""[^\s=>"'/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+))?"""
 SPACE = r"[ \t\n\f\r\x{A0}]+"
-ENTITY = "&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]*;?)"
-STRICT_ENTITY = "&(?:#[0-9]{1,7};|#[xX][0-9a-fA-F]{1,6};|[A-Za-z][A-Za-z0-9]*;)"
+ENTITY = "&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[A-Za-z][A-Za-z0-9]*+;?)"
+STRICT_ENTITY = "&(?:#[0-9]++;|#[xX][0-9a-fA-F]++;|[A-Za-z][A-Za-z0-9]*+;)"
 
 
-def _entity_table() -> str:
-    """name=codepoint pairs: the HTML 4 names with a semicolon, and those HTML allows without one."""
-    pairs = [f"{name};={point}" for name, point in name2codepoint.items()] + ["apos;=39"]
-    pairs += [f"{name}={ord(text)}" for name, text in html5.items() if ";" not in name and len(text) == 1]
-    return ",".join(pairs)
+def _entity_table(names: Iterable[str]) -> Column:
+    """Map from names to code points in decimal, two of them joined by a blank where a name stands for two."""
+    pairs = ",".join(f"{name}={' '.join(str(ord(c)) for c in html5[name])}" for name in names)
+    return F.expr(f"str_to_map('{pairs}', ',', '=')")
+
+
+def _common_names() -> list[str]:
+    """Names that pages use: those of HTML 4, with a semicolon, and those that need none."""
+    return [f"{n};" for n in name2codepoint if f"{n};" in html5] + [n for n in html5 if not n.endswith(";")]
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point, NULL if there is none."""
+
+    def valid(c: Column) -> Column:
+        known = (c > 0) & (c <= 0x10FFFF) & ~c.between(0xD800, 0xDFFF)
+        return F.when(known, F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32"))
+
+    return let(code, valid)
 
 
 def _decoded_entity(entity: Column) -> Column:
-    """The character for one entity, or the entity text itself if it is unknown."""
-    name = F.substring(entity, 2, 40)
-    table = F.expr(f"str_to_map('{_entity_table()}', ',', '=')")
-    code = (
-        F.when(F.lower(entity).startswith("&#x"), F.conv(F.regexp_extract(entity, "([0-9a-fA-F]+);?$", 1), 16, 10))
-        .when(F.startswith(entity, F.lit("&#")), F.regexp_extract(entity, "([0-9]+)", 1))
-        .otherwise(F.try_element_at(table, name))
-        .cast("int")
+    """The characters for one reference, or the reference itself if it is unknown or out of range."""
+    digits = F.regexp_extract(entity, "#[xX]?0*+([0-9a-fA-F]*)", 1)
+    hexadecimal = F.lower(entity).startswith("&#x")
+    # Longer numbers than these are beyond the last code point; leading zeros are gone.
+    number = F.when(hexadecimal & (F.length(digits) <= 6), F.conv(digits, 16, 10)).when(
+        ~hexadecimal & (F.length(digits) <= 7), digits
+    )
+    name = F.substring(entity, F.lit(2), F.length(entity))
+    rest = sorted(set(html5) - set(_common_names()))
+    points = F.coalesce(
+        F.try_element_at(_entity_table(_common_names()), name), F.try_element_at(_entity_table(rest), name)
     )
-    valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    return F.coalesce(F.when(valid, char), entity)
+    named = F.array_join(F.transform(F.split(points, " "), lambda p: _character(p.cast("int"))), "")
+    return F.coalesce(F.when(F.startswith(entity, F.lit("&#")), _character(number.try_cast("int"))).otherwise(named), entity)
 
 
 def decode_entities(text: Column, attribute: bool = False) -> Column:

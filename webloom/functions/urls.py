@@ -21,7 +21,6 @@ DEFAULT_PORT = "80"
 URL = (
     r"(?s)^(\w+)://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:\[\]]*)(?::(\d*))?(/[^?#]*)?(?:\?([^#]*))?(?:#.*)?$"
 )
-DOMAIN = r"(.*\.)?(.+\..+)"
 
 
 def url_parts(url: Column) -> Column:
@@ -37,6 +36,7 @@ def url_parts(url: Column) -> Column:
 
 
 def with_default_scheme(url: Column) -> Column:
+    # Fixed value: what counts as a scheme.
     return F.when(url.rlike(r"^\w+://.+"), url).otherwise(F.concat(F.lit("http://"), url))
 
 
@@ -107,8 +107,9 @@ def host_of(url: Column) -> Column:
 
 
 def domain_of_host(host: Column) -> Column:
-    """Last two labels of a host; NULL for a host without a dot."""
-    return F.nullif(F.regexp_extract(host, DOMAIN, 2), F.lit(""))
+    """Last two labels of a host; NULL for a host without a dot between two of them."""
+    last = F.substring_index(host, ".", -2)
+    return F.when(last.rlike(r"^[^.]+\.[^.]+$"), last)
 
 
 def domain_of(url: Column) -> Column:

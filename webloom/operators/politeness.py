@@ -20,7 +20,7 @@ from webloom.session import written
 
 PERIOD_SECONDS = 30  # fixed value: one fetch per domain in this time
 ORDER = ("domain", "ts", "url", "arrival_id")
-ROWS_PER_BLOCK = 1_000_000
+ROWS_PER_BLOCK = 250_000
 FAN_IN = 8
 
 
@@ -36,14 +36,13 @@ def blocks(arrivals: DataFrame, count: int | None = None, *keep: str) -> DataFra
 
     seq numbers the rows in that order. Written to storage, because block and seq are only meaningful for one
     evaluation of the range bounds.
-    `count` fixes the number of blocks; by default a block holds about a million arrivals.
+    `count` fixes the number of blocks; by default a block holds about ROWS_PER_BLOCK arrivals.
     """
     narrow = arrivals.filter(F.col("domain").isNotNull()).select(
         "arrival_id", "domain", "url", micros(arrivals).alias("ts"), *keep
     )
     if count is None:
-        cores = narrow.sparkSession.sparkContext.defaultParallelism
-        count = max(cores, -(-narrow.count() // ROWS_PER_BLOCK))
+        count = max(1, -(-narrow.count() // ROWS_PER_BLOCK))
     ranged = narrow.repartitionByRange(count, *ORDER).sortWithinPartitions(*ORDER)
     numbered = ranged.withColumn("block", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id())
     return written(numbered, "arrivals", "block")

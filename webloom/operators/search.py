@@ -12,7 +12,6 @@ it is below the threshold, so that neither index nor documents are shuffled, and
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,10 +31,11 @@ SUGGESTION_HITS = 20
 SUGGESTIONS = 6
 K1, B = 1.2, 0.75
 
+# The query grammar.
 DOMAIN_TOKEN = r"^domain:(\S+)"
 EXCLUDE_TOKEN = r"^-(\S+)"
 MAX_DISTANCE = 2
-PUSHED_VALUES = 64
+BUCKETS = 16  # parts of the postings of a language
 CLAUSE = r'[+|]?\s*(?:"[^"]*"(?:~\d*)?|[^\s"+|()]+)'
 
 
@@ -60,12 +60,13 @@ class Index(NamedTuple):
 
 
 def postings(sites: DataFrame) -> DataFrame:
-    """language, field, term, id, tf, len (number of tokens in that field of that document)."""
+    """language, field, term, id, tf, len (number of tokens in that field of that document), bucket of the term."""
     fields = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("tokens")) for f in FIELD_BOOSTS])
     per_field = explode_as(sites.select("language", "id", fields.alias("fields")), "fields", "f").select(
         "language", "id", "f.field", F.size("f.tokens").alias("len"), term_counts(F.col("f.tokens")).alias("terms")
     )
-    return explode_as(per_field, "terms", "t").select("language", "field", "t.term", "id", "t.tf", "len")
+    found = explode_as(per_field, "terms", "t").select("language", "field", "t.term", "id", "t.tf", "len")
+    return found.withColumn("bucket", bucket_of(F.col("term")))
 
 
 def field_stats(sites: DataFrame) -> DataFrame:
@@ -94,15 +95,19 @@ def title_grams(sites: DataFrame) -> DataFrame:
     )
 
 
-def _lookup(table: DataFrame, wanted: DataFrame, column: str = "term") -> DataFrame:
-    """`table` reduced to the values in `wanted`, as a filter the scan can use, if these are few; else unchanged.
+def bucket_of(term: Column) -> Column:
+    """The part of the postings that holds a term."""
+    return F.pmod(F.hash(term), F.lit(BUCKETS))
 
-    A table sorted by the column then skips the row groups that hold none of them. The join that follows decides.
+
+def _postings_of(wanted: DataFrame, index: Index, *keys: str) -> DataFrame:
+    """The postings of the terms in `wanted`, which was written before, joined on language, term and `keys`.
+
+    Stored postings are partitioned by language and bucket. The comparison tells the planner that the few wanted terms
+    are worth a look before the scan: it reads the partitions they name only, however many terms there are.
     """
-    values = [r[0] for r in wanted.select(column).distinct().limit(PUSHED_VALUES + 1).collect()]
-    if not values or len(values) > PUSHED_VALUES:
-        return table
-    return table.filter(reduce(or_, [F.col(column) == v for v in values]))
+    asked = wanted.withColumn("bucket", bucket_of(F.col("term"))).filter("bucket >= 0")
+    return index.postings.join(asked, ["language", "bucket", "term", *keys])
 
 
 # ---- queries -------------------------------------------------------------------------------------------------------
@@ -140,15 +145,18 @@ def clauses(parsed: DataFrame) -> DataFrame:
     found = F.regexp_extract_all("text", F.lit(CLAUSE), F.lit(0))
     split = parsed.select("query_id", "language", F.posexplode(found).alias("clause", "raw"))
     split = split.withColumn("body", F.trim(F.regexp_replace("raw", r"^[+|]\s*", "")))
-    fuzzy = r'^[^"~]+~(\d?)$'
+    fuzzy = r'^[^"~]+~(\d*)$'
     kind = (
         F.when(F.col("body").startswith('"'), F.lit("phrase"))
         .when(F.col("body").rlike(r"^[^*]+\*$"), F.lit("prefix"))
         .when(F.col("body").rlike(fuzzy), F.lit("fuzzy"))
         .otherwise(F.lit("terms"))
     )
-    digit = F.regexp_extract("body", fuzzy, 1)
-    distance = F.when(digit == "", F.lit(MAX_DISTANCE)).otherwise(F.least(digit.cast("int"), F.lit(MAX_DISTANCE)))
+    number = F.ltrim(F.regexp_extract("body", fuzzy, 1), F.lit("0"))
+    stated = F.regexp_extract("body", fuzzy, 1) != ""
+    few = stated & (F.length(number) <= 1)  # more digits are more than MAX_DISTANCE
+    own = F.coalesce(F.nullif(number, F.lit("")).cast("int"), F.lit(0))
+    distance = F.when(few, F.least(own, F.lit(MAX_DISTANCE))).otherwise(F.lit(MAX_DISTANCE))
     analysed = split.select(
         "query_id",
         "language",
@@ -184,8 +192,7 @@ def _bm25(wanted: DataFrame, index: Index) -> DataFrame:
         "weights",
     )
     return (
-        _lookup(index.postings, weights)
-        .join(weights, ["language", "field", "term"])
+        _postings_of(weights, index, "field")
         .select("query_id", "language", "clause", "id", _relevance(F.col("idf")).alias("score"))
     )
 
@@ -265,11 +272,14 @@ def with_prefixes(terms: DataFrame, term: str, prefixes: DataFrame) -> DataFrame
 def prefix_matches(parsed_clauses: DataFrame, index: Index) -> DataFrame:
     """Matches of `prefix` clauses: the field boost for every field with a term that starts with the prefix.
 
-    The vocabulary is searched first, then the index is joined with the terms found.
+    Of a clause that the analyser cuts into several terms, the last is the prefix and a field must hold the others as
+    they are. The vocabulary is searched first, then the index is joined with the terms found.
     """
-    wanted = parsed_clauses.filter("kind = 'prefix'").select(
-        "query_id", "language", "clause", F.element_at("terms", -1).alias("prefix")
-    )
+    asked = parsed_clauses.filter("kind = 'prefix'").select("query_id", "language", "clause", "terms")
+    wanted = asked.select("query_id", "language", "clause", F.element_at("terms", -1).alias("prefix"))
+    others = asked.withColumn("term", F.array_distinct(F.slice("terms", F.lit(1), F.size("terms") - 1)))
+    others = others.withColumn("n", F.size("term"))
+    whole = written(explode_as(others.drop("terms").withColumnRenamed("term", "words"), "words", "term"), "prefix_others")
     vocabulary = index.terms.select("language", "term").distinct()
     found = written(
         with_prefixes(vocabulary, "term", wanted)
@@ -277,13 +287,18 @@ def prefix_matches(parsed_clauses: DataFrame, index: Index) -> DataFrame:
         .select("query_id", "language", "clause", "term"),
         "prefix_terms",
     )
-    return (
-        _lookup(index.postings, found)
-        .join(found, ["language", "term"])
+    hits = (
+        _postings_of(found, index)
         .groupBy("query_id", "language", "clause", "id", "field")
         .agg(F.first(boost(F.col("field"))).alias("score"))
-        .select("query_id", "language", "clause", "id", "score")
     )
+    keys = ["query_id", "language", "clause"]
+    held = _postings_of(whole, index).groupBy(*keys, "id", "field").agg(
+        F.count(F.lit(1)).alias("n_held"), F.first("n").alias("n")
+    )
+    single = hits.join(whole.select(*keys).distinct(), keys, "left_anti")
+    several = hits.join(held.filter("n_held = n").drop("n_held", "n"), [*keys, "id", "field"], "left_semi")
+    return single.unionByName(several).select(*keys, "id", "score")
 
 
 def phrase_matches(parsed_clauses: DataFrame, index: Index) -> DataFrame:
@@ -313,7 +328,7 @@ def phrase_matches(parsed_clauses: DataFrame, index: Index) -> DataFrame:
     needle = F.concat(F.lit(" "), F.array_join("terms", "  "), F.lit(" "))
     weights = written(weights.withColumn("needle", needle), "phrases")
     candidates = written(
-        _lookup(index.postings, weights).join(weights, ["language", "field", "term"]).select(
+        _postings_of(weights, index, "field").select(
             "query_id", "language", "clause", "id", "field", "len", "avg_len", "idf", "needle"
         ),
         "candidates",
@@ -381,10 +396,10 @@ def restrict_domain(hits: DataFrame, parsed: DataFrame, sites: DataFrame) -> Dat
     return hits.join(named, "query_id", "left_anti").unionByName(inside.drop("wanted"))
 
 
-def exclude_terms(hits: DataFrame, parsed: DataFrame, postings_table: DataFrame) -> DataFrame:
+def exclude_terms(hits: DataFrame, parsed: DataFrame, index: Index) -> DataFrame:
     """Drop hits whose text holds an excluded word."""
-    banned = explode_as(parsed.select("query_id", "language", "exclude"), "exclude", "term")
-    out = postings_table.filter("field = 'text'").join(banned, ["language", "term"]).select("query_id", "id")
+    banned = written(explode_as(parsed.select("query_id", "language", "exclude"), "exclude", "term"), "banned")
+    out = _postings_of(banned, index).filter("field = 'text'").select("query_id", "id")
     return hits.join(out, ["query_id", "id"], "left_anti")
 
 
@@ -416,7 +431,7 @@ def search(queries: DataFrame, index: Index) -> DataFrame:
     parsed = written(parse_queries(queries), "parsed")
     split = written(clauses(parsed), "clauses")
     hits = combine(matches(split, index), split)
-    return top_hits(exclude_terms(restrict_domain(hits, parsed, index.sites), parsed, index.postings))
+    return top_hits(exclude_terms(restrict_domain(hits, parsed, index.sites), parsed, index))
 
 
 # ---- presentation --------------------------------------------------------------------------------------------------

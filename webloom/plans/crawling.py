@@ -229,7 +229,7 @@ reach AS (
 
 ORACLES = {
     "frontier_unvisited": sql.with_ctes(
-        *sql.TO_ANCHORS,
+        *sql.TO_ACCEPTED_ANCHORS,
         _VISITED,
         _FOUND,
         select=f"""
@@ -237,13 +237,13 @@ SELECT link, md5(link) AS url_key, {sql.domain_of_host(sql.host('link'))} AS dom
 FROM found WHERE md5(link) NOT IN (SELECT url_key FROM visited) GROUP BY link""",
     ),
     "new_links": sql.with_ctes(
-        *sql.TO_ANCHORS,
+        *sql.TO_ACCEPTED_ANCHORS,
         _VISITED,
         select="""
 SELECT DISTINCT dst AS url, md5(dst) AS url_key FROM page_anchors WHERE md5(dst) NOT IN (SELECT url_key FROM visited)""",
     ),
     "frontier_rejects": sql.with_ctes(
-        *sql.TO_ANCHORS,
+        *sql.TO_ACCEPTED_ANCHORS,
         _FOUND,
         select="""
 SELECT 'kept' AS reason, count(*) AS n FROM found UNION ALL SELECT 'no_domain', count(*) FROM found""",
@@ -258,7 +258,7 @@ SELECT md5(link) AS url_key FROM page_links UNION SELECT md5(regexp_replace(link
     "politeness_schedule_hot": _schedule("event_type", HOT_PERIOD),
     "crawl_outcomes": sql.with_ctes(
         *sql.TO_SITES,
-        *sql.TO_ANCHORS,
+        *sql.TO_ACCEPTED_ANCHORS,
         _VISITED,
         f"""
 arrived AS (

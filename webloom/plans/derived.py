@@ -8,20 +8,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webloom.operators import documents, extract, language, links, search
 from webloom.session import write_scratch
 from webloom.sources.tables import read_table, spread
 
-_stored: dict[tuple[str, str, str], tuple[str, T.StructType]] = {}
+_stored: dict[tuple[str, str, int, str], tuple[str, T.StructType]] = {}
+
+
+def input_state(spark: SparkSession, folder: str) -> int:
+    """A number that changes with the files of a folder of tables: their names, sizes and times."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while files.hasNext():
+        file = files.next()
+        found.append((file.getPath().toString(), file.getLen(), file.getModificationTime()))
+    return hash(tuple(sorted(found)))
 
 
 def stored(
     spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame], *partition_by: str
 ) -> DataFrame:
-    """The table `name` of the input `folder`: built and written at first use, read afterwards."""
-    key = (spark.sparkContext.applicationId, folder, name)
+    """The table `name` of the input `folder`: built and written at first use, read until the input changes."""
+    key = (spark.sparkContext.applicationId, folder, input_state(spark, folder), name)
     if key not in _stored:
         table = build()
         _stored[key] = write_scratch(table, name, *partition_by), table.schema
@@ -48,9 +60,22 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
     return stored(spark, folder, "records", lambda: extract.crawl_records(pages(spark, folder)))
 
 
+def page_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """page_id, language of every page."""
+    return stored(
+        spark,
+        folder,
+        "page_languages",
+        lambda: language.detect(
+            spread(records(spark, folder).select("page_id", "text")), profiles(spark, folder), "page_id", "text"
+        ),
+    )
+
+
 def anchors(spark: SparkSession, folder: str) -> DataFrame:
-    """page_id, link, dst, anchor_text, pos."""
-    return extract.anchors_long(records(spark, folder))
+    """page_id, link, dst, anchor_text, pos of the pages in an accepted language; other pages contribute no links."""
+    kept = language.accepted(page_languages(spark, folder)).select("page_id")
+    return extract.anchors_long(records(spark, folder).join(kept, "page_id", "left_semi"))
 
 
 def build_sites(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,7 +89,15 @@ def sites(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def link_table(spark: SparkSession, folder: str) -> DataFrame:
-    return stored(spark, folder, "links", lambda: links.links_from_anchors(anchors(spark, folder)))
+    """The links of the pages in the linked language, ordered by source: a lookup skips what holds other sources."""
+
+    def build() -> DataFrame:
+        spoken = page_languages(spark, folder).filter(F.col("language") == language.LINKED_LANGUAGE).select("page_id")
+        linked = extract.anchors_long(records(spark, folder).join(spoken, "page_id", "left_semi"))
+        table = links.links_from_anchors(linked)
+        return table.repartitionByRange("src", "dst").sortWithinPartitions("src", "dst")
+
+    return stored(spark, folder, "links", build)
 
 
 def indexed_sites(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,13 +106,17 @@ def indexed_sites(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def postings(spark: SparkSession, folder: str) -> DataFrame:
-    """Sorted by term within each language, so that a lookup of few terms skips most row groups."""
+    """Partitioned by language and bucket of the term, sorted by term: a lookup reads the buckets of its terms.
+
+    Ranges also split by field and document, so a word that most documents hold spreads over several tasks.
+    """
 
     def build() -> DataFrame:
         index = search.postings(spread(indexed_sites(spark, folder)))
-        return index.repartitionByRange("language", "term").sortWithinPartitions("language", "term")
+        order = ("language", "bucket", "term", "field", "id")
+        return index.repartitionByRange(*order).sortWithinPartitions(*order)
 
-    return stored(spark, folder, "postings", build, "language")
+    return stored(spark, folder, "postings", build, "language", "bucket")
 
 
 def search_index(spark: SparkSession, folder: str) -> search.Index:

@@ -65,8 +65,8 @@ def ref_counts_multi(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def top_ref_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """The 20 most referenced targets, straight from the pages."""
-    counts = links.ref_counts(links.links_from_pages(pages(spark, folder)))
+    """The 20 most referenced targets."""
+    counts = links.ref_counts(link_table(spark, folder))
     return counts.orderBy(F.desc("num_of_refs"), "id").limit(20)
 
 
@@ -143,7 +143,9 @@ _COUNTS = "SELECT dst AS id, count(DISTINCT src) AS num_of_refs FROM links GROUP
 ORACLES = {
     "links_scan": _on_links("SELECT dst FROM links"),
     "links_explode": sql.with_ctes(*sql.TO_ANCHORS, select="SELECT link, dst, anchor_text FROM page_anchors"),
-    "links_no_protocol": _on_links("SELECT src, dst, anchor_text, version FROM links"),
+    "links_no_protocol": sql.with_ctes(
+        *sql.TO_ANCHORS, sql.LINKS, select="SELECT src, dst, anchor_text, version FROM links"
+    ),
     "link_lookup": _on_links("SELECT src, dst, anchor_text FROM links WHERE src = (SELECT min(src) FROM links)"),
     "link_contains": _on_links("""
 SELECT src, src IN (SELECT src FROM links) AS present

@@ -26,7 +26,7 @@ def host(url: str) -> str:
 
 
 def domain_of_host(h: str) -> str:
-    return rf"nullif(regexp_extract({h}, '(.*\.)?(.+\..+)', 2), '')"
+    return rf"nullif(regexp_extract({h}, '([^.]+\.[^.]+)$', 1), '')"
 
 
 def default_scheme(url: str) -> str:
@@ -132,13 +132,14 @@ targets AS (
   FROM resolved
 )"""
 
-PAGE_ANCHORS = """
-page_anchors AS (
+_EVERY_ANCHOR = """
   SELECT page_id, link, dst, string_agg(text, ', ' ORDER BY pos) AS anchor_text, min(pos) AS pos
   FROM targets WHERE dst IS NOT NULL GROUP BY page_id, link, dst
   UNION ALL
   SELECT page_id, link, link, 'empty', 0 FROM page_links
-  WHERE page_id NOT IN (SELECT page_id FROM targets WHERE dst IS NOT NULL)
+  WHERE page_id NOT IN (SELECT page_id FROM targets WHERE dst IS NOT NULL)"""
+PAGE_ANCHORS = f"""
+page_anchors AS ({_EVERY_ANCHOR}
 )"""
 
 LINKS = f"""
@@ -153,7 +154,6 @@ links AS (
 TO_PAGE_LINKS = (PAGE_URLS, CANONICAL, PAGE_LINKS)
 TO_RESOLVED = (*TO_PAGE_LINKS, ANCHORS, RESOLVED, TARGETS)
 TO_ANCHORS = (*TO_RESOLVED, PAGE_ANCHORS)
-TO_LINKS = (*TO_ANCHORS, LINKS)
 
 # page_id, id, link, domain, title, text, keywords, metadata
 PAGE_SITES = f"""
@@ -222,3 +222,17 @@ sites AS (
 )"""
 TO_SITES = (*TO_PAGE_SITES, PROFILES, PAGE_LANGUAGE, SITES)
 ACCEPTED = "('en', 'fa', 'ar', 'ru', 'es')"
+
+
+def anchors_of(languages: str) -> str:
+    """page_anchors of the pages in the given languages."""
+    return f"""
+page_anchors AS (
+  SELECT a.* FROM ({_EVERY_ANCHOR}) a JOIN page_language l ON l.page_id = a.page_id WHERE language IN {languages}
+)"""
+
+
+# Only pages of accepted languages contribute links, and only English ones reach the link table.
+_TO_SPOKEN = (*TO_RESOLVED, PAGE_SITES, PROFILES, PAGE_LANGUAGE)
+TO_ACCEPTED_ANCHORS = (*_TO_SPOKEN, anchors_of(ACCEPTED))
+TO_LINKS = (*_TO_SPOKEN, anchors_of("('en')"), LINKS)

@@ -8,18 +8,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.operators.links import LINK_KEY
 from webloom.plans import crawling, sql
 from webloom.plans.derived import profiles
 from webloom.session import STATE_STORE, fresh_path
-from webloom.sources.tables import read_table
-from webloom.sources.versioned import read_latest, read_versions
+from webloom.sources.tables import read_table, table_path
+from webloom.sources.versioned import read_latest
 from webloom.streaming import frontier, sinks
 
 
 def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table as a stream; new files with the same prefix would be picked up as they arrive."""
-    schema = read_table(spark, folder, name).schema
-    return frontier.read_frontier(spark, folder, schema, pathGlobFilter=f"{name}.parquet")
+    """A table as a stream, whether it is one file or a folder; files that arrive in the folder are picked up."""
+    path = table_path(folder, name)
+    # As a pattern that only this name fits: a file source takes a plain path for a folder.
+    return frontier.read_frontier(spark, f"{path[:-1]}[{path[-1]}]", read_table(spark, folder, name).schema)
 
 
 def stream_frontier(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,7 +76,7 @@ def stream_sites_sink(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_links_sink(spark: SparkSession, folder: str) -> DataFrame:
     _, path = _stored(spark, folder)
-    return read_versions(spark, path, sinks.LINK_SCHEMA).select("src", "dst", "anchor_text")
+    return read_latest(spark, path, sinks.LINK_SCHEMA, LINK_KEY).select("src", "dst", "anchor_text")
 
 
 QUERIES = {

@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 # Keyed state of streaming operators lives on disk and in checkpoints, not on the heap.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+INITIAL_PARTITIONS = "2000"
+
 
 def build_session(master: str | None = None, app: str = "webloom", **conf: str) -> SparkSession:
     """A session with the settings the jobs rely on.
 
-    On a cluster leave `master` unset and let spark-submit decide. Shuffle partitions start high and are coalesced
-    by adaptive execution, so one setting serves small and large inputs.
+    On a cluster leave `master` unset and let spark-submit decide, and name a shared folder in spark.checkpoint.dir.
+    Shuffles start with INITIAL_PARTITIONS, which adaptive execution merges where a partition would be small; pass
+    spark__sql__shuffle__partitions for inputs that need more or far fewer.
     """
     builder = (
         SparkSession.builder.appName(app)
@@ -23,6 +26,7 @@ def build_session(master: str | None = None, app: str = "webloom", **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        .config("spark.sql.shuffle.partitions", INITIAL_PARTITIONS)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     )
@@ -36,8 +40,16 @@ def build_session(master: str | None = None, app: str = "webloom", **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a local one only where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """The folder the cluster names in spark.checkpoint.dir; a local one only where driver and tasks share a machine.
+
+    On a cluster without that setting intermediate tables would land on each executor's own disk, so this raises.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.gettempdir()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -56,6 +68,22 @@ def remove_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def remove_written(*frames: DataFrame) -> None:
+    """Delete the folders of frames that `written` returned; nothing may read them afterwards."""
+    for df in frames:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if not folder.toUri().getPath().startswith(scratch_path(spark)):
+                raise ValueError(f"{folder} is not an intermediate table")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """The scratch folder without its scheme."""
+    return spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark)).toUri().getPath()
+
+
 def write_scratch(df: DataFrame, name: str, *partition_by: str) -> str:
     """Write `df` to a new path in the scratch folder and return the path."""
     path = fresh_path(df.sparkSession, name)

@@ -17,8 +17,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from webloom.operators import frontier as batch
 from webloom.operators.links import latest
 from webloom.operators.politeness import PERIOD_SECONDS, admit, admitted_positions, micros
-from webloom.session import written
-from webloom.sources.versioned import read_versions, write_version
+from webloom.session import remove_written, written
+from webloom.sources.versioned import read_versions, version_of, write_batch, write_version
 
 LAST_SCHEMA = T.StructType([T.StructField("domain", T.StringType()), T.StructField("since", T.LongType())])
 VISITED_SCHEMA = T.StructType([T.StructField("url_key", T.StringType())])
@@ -56,8 +56,8 @@ def _triggered(writer: Any, once: bool) -> Any:
 def visited_filter(visited_path: str, sink_path: str, outcomes_path: str | None = None):
     """foreachBatch function: drop URLs seen before, write the rest to the sink and their keys to the visited table.
 
-    Both writes carry the batch number as version, so a repeated batch replaces its own output. Versions from this
-    batch number on are left out of the comparison, or a repeated batch would find its own keys. The visited set is
+    Every write of a batch has a version of its own, so a repeated batch replaces its own output. Versions from this
+    one on are left out of the comparison, or a repeated batch would find its own keys. The visited set is
     scanned and not shuffled: the keys of the batch are written first, so the planner sees that they are few.
 
     With `outcomes_path` the numbers of rows passed on, skipped as visited and refused for lack of a domain are
@@ -67,13 +67,15 @@ def visited_filter(visited_path: str, sink_path: str, outcomes_path: str | None
     def run(rows: DataFrame, batch_id: int) -> None:
         keyed = written(batch.keyed(rows), "keyed")
         arrived = written(batch.first_per_key(keyed.filter("domain IS NOT NULL")), "arrived")
-        earlier = read_versions(rows.sparkSession, visited_path, VISITED_SCHEMA).filter(f"version < {batch_id}")
+        own = version_of(rows.sparkSession, visited_path, batch_id)
+        earlier = read_versions(rows.sparkSession, visited_path, VISITED_SCHEMA).filter(f"version < {own}")
         known = earlier.select("url_key").join(arrived.select("url_key"), "url_key", "left_semi").distinct()
         fresh = written(arrived.join(known, "url_key", "left_anti"), "fresh")
-        write_version(fresh, sink_path, batch_id)
-        write_version(fresh.select("url_key"), visited_path, batch_id)
+        write_batch(fresh, sink_path, batch_id)
+        write_batch(fresh.select("url_key"), visited_path, batch_id)
         if outcomes_path:
-            write_version(_outcomes(keyed, fresh), outcomes_path, batch_id)
+            write_batch(_outcomes(keyed, fresh), outcomes_path, batch_id)
+        remove_written(keyed, arrived, fresh)
 
     return run
 
@@ -134,18 +136,20 @@ def politeness_batches(
         spark = rows.sparkSession
         rows = written(rows, "batch")
         domains = written(rows.select("domain").distinct(), "domains")
-        stored = read_versions(spark, state_path, LAST_SCHEMA).filter(f"version < {batch_id}")
+        own = version_of(spark, state_path, batch_id)
+        stored = read_versions(spark, state_path, LAST_SCHEMA).filter(f"version < {own}")
         earlier = written(latest(stored.join(domains, "domain", "left_semi"), ("domain",), "version"), "earlier")
         checked = admit(rows, period_seconds, earlier=earlier.select("domain", "since"))
-        write_version(checked, sink_path, batch_id)
-        written_rows = spark.read.parquet(f"{sink_path}/version={batch_id}")
+        version = write_batch(checked, sink_path, batch_id)
+        written_rows = spark.read.parquet(f"{sink_path}/version={version}")
         if requeue_path:
             later = F.timestamp_micros(micros(written_rows) + F.lit(period_seconds * 1_000_000).cast("long"))
             again = written_rows.filter("NOT admitted").withColumn("ts", later.cast(rows.schema["ts"].dataType))
-            target = f"{requeue_path.rstrip('/')}/requeued-{batch_id}"
+            target = f"{requeue_path.rstrip('/')}/requeued-{version}"
             again.select("arrival_id", "domain", "url", "ts").write.mode("overwrite").parquet(target)
         done = written_rows.filter("admitted")
-        write_version(done.groupBy("domain").agg(F.max(micros(done)).alias("since")), state_path, batch_id)
+        write_batch(done.groupBy("domain").agg(F.max(micros(done)).alias("since")), state_path, batch_id)
+        remove_written(rows, domains, earlier)
 
     return run
 

@@ -8,9 +8,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from webloom.operators import extract, language, links
-from webloom.session import written
+from webloom.session import remove_written, written
 from webloom.sources.tables import spread
-from webloom.sources.versioned import write_version
+from webloom.sources.versioned import write_batch
 from webloom.streaming.frontier import _triggered
 
 SITE_SCHEMA = T.StructType(
@@ -23,7 +23,7 @@ LINK_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("src", "d
 def store_pages(profile: DataFrame, sites_path: str, links_path: str):
     """foreachBatch function: pages to documents of accepted languages and to links of the linked language.
 
-    The batch number is the version of what is written: a later fetch of a page replaces the document and merges into
+    Every batch is a version of what is written: a later fetch of a page replaces the document and merges into
     its links when the tables are read, and a repeated batch replaces its own output.
     """
 
@@ -38,10 +38,11 @@ def store_pages(profile: DataFrame, sites_path: str, links_path: str):
             .select("page_id", "language")
         )
         documents = found.join(winners, "page_id").select(*SITE_SCHEMA.fieldNames())
-        write_version(documents, sites_path, batch_id, "language")
+        write_batch(documents, sites_path, batch_id, "language")
         linked = accepted.filter(F.col("language") == language.LINKED_LANGUAGE).select("page_id")
         anchors = extract.anchors_long(found.join(linked, "page_id", "left_semi"))
-        write_version(links.links_from_anchors(anchors).drop("version"), links_path, batch_id)
+        write_batch(links.links_from_anchors(anchors).drop("version"), links_path, batch_id)
+        remove_written(found, spoken)
 
     return run
 
