@@ -47,14 +47,10 @@ def grams_of_words(words_table: DataFrame, *keep: str) -> DataFrame:
     return each.filter((F.length("gram") == F.col("n")) & (F.col("gram") != " "))
 
 
-def grams(texts: DataFrame, text: str, *keep: str) -> DataFrame:
-    """One row per distinct word of a text and gram place in it: `keep`, tf (of the word), n, gram.
-
-    Words are counted inside the row first, so a word that a text repeats is cut into grams once. Rows are narrow: the
-    text itself is not copied along.
-    """
+def word_counts(texts: DataFrame, text: str, *keep: str) -> DataFrame:
+    """One row per distinct word of a text: `keep`, word, tf. Words are counted inside the row; the text is not copied."""
     counted = explode_as(texts.select(*keep, term_counts(words(F.col(text))).alias("words")), "words", "w")
-    return grams_of_words(counted.select(*keep, F.col("w.term").alias("word"), F.col("w.tf").alias("tf")), *keep, "tf")
+    return counted.select(*keep, F.col("w.term").alias("word"), F.col("w.tf").alias("tf"))
 
 
 def profiles(labelled: DataFrame, text: str, lang: str) -> DataFrame:
@@ -78,9 +74,9 @@ def profile_totals(profile: DataFrame) -> DataFrame:
 def scores(texts: DataFrame, profile: DataFrame, key: str, text: str) -> DataFrame:
     """key, lang, score (mean log-likelihood per gram) and n_grams for every text with at least one letter.
 
-    The profile becomes one row per gram with one column per language, so a gram occurrence meets one row only. It is
-    a stored table: the planner broadcasts it while it is small and shuffles otherwise. The sums are partial before
-    the exchange, where one text is at most one row per task.
+    Every distinct word of all texts is scored once, from the profile with one column per language: its grams, which
+    outnumber it many times, exist once per word and not once per text. Texts then meet their words' sums in a join on
+    the word, whose frequent words adaptive execution splits. The sums are partial before the exchange.
     """
     # The list of languages of the model; there are as many as there are languages.
     langs = [r.lang for r in profile.select("lang").distinct().orderBy("lang").collect()]
@@ -90,15 +86,23 @@ def scores(texts: DataFrame, profile: DataFrame, key: str, text: str) -> DataFra
         .agg(F.first(F.log(F.col("cnt") + 1)))
         .select("gram", *[F.coalesce(F.col(f"`{lang}`"), F.lit(0.0)).alias(f"g{i}") for i, lang in enumerate(langs)])
     )
-    summed = (
-        grams(texts, text, key)
+    counted = word_counts(texts, text, key)
+    sizes = [f"n{n}" for n in range(1, MAX_GRAM + 1)]
+    gained = [f"g{i}" for i in range(len(langs))]
+    per_word = (
+        grams_of_words(counted.select("word").distinct(), "word")
         .join(gains, "gram", "left")
-        .groupBy(key)
+        .groupBy("word")
         .agg(
-            *[F.sum(F.col("tf") * F.coalesce(f"g{i}", F.lit(0.0))).alias(f"g{i}") for i in range(len(langs))],
-            *[F.sum(F.when(F.col("n") == n, F.col("tf")).otherwise(0)).alias(f"n{n}") for n in range(1, MAX_GRAM + 1)],
+            *[F.sum(F.coalesce(g, F.lit(0.0))).alias(g) for g in gained],
+            *[F.sum(F.when(F.col("n") == n + 1, 1).otherwise(0)).alias(size) for n, size in enumerate(sizes)],
         )
     )
+    summed = (
+        counted.join(per_word, "word")
+        .groupBy(key)
+        .agg(*[F.sum(F.col("tf") * F.col(c)).alias(c) for c in (*gained, *sizes)])
+    )
     costs = profile_totals(profile).agg(
         F.map_from_entries(
             F.collect_list(

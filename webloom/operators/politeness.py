@@ -8,8 +8,6 @@ prefix operations over the blocks, so no block waits for the one before it.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -254,13 +252,3 @@ def admit(
     columns = rows.select("block", "seq", "arrival_id", "domain", "url", "ts", "since")
     flagged = columns.groupBy("block").applyInPandas(flag, schema)
     return flagged.withColumn("ts", F.timestamp_micros("ts"))
-
-
-def brute_force(times: Iterable[int], period: int) -> list[bool]:
-    """The admission rule for one domain, one arrival at a time; for tests."""
-    out, last = [], None
-    for t in times:
-        ok = last is None or t - last >= period
-        out.append(ok)
-        last = t if ok else last
-    return out

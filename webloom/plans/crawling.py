@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from webloom.functions import urls
 from webloom.operators import extract, frontier, language, politeness
 from webloom.plans import sql
-from webloom.plans.derived import anchors, sites
+from webloom.plans.derived import anchors, sites, stored
 from webloom.session import written
 from webloom.sources.tables import read_table
 
@@ -140,7 +140,13 @@ def frontier_expand(spark: SparkSession, folder: str) -> DataFrame:
     seeds = read_table(spark, folder, "customer").filter("c_acctbal < 0").select(
         F.concat(F.lit("customer/"), F.col("c_custkey").cast("string")).alias("url")
     )
-    return frontier.expand(seeds, trade_links(spark, folder), ROUNDS)
+    links = stored(
+        spark,
+        folder,
+        "trade_links",
+        lambda: trade_links(spark, folder).repartitionByRange("src").sortWithinPartitions("src"),
+    )
+    return frontier.expand(seeds, links, ROUNDS)
 
 
 QUERIES = {

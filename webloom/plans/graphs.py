@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from webloom.functions import urls
 from webloom.operators import graph
 from webloom.plans import sql
-from webloom.plans.derived import link_table
+from webloom.plans.derived import link_table, stored
 from webloom.sources.tables import read_table
 
 TOP = 50
@@ -21,6 +21,11 @@ EGO = "nation_6.size7"
 
 
 def trade_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """The edges as a stored table: every query reads them, none joins them up again."""
+    return stored(spark, folder, "trade_edges", lambda: build_trade_edges(spark, folder))
+
+
+def build_trade_edges(spark: SparkSession, folder: str) -> DataFrame:
     """edges(src, dst, weight). The nation table is fixed-size; the other sides are left to the planner."""
     table = lambda name: read_table(spark, folder, name)
     nation = table("nation").select(
