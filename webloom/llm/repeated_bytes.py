@@ -19,27 +19,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.batches import GOLDEN, chunks, concatenated, map_batches, mix, partitions, powers, release
+from webloom.llm.batches import GOLDEN, chunks, concatenated, held, map_batches, mix, partitions, powers, release, share
 from webloom.llm.suffix_sort import repeated_windows
 from webloom.session import written
 
 WINDOW, CORE = 50, 24
 REACH = WINDOW - CORE + 1  # cores in a window
-SHARD_BYTES = 1 << 20  # segments sorted at a time; an anchor's segments stay together
+SHARD_BYTES = 1 << 19  # segments sorted at a time; an anchor's segments stay together
 HOT_SEGMENTS = 15  # anchors with 2**15 distinct segments or more (estimated) go by windows, not by segments
 BUCKET_BYTES = 8 << 20  # text per bucket of anchors
-CHUNK_BYTES = 16 << 20  # text whose anchors a task puts together before it sends them
+CHUNK_BYTES = 6 << 20  # text whose anchors a task puts together before it sends them
 FILTER_BITS, MOST_FILTER_BITS, PROBES = 24, 28, 3
 _BASE = 0x9E3779B97F4A7C55
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_LAST = (1 << 63) - 1  # documents without an id come after all others
+_NAMELESS = (1 << 63) - (1 << 41)  # from here on numbers stand for documents without an id, which come after all others
 
 
 def core_hashes(data: np.ndarray) -> np.ndarray:
-    """63-bit hash (the last bit 0) of the CORE bytes that start at each place."""
+    """Hash of the CORE bytes that start at each place."""
     with np.errstate(over="ignore"):
         one = data.astype(np.uint64) + np.uint64(1)
         sums, n = {1: one}, 1
@@ -53,11 +53,11 @@ def core_hashes(data: np.ndarray) -> np.ndarray:
                 m = len(data) - have - size + 1
                 out = out[:m] * np.uint64(pow(_BASE, size, 1 << 64)) + sums[size][have : have + m]
                 have += size
-    return mix(out) & ~np.uint64(1)
+    return mix(out)
 
 
 def window_anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """document, first window, number of windows, place of the anchor and its hash, for each run of windows that share
+    """document, first window, number of windows, place of the anchor and its hash (63 bits, the last bit is 0), for each run of windows that share
     an anchor; texts lie in `data` from offsets[i] to offsets[i + 1] - 1 (a separator follows each)."""
     n = len(data) - WINDOW + 1
     nothing = np.empty(0, np.int64)
@@ -86,7 +86,8 @@ def window_anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, .
     # A run may go on into the next text only over separators, whose windows are not inside: no run spans two texts.
     document = np.searchsorted(offsets, first, side="right") - 1
     place = winner[first]
-    return document, first, count, place, hashes[place]
+    # Smallest hashes crowd at the lower end; mixed again they spread over all buckets.
+    return document, first, count, place, mix(hashes[place]) & ~np.uint64(1)
 
 
 def segment_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -106,11 +107,18 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def parts_of(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that only their values become Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], limit: int = 1 << 18) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     """(ids, texts as bytes) of some consecutive rows at a time."""
-    for batch in batches:
-        ids = np.array(batch.column("id"), np.int64)
-        raw = [x or b"" for x in batch.column("raw").to_pylist()]
+    for part in parts_of(batches):
+        ids = np.array(part.column("id"), np.int64)
+        raw = [x or b"" for x in part.column("raw").to_pylist()]
         for first, last in chunks(raw, limit):
             yield ids[first:last], raw[first:last]
 
@@ -221,13 +229,13 @@ def _probes(anchor: np.ndarray, part: int) -> Iterator[np.ndarray]:
 
 def segments(rows: DataFrame, allowed: AnchorFilter) -> DataFrame:
     """id, start, windows, anchor, context (hash of the segment and of its anchor's place in it) of shared anchors."""
-    shared = rows.sparkSession.sparkContext.broadcast(allowed)
+    shared = share(rows.sparkSession, allowed)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for ids, raw in pieces(batches):
             data, offsets = concatenated(raw)
             document, first, count, place, anchor = window_anchors(data, offsets)
-            keep = shared.value.passes(anchor)
+            keep = held(shared).passes(anchor)
             document, first, count, place, anchor = (x[keep] for x in (document, first, count, place, anchor))
             if not len(keep):
                 continue
@@ -247,13 +255,13 @@ def _context(data: np.ndarray, first: np.ndarray, count: np.ndarray, place: np.n
 def texts_of_segments(rows: DataFrame, wanted: AnchorFilter) -> DataFrame:
     """anchor, context, segment, low, high (smallest and largest id in this task) of the wanted anchors, equal segments
     of a task once."""
-    shared = rows.sparkSession.sparkContext.broadcast(wanted)
+    shared = share(rows.sparkSession, wanted)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for ids, raw in pieces(batches, 1 << 20):
+        for ids, raw in pieces(batches, 1 << 19):
             data, offsets = concatenated(raw)
             document, first, count, place, anchor = window_anchors(data, offsets)
-            keep = shared.value.passes(anchor)
+            keep = held(shared).passes(anchor)
             if not len(keep):
                 continue
             document, first, count, place, anchor = (x[keep] for x in (document, first, count, place, anchor))
@@ -333,13 +341,13 @@ def sorted_shards(parts: DataFrame) -> DataFrame:
 
 def windows_of(rows: DataFrame, wanted: AnchorFilter) -> DataFrame:
     """id, start, window_a, window_b (hashes) of every window of the wanted anchors."""
-    shared = rows.sparkSession.sparkContext.broadcast(wanted)
+    shared = share(rows.sparkSession, wanted)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for ids, raw in pieces(batches):
             data, offsets = concatenated(raw)
             document, first, count, _, anchor = window_anchors(data, offsets)
-            keep = shared.value.passes(anchor)
+            keep = held(shared).passes(anchor)
             if not len(keep):
                 continue
             document, first, count, anchor = (x[keep] for x in (document, first, count, anchor))
@@ -400,10 +408,12 @@ def kept_bytes(docs: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         names = ("id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-        for batch in batches:
+        for batch in parts_of(batches):
             out: dict[str, list] = {n: [] for n in names}
             for key, raw, spans in zip(*(batch.column(c).to_pylist() for c in ("id", "raw", "spans"))):
                 raw, at, left, removed = raw or b"", 0, hashlib.sha256(), 0
+                spans = [min(s, len(raw)) for s in spans]
+                spans = [s for pair in zip(spans[::2], spans[1::2]) if pair[0] < pair[1] for s in pair]
                 for begin, end in zip(spans[::2], spans[1::2]):
                     left.update(raw[at:begin])
                     removed, at = removed + end - begin, end
@@ -416,27 +426,28 @@ def kept_bytes(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id_col, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the bytes that stay).
+    """Per document: id_col (less than 2**63 - 2**41), n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the bytes that stay).
 
     A byte goes if a string of 50 bytes that covers it also starts in a document with a smaller id, as both stand in the
     input. Null texts are empty; rows with equal ids remove nothing from each other; documents without an id come after
-    all others. Rows that repeat an id with another text are one document that has the windows of both, so a place that
-    one of them loses is lost at the same offset in the other. Repeated rows are all returned; an empty table gives an
-    empty one.
+    all others and remove nothing from each other. Rows that repeat an id with another text are one document that has
+    the windows of both, so a place that one of them loses is lost at the same offset in the other. Repeated rows are
+    all returned; an empty table gives an empty one.
 
     Whole copies of an earlier document are settled by a digest and don't go on. Anchors with very many different
     segments don't form a shard: their windows are grouped one by one, with partial aggregation.
     """
     spark = docs.sparkSession
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     rows = docs.select(
-        F.coalesce(docs[id_col].cast("long"), F.lit(_LAST)).alias("id"),
-        F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("raw"),
+        F.coalesce(docs[id_col].cast("long"), F.lit(_NAMELESS) + F.pmod(F.xxhash64(text), F.lit(1 << 40))).alias("id"),
+        text.cast("binary").alias("raw"),
     )
     keys = written(
         rows.select("id", F.octet_length("raw").cast("long").alias("n_bytes"), F.sha2("raw", 256).alias("sha")), "byte-keys"
     )
     firsts = keys.filter(F.col("n_bytes") >= WINDOW).groupBy("sha").agg(F.min("id").alias("earliest"))
-    copies = keys.join(firsts, "sha").filter(F.col("id") > F.col("earliest")).select("id", "sha")
+    copies = keys.join(firsts, "sha").filter(earlier("earliest")).select("id", "sha")
     copies = written(copies.distinct(), "byte-copies")
     several = keys.groupBy("id").agg(F.min("sha").alias("a"), F.max("sha").alias("b")).filter("a <> b").select("id")
     whole = written(copies.select("id").distinct().join(several, "id", "left_anti"), "byte-whole-copies")
@@ -467,7 +478,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     runs = written(single.unionByName(shards), "byte-runs")
     release(spark)
-    ranges = found.join(runs, ["anchor", "context"]).filter(F.col("low") < F.col("id"))
+    ranges = found.join(runs, ["anchor", "context"]).filter(earlier("low"))
     ranges = ranges.select(
         "id", (F.col("start") + F.col("first")).alias("begin"), (F.col("start") + F.col("last") + WINDOW).alias("end")
     )
@@ -475,7 +486,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if hot_anchors.any:
         windows = written(windows_of(own, hot_anchors), "byte-windows")
         least = windows.groupBy("window_a", "window_b").agg(F.min("id").alias("low"))
-        repeated = windows.join(least, ["window_a", "window_b"]).filter(F.col("low") < F.col("id"))
+        repeated = windows.join(least, ["window_a", "window_b"]).filter(earlier("low"))
         ranges = ranges.unionByName(repeated.select("id", F.col("start").alias("begin"), (F.col("start") + WINDOW).alias("end")))
     spans = written(spans_per_document(ranges), "byte-spans")
     release(spark)
@@ -489,7 +500,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.col("sha")).alias("kept_sha256"),
     )
     done = cut.unionByName(rest)
-    return done.withColumn("id", F.when(F.col("id") < _LAST, F.col("id"))).withColumnRenamed("id", id_col)
+    return done.withColumn("id", F.when(F.col("id") < _NAMELESS, F.col("id"))).withColumnRenamed("id", id_col)
+
+
+def earlier(low: str) -> Column:
+    """Whether `low` is the id of a document that comes before `id`."""
+    return F.col(low) < F.least("id", F.lit(_NAMELESS))
 
 
 def bucketed(anchors: DataFrame, bits: int) -> DataFrame:
