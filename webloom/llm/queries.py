@@ -15,6 +15,7 @@ from webloom.llm import (
     secrets,
     superminhash,
     token_files,
+    twins,
     warc,
 )
 from webloom.llm.batches import documents
@@ -114,4 +115,4 @@ QUERIES = {
     "op10_language_bits": op10_language_bits,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = twins.ORACLES
