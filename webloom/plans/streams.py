@@ -7,7 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from webloom.functions import urls
+from webloom.operators import extract
 from webloom.operators.links import LINK_KEY
 from webloom.plans import crawling, sql
 from webloom.plans.derived import profiles
@@ -79,7 +82,37 @@ def stream_links_sink(spark: SparkSession, folder: str) -> DataFrame:
     return read_latest(spark, path, sinks.LINK_SCHEMA, LINK_KEY).select("src", "dst", "anchor_text")
 
 
+def stream_crawl_loop(spark: SparkSession, folder: str) -> DataFrame:
+    """Two turns of the crawl: frontier, visited filter, fetch (a join with the pages), page store, new frontier.
+
+    Returns what is marked as visited and what the frontier holds unvisited in the end.
+    """
+    queue, visited, sites, links = (fresh_path(spark, n) for n in ("queue", "visited", "sites", "links"))
+    frontier.create_visited(spark, visited)
+    web = extract.with_link(read_table(spark, folder, "pages"))
+    web.select("url").write.parquet(f"{queue}/seeds")
+    filter_state, store_state = fresh_path(spark, "state"), fresh_path(spark, "state")
+    admitted, fetched = fresh_path(spark, "admitted"), fresh_path(spark, "fetched")
+    for turn in range(2):
+        rows = frontier.read_frontier(spark, queue, T.StructType.fromDDL("url string"), recursiveFileLookup="true")
+        rows = rows.withColumn("ts", F.lit(0))
+        frontier.start_visited_filter(rows, visited, admitted, filter_state, mark=False).awaitTermination()
+        asked = spark.read.parquet(admitted).select("link").distinct()
+        answered = web.join(asked, "link", "left_semi").select("page_id", "url", "html")
+        done = spark.read.parquet(fetched).select("page_id") if turn else asked.select(F.lit(-1).alias("page_id"))
+        answered.join(done, "page_id", "left_anti").write.mode("append").parquet(fetched)
+        pages = frontier.read_frontier(spark, fetched, answered.schema)
+        sinks.start_store(
+            pages, profiles(spark, folder), sites, links, store_state, visited_path=visited, frontier_path=f"{queue}/new"
+        ).awaitTermination()
+    marked = read_latest(spark, visited, frontier.VISITED_SCHEMA, ("url_key",)).select("url_key")
+    waiting = spark.read.option("recursiveFileLookup", "true").schema("url string").parquet(f"{queue}/new")
+    left = waiting.distinct().select(urls.url_key(F.col("url")).alias("url_key")).join(marked, "url_key", "left_anti")
+    return marked.withColumn("state", F.lit("visited")).unionByName(left.withColumn("state", F.lit("waiting")))
+
+
 QUERIES = {
+    "stream_crawl_loop": stream_crawl_loop,
     "stream_frontier": stream_frontier,
     "stream_politeness": stream_politeness,
     "stream_politeness_state": stream_politeness_state,
@@ -88,6 +121,13 @@ QUERIES = {
 }
 
 ORACLES = {
+    "stream_crawl_loop": sql.with_ctes(
+        *sql.TO_ACCEPTED_ANCHORS,
+        select="""
+SELECT DISTINCT md5(link) AS url_key, 'visited' AS state FROM page_links
+UNION ALL
+SELECT DISTINCT md5(dst), 'waiting' FROM page_anchors WHERE md5(dst) NOT IN (SELECT md5(link) FROM page_links)""",
+    ),
     "stream_frontier": sql.with_ctes(
         *sql.TO_PAGE_LINKS,
         crawling._VISITED,

@@ -53,9 +53,12 @@ def _triggered(writer: Any, once: bool) -> Any:
     return writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{FLUSH_SECONDS} seconds")
 
 
-def visited_filter(visited_path: str, sink_path: str, outcomes_path: str | None = None):
+def visited_filter(visited_path: str, sink_path: str, outcomes_path: str | None = None, mark: bool = True):
     """foreachBatch function: drop URLs seen before, write the rest to the sink and their keys to the visited table.
 
+    With `mark` False no keys are written: the page store marks what was fetched, so that a failed fetch and a row that
+    politeness sends back may pass again.
+
     Every write of a batch has a version of its own, so a repeated batch replaces its own output. Versions from this
     one on are left out of the comparison, or a repeated batch would find its own keys. The visited set is
     scanned and not shuffled: the keys of the batch are written first, so the planner sees that they are few.
@@ -72,7 +75,8 @@ def visited_filter(visited_path: str, sink_path: str, outcomes_path: str | None
         known = earlier.select("url_key").join(arrived.select("url_key"), "url_key", "left_semi").distinct()
         fresh = written(arrived.join(known, "url_key", "left_anti"), "fresh")
         write_batch(fresh, sink_path, batch_id)
-        write_batch(fresh.select("url_key"), visited_path, batch_id)
+        if mark:
+            write_batch(fresh.select("url_key"), visited_path, batch_id)
         if outcomes_path:
             write_batch(_outcomes(keyed, fresh), outcomes_path, batch_id)
         remove_written(keyed, arrived, fresh)
@@ -105,13 +109,14 @@ def start_visited_filter(
     checkpoint: str,
     once: bool = True,
     outcomes_path: str | None = None,
+    mark: bool = True,
 ) -> StreamingQuery:
     """Streaming visited filter over `rows(url, ts, ...)`.
 
     `visited_path` must hold at least one version; use `create_visited` for a new table. Visited URLs never expire, so
     they live in a table and not in operator state, which would grow without bound.
     """
-    run = visited_filter(visited_path, sink_path, outcomes_path)
+    run = visited_filter(visited_path, sink_path, outcomes_path, mark)
     writer = rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return _triggered(writer, once).start()
 
