@@ -149,3 +149,26 @@ def test_batches_leave_no_scratch(spark):
         run(spark.createDataFrame([(f"http://e.com/{i}", i)], schema), i)
     left = os.listdir(scratch_dir(spark).removeprefix("file:"))
     assert not [n for n in left if n.startswith(("keyed-", "arrived-", "fresh-"))]
+
+
+def test_store_marks_and_feeds_back(spark):
+    """A fetched page and the address it was asked under are marked; a URL that failed passes the filter again."""
+    train = spark.createDataFrame([("en", "the cat and the dog"), ("de", "der hund und die katze")], "lang string, text string")
+    profile = language.profiles(train, "text", "lang").cache()
+    visited, queue, sites, links, sink = (fresh_path(spark, n) for n in ("visited", "queue", "sites", "links", "out"))
+    frontier.create_visited(spark, visited)
+    asked = spark.createDataFrame([("http://e.com/old", 1), ("http://f.com/gone", 1)], "url string, ts long")
+    keep = frontier.visited_filter(visited, sink, mark=False)
+    keep(asked, 0)
+    pages = spark.createDataFrame(
+        [
+            (1, "http://e.com/new", "<p>the cat</p><a href=/new>the dog</a><a href=/old>and</a><a href=/x>cat</a>", "http://e.com/old"),
+            (2, "http://d.com/", "der hund <a href=/z>die</a>", "http://d.com/"),
+        ],
+        "page_id long, url string, html string, requested string",
+    )
+    sinks.store_pages(profile, sites, links, visited, queue)(pages, 0)
+    assert [r.url for r in spark.read.parquet(queue).collect()] == ["http://e.com/x"]
+    keep(asked, 1)
+    again = spark.read.parquet(sink).filter("version = 1").collect()
+    assert [r.link for r in again] == ["http://f.com/gone"]
