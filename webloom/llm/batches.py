@@ -11,7 +11,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -169,7 +168,3 @@ def release(spark) -> None:
 
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def empty_if_null(column: str):
-    return F.coalesce(F.col(column), F.lit(""))

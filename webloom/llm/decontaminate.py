@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.batches import chunks, concatenated, held, map_batches, mix, powers, share, texts, word_hashes
+from webloom.llm.batches import concatenated, held, map_batches, mix, powers, share, slices, texts, word_hashes
 from webloom.session import written
 
 # Places that a mask looks at. The first serves items that are shorter than the others.
@@ -53,17 +53,13 @@ def seeds(hashes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield at, mix(total[at])
 
 
-def sliced(strings: list[str]) -> Iterator[tuple[int, int]]:
-    return chunks(strings, 1 << 21)  # type: ignore[arg-type]
-
-
 def item_seeds(items: DataFrame) -> DataFrame:
     """hash, item, place for each (item, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             ids, strings = np.array(batch.column("item").to_pylist(), np.int64), texts(batch)
-            for first, last in sliced(strings):
+            for first, last in slices(strings, 1 << 21, 4096):
                 hashes, offsets = tokens(strings[first:last])
                 owner = np.repeat(np.arange(last - first), np.diff(offsets))
                 for at, value in seeds(hashes, offsets):
@@ -115,7 +111,7 @@ def candidates(docs: DataFrame, allowed: SeedFilter) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             ids, strings = batch.column("id").to_pylist(), texts(batch)
-            for first, last in sliced(strings):
+            for first, last in slices(strings, 1 << 21, 4096):
                 hashes, offsets = tokens(strings[first:last])
                 at_all, value_all = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
                 for at, value in seeds(hashes, offsets):
