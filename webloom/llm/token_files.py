@@ -37,7 +37,7 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 
 FRAME_IDS = 1 << 16
-REMEMBERED = 400_000  # runs of visible characters kept per generation with their ids; only speed depends on it
+REMEMBERED = 600_000  # runs of visible characters kept per generation with their ids; only speed depends on it
 _ENTRY, _FOOTER = "<III", "<IBI"
 _FOOTER_SIZE = struct.calcsize(_FOOTER)
 _ENTRY_SIZE = struct.calcsize(_ENTRY)
