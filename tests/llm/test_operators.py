@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -337,6 +338,44 @@ def test_substituted_passages(spark, every):
     assert rows_of(found, "doc_id") == ([(1,)] if every >= 5 else [])
 
 
+def test_masks_hit_every_overlap():
+    def hit(n, wrong):
+        places = sum(1 << i for i in wrong)
+        for mask in decontaminate.MASKS[min(n, decontaminate.LEAST_TOKENS)]:
+            looked = int(mask[::-1], 2)
+            if any(looked << k & places == 0 for k in range(n - len(mask) + 1)):
+                return True
+        return False
+
+    # A stretch of 26 tokens or more has a half that is as equal as the whole.
+    missed = [(n, wrong) for n in range(1, 26) for wrong in combinations(range(n), n // 5) if not hit(n, wrong)]
+    assert missed == [(15, (3, 7, 11))]
+
+
+@pytest.mark.parametrize(("n", "wrong"), [(1, []), (3, []), (5, []), (5, [2]), (6, [3]), (8, [3]), (10, [3, 6]), (13, [4, 8])])
+def test_short_overlaps(spark, n, wrong):
+    item = [f"w{i}" for i in range(n)]
+    text = " ".join([prose(30, 44), *("other" if i in wrong else w for i, w in enumerate(item)), prose(30, 45)])
+    df = spark.createDataFrame([(1, text), (2, prose(99, 46))], "doc_id long, text string")
+    found = decontaminate.leaks(df, spark.createDataFrame([(9, " ".join(item))], "item_id long, text string"))
+    assert [(r["doc_id"], r["place"], r["n_tokens"], r["n_equal"]) for r in found.collect()] == [(1, 30, n, n - len(wrong))]
+
+
+@pytest.mark.parametrize(
+    ("item", "text"),
+    [
+        ("我们昨天在图书馆里读了一本很有意思的书", "他说：我们昨天在图书馆里读了一本很有意思的书。然后"),
+        ("ฉันชอบอ่านหนังสือที่ห้องสมุด", "เมื่อวานฉันชอบอ่านหนังสือที่ห้องสมุดมาก"),
+        ("the cat — it was “old” — sat there", "so the cat it was old sat\u00a0there again"),
+        ("cafe\u0301 au lait tre\u0300s chaud ici", "un café au lait très chaud ici"),
+    ],
+)
+def test_overlaps_beyond_ascii(spark, item, text):
+    df = spark.createDataFrame([(1, text), (2, "别的 อื่น other")], "doc_id long, text string")
+    found = decontaminate.leaks(df, spark.createDataFrame([(9, item)], "item_id long, text string"))
+    assert rows_of(found, "doc_id", "similarity") == [(1, 1.0)]
+
+
 PATTERNS = [
     re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A),
     re.compile(r"AKIA[A-Z0-9]+"),

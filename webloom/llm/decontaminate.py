@@ -3,44 +3,77 @@
 A mask looks at some of the next tokens and ignores the others, so a replaced token at an ignored place does no harm.
 The hashes of all masks at all places are taken of test items and of training documents; equal hashes give a pair and
 an alignment, and the alignment is verified token by token: a pair counts as an overlap if some stretch of LEAST_TOKENS
-aligned tokens or more (or the whole item, if it is shorter) is equal in LEAST_EQUAL of its places or more.
+aligned tokens or more (or the whole item, if it is shorter) is equal in LEAST_EQUAL of its places or more. The masks
+hit every such stretch but one: 15 tokens of which exactly every fourth is replaced.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.batches import concatenated, held, map_batches, mix, powers, share, slices, texts, word_hashes
 from webloom.session import written
 
-# Places that a mask looks at. The first serves items that are shorter than the others.
-MASKS = ("111111", "111010111", "110110111", "1101011011")
-SHORTEST = 6  # items with fewer tokens are too short to tell a leak from chance and match nothing
 LEAST_TOKENS = 13
 LEAST_EQUAL = 0.8
+# Places that masks look at, by the tokens of an item; the last line serves longer items too. Of the ways to replace a
+# fifth of a stretch (of a whole item, if it is short), each leaves some mask of the line a place where it fits.
+MASKS = {
+    1: ("1",),
+    2: ("11",),
+    3: ("111",),
+    4: ("1111",),
+    5: ("1111", "11101", "11011", "10111"),
+    6: ("11111", "111101", "111011", "110111", "101111"),
+    7: ("11111", "111011", "110111"),
+    8: ("11111", "111011"),
+    9: ("1111011", "1101111"),
+    10: ("111011", "11010011", "11111"),
+    11: ("1110111", "111001011", "1011111", "111111"),
+    12: ("11101011", "101100111", "111111"),
+    LEAST_TOKENS: ("1111011", "110100010011", "11001111", "111111"),
+}
+ALL_MASKS = sorted({mask for masks in MASKS.values() for mask in masks})
 BITS_PER_SEED, MOST_BITS, PROBES = 128, 27, 4  # pre-filter: bits per hash, at most 2**27 (16 MB)
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(ord("a"), ord("z") + 1), *range(ord("0"), ord("9") + 1), *range(0x80, 0x100)]] = True
+_BETWEEN = regex.compile(r"[^\x00-\x7f\p{L}\p{M}\p{N}]+")
+# Scripts that put no space between words.
+_UNSPACED = regex.compile(
+    r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}\p{Yi}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}\p{Tai_Le}"
+    r"\p{New_Tai_Lue}\p{Tai_Tham}\p{Tai_Viet}\p{Javanese}\p{Balinese}]"
+)
+
+
+def plain(text: str) -> str:
+    """The text in lower case, its tokens divided by ASCII characters that are in none."""
+    text = text.lower()
+    if text.isascii():
+        return text
+    return _UNSPACED.sub(r" \g<0> ", _BETWEEN.sub(" ", unicodedata.normalize("NFC", text)))
 
 
 def tokens(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens of all texts and their offsets per text. A token is a maximal run of a-z, 0-9 and bytes
-    beyond ASCII in the lower-cased UTF-8 text."""
-    buffer, begin = concatenated([t.lower().encode() for t in strings])
+    """Hashes of the tokens of all texts and their offsets per text. A token is a maximal run of a-z, 0-9 and letters,
+    marks and numbers beyond ASCII in the lower-cased text; a character of a script without spaces is one by itself."""
+    buffer, begin = concatenated([plain(t).encode() for t in strings])
     starts, _, hashes = word_hashes(buffer, _WORD[buffer])
     return hashes, np.searchsorted(starts, begin)
 
 
-def seeds(hashes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each mask: places (in `hashes`) where it fits into its text, and its hashes there."""
+def seeds(hashes: np.ndarray, offsets: np.ndarray, numbers: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each of these masks: its number, places (in `hashes`) where it fits into its text, and its hashes there."""
     ends = np.repeat(offsets[1:], np.diff(offsets))
-    for number, mask in enumerate(MASKS):
+    for number in numbers:
+        mask = ALL_MASKS[number]
         n = len(hashes) - len(mask) + 1
         if n <= 0:
             continue
@@ -50,11 +83,12 @@ def seeds(hashes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
             if looked == "1":
                 total += hashes[k : k + n] * factor[k + 1]
         at = np.flatnonzero(np.arange(n) + len(mask) <= ends[:n])
-        yield at, mix(total[at])
+        yield number, at, mix(total[at])
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
-    """hash, item, place for each (item, text)."""
+    """mask, hash, item, place for each (item, text)."""
+    serves = np.array([[mask in MASKS.get(n, ()) for mask in ALL_MASKS] for n in range(LEAST_TOKENS + 1)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -62,11 +96,19 @@ def item_seeds(items: DataFrame) -> DataFrame:
             for first, last in slices(strings, 1 << 21, 4096):
                 hashes, offsets = tokens(strings[first:last])
                 owner = np.repeat(np.arange(last - first), np.diff(offsets))
-                for at, value in seeds(hashes, offsets):
+                size = np.minimum(np.diff(offsets), LEAST_TOKENS)
+                for number, at, value in seeds(hashes, offsets, list(range(len(ALL_MASKS)))):
+                    wanted = serves[size[owner[at]], number]
+                    at, value = at[wanted], value[wanted]
                     own = owner[at]
-                    yield {"hash": value.view(np.int64), "item": ids[first:last][own], "place": at - offsets[own]}
+                    yield {
+                        "mask": np.full(len(at), number),
+                        "hash": value.view(np.int64),
+                        "item": ids[first:last][own],
+                        "place": at - offsets[own],
+                    }
 
-    return map_batches(items, work, "hash long, item long, place long").distinct()
+    return map_batches(items, work, "mask int, hash long, item long, place long").distinct()
 
 
 def probes(values: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -76,10 +118,12 @@ def probes(values: np.ndarray, bits: int) -> Iterator[np.ndarray]:
 
 
 class SeedFilter:
-    """Bloom filter of the test hashes: fixed number of bits, no hash of a test item is refused."""
+    """Bloom filter of the test hashes: fixed number of bits, no hash of a test item is refused. `masks` are the numbers
+    of the masks that test items have."""
 
     def __init__(self, table: DataFrame):
         n = table.agg(F.approx_count_distinct("hash").alias("n")).first()["n"]
+        self.masks = sorted(r["mask"] for r in table.select("mask").distinct().collect())  # len(ALL_MASKS) at most
         self.bits = min(MOST_BITS, max(10, int(n * BITS_PER_SEED).bit_length()))
         bits = self.bits
 
@@ -114,7 +158,7 @@ def candidates(docs: DataFrame, allowed: SeedFilter) -> DataFrame:
             for first, last in slices(strings, 1 << 21, 4096):
                 hashes, offsets = tokens(strings[first:last])
                 at_all, value_all = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-                for at, value in seeds(hashes, offsets):
+                for _, at, value in seeds(hashes, offsets, held(shared).masks):
                     keep = held(shared).passes(value)
                     at_all.append(at[keep])
                     value_all.append(value[keep])
@@ -163,8 +207,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """Pairs of a document and a test item that overlap: id_col, item_col, place (token of the document), n_tokens,
     n_equal, similarity; one row per pair, with its longest overlap.
 
-    Rows with a null id on either side, null and empty texts and items of fewer than SHORTEST tokens match nothing;
-    repeated rows give one pair; empty tables give an empty one. Executors pre-filter the documents' hashes with a
+    Rows with a null id on either side, null and empty texts and items without a token match nothing; an item of one
+    token matches all documents that hold it; repeated rows give one pair; empty tables give an empty one. Executors pre-filter the documents' hashes with a
     Bloom filter of bounded size; what passes is joined with the test hashes, so a full filter costs time only.
     """
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
