@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pytest
@@ -225,6 +226,13 @@ def test_superminhash_estimates():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < (0.75 * 0.25 / superminhash.SLOTS) ** 0.5
 
 
+def test_few_links_are_lost_on_estimates():
+    n, p = superminhash.SLOTS, superminhash.SIMILAR / 100
+    unlikely = sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n) if k < superminhash.LIKELY * n)
+    no_band = (1 - p**superminhash.ROWS) ** superminhash.BANDS
+    assert unlikely < 1e-6 and no_band + unlikely < 2.1e-5
+
+
 def test_links_that_no_centre_sees(spark):
     """A chain whose ends are unlike: components need links between members of a bucket, not only to its centre."""
     text, rows = prose(200, 20), []

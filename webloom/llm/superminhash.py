@@ -24,7 +24,7 @@ ROWS = 5  # slots of a band
 BANDS = 40  # a pair of similarity 0.75 shares no band with probability 2e-5, one of 0.8 with 1e-7
 SLOTS = ROWS * BANDS
 SIMILAR = 75  # linked if 100 * intersection >= SIMILAR * union
-LIKELY = 0.63  # share of equal slots below which a pair is not verified again; 0.75 less five deviations
+LIKELY = 0.59  # share of equal slots below which a pair is not verified again; 0.75 less five deviations
 GROUP = 256  # members of a bucket compared with each other in one go
 _BLOCK = 1 << 16  # shingles handled at a time; each holds its permutation in SLOTS bytes
 
