@@ -440,6 +440,16 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(warc.write_archives(df.limit(0))).count() == 0
 
 
+def test_warc_long_url(spark):
+    url = "http://a/" + "\t" * 700_000 + "x" * 100
+    df = spark.createDataFrame([(1, url, "<p>x"), (2, "u", "<p>y")], "page_id long, url string, html string")
+    found = {r["page_id"]: r for r in warc.read_archives(warc.write_archives(df)).collect()}
+    assert {i: r["kind"] for i, r in found.items()} == {1: "record", 2: "record"}
+    assert found[1]["url"] == warc.one_line(url) and len(found[1]["url"]) > 2_000_000
+    one = [warc.page_record(i, u, b"<p>x", None) for i, u in ((1, url), (2, "u"))]
+    assert [x[0] for x in warc.salvage(b"".join(one))] == ["record", "record"]
+
+
 @pytest.mark.parametrize("zipped", [True, False])
 def test_warc_salvage(zipped):
     one = [warc.page_record(i, f"http://x/{i}", f"<p>{i} WARC/1.1 ".encode() * 40, None) for i in range(6)]

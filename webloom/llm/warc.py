@@ -29,7 +29,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 ROLL_BYTES = 32 << 20  # an archive is closed when it is larger
 FEED_BYTES = 1 << 14
 FLUSH_BYTES = 8 << 20  # payloads per batch of result rows
-HEADER_BYTES = 1 << 20  # headers that are longer are taken for damage
+HEADER_BYTES = 1 << 20  # longer headers are taken for damage where a search for the next record finds a version line
 
 
 def digest(payload: bytes) -> str:
@@ -60,11 +60,11 @@ class BadRecord(Exception):
     pass
 
 
-def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
-    """Headers (lower-case names), block and end of the record at `at`; raises BadRecord."""
+def parse(data: bytes, at: int = 0, most: int | None = None) -> tuple[dict[str, str], bytes, int]:
+    """Headers (lower-case names, `most` bytes if given), block and end of the record at `at`; raises BadRecord."""
     if not data.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n"), at):
         raise BadRecord("no version line")
-    end = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
+    end = data.find(b"\r\n\r\n", at, len(data) if most is None else at + most)
     if end < 0:
         raise BadRecord("headers without an end")
     headers = {}
@@ -135,7 +135,7 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str] | None,
                 if not found:
                     raise BadRecord("an empty member")
             else:
-                headers, block, end = parse(data, at)
+                headers, block, end = parse(data, at, None if gap is None else HEADER_BYTES)
                 found = [(headers, block)]
         except BadRecord as error:
             if gap is None:
