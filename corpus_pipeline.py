@@ -21,20 +21,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group, once; documents without an id stay."""
-    groups = superminhash.near_duplicates(docs)
-    others = groups.filter("NOT kept").select("doc_id").distinct()
-    stay = docs.join(others, "doc_id", "left_anti")
-    nameless = F.when(F.col("doc_id").isNull(), F.xxhash64(*docs.columns))
-    copies = Window.partitionBy("doc_id", nameless).orderBy(F.xxhash64("text"))
-    numbered = stay.withColumn("copy__", F.row_number().over(copies))
-    return numbered.filter((F.col("copy__") == 1) | F.col("doc_id").isNull()).select(*docs.columns)
+    """The document with the smallest id of each group, once; documents without an id stay. Rows that share an id but
+    differ are documents of their own."""
+    keyed = docs.withColumn("key__", F.xxhash64(*docs.columns))
+    named = keyed.filter(F.col("doc_id").isNotNull())
+    groups = written(superminhash.near_duplicates(named, "key__").select("key__", "component_id"), "pipeline-groups")
+    ids = named.select("key__", F.col("doc_id").cast("long").alias("id__"))
+    first = groups.join(ids, "key__").groupBy("component_id").agg(F.min(F.struct("id__", "key__")).alias("first"))
+    kept = first.select("first.key__").distinct()
+    copies = Window.partitionBy("key__").orderBy("doc_id")
+    once = named.join(kept, "key__", "left_semi").withColumn("copy__", F.row_number().over(copies)).filter("copy__ = 1")
+    return once.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with no benchmark item."""
-    found = decontaminate.leaks(docs, documents(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that overlap with no benchmark item, decided row by row, with or without an id."""
+    keyed = docs.withColumn("key__", F.xxhash64(*docs.columns))
+    found = decontaminate.leaks(keyed, documents(spark, sf_dir, "benchmark"), "key__")
+    return keyed.join(found.select("key__").distinct(), "key__", "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,6 +52,17 @@ def test_stages(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() == docs.count()
 
 
+def test_rows_without_an_id_of_their_own(spark, folder):
+    rows = [(1, prose(90, 60)), (1, prose(90, 61)), (1, prose(90, 61)), (2, BASE), (2, prose(90, 62)), (3, BASE),
+            (None, prose(60, 63) + " " + ITEM), (4, prose(60, 64) + " " + ITEM), (4, prose(90, 65))]
+    docs = spark.createDataFrame([(i, t, "xx", "s", len(t), "7", 3, "f", "r", "s") for i, t in rows], SCHEMA)
+    once = corpus_pipeline.near_duplicates(spark, docs, folder)
+    assert sorted(r["text"] for r in once.collect()) == sorted({t for _, t in rows})
+    assert once.filter(F.col("text") == BASE).first()["doc_id"] == 2
+    clean = corpus_pipeline.decontamination(spark, docs, folder)
+    assert sorted(r["text"] for r in clean.collect()) == sorted(t for _, t in rows if not t.endswith(ITEM))
+
+
 def test_empty_tables(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
