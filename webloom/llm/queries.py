@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from webloom.llm import (
     bpe_automaton,
+    conversation_repair,
     decontaminate,
     fuzzy_hash,
     language_bits,
+    packing,
     quality_cnn,
     repeated_bytes,
     secrets,
@@ -17,6 +19,7 @@ from webloom.llm import (
     token_files,
     twins,
     warc,
+    whitening,
 )
 from webloom.llm.batches import documents
 
@@ -102,6 +105,22 @@ def op10_language_bits(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (id_fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after damage to its rows."""
+    conversations = documents(spark, folder, "conversations")
+    return conversation_repair.repair(conversation_repair.damaged(conversations), conversations)
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """The first whitened components of every embedding."""
+    return whitening.whiten(documents(spark, folder, "embeddings"))
+
+
+def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """The place of every piece of every document in a sequence."""
+    return packing.pack_documents(documents(spark, folder), tokenizer_file(), END_ID)
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_files": op2_token_files,
@@ -113,6 +132,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality_cnn": op9_quality_cnn,
     "op10_language_bits": op10_language_bits,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_whitening": op12_whitening,
+    "op13_packing": op13_packing,
 }
 
 ORACLES = twins.ORACLES
