@@ -71,4 +71,4 @@ def test_empty_tables(spark, folder):
 
 def test_registered():
     names = [n for n in entry.queries() if n.startswith("op")] + ["pipeline"]
-    assert len(names) == 11
+    assert len(names) == 14

@@ -114,9 +114,99 @@ SELECT t.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coal
        sha256(unhex(coalesce(kept, digits))) AS kept_sha256
 FROM texts t LEFT JOIN cut c ON c.doc_id = t.doc_id"""
 
+
+
+def _add(cost: str, letters: str, state: str) -> str:
+    return f"{{'c': {state}.c + {cost}, 'a': '{letters}' || {state}.a}}"
+
+
+def _row(state: str, onward: str, keeps: dict[str, str]) -> str:
+    """The cheapest way on from a state at a row, the smaller letters if equal: Delete, Keep or Rerole."""
+    options = [_add("4", "D", state), f"CASE WHEN fault < 2 THEN {_add('3 + more', 'R', onward)} END"]
+    for initial, to in keeps.items():
+        options.append(f"CASE WHEN fault < 2 AND role LIKE '{initial}%' THEN {_add('more', 'K', to)} END")
+    return f"list_min([{', '.join(options)}])"
+
+
+# A dynamic program from the last row to the first: best[state] is the least cost behind a row with its letters. Inserted
+# turns lead from user to assistant, from all other states to user.
+CONVERSATIONS = rf"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(0, 256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+         lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) AS t
+),
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name
+  FROM conversations
+),
+drawn AS (
+  SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(list_concat([4294967295],
+         list_transform(string_split(name, ''), lambda x: ascii(x)::BIGINT)),
+         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS kind
+  FROM named, crc
+),
+damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM drawn WHERE kind <> 0
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged
+),
+counted AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen FROM placed),
+judged AS (
+  SELECT *, CASE WHEN blank OR seen > 1 THEN 2 WHEN cut THEN 1 ELSE 0 END AS fault,
+         CASE WHEN cut THEN 3 ELSE 0 END AS more,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+  FROM (SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank,
+               NOT regexp_matches(text, '[.!?][ 	-]*\z') AS cut FROM counted)
+),
+best AS (
+  SELECT conv_id, count(*)::BIGINT + 1 AS i, {{'c': 0, 'a': ''}} AS s, {{'c': 6, 'a': 'II'}} AS y,
+         {{'c': 3, 'a': 'I'}} AS u, {{'c': 0, 'a': ''}} AS v
+  FROM judged GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, list_min([s, {_add("3", "I", "u")}, {_add("6", "II", "v")}]),
+         list_min([y, {_add("3", "I", "u")}, {_add("6", "II", "v")}]), list_min([u, {_add("3", "I", "v")}]),
+         list_min([v, {_add("3", "I", "u")}])
+  FROM (SELECT conv_id, j.i, {_row("s", "u", {"s": "y", "u": "u"})} AS s, {_row("y", "u", {"u": "u"})} AS y,
+               {_row("u", "v", {"a": "v"})} AS u, {_row("v", "u", {"u": "u"})} AS v
+        FROM best b JOIN judged j USING (conv_id) WHERE j.i = b.i - 1)
+),
+turns AS (
+  SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY i) AS rows,
+         coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE NOT blank AND seen > 1) AS duplicate,
+         count(*) FILTER (WHERE fault = 1) AS truncated,
+         count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id
+),
+edited AS (
+  SELECT *, list_reduce(
+    list_concat([{{'q': 0, 'i': 0::BIGINT, 't': ''}}],
+                list_transform(string_split(audit, ''), lambda l: {{'q': 0, 'i': 0::BIGINT, 't': l}})),
+    lambda z, l: CASE l.t
+      WHEN 'D' THEN {{'q': z.q, 'i': z.i + 1, 't': z.t}}
+      WHEN 'K' THEN {{'q': CASE left(rows[z.i + 1].role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, 'i': z.i + 1,
+                      't': z.t || chr(10) || rows[z.i + 1].role || ':' || rows[z.i + 1].text}}
+      WHEN 'R' THEN {{'q': CASE z.q WHEN 2 THEN 3 ELSE 2 END, 'i': z.i + 1,
+                      't': z.t || chr(10) || CASE z.q WHEN 2 THEN 'assistant:' ELSE 'user:' END || rows[z.i + 1].text}}
+      WHEN 'I' THEN {{'q': CASE z.q WHEN 2 THEN 3 ELSE 2 END, 'i': z.i,
+                      't': z.t || chr(10) || CASE z.q WHEN 2 THEN 'assistant:' ELSE 'user:' END}}
+      ELSE z END).t AS repaired
+  FROM (SELECT t.*, b.s.c AS cost, b.s.a AS audit FROM turns t JOIN best b USING (conv_id) WHERE b.i = 1)
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(substring(repaired, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN edited e ON e.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
 ORACLES = {
     "op4_superminhash": NEAR_DUPLICATES,
     "op6_repeated_bytes": REPEATED_BYTES,
     "op7_secrets": secret_spans(secrets.BASE + secrets.MORE, len(secrets.BASE)),
     "op8_warc": ARCHIVES,
+    "op11_conversation_repair": CONVERSATIONS,
 }
