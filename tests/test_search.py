@@ -58,7 +58,7 @@ def test_clauses(spark):
         ("or", "fuzzy", ["fg"], 2),
         ("or", "fuzzy", ["hi"], 1),
         ("or", "terms", ["x", "y"], None),
-        ("or", "phrase", ["p", "q"], None),
+        ("or", "phrase", ["p", "q"], 3),
     ]
 
 

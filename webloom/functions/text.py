@@ -19,3 +19,15 @@ def term_counts(terms: Column) -> Column:
     """array<struct(term, tf)> of a token array; counting inside the row needs no shuffle."""
     items = F.transform(terms, lambda t: F.struct(t.alias("term")))
     return sorted_runs(items, "term", lambda term, run: F.struct(term.alias("term"), F.size(run).alias("tf")))
+
+
+def term_positions(terms: Column) -> Column:
+    """array<struct(term, tf, positions)> of a token array; positions count from 0 and rise."""
+    items = F.transform(terms, lambda t, i: F.struct(t.alias("term"), i.alias("at")))
+    return sorted_runs(
+        items,
+        "term",
+        lambda term, run: F.struct(
+            term.alias("term"), F.size(run).alias("tf"), F.transform(run, lambda x: x["at"]).alias("positions")
+        ),
+    )

@@ -1,8 +1,9 @@
 """Ranked full-text search and title autocomplete over tables of queries.
 
-Index: `postings(language, field, term, id, tf, len)`, one row per document, field and term. Queries are parsed into
-clauses; every clause kind yields `(query_id, language, clause, id, score)`, and one evaluation combines them. All
-steps are joins and partial aggregates, so any number of queries runs in one plan.
+Index: `postings(language, field, term, id, tf, len, positions)`, one row per document, field and term. Queries are
+parsed into clauses; every clause kind yields `(query_id, language, clause, id, score)`, and one evaluation combines
+them. All steps are joins and partial aggregates, so any number of queries runs in one plan. Phrases are decided on
+positions; no document text is read to find hits.
 
 Sizes: nothing is broadcast by hint. What the queries ask for (clauses, weights, candidates, hits) is written to the
 shared folder before it meets the index or the documents; the planner then knows its real size, broadcasts it while
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions.rows import explode_as
-from webloom.functions.text import TOKEN, term_counts, tokens
+from webloom.functions.text import TOKEN, term_positions, tokens
 from webloom.session import written
 
 # Fixed values.
@@ -36,7 +37,8 @@ DOMAIN_TOKEN = r"^domain:(\S+)"
 EXCLUDE_TOKEN = r"^-(\S+)"
 MAX_DISTANCE = 2
 BUCKETS = 16  # parts of the postings of a language
-CLAUSE = r'[+|]?\s*(?:"[^"]*"(?:~\d*)?|[^\s"+|()]+)'
+CLAUSE = r'[+|]?\s*(?:"[^"]*"(?:~\d*)?|[^\s"+|()]+|[()])'
+MOST_SLOP = 1_000_000  # larger distances after a phrase count as this one
 
 
 def boost(field: Column) -> Column:
@@ -60,12 +62,15 @@ class Index(NamedTuple):
 
 
 def postings(sites: DataFrame) -> DataFrame:
-    """language, field, term, id, tf, len (number of tokens in that field of that document), bucket of the term."""
+    """language, field, term, id, tf, len (number of tokens in that field of that document), positions, bucket of the term.
+
+    Only phrases read the positions; Parquet keeps them in a column of their own.
+    """
     fields = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("tokens")) for f in FIELD_BOOSTS])
     per_field = explode_as(sites.select("language", "id", fields.alias("fields")), "fields", "f").select(
-        "language", "id", "f.field", F.size("f.tokens").alias("len"), term_counts(F.col("f.tokens")).alias("terms")
+        "language", "id", "f.field", F.size("f.tokens").alias("len"), term_positions(F.col("f.tokens")).alias("terms")
     )
-    found = explode_as(per_field, "terms", "t").select("language", "field", "t.term", "id", "t.tf", "len")
+    found = explode_as(per_field, "terms", "t").select("language", "field", "t.term", "id", "t.tf", "len", "t.positions")
     return found.withColumn("bucket", bucket_of(F.col("term")))
 
 
@@ -135,38 +140,118 @@ def parse_queries(queries: DataFrame) -> DataFrame:
     )
 
 
-def clauses(parsed: DataFrame) -> DataFrame:
-    """query_id, language, clause, op, kind, terms, distance: one row per clause of the query text.
-
-    kind is `terms` (any of the terms), `phrase`, `prefix` or `fuzzy`. op says how the clause is combined with those
-    to its left: `and` after a plus sign, `or` otherwise. Parentheses separate words and do not group; a distance
-    after a phrase is read and not used, the phrase stays exact.
-    """
-    found = F.regexp_extract_all("text", F.lit(CLAUSE), F.lit(0))
-    split = parsed.select("query_id", "language", F.posexplode(found).alias("clause", "raw"))
-    split = split.withColumn("body", F.trim(F.regexp_replace("raw", r"^[+|]\s*", "")))
-    fuzzy = r'^[^"~]+~(\d*)$'
+def _analysed(raw: Column) -> Column:
+    """struct(op, kind, terms, distance) of one piece of a query text. op is empty where none is written."""
+    body = F.trim(F.regexp_replace(raw, r"^[+|]\s*", ""))
+    fuzzy, sloppy = r'^[^"~]+~(\d*)$', r'^"[^"]*"~(\d+)$'
     kind = (
-        F.when(F.col("body").startswith('"'), F.lit("phrase"))
-        .when(F.col("body").rlike(r"^[^*]+\*$"), F.lit("prefix"))
-        .when(F.col("body").rlike(fuzzy), F.lit("fuzzy"))
+        F.when(body.isin("(", ")"), F.when(body == "(", F.lit("open")).otherwise(F.lit("close")))
+        .when(body.startswith('"'), F.lit("phrase"))
+        .when(body.rlike(r"^[^*]+\*$"), F.lit("prefix"))
+        .when(body.rlike(fuzzy), F.lit("fuzzy"))
         .otherwise(F.lit("terms"))
     )
-    number = F.ltrim(F.regexp_extract("body", fuzzy, 1), F.lit("0"))
-    stated = F.regexp_extract("body", fuzzy, 1) != ""
-    few = stated & (F.length(number) <= 1)  # more digits are more than MAX_DISTANCE
+    number = F.ltrim(F.regexp_extract(body, fuzzy, 1), F.lit("0"))
+    few = (F.regexp_extract(body, fuzzy, 1) != "") & (F.length(number) <= 1)  # more digits are more than MAX_DISTANCE
     own = F.coalesce(F.nullif(number, F.lit("")).cast("int"), F.lit(0))
+    slop = F.ltrim(F.regexp_extract(body, sloppy, 1), F.lit("0"))
+    wide = F.when(F.length(slop) > 6, F.lit(MOST_SLOP)).otherwise(F.coalesce(F.nullif(slop, F.lit("")).cast("int"), F.lit(0)))
     distance = F.when(few, F.least(own, F.lit(MAX_DISTANCE))).otherwise(F.lit(MAX_DISTANCE))
-    analysed = split.select(
-        "query_id",
-        "language",
-        "clause",
-        F.when(F.startswith("raw", F.lit("+")), F.lit("and")).otherwise(F.lit("or")).alias("op"),
+    op = F.when(raw.startswith("+"), F.lit("and")).when(raw.startswith("|"), F.lit("or")).otherwise(F.lit(""))
+    return F.struct(
+        op.alias("op"),
         kind.alias("kind"),
-        tokens(F.regexp_replace("body", r"~\d*$", "")).alias("terms"),
-        F.when(kind == "fuzzy", distance).alias("distance"),
+        tokens(F.regexp_replace(body, r"~\d*$", "")).alias("terms"),
+        F.when(kind == "fuzzy", distance).when((kind == "phrase") & body.rlike(sloppy), wide).alias("distance"),
     )
-    return analysed.filter(F.size("terms") > 0)
+
+
+def _matched(pieces: Column) -> Column:
+    """Pieces without closing parentheses that nothing opened; opening ones that nothing closes become kind `none`."""
+
+    def renamed(piece: Column, kind: Column) -> Column:
+        return F.struct(piece["op"].alias("op"), kind.alias("kind"), piece["terms"].alias("terms"), piece["distance"].alias("distance"))
+
+    def settle(items: Column, inner: str, outer: str) -> Column:
+        """Turn each `outer` into `none` that has no `inner` before it of its own."""
+
+        def step(state: Column, piece: Column) -> Column:
+            lost = (piece["kind"] == outer) & (state["depth"] == 0)
+            depth = state["depth"] + F.when(piece["kind"] == inner, 1).when((piece["kind"] == outer) & ~lost, -1).otherwise(0)
+            kept = renamed(piece, F.when(lost, F.lit("none")).otherwise(piece["kind"]))
+            return F.struct(depth.alias("depth"), F.concat(state["out"], F.array(kept)).alias("out"))
+
+        start = F.struct(F.lit(0).alias("depth"), F.filter(items, lambda x: F.lit(False)).alias("out"))
+        return F.aggregate(items, start, step)["out"]
+
+    return F.reverse(settle(F.reverse(settle(pieces, "open", "close")), "close", "open"))
+
+
+_CLAUSE_TYPE = "array<struct<op:string,kind:string,terms:array<string>,distance:int,opens:array<string>,closes:int>>"
+
+
+def _grouped(pieces: Column) -> Column:
+    """Clauses in order, each with the operators of the groups that open before it and the number that close after it.
+
+    An operator waits for the next clause or group; of several the last one counts. A group without clauses is as if it
+    was not there.
+    """
+
+    def step(state: Column, piece: Column) -> Column:
+        op = F.when(piece["op"] != "", piece["op"]).otherwise(state["op"])
+        is_open, is_close = piece["kind"] == "open", piece["kind"] == "close"
+        is_none = piece["kind"] == "none"
+        empty = is_close & (F.size(state["opens"]) > 0)
+        ends = is_close & (F.size(state["opens"]) == 0)
+        size = F.size(state["out"])
+        clause = F.struct(
+            op.alias("op"), piece["kind"].alias("kind"), piece["terms"].alias("terms"),
+            piece["distance"].alias("distance"), state["opens"].alias("opens"), F.lit(0).alias("closes"),
+        )
+        closed = F.transform(state["out"], lambda c, i: c.withField("closes", c["closes"] + F.when(i + 1 == size, 1).otherwise(0)))
+        none = F.array().cast("array<string>")
+        opens = (
+            F.when(is_open, F.concat(state["opens"], F.array(op)))
+            .when(empty, F.slice(state["opens"], 1, F.size(state["opens"]) - 1))
+            .when(ends | is_none, state["opens"])
+            .otherwise(none)
+        )
+        waiting = (
+            F.when(is_none, op).when(empty, F.element_at(state["opens"], -1)).otherwise(F.lit(""))
+        )
+        out = (
+            F.when(is_open | empty | is_none, state["out"])
+            .when(ends, closed)
+            .otherwise(F.concat(state["out"], F.array(clause)).cast(_CLAUSE_TYPE))
+        )
+        return F.struct(waiting.alias("op"), opens.alias("opens"), out.alias("out"))
+
+    start = F.struct(
+        F.lit("").alias("op"), F.array().cast("array<string>").alias("opens"), F.array().cast(_CLAUSE_TYPE).alias("out")
+    )
+    return F.aggregate(pieces, start, step)["out"]
+
+
+def clauses(parsed: DataFrame) -> DataFrame:
+    """query_id, language, clause, op, kind, terms, distance, opens, closes: one row per clause of the query text.
+
+    kind is `terms` (any of the terms), `phrase`, `prefix` or `fuzzy`. op says how the clause is combined with what
+    stands to its left in its group: `and` after a plus sign, `or` otherwise. `opens` has the operators of the groups
+    that open right before the clause, outermost first, `closes` says how many close right after it. Parentheses that
+    have no counterpart, and groups without a clause, are ignored. The distance of a phrase is how far its words may
+    be out of place together, null or 0 for an exact phrase.
+    """
+    found = F.transform(F.regexp_extract_all("text", F.lit(CLAUSE), F.lit(0)), _analysed)
+    pieces = F.filter(found, lambda p: (F.size(p["terms"]) > 0) | p["kind"].isin("open", "close"))
+    split = parsed.select("query_id", "language", pieces.alias("pieces"))
+    split = split.withColumn("pieces", _matched(F.col("pieces"))).withColumn("pieces", _grouped(F.col("pieces")))
+    each = split.select("query_id", "language", F.posexplode("pieces").alias("clause", "c"))
+    either = F.when(F.col("c.op") == "", F.lit("or")).otherwise(F.col("c.op"))
+    opens = F.transform("c.opens", lambda o: F.when(o == "", F.lit("or")).otherwise(o))
+    return each.select(
+        "query_id", "language", "clause", either.alias("op"), "c.kind", "c.terms", "c.distance",
+        opens.alias("opens"), "c.closes",
+    )
 
 
 # ---- matching ------------------------------------------------------------------------------------------------------
@@ -301,88 +386,133 @@ def prefix_matches(parsed_clauses: DataFrame, index: Index) -> DataFrame:
     return single.unionByName(several).select(*keys, "id", "score")
 
 
+def phrase_starts(words: Column, size: Column, slop: Column) -> Column:
+    """Places where a phrase begins, from `words`: array<struct(offsets, positions)>, one per distinct word.
+
+    A word at position p that the phrase has at offset o speaks for the start p - o. An exact phrase starts where all
+    its words agree. With a distance, a start s counts if every word of the phrase can be given an occurrence of its own
+    that speaks for a start between s and s + distance. Of overlapping matches the first counts.
+    """
+
+    def spoken(word: Column) -> Column:
+        return F.transform(word["offsets"], lambda o: F.transform(word["positions"], lambda p: p - o))
+
+    every = F.flatten(F.transform(words, spoken))  # one array of starts per word of the phrase
+    exact = F.aggregate(F.slice(every, 2, F.size(every)), F.get(every, F.lit(0)), F.array_intersect)
+
+    def held(word: Column, start: Column) -> Column:
+        """Give the word's offsets, in order, the first free position in reach of each; null if one gets none."""
+        first = F.lit(-1)
+        return F.aggregate(
+            word["offsets"],
+            first,
+            lambda last, o: F.array_min(
+                F.filter(word["positions"], lambda p: (p > last) & (p >= start + o) & (p <= start + o + slop))
+            ),
+        ).isNotNull()
+
+    near = F.filter(F.array_distinct(F.flatten(every)), lambda s: F.forall(words, lambda w: held(w, s)))
+    starts = F.array_sort(F.when(F.coalesce(slop, F.lit(0)) > 0, near).otherwise(exact))
+    none = F.array().cast("array<int>")
+    return F.aggregate(
+        starts,
+        none,
+        lambda kept, s: F.when(
+            (F.size(kept) == 0) | (s >= F.element_at(kept, -1) + size), F.concat(kept, F.array(s))
+        ).otherwise(kept),
+    )
+
+
 def phrase_matches(parsed_clauses: DataFrame, index: Index) -> DataFrame:
     """Scores of `phrase` clauses: the phrase frequency takes the place of tf, the idf of its terms add up.
 
-    The index narrows, the text decides: the rarest term of a phrase names the candidate fields, and only their token
-    string is searched for the whole phrase.
+    The rarest term of a phrase names the candidate fields; the positions of the other terms are read for these only.
+    Postings are read by bucket, no text is.
     """
-    phrases = parsed_clauses.filter("kind = 'phrase'").select("query_id", "language", "clause", "terms")
-    asked = phrases.select("query_id", "language", "clause", F.explode("terms").alias("term"))
+    keys = ["query_id", "language", "clause"]
+    phrases = parsed_clauses.filter("kind = 'phrase'").select(*keys, "terms", "distance")
+    asked = phrases.select(*keys, F.posexplode("terms").alias("offset", "term"))
     # A term that a phrase repeats counts as often as it occurs there.
-    per_phrase = asked.groupBy("query_id", "language", "clause", "term").agg(F.count(F.lit(1)).alias("times"))
+    per_phrase = asked.groupBy(*keys, "term").agg(F.array_sort(F.collect_list("offset")).alias("offsets"))
     known = per_phrase.join(index.terms, ["language", "term"]).join(index.stats, ["language", "field"])
     weights = (
-        known.groupBy("query_id", "language", "clause", "field")
+        known.groupBy(*keys, "field")
         .agg(
-            F.min_by("term", F.struct("df", "term")).alias("term"),
-            F.sum(F.col("times") * F.expr(_IDF)).alias("idf"),
+            F.min_by("term", F.struct("df", "term")).alias("rarest"),
+            F.sum(F.size("offsets") * F.expr(_IDF)).alias("idf"),
             F.first("avg_len").alias("avg_len"),
-            F.count(F.lit(1)).alias("n_known"),
+            F.count(F.lit(1)).alias("n_terms"),
         )
-        .join(phrases, ["query_id", "language", "clause"])
-        .filter(F.col("n_known") == F.size(F.array_distinct("terms")))
-        .drop("n_known")
-    )
-    # Every token gets a blank of its own on both sides, so that neighbouring matches do not share one.
-    needle = F.concat(F.lit(" "), F.array_join("terms", "  "), F.lit(" "))
-    weights = written(weights.withColumn("needle", needle), "phrases")
-    candidates = written(
-        _postings_of(weights, index, "field").select(
-            "query_id", "language", "clause", "id", "field", "len", "avg_len", "idf", "needle"
-        ),
-        "candidates",
-    )
-    field_text = F.when(F.lit(False), F.lit(""))
-    for name in FIELD_BOOSTS:
-        field_text = field_text.when(F.col("field") == name, F.col(name))
-    spaced = F.concat(F.lit(" "), F.array_join(tokens(field_text), "  "), F.lit(" "))
-    hits = (
-        candidates.join(index.sites.select("language", "id", *FIELD_BOOSTS), ["language", "id"])
-        .withColumn("spaced", spaced)
-        .withColumn(
-            "tf",
-            (F.length("spaced") - F.length(F.replace("spaced", "needle", F.lit("")))) / F.length("needle"),
-        )
-    )
-    return hits.filter("tf > 0").select("query_id", "language", "clause", "id", _relevance(F.col("idf")).alias("score"))
+        .join(phrases, keys)
+        .filter(F.col("n_terms") == F.size(F.array_distinct("terms")))
+        .select(*keys, "field", "rarest", "idf", "avg_len", "n_terms", F.size("terms").alias("size"), "distance")
+    )
+    wanted = written(weights.join(per_phrase, keys), "phrases")
+    first = written(_postings_of(wanted.filter("term = rarest"), index, "field"), "candidates")
+    others = _postings_of(wanted.filter("term <> rarest").select(*keys, "field", "term", "offsets"), index, "field")
+    place = [*keys, "field", "id"]
+    held = others.join(first.select(*place), place, "left_semi").groupBy(*place)
+    held = held.agg(F.collect_list(F.struct("offsets", "positions")).alias("others"))  # as many as the phrase has terms
+    word = F.array(F.struct("offsets", "positions"))
+    words = F.concat(word, F.coalesce("others", F.filter(word, lambda w: F.lit(False))))
+    found = first.join(held, place, "left").withColumn("words", words).filter(F.size("words") == F.col("n_terms"))
+    starts = phrase_starts(F.col("words"), F.col("size"), F.col("distance"))
+    return found.withColumn("tf", F.size(starts)).filter("tf > 0").select(*keys, "id", _relevance(F.col("idf")).alias("score"))
 
 
 # ---- evaluation ----------------------------------------------------------------------------------------------------
 
 
+_FRAME = "struct<empty:boolean,score:double,op:string>"
+
+
+def _merged(frame: Column, value: Column, op: Column) -> Column:
+    """The frame of a group after its next part, which has a score or, if it does not match, null."""
+    both = F.when(frame["score"].isNotNull() & value.isNotNull(), frame["score"] + value)
+    either = F.when(
+        frame["score"].isNotNull() | value.isNotNull(),
+        F.coalesce(frame["score"], F.lit(0.0)) + F.coalesce(value, F.lit(0.0)),
+    )
+    score = F.when(frame["empty"], value).when(op == "and", both).otherwise(either)
+    return F.struct(F.lit(False).alias("empty"), score.alias("score"), frame["op"].alias("op")).cast(_FRAME)
+
+
+def _replaced_last(frames: Column, last: Column) -> Column:
+    return F.concat(F.slice(frames, 1, F.size(frames) - 1), F.array(last))
+
+
 def combine(matched: DataFrame, parsed_clauses: DataFrame) -> DataFrame:
     """query_id, language, id, score of the documents that satisfy a query, from clause matches.
 
-    Clauses combine from left to right: `and` needs both sides and adds their scores, `or` needs one and adds the
-    scores of those present. The list per document is as long as the query has clauses.
+    The parts of a group combine from left to right: `and` needs both sides and adds their scores, `or` needs one and
+    adds the scores of those present. Groups are evaluated on a stack of frames, one per open group. The list per
+    document is as long as the query has clauses.
     """
     per_clause = matched.groupBy("query_id", "language", "id", "clause").agg(F.sum("score").alias("score"))
     per_document = per_clause.groupBy("query_id", "language", "id").agg(
         F.map_from_entries(F.collect_list(F.struct("clause", "score"))).alias("found")
     )
     ops = parsed_clauses.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("clause", "op"))).alias("ops")
+        F.array_sort(F.collect_list(F.struct("clause", "op", "opens", "closes"))).alias("ops")
     )
 
-    def step(state: Column, clause: Column) -> Column:
+    def fresh(op: Column) -> Column:
+        return F.struct(F.lit(True).alias("empty"), F.lit(None).cast("double").alias("score"), op.alias("op")).cast(_FRAME)
+
+    def close(frames: Column) -> Column:
+        done, outer = F.element_at(frames, -1), F.element_at(frames, -2)
+        return _replaced_last(F.slice(frames, 1, F.size(frames) - 1), _merged(outer, done["score"], done["op"]))
+
+    def step(frames: Column, clause: Column) -> Column:
         own = F.try_element_at("found", clause["clause"])
-        both = state["score"].isNotNull() & own.isNotNull()
-        either = F.when(
-            state["score"].isNotNull() | own.isNotNull(),
-            F.coalesce(state["score"], F.lit(0.0)) + F.coalesce(own, F.lit(0.0)),
-        )
-        score = (
-            F.when(state["first"], own)
-            .when(clause["op"] == "and", F.when(both, state["score"] + own))
-            .otherwise(either)
-        )
-        return F.struct(F.lit(False).alias("first"), score.alias("score"))
+        opened = F.concat(frames, F.transform(clause["opens"], fresh))
+        filled = _replaced_last(opened, _merged(F.element_at(opened, -1), own, clause["op"]))
+        return F.aggregate(F.array_repeat(F.lit(0), clause["closes"]), filled, lambda state, _: close(state))
 
-    start = F.struct(F.lit(True).alias("first"), F.lit(None).cast("double").alias("score"))
+    start = F.array(fresh(F.lit("or")))
     return (
         per_document.join(ops, "query_id")
-        .select("query_id", "language", "id", F.aggregate("ops", start, step)["score"].alias("score"))
+        .select("query_id", "language", "id", F.element_at(F.aggregate("ops", start, step), 1)["score"].alias("score"))
         .filter(F.col("score").isNotNull())
     )
 

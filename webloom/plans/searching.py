@@ -21,6 +21,19 @@ PLAIN: list[Row] = [
 PHRASES: list[Row] = [(1, '"of the"', "en"), (2, '"that the" eriner', "en"), (3, '"de la"', "es")]
 PREFIXES: list[Row] = [(1, "thaned*", "en"), (2, "erine* wher", "en"), (3, "asc*", "es")]
 REQUIRED: list[Row] = [(1, "eriner +attion", "en"), (2, "eriner attion +th", "en"), (3, "anea +the +zzzz", "en")]
+SLOPPY: list[Row] = [
+    (1, '"of the"~3', "en"),
+    (2, '"the that"~2 eriner', "en"),
+    (3, '"the the"~5', "en"),
+    (4, '"de la"~0', "es"),
+]
+GROUPS: list[Row] = [
+    (1, "eriner +(attion | anea)", "en"),
+    (2, '(the + thaned*) | (eriner + "of the")', "en"),
+    (3, "anea +((zzzz | wher) +the", "en"),
+    (4, "( ) eriner) + ( attion +(( )) anea)", "en"),
+    (5, "(eriner + (attion | (anea + wher))) | thanedble", "en"),
+]
 FUZZY: list[Row] = [(1, "thanedbl~1", "en"), (2, "erniner~", "en"), (3, "eriner attoin~2", "en")]
 DOMAINS: list[Row] = [
     (1, "the domain:blog.ththan.example.net", "en"),
@@ -125,6 +138,8 @@ QUERIES = {
     "parse_queries": parse_queries,
     "search_bm25": lambda spark, folder: _run(spark, folder, PLAIN),
     "search_phrase": lambda spark, folder: _run(spark, folder, PHRASES),
+    "search_sloppy": lambda spark, folder: _run(spark, folder, SLOPPY),
+    "search_groups": lambda spark, folder: _run(spark, folder, GROUPS),
     "search_prefix": lambda spark, folder: _run(spark, folder, PREFIXES),
     "search_required": lambda spark, folder: _run(spark, folder, REQUIRED),
     "search_fuzzy": lambda spark, folder: _run(spark, folder, FUZZY),
@@ -152,8 +167,9 @@ field_tokens AS (
 )"""
 _POSTINGS = """
 postings AS (
-  SELECT language, field, term, id, count(*) AS tf, any_value(len) AS len
-  FROM (SELECT language, id, field, len(toks) AS len, unnest(toks) AS term FROM field_tokens) GROUP BY ALL
+  SELECT language, field, term, id, count(*) AS tf, any_value(len) AS len, list(pos ORDER BY pos) AS positions
+  FROM (SELECT language, id, field, len(toks) AS len, unnest(toks) AS term, generate_subscripts(toks, 1) - 1 AS pos
+        FROM field_tokens) GROUP BY ALL
 ),
 dfs AS (SELECT language, field, term, count(*) AS df FROM postings GROUP BY ALL),
 stats AS (
@@ -243,6 +259,48 @@ phrase_matched AS (
 )"""
 
 
+def _either(a: str, b: str) -> str:
+    """The sum of those of two scores that are there, null if none is."""
+    return f"(CASE WHEN ({a}) IS NULL THEN {b} WHEN ({b}) IS NULL THEN {a} ELSE {a} + {b} END)"
+
+
+def _sloppy(*rows: tuple[int, str, int, str, int]) -> str:
+    """Two-word phrases: starts that both words speak for within the distance, an occurrence of its own each."""
+    values = ", ".join(f"({q}, '{lang}', {clause}, '{phrase}', {slop})" for q, lang, clause, phrase, slop in rows)
+    return f"""
+pairs AS (
+  SELECT query_id, language, clause, slop, string_split(phrase, ' ')[1] AS one, string_split(phrase, ' ')[2] AS two
+  FROM (VALUES {values}) AS t(query_id, language, clause, phrase, slop)
+),
+places AS (
+  SELECT p.*, a.id, a.field, a.len, a.positions AS ones, list_transform(b.positions, lambda x: x - 1) AS twos
+  FROM pairs p JOIN postings a ON a.language = p.language AND a.term = one
+  JOIN postings b ON b.language = p.language AND b.term = two AND b.id = a.id AND b.field = a.field
+),
+sloppy_starts AS (
+  SELECT DISTINCT query_id, language, clause, id, field, len, s FROM (
+    SELECT *, unnest(list_concat(ones, twos)) AS s FROM places)
+  WHERE len(list_filter(ones, lambda x: list_contains(range(s, s + slop + 1), x)
+        AND len(list_filter(twos, lambda y: y >= s AND y <= s + slop AND (one <> two OR y + 1 > x))) > 0)) > 0
+),
+sloppy_runs AS (
+  SELECT query_id, language, clause, id, field, any_value(len) AS len,
+         list_reduce(list_concat([{{'n': 0, 'last': -9}}], list_transform(list(s ORDER BY s), lambda x: {{'n': 0, 'last': x}})),
+           lambda a, b: CASE WHEN a.n = 0 OR b.last >= a.last + 2 THEN {{'n': a.n + 1, 'last': b.last}} ELSE a END).n AS tf
+  FROM sloppy_starts GROUP BY ALL
+),
+sloppy_idf AS (
+  SELECT query_id, clause, field, sum({_IDF}) AS idf, any_value(avg_len) AS avg_len
+  FROM (SELECT query_id, language, clause, unnest([one, two]) AS term FROM pairs)
+  JOIN dfs USING (language, term) JOIN stats USING (language, field) GROUP BY ALL
+),
+phrase_matched AS (
+  SELECT query_id, language, clause, id,
+         sum(boost * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) AS score
+  FROM sloppy_runs JOIN sloppy_idf USING (query_id, clause, field) JOIN boosts USING (field) GROUP BY ALL
+)"""
+
+
 _FRAGMENTS = rf"""
 sentences AS (
   SELECT query_id, rank_no, r.id, no, sentence,
@@ -282,7 +340,7 @@ def _shingles(source: str, keys: str) -> str:
 
 
 ORACLES = {
-    "search_postings": sql.with_ctes(*_INDEX, select="SELECT language, field, term, id, tf, len FROM postings"),
+    "search_postings": sql.with_ctes(*_INDEX, select="SELECT language, field, term, id, tf, len, positions FROM postings"),
     "search_stats": sql.with_ctes(
         *_INDEX, select="SELECT language, field, n_docs, round(avg_len, 6) AS avg_len FROM stats"
     ),
@@ -305,6 +363,55 @@ FROM benchmark""",
         _ranked(),
         select=_SELECT,
     ),
+    "search_sloppy": sql.with_ctes(
+        *_INDEX,
+        _asked((2, "en", 1, "eriner")),
+        _sloppy((1, "en", 0, "of the", 3), (2, "en", 0, "the that", 2), (3, "en", 0, "the the", 5), (4, "es", 0, "de la", 0)),
+        _TERM_HITS.replace("matched AS", "term_matched AS"),
+        "matched AS (SELECT * FROM term_matched UNION ALL BY NAME SELECT * FROM phrase_matched)",
+        _ranked(),
+        select=_SELECT,
+    ),
+    "search_groups": sql.with_ctes(
+        *_INDEX,
+        _asked(
+            (1, "en", 0, "eriner"), (1, "en", 1, "attion"), (1, "en", 2, "anea"),
+            (2, "en", 0, "the"), (2, "en", 2, "eriner"),
+            (3, "en", 0, "anea"), (3, "en", 1, "zzzz"), (3, "en", 2, "wher"), (3, "en", 3, "the"),
+            (4, "en", 0, "eriner"), (4, "en", 1, "attion"), (4, "en", 2, "anea"),
+            (5, "en", 0, "eriner"), (5, "en", 1, "attion"), (5, "en", 2, "anea"), (5, "en", 3, "wher"),
+            (5, "en", 4, "thanedble"),
+        ),
+        _phrases((2, "en", 3, "of the")),
+        _TERM_HITS.replace("matched AS", "term_matched AS"),
+        """
+parts AS (
+  SELECT query_id, language, clause, id, score FROM term_matched
+  UNION ALL BY NAME SELECT query_id, language, clause, id, score FROM phrase_matched
+  UNION ALL BY NAME
+  SELECT 2 AS query_id, language, 1 AS clause, id, sum(boost) AS score FROM (
+    SELECT DISTINCT language, id, field FROM postings WHERE language = 'en' AND starts_with(term, 'thaned'))
+  JOIN boosts USING (field) GROUP BY language, id
+),
+wide AS (
+  SELECT query_id, language, id, max(score) FILTER (clause = 0) AS a, max(score) FILTER (clause = 1) AS b,
+         max(score) FILTER (clause = 2) AS c, max(score) FILTER (clause = 3) AS d, max(score) FILTER (clause = 4) AS e
+  FROM parts GROUP BY ALL
+),
+matched AS (
+  SELECT query_id, language, id, CASE query_id
+    WHEN 1 THEN a + either(b, c)
+    WHEN 2 THEN either(a + b, c + d)
+    WHEN 3 THEN a + (either(b, c) + d)
+    WHEN 4 THEN a + (b + c)
+    ELSE either(a + either(b, c + d), e) END AS score
+  FROM wide
+)""".replace("either(a + either(b, c + d), e)", _either("a + " + _either("b", "c + d"), "e"))
+        .replace("either(a + b, c + d)", _either("a + b", "c + d"))
+        .replace("either(b, c)", _either("b", "c")),
+        _ranked("sum(score) IS NOT NULL"),
+        select=_SELECT,
+    ),
     "search_prefix": sql.with_ctes(
         *_INDEX,
         _asked((2, "en", 1, "wher")),
