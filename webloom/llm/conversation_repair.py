@@ -30,7 +30,7 @@ from webloom.session import written
 START, SYSTEM, USER, ASSISTANT = range(4)  # states: nothing yet, after s, after u, after a
 DELETE, INSERT, REROLE, TRUNCATED = 4, 3, 3, 3  # costs; Keep is free
 FINAL = (0, None, None, 0)  # where the pattern may end
-BLOCK = 32  # rows solved together
+BLOCK = 32  # rows solved together; a power of two
 FAN_BITS = 8
 REMEMBERED = 1 << 16  # solved blocks kept per task; only speed depends on it
 FAR = 1 << 40  # unreachable
@@ -174,12 +174,26 @@ def followed(a: list[int] | None, b: list[int] | None) -> list[int] | None:
     return [b[state] for state in a]
 
 
-def scan(nodes: DataFrame, combine: Callable, backward: bool) -> tuple[DataFrame, DataFrame]:
+def levels_of(nodes: DataFrame) -> list[Column]:
+    """Numbers of the groups, level by level, until each conversation is one group; k is task * 2**32 + block there.
+
+    Blocks of a task come first, by FAN_BITS at a time, then tasks. Empty where all conversations are one block.
+    """
+    block, task = F.col("k").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftright("k", 32)
+    parts = nodes.groupBy("conv").agg(F.max(block).alias("block"), F.min(task).alias("low"), F.max(task).alias("high"))
+    most = parts.agg(F.max("block"), F.max("high"), F.max(F.col("high") - F.col("low"))).first()
+    if not most or not (most[0] or most[2]):
+        return []
+    inner = -(-most[0].bit_length() // FAN_BITS)
+    outer = -(-most[1].bit_length() // FAN_BITS) if most[2] else 0
+    head = F.shiftleft(task, 32)
+    return [head + F.shiftright(block, FAN_BITS)] * inner + [F.shiftleft(F.shiftright(task, FAN_BITS), 32)] * outer
+
+
+def scan(nodes: DataFrame, combine: Callable, backward: bool, levels: list[Column]) -> tuple[DataFrame, DataFrame]:
     """(conv, k, before) with what `combine` makes of the nodes before (backward: behind) each node, null for none;
     and (conv, v) over all nodes. nodes has conv, k and v (longs); a group has 2**FAN_BITS nodes at most."""
-    levels = [nodes]
     members = F.array_sort(F.collect_list(F.struct("k", "v"))).alias("members")
-    parent = F.shiftright("k", FAN_BITS).alias("parent")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -202,16 +216,16 @@ def scan(nodes: DataFrame, combine: Callable, backward: bool) -> tuple[DataFrame
                     held = combine(node["v"], held) if backward else combine(held, node["v"])
             yield out
 
-    while levels[-1].groupBy("conv").count().filter("count > 1").limit(1).count():
-        groups = levels[-1].select("conv", "k", "v", parent).groupBy("conv", "parent").agg(members)
-        levels.append(written(map_batches(groups, fold, "conv string, k long, v array<long>"), "scan-level"))
-    before = levels[-1].select("conv", "k", F.lit(None).cast("array<long>").alias("before"))
-    for nodes in reversed(levels[:-1]):
-        groups = nodes.select("conv", "k", "v", parent).groupBy("conv", "parent").agg(members)
+    groups = []
+    for parent in levels:
+        groups.append(written(nodes.groupBy("conv", parent.alias("parent")).agg(members), "scan-groups"))
+        nodes = map_batches(groups[-1], fold, "conv string, k long, v array<long>")
+    before = nodes.select("conv", "k", F.lit(None).cast("array<long>").alias("before"))
+    for some in reversed(groups):
         above = before.withColumnRenamed("k", "parent")
-        down = map_batches(groups.join(above, ["conv", "parent"]), hand_down, "conv string, k long, before array<long>")
+        down = map_batches(some.join(above, ["conv", "parent"]), hand_down, "conv string, k long, before array<long>")
         before = written(down, "scan-down")
-    return before, levels[-1].select("conv", "v")
+    return before, nodes.select("conv", "v")
 
 
 def changed(audit: str, state: int, rows: Iterator[tuple[str, str]]) -> Iterator[str]:
@@ -264,13 +278,14 @@ _SOLVED = "blank long, duplicate long, truncated long, illegal long, cost long,
 
 
 def first_pass(rows: DataFrame) -> DataFrame:
-    """Repaired conversations (pos null), and the rows of those that are long or at the edge of a task, with a place.
+    """Repaired conversations (pos null), and the rows of those that are long or at the edge of a task, with a place: the
+    task times 2**37, and the number of the row there in its conversation.
 
     Rows come sorted. The first and the last conversation of a task may go on in its neighbours.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        task = TaskContext.get().partitionId() << 40
+        task = TaskContext.get().partitionId() << 37
         known: dict[tuple[int, ...], tuple[int, str]] = {}
         waiting: list[tuple] = []
         conv, edge, open_rows, place = None, True, False, 0
@@ -319,7 +334,7 @@ def first_pass(rows: DataFrame) -> DataFrame:
                     if waiting:
                         add(left_open() if edge or open_rows else finished())
                     edge, open_rows = conv is None, False
-                    conv, waiting = name, []
+                    conv, waiting, place = name, [], 0
                 elif len(waiting) == BLOCK:
                     add(left_open())
                     open_rows, waiting = True, []
@@ -344,7 +359,7 @@ def long_ones(rows: DataFrame) -> DataFrame:
         "conv", "pos", (F.col("fault") == 2).alias("blank"), repeated.alias("duplicate"),
         ((F.col("fault") == 1) & ~repeated).alias("truncated"),
         (F.col("kind") * 3 + F.when(repeated, 2).otherwise(F.col("fault"))).alias("code"),
-        F.floor(F.col("pos") / BLOCK).cast("long").alias("k"),
+        F.shiftright("pos", BLOCK.bit_length() - 1).alias("k"),
     )
     judged = written(judged, "turn-faults")
     counts = judged.groupBy("conv").agg(
@@ -405,10 +420,11 @@ def long_ones(rows: DataFrame) -> DataFrame:
             yield out
 
     leaves = written(map_batches(blocks, costs, "conv string, k long, v array<long>"), "turn-costs")
-    behind, whole = scan(leaves, joined, True)
+    levels = levels_of(leaves)
+    behind, whole = scan(leaves, joined, True, levels)
     priced = written(blocks.join(behind, ["conv", "k"]), "turn-prices")
     ways = written(map_batches(priced, states, "conv string, k long, v array<long>"), "turn-states")
-    earlier, _ = scan(ways, followed, False)
+    earlier, _ = scan(ways, followed, False, levels)
     entered = priced.join(earlier.withColumnRenamed("before", "entry"), ["conv", "k"])
     found = map_batches(entered, edits, "conv string, pos long, edits string, state int")
     turns = rows.select("conv", "pos", "role", "text").join(found, ["conv", "pos"])
