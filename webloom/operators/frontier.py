@@ -51,8 +51,8 @@ def new_links(anchors: DataFrame, visited: DataFrame) -> DataFrame:
     return targets.join(visited.select("url_key"), "url_key", "left_anti").select("url", "url_key")
 
 
-def mark_visited(visited: DataFrame, fetched: DataFrame) -> DataFrame:
-    """Visited keys after fetching: requested and final URL of `fetched(url, final_url)` are added, each key once."""
+def fetched_keys(fetched: DataFrame) -> DataFrame:
+    """url_key of the requested and the final URL of `fetched(url, final_url)`, each once."""
     both = fetched.select(
         F.explode(
             F.array(
@@ -61,8 +61,12 @@ def mark_visited(visited: DataFrame, fetched: DataFrame) -> DataFrame:
             )
         ).alias("link")
     )
-    added = both.filter(F.col("link").isNotNull()).select(urls.url_key(F.col("link")).alias("url_key"))
-    return visited.select("url_key").unionByName(added).distinct()
+    return both.filter(F.col("link").isNotNull()).select(urls.url_key(F.col("link")).alias("url_key")).distinct()
+
+
+def mark_visited(visited: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Visited keys after fetching: those of `fetched(url, final_url)` are added, each key once."""
+    return visited.select("url_key").unionByName(fetched_keys(fetched)).distinct()
 
 
 def expand(seeds: DataFrame, links: DataFrame, rounds: int) -> DataFrame:

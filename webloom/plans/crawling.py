@@ -9,13 +9,16 @@ from webloom.functions import urls
 from webloom.operators import extract, frontier, language, politeness
 from webloom.plans import sql
 from webloom.plans.derived import anchors, sites, stored
-from webloom.session import written
+from webloom.session import fresh_path, written
+from webloom.sources import leveled
 from webloom.sources.tables import read_table
+from webloom.streaming.frontier import visited_store
 
 PERIOD = 7200  # seconds; the events of one user are hours apart
 HOT_PERIOD = 600  # an event type comes every few minutes
 CRAWL_STEP = 7  # seconds between two pages of the crawl order
 ROUNDS = 4
+VISITED_BUCKETS = 16  # of the visited set that a query here makes; a deployment takes as many as its table needs
 
 
 def page_visits(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,11 +51,15 @@ def frontier_rejects(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def visited_update(spark: SparkSession, folder: str) -> DataFrame:
-    """All pages are requested over http and answer under their own URL."""
+    """All pages are requested over http and answer under their own URL; the visited set is a store with levels."""
     fetched = read_table(spark, folder, "pages").select(
         F.regexp_replace("url", "^https:", "http:").alias("url"), F.col("url").alias("final_url")
     )
-    return frontier.mark_visited(page_visits(spark, folder), fetched)
+    store = visited_store(fresh_path(spark, "visited"), VISITED_BUCKETS)
+    leveled.create(spark, store, page_visits(spark, folder))
+    keys = written(frontier.fetched_keys(fetched), "fetched-keys")
+    leveled.append(keys.join(leveled.lookup(spark, store, keys), "url_key", "left_anti"), store, 0)
+    return leveled.read(spark, store)
 
 
 def _arrivals(spark: SparkSession, folder: str, domain: str) -> DataFrame:

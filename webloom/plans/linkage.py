@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webloom.operators import documents, extract, links
 from webloom.plans import sql
 from webloom.plans.derived import link_table, pages, sites
+from webloom.session import fresh_path, written
+from webloom.sources import leveled
 from webloom.sources.tables import read_table
 
+STORE_BUCKETS = 16  # of the stores that the queries here make; a deployment takes as many as its table needs
+
 
 def _secure() -> Column:
     return F.col("url").startswith("https")
@@ -41,12 +46,24 @@ def link_contains(spark: SparkSession, folder: str) -> DataFrame:
     return links.link_contains(probes, table)
 
 
+def _store_schema(*names: str) -> T.StructType:
+    fields = [T.StructField(name, T.StringType()) for name in names]
+    return T.StructType([*fields, T.StructField("version", T.LongType())])
+
+
+LINK_STORE_SCHEMA = _store_schema("src", "dst", "anchor_text")
+SITE_STORE_SCHEMA = _store_schema("language", "id", "link", "title")
+
+
 def links_upsert(spark: SparkSession, folder: str) -> DataFrame:
     """Pages fetched over http are stored first, those over https arrive later; versions follow that order."""
     crawled = pages(spark, folder)
-    old = links.links_from_pages(crawled.filter(~_secure())).withColumn("version", F.lit(1))
-    new = links.links_from_pages(crawled.filter(_secure())).withColumn("version", F.lit(2))
-    return links.links_upsert(old, new)
+    old = links.links_from_pages(crawled.filter(~_secure())).withColumn("version", F.lit(1).cast("long"))
+    new = links.links_from_pages(crawled.filter(_secure())).withColumn("version", F.lit(2).cast("long"))
+    store = leveled.Store(fresh_path(spark, "link-store"), LINK_STORE_SCHEMA, links.LINK_KEY, STORE_BUCKETS)
+    leveled.create(spark, store, old)
+    leveled.append(new, store, 0)
+    return leveled.read(spark, store)
 
 
 def links_delete(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,8 +109,14 @@ def _versions(spark: SparkSession, folder: str, secure: bool) -> DataFrame:
 
 
 def sites_upsert(spark: SparkSession, folder: str) -> DataFrame:
-    old = links.latest(_versions(spark, folder, False), documents.SITE_KEY, "version")
-    return documents.sites_upsert(old, _versions(spark, folder, True))
+    """A document replaces the stored one if its page comes later."""
+    store = leveled.Store(fresh_path(spark, "site-store"), SITE_STORE_SCHEMA, documents.SITE_KEY, STORE_BUCKETS)
+    leveled.create(spark, store, links.latest(_versions(spark, folder, False), documents.SITE_KEY, "version"))
+    arrived = written(documents.latest_documents(_versions(spark, folder, True)), "arrived-sites")
+    stored = leveled.lookup(spark, store, arrived).select(*documents.SITE_KEY, F.col("version").alias("known"))
+    newer = arrived.join(stored, list(documents.SITE_KEY), "left").filter("known IS NULL OR version > known")
+    leveled.append(newer.drop("known"), store, 0)
+    return leveled.read(spark, store)
 
 
 def site_lookup(spark: SparkSession, folder: str) -> DataFrame:

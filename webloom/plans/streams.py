@@ -5,16 +5,20 @@ The checks are those of the batch twins.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webloom.functions import urls
 from webloom.operators import extract
 from webloom.operators.links import LINK_KEY
+from webloom.operators.politeness import micros
 from webloom.plans import crawling, sql
 from webloom.plans.derived import profiles
 from webloom.session import STATE_STORE, fresh_path
+from webloom.sources import leveled
 from webloom.sources.tables import read_table, table_path
 from webloom.sources.versioned import read_latest
 from webloom.streaming import frontier, sinks
@@ -30,17 +34,21 @@ def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def stream_frontier(spark: SparkSession, folder: str) -> DataFrame:
     """Pages go to the frontier as URLs, and from there through the visited filter."""
     queue, sink = fresh_path(spark, "queue"), fresh_path(spark, "unvisited")
-    visited = fresh_path(spark, "visited")
+    visited = frontier.visited_store(fresh_path(spark, "visited"), crawling.VISITED_BUCKETS)
     urls = _stream(spark, folder, "pages").select("url", F.col("page_id").alias("ts"))
     frontier.write_frontier(urls, queue, fresh_path(spark, "state")).awaitTermination()
-    frontier.create_visited(spark, visited, crawling.page_visits(spark, folder))
+    leveled.create(spark, visited, crawling.page_visits(spark, folder))
     arriving = frontier.read_frontier(spark, queue, urls.schema)
     frontier.start_visited_filter(arriving, visited, sink, fresh_path(spark, "state")).awaitTermination()
     return spark.read.parquet(sink).select("link", "url_key", "domain", "ts")
 
 
 def _arrivals(spark: SparkSession, folder: str) -> DataFrame:
-    return _stream(spark, folder, "events").select(
+    return _event_arrivals(_stream(spark, folder, "events"))
+
+
+def _event_arrivals(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_id").alias("arrival_id"),
         F.col("user_id").cast("string").alias("domain"),
         F.col("props").alias("url"),
@@ -64,6 +72,40 @@ def stream_politeness_state(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(sink).select("arrival_id", "domain", "admitted")
 
 
+SLICES = 4  # micro batches of the queries below, at least
+LATE_SECONDS = 600
+
+
+def _slices(table: DataFrame, column: Column) -> Iterator[DataFrame]:
+    """SLICES parts of a table along a whole number, in its order; rows without one are in the last part."""
+    low, high = table.agg(F.min(column), F.max(column)).first()
+    at = [low + (high - low) * i // SLICES for i in range(1, SLICES)] if low is not None else []
+    part = sum((F.coalesce(column > end, F.lit(True)).cast("int") for end in at), F.lit(0))
+    for number in range(len(at) + 1):
+        yield table.filter(part == number)
+
+
+def politeness_expiry(spark: SparkSession, folder: str) -> DataFrame:
+    """Events arrive in order of time, slice by slice, in one stream that goes on where it stopped.
+
+    Returns the admission of every arrival, and in the end the domains that still have state.
+    """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    queue, sink, checkpoint = (fresh_path(spark, n) for n in ("queue", "admitted", "state"))
+    events = read_table(spark, folder, "events")
+    for part in _slices(events, micros(events)):
+        part.write.mode("append").parquet(queue)
+        arrivals = _event_arrivals(frontier.read_frontier(spark, queue, events.schema))
+        admitted = frontier.politeness_stream(arrivals, crawling.PERIOD, LATE_SECONDS)
+        frontier.write_frontier(admitted, sink, checkpoint).awaitTermination()
+    decided = spark.read.parquet(sink).select("arrival_id", "domain", "admitted", F.lit(None).cast("long").alias("since"))
+    held = frontier.open_domains(spark, checkpoint)
+    none = F.lit(None)
+    return decided.unionByName(
+        held.select(none.cast("long").alias("arrival_id"), "domain", none.cast("boolean").alias("admitted"), "since")
+    )
+
+
 def _stored(spark: SparkSession, folder: str) -> tuple[str, str]:
     sites, links = fresh_path(spark, "sites"), fresh_path(spark, "links")
     pages = _stream(spark, folder, "pages")
@@ -112,6 +154,7 @@ def stream_crawl_loop(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "politeness_expiry": politeness_expiry,
     "stream_crawl_loop": stream_crawl_loop,
     "stream_frontier": stream_frontier,
     "stream_politeness": stream_politeness,
@@ -120,7 +163,17 @@ QUERIES = {
     "stream_links_sink": stream_links_sink,
 }
 
+# Admitted arrivals as in the batch; state is left of domains whose last period ends after the watermark.
+_EXPIRY = crawling.ORACLES["politeness_admit"].rpartition("SELECT arrival_id, r.domain")
+
 ORACLES = {
+    "politeness_expiry": f"""{_EXPIRY[0]}
+SELECT arrival_id, r.domain, a.n IS NOT NULL AS admitted, NULL::BIGINT AS since
+FROM numbered r LEFT JOIN admitted a ON a.domain = r.domain AND a.n = r.n
+UNION ALL
+SELECT NULL, domain, NULL, since FROM (
+  SELECT r.domain, max(us) AS since FROM numbered r JOIN admitted a ON a.domain = r.domain AND a.n = r.n GROUP BY r.domain)
+WHERE (since + {crawling.PERIOD * 1_000_000}) // 1000 + 1 > (SELECT max(us) // 1000 - {LATE_SECONDS * 1000} FROM numbered)""",
     "stream_crawl_loop": sql.with_ctes(
         *sql.TO_ACCEPTED_ANCHORS,
         select="""

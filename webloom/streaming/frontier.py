@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from webloom.operators import frontier as batch
 from webloom.operators.links import latest
 from webloom.operators.politeness import PERIOD_SECONDS, admit, admitted_positions, micros
 from webloom.session import remove_written, written
+from webloom.sources import leveled
 from webloom.sources.versioned import read_versions, version_of, write_batch, write_version
 
 LAST_SCHEMA = T.StructType([T.StructField("domain", T.StringType()), T.StructField("since", T.LongType())])
@@ -53,7 +55,9 @@ def _triggered(writer: Any, once: bool) -> Any:
     return writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{FLUSH_SECONDS} seconds")
 
 
-def visited_filter(visited_path: str, sink_path: str, outcomes_path: str | None = None, mark: bool = True):
+def visited_filter(
+    visited_path: str | leveled.Store, sink_path: str, outcomes_path: str | None = None, mark: bool = True
+):
     """foreachBatch function: drop URLs seen before, write the rest to the sink and their keys to the visited table.
 
     With `mark` False no keys are written: the page store marks what was fetched, so that a failed fetch and a row that
@@ -61,7 +65,9 @@ def visited_filter(visited_path: str, sink_path: str, outcomes_path: str | None
 
     Every write of a batch has a version of its own, so a repeated batch replaces its own output. Versions from this
     one on are left out of the comparison, or a repeated batch would find its own keys. The visited set is
-    scanned and not shuffled: the keys of the batch are written first, so the planner sees that they are few.
+    scanned and not shuffled: the keys of the batch are written first, so the planner sees that they are few. If it is a
+    store with levels (`visited_store`), only the buckets of the batch's keys are read, and the number of its files does
+    not grow with the number of batches.
 
     With `outcomes_path` the numbers of rows passed on, skipped as visited and refused for lack of a domain are
     written there as `(outcome, n)`.
@@ -70,13 +76,10 @@ def visited_filter(visited_path: str, sink_path: str, outcomes_path: str | None
     def run(rows: DataFrame, batch_id: int) -> None:
         keyed = written(batch.keyed(rows), "keyed")
         arrived = written(batch.first_per_key(keyed.filter("domain IS NOT NULL")), "arrived")
-        own = version_of(rows.sparkSession, visited_path, batch_id)
-        earlier = read_versions(rows.sparkSession, visited_path, VISITED_SCHEMA).filter(f"version < {own}")
-        known = earlier.select("url_key").join(arrived.select("url_key"), "url_key", "left_semi").distinct()
-        fresh = written(arrived.join(known, "url_key", "left_anti"), "fresh")
+        fresh = written(arrived.join(seen_before(arrived, visited_path, batch_id), "url_key", "left_anti"), "fresh")
         write_batch(fresh, sink_path, batch_id)
         if mark:
-            write_batch(fresh.select("url_key"), visited_path, batch_id)
+            mark_keys(fresh.select("url_key"), visited_path, batch_id)
         if outcomes_path:
             write_batch(_outcomes(keyed, fresh), outcomes_path, batch_id)
         remove_written(keyed, arrived, fresh)
@@ -84,6 +87,29 @@ def visited_filter(visited_path: str, sink_path: str, outcomes_path: str | None
     return run
 
 
+def visited_store(path: str, buckets: int) -> leveled.Store:
+    """The visited set as a store with levels; keys are marked once."""
+    return leveled.Store(path, VISITED_SCHEMA, ("url_key",), buckets, grows_only=True)
+
+
+def seen_before(arrived: DataFrame, visited: str | leveled.Store, batch_id: int) -> DataFrame:
+    """Those url_keys of a micro batch that versions before its own hold."""
+    spark, keys = arrived.sparkSession, arrived.select("url_key")
+    if isinstance(visited, leveled.Store):
+        return leveled.lookup(spark, visited, keys, leveled.earlier(spark, visited, batch_id))
+    own = version_of(spark, visited, batch_id)
+    earlier = read_versions(spark, visited, VISITED_SCHEMA).filter(f"version < {own}")
+    return earlier.select("url_key").join(keys, "url_key", "left_semi").distinct()
+
+
+def mark_keys(keys: DataFrame, visited: str | leveled.Store, batch_id: int) -> None:
+    """Write the keys of a micro batch, which are new to the visited set."""
+    if isinstance(visited, leveled.Store):
+        leveled.append(keys, visited, batch_id)
+    else:
+        write_batch(keys, visited, batch_id)
+
+
 def _outcomes(keyed: DataFrame, fresh: DataFrame) -> DataFrame:
     refused = F.count(F.when(F.col("domain").isNull(), 1))
     arrived = keyed.agg(refused.alias("no_domain"), (F.count(F.lit(1)) - refused).alias("kept"))
@@ -104,7 +130,7 @@ def _outcomes(keyed: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def start_visited_filter(
     rows: DataFrame,
-    visited_path: str,
+    visited_path: str | leveled.Store,
     sink_path: str,
     checkpoint: str,
     once: bool = True,
@@ -113,7 +139,7 @@ def start_visited_filter(
 ) -> StreamingQuery:
     """Streaming visited filter over `rows(url, ts, ...)`.
 
-    `visited_path` must hold at least one version; use `create_visited` for a new table. Visited URLs never expire, so
+    `visited_path` must hold at least one version; use `create_visited`, or `leveled.create`, for a new table. Visited URLs never expire, so
     they live in a table and not in operator state, which would grow without bound.
     """
     run = visited_filter(visited_path, sink_path, outcomes_path, mark)
@@ -181,38 +207,73 @@ def create_state(spark: SparkSession, path: str) -> None:
 class PolitenessState(StatefulProcessor):
     """Keeps the last admission of a domain; event time decides, so a replay admits the same rows.
 
-    For low latency and sources that limit a micro batch: one task handles the rows of a domain in a micro batch.
-    `start_politeness` has no such limit.
+    For low latency and sources that limit a micro batch: one task handles the rows of a domain in a micro batch, in the
+    pieces in which they come. `start_politeness` has no such limit. With `expire` a timer clears the state of a domain
+    when the watermark has passed its period: no row that is not late can be refused then.
     """
 
-    def __init__(self, period_seconds: int) -> None:
-        self.period = period_seconds * 1_000_000
+    def __init__(self, period_seconds: int, expire: bool = False) -> None:
+        self.period, self.expire = period_seconds * 1_000_000, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", T.StructType([T.StructField("ts", T.LongType())]))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        """Admit the rows of one domain in one micro batch, whose size the source limits."""
-        arrived = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "url", "arrival_id"], kind="stable")
+        """Admit the rows of one domain in one micro batch; the rows are neither copied together nor sorted, their times are."""
+        pieces = [piece[["arrival_id", "domain", "url", "us"]] for piece in rows]
+        us, number = (np.concatenate([p[c].to_numpy() for p in pieces]) for c in ("us", "arrival_id"))
+        order = np.lexsort((number, np.concatenate([p["url"].to_numpy(dtype=object) for p in pieces]).astype(str), us))
         last = self.last.get()[0] if self.last.exists() else None
-        arrived["admitted"], last = admitted_positions(arrived["ts"].to_numpy(), self.period, last)
-        if last is not None:
-            self.last.update((int(last),))
-        yield arrived[["arrival_id", "domain", "url", "ts", "admitted"]]
+        flags = np.empty(len(us), dtype=bool)
+        flags[order], now = admitted_positions(us[order], self.period, last)
+        if now is not None and now != last:
+            self.last.update((int(now),))
+            if self.expire:
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(expiry_millis(int(now), self.period))
+        done = 0
+        for piece in pieces:
+            found = piece.rename(columns={"us": "ts"})
+            yield found.assign(admitted=flags[done : done + len(piece)])
+            done += len(piece)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
-def politeness_stream(rows: DataFrame, period_seconds: int = PERIOD_SECONDS) -> DataFrame:
+def expiry_millis(last: int, period: int) -> int:
+    """When the period after an admission is over for certain, in milliseconds; both arguments are in microseconds."""
+    return (last + period) // 1000 + 1
+
+
+def politeness_stream(
+    rows: DataFrame, period_seconds: int = PERIOD_SECONDS, late_seconds: int | None = None
+) -> DataFrame:
     """Stream of `rows(arrival_id, domain, url, ts)` with `admitted`; ts comes out in microseconds.
 
-    State per domain is one number. Rows with admitted = false go back to the frontier.
+    State per domain is one number. Rows with admitted = false go back to the frontier. With `late_seconds` the stream
+    has a watermark that many seconds behind the latest arrival: rows behind it are dropped, and domains that had no
+    admission within their period before it have no state any more. Without, state is kept for ever.
     """
-    keyed = rows.filter("domain IS NOT NULL").select("arrival_id", "domain", "url", micros(rows).alias("ts"))
+    keyed = rows.filter("domain IS NOT NULL").select("arrival_id", "domain", "url", micros(rows).alias("us"))
+    expire = late_seconds is not None
+    if expire:
+        keyed = keyed.withColumn("seen", F.timestamp_micros("us")).withWatermark("seen", f"{late_seconds} seconds")
     return keyed.groupBy("domain").transformWithStateInPandas(
-        statefulProcessor=PolitenessState(period_seconds),
+        statefulProcessor=PolitenessState(period_seconds, expire),
         outputStructType="arrival_id long, domain string, url string, ts long, admitted boolean",
         outputMode="append",
-        timeMode="none",
+        timeMode="eventTime" if expire else "none",
     )
+
+
+def open_domains(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """domain, since: the state that a `politeness_stream` holds at the moment, read from its checkpoint."""
+    state = spark.read.format("statestore").option("stateVarName", "last").load(checkpoint)
+    return state.select("key.domain", F.col("value.ts").alias("since"))
