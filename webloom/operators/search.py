@@ -38,6 +38,8 @@ EXCLUDE_TOKEN = r"^-(\S+)"
 MAX_DISTANCE = 2
 BUCKETS = 16  # parts of the postings of a language
 CLAUSE = r'[+|]?\s*(?:"[^"]*"(?:~\d*)?|[^\s"+|()]+|[()])'
+HEAD = 3  # letters under which titles are stored
+COMPLETED = 8  # inputs of one word with up to so many letters are answered from a table
 MOST_SLOP = 1_000_000  # larger distances after a phrase count as this one
 
 
@@ -56,6 +58,8 @@ class Index(NamedTuple):
     terms: DataFrame
     stats: DataFrame
     titles: DataFrame
+    deletions: DataFrame | None = None  # of the terms; made from the dictionary for each search if it is not stored
+    completions: DataFrame | None = None  # of short inputs; from the titles if it is not stored
 
 
 # ---- index ---------------------------------------------------------------------------------------------------------
@@ -93,11 +97,38 @@ def dictionary(index: DataFrame) -> DataFrame:
 
 
 def title_grams(sites: DataFrame) -> DataFrame:
-    """language, id, size, gram: the 1- to 3-word sequences of every title."""
+    """language, id, size, gram, head, bucket: the 1- to 3-word sequences of every title under their first letters.
+
+    A sequence has a row for each of its heads of 1 to HEAD letters, so that a prefix of any length finds its sequences
+    by equality; `bucket` is that of the head.
+    """
     words = sites.select("language", "id", _shingles(tokens(F.col("title"))).alias("s"))
-    return explode_as(words, "s", "g").select(
-        "language", "id", F.col("g.size").alias("size"), F.col("g.gram").alias("gram")
+    grams = explode_as(words, "s", "g").select("language", "id", F.col("g.size").alias("size"), F.col("g.gram").alias("gram"))
+    heads = F.array_distinct(F.array(*(F.substring("gram", 1, n) for n in range(1, HEAD + 1))))
+    return explode_as(grams.withColumn("heads", heads), "heads", "head").withColumn("bucket", bucket_of(F.col("head")))
+
+
+def completions(titles: DataFrame, hits: int = SUGGESTION_HITS) -> DataFrame:
+    """language, prefix, at, id, bucket: for every prefix of a title's word of up to COMPLETED letters the best `hits`
+    titles. All of them score one point for such an input, so these are the ones with the smallest ids.
+
+    A prefix that very many titles have is cut to `hits` rows by each task before the exchange.
+    """
+    words = titles.filter("size = 1").filter(F.length("head") == F.least(F.lit(HEAD), F.length("gram")))
+    cut = F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(COMPLETED), F.length("gram"))), lambda n: F.substring("gram", F.lit(1), n)
     )
+    each = explode_as(words.select("language", "id", cut.alias("cut")), "cut", "prefix").distinct()
+    order = Window.partitionBy("language", "prefix").orderBy("id")
+    best = each.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= hits)
+    return best.select("language", "prefix", "at", "id", bucket_of(F.col("prefix")).alias("bucket"))
+
+
+def deletion_index(terms: DataFrame) -> DataFrame:
+    """language, depth, key, term, bucket: what is left of every vocabulary term after `depth` deletions."""
+    vocabulary = terms.select("language", "term").distinct()
+    found = explode_as(vocabulary.withColumn("left", _deletions(F.col("term"))), "left", "d")
+    return found.select("language", "d.depth", "d.key", "term", bucket_of(F.col("d.key")).alias("bucket"))
 
 
 def bucket_of(term: Column) -> Column:
@@ -295,11 +326,13 @@ def fuzzy_matches(parsed_clauses: DataFrame, index: Index) -> DataFrame:
     wanted = parsed_clauses.filter("kind = 'fuzzy'").select(
         "query_id", "language", "clause", "distance", F.explode("terms").alias("wanted")
     )
-    return _bm25(fuzzy_terms(wanted, index.terms), index)
+    stored = deletion_index(index.terms) if index.deletions is None else index.deletions
+    return _bm25(near_terms(wanted, stored), index)
 
 
 def _deletions(term: Column) -> Column:
-    """All strings left after deleting up to two characters of `term`, itself included."""
+    """array<struct(depth, key)>: the strings left after deleting up to MAX_DISTANCE letters of `term`, with the least
+    number of deletions that gives them."""
 
     def shorter(words: Column) -> Column:
         return F.flatten(
@@ -312,36 +345,42 @@ def _deletions(term: Column) -> Column:
             )
         )
 
+    def numbered(words: Column, depth: int) -> Column:
+        # The number of deletions is the number of letters that are missing.
+        kept = F.filter(words, lambda w: F.length(w) == F.length(term) - depth)
+        return F.transform(kept, lambda w: F.struct(F.lit(depth).alias("depth"), w.alias("key")))
+
     level = F.array(term)
-    out = level
-    for _ in range(MAX_DISTANCE):
+    out = [numbered(level, 0)]
+    for depth in range(1, MAX_DISTANCE + 1):
         level = F.array_distinct(shorter(level))
-        out = F.concat(out, level)
-    return F.array_distinct(out)
+        out.append(numbered(level, depth))
+    return F.concat(*out)
 
 
-def fuzzy_terms(wanted: DataFrame, terms: DataFrame) -> DataFrame:
-    """query_id, language, clause, term: vocabulary terms within `distance` of `wanted`.
+def near_terms(wanted: DataFrame, stored: DataFrame) -> DataFrame:
+    """query_id, language, clause, term: vocabulary terms within `distance` of `wanted`, from a `deletion_index`.
 
-    Two terms within edit distance k share a string that is left after at most k deletions in each, so candidates
-    come from an equi-join on such strings and the distance is computed for candidates only. Terms whose length is
-    out of reach of all wanted ones are skipped before their deletions are listed.
+    Two terms within edit distance k share a string that is left after at most k deletions in each, so candidates come
+    from an equi-join on such strings, no deeper than the distance asked for, and the distance is computed for candidates
+    only. The stored index is read by bucket.
     """
-    reach = wanted.agg(
-        F.struct(F.min(F.length("wanted") - F.col("distance")), F.max(F.length("wanted") + F.col("distance")))
-    ).scalar()
-    vocabulary = terms.select("language", "term").distinct().withColumn("reach", reach)
-    vocabulary = vocabulary.filter(F.length("term").between(F.col("reach.col1"), F.col("reach.col2")))
-    near = explode_as(vocabulary.select("language", "term", _deletions(F.col("term")).alias("keys")), "keys", "key")
-    asked = explode_as(wanted.withColumn("keys", _deletions(F.col("wanted"))), "keys", "key")
+    asked = explode_as(wanted.withColumn("left", _deletions(F.col("wanted"))), "left", "d").filter("d.depth <= distance")
+    asked = asked.select("query_id", "language", "clause", "distance", "wanted", "d.key", bucket_of(F.col("d.key")).alias("bucket"))
+    asked = written(asked, "wanted-keys").filter("bucket >= 0")
     return (
-        near.join(asked, ["language", "key"])
-        .filter(F.levenshtein("term", "wanted") <= F.col("distance"))
+        stored.join(asked, ["language", "bucket", "key"])
+        .filter((F.col("depth") <= F.col("distance")) & (F.levenshtein("term", "wanted") <= F.col("distance")))
         .select("query_id", "language", "clause", "term")
         .distinct()
     )
 
 
+def fuzzy_terms(wanted: DataFrame, terms: DataFrame) -> DataFrame:
+    """As `near_terms`, for a vocabulary `terms(language, term)` without a stored index."""
+    return near_terms(wanted, deletion_index(terms))
+
+
 def with_prefixes(terms: DataFrame, term: str, prefixes: DataFrame) -> DataFrame:
     """One row per term and prefix length that occurs in `prefixes(prefix)`, with `prefix`.
 
@@ -675,41 +714,51 @@ def guarded(inputs: DataFrame) -> DataFrame:
 
 
 def autocomplete(
-    inputs: DataFrame, sites: DataFrame, titles: DataFrame, hits: int = SUGGESTION_HITS
+    inputs: DataFrame,
+    sites: DataFrame,
+    titles: DataFrame,
+    hits: int = SUGGESTION_HITS,
+    completed: DataFrame | None = None,
 ) -> DataFrame:
     """query_id, rank_no, suggestion: up to six distinct lower-cased titles per input; `titles` are `title_grams`.
 
     A title scores one point per input word it holds, the last word counting as a prefix, and one more for every pair
-    and triple of neighbouring input words it holds in that order, again with the last one as a prefix. Prefixes are
-    looked up by their length, so all lookups are equi-joins.
+    and triple of neighbouring input words it holds in that order, again with the last one as a prefix. One short word is
+    looked up in `completed`, the `completions` of the titles for the same `hits`; other inputs find their sequences by
+    the first letters. No title is cut while an input is answered.
     """
     asked = guarded(inputs).select(
         "query_id", F.col("lang").alias("language"), tokens(F.col("query")).alias("words")
     )
-    asked = asked.filter(F.size("words") > 0)
+    asked = written(asked.filter(F.size("words") > 0), "asked")
+    short = (F.size("words") == 1) & (F.length(F.get("words", F.lit(0))) <= COMPLETED)
+    completed = completions(titles, hits) if completed is None else completed
+    typed = written(
+        asked.filter(short).select("query_id", "language", F.get("words", F.lit(0)).alias("prefix")), "typed"
+    ).withColumn("bucket", bucket_of(F.col("prefix")))
+    easy = completed.join(typed.filter("bucket >= 0"), ["language", "bucket", "prefix"])
     shingles = _shingles(F.col("words"))
-    wanted = written(
-        explode_as(asked.select("query_id", "language", shingles.alias("s")), "s", "w").select(
-            "query_id", "language", "w.at", "w.size", "w.gram", "w.is_last"
-        ),
-        "wanted",
-    )
-    whole = titles.join(wanted.filter(~F.col("is_last")), ["language", "size", "gram"])
-    ends = wanted.filter("is_last").withColumnRenamed("gram", "prefix")
-    by_prefix = with_prefixes(titles, "gram", ends).join(ends, ["language", "size", "prefix"])
+    parts = explode_as(asked.filter(~short).select("query_id", "language", shingles.alias("s")), "s", "w").select(
+        "query_id", "language", "w.at", "w.size", F.col("w.gram").alias("part"), "w.is_last",
+        F.substring("w.gram", 1, HEAD).alias("head"),
+    )
+    wanted = written(parts.withColumn("bucket", bucket_of(F.col("head"))), "wanted").filter("bucket >= 0")
+    held = F.when(F.col("is_last"), F.startswith("gram", F.col("part"))).otherwise(F.col("gram") == F.col("part"))
     points = (
-        whole.select("query_id", "language", "id", "at", "size")
-        .unionByName(by_prefix.select("query_id", "language", "id", "at", "size"))
+        titles.join(wanted, ["language", "bucket", "head", "size"])
+        .filter(held)
+        .select("query_id", "language", "id", "at", "size")
         .distinct()
         .groupBy("query_id", "language", "id")
         .agg(F.count(F.lit(1)).alias("points"))
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("points"), "id")
     best = points.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= hits)
+    columns = ("query_id", "language", "id", "at")
+    best = written(best.select(*columns).unionByName(easy.select(*columns)), "best")
     titled = sites.select("language", "id", F.lower("title").alias("suggestion"))
-    named = written(best, "best").join(titled, ["language", "id"])
     # At most `hits` rows per input are left.
-    first = named.groupBy("query_id", "suggestion").agg(F.min("at").alias("at"))
+    first = best.join(titled, ["language", "id"]).groupBy("query_id", "suggestion").agg(F.min("at").alias("at"))
     again = Window.partitionBy("query_id").orderBy("at")
     return (
         first.withColumn("rank_no", F.row_number().over(again))

@@ -119,13 +119,27 @@ def postings(spark: SparkSession, folder: str) -> DataFrame:
     return stored(spark, folder, "postings", build, "language", "bucket")
 
 
+def _by_bucket(table: DataFrame, *order: str) -> DataFrame:
+    """Sorted within language and bucket, for a table that is stored in folders of these; ranges split a hot bucket."""
+    keys = ("language", "bucket", *order)
+    return table.repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
 def search_index(spark: SparkSession, folder: str) -> search.Index:
     """The stored tables a search reads."""
     documents_table, index = indexed_sites(spark, folder), postings(spark, folder)
+    terms = stored(spark, folder, "terms", lambda: search.dictionary(index))
+
+    def kept(name: str, build: Callable[[], DataFrame], *order: str) -> DataFrame:
+        return stored(spark, folder, name, lambda: _by_bucket(build(), *order), "language", "bucket")
+
+    titles = kept("title_grams", lambda: search.title_grams(documents_table), "head", "size", "gram", "id")
     return search.Index(
         documents_table,
         index,
-        stored(spark, folder, "terms", lambda: search.dictionary(index)),
+        terms,
         stored(spark, folder, "field_stats", lambda: search.field_stats(documents_table)),
-        stored(spark, folder, "title_grams", lambda: search.title_grams(documents_table), "language"),
+        titles,
+        kept("deletions", lambda: search.deletion_index(terms), "key", "term"),
+        kept("completions", lambda: search.completions(titles), "prefix", "at"),
     )

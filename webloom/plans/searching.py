@@ -52,6 +52,9 @@ TYPED: list[Row] = [
     (7, "domain:the", "en"),
     (8, "the -of", "en"),
     (9, '"the', "en"),
+    (10, "t", "en"),
+    (11, "of the e", "en"),
+    (12, "thereriners", "en"),
 ]
 
 
@@ -121,7 +124,7 @@ def search_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def autocomplete(spark: SparkSession, folder: str) -> DataFrame:
     index = search_index(spark, folder)
-    return search.autocomplete(query_table(spark, TYPED), index.sites, index.titles)
+    return search.autocomplete(query_table(spark, TYPED), index.sites, index.titles, completed=index.completions)
 
 
 def autocomplete_guard(spark: SparkSession, folder: str) -> DataFrame:
