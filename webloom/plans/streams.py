@@ -16,12 +16,12 @@ from webloom.operators import extract
 from webloom.operators.links import LINK_KEY
 from webloom.operators.politeness import micros
 from webloom.plans import crawling, sql
-from webloom.plans.derived import profiles
+from webloom.plans.derived import profiles, records
 from webloom.session import STATE_STORE, fresh_path
 from webloom.sources import leveled
 from webloom.sources.tables import read_table, table_path
 from webloom.sources.versioned import read_latest
-from webloom.streaming import frontier, sinks
+from webloom.streaming import crawl, frontier, sinks
 
 
 def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -106,6 +106,38 @@ def politeness_expiry(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def stream_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """Page URLs, and the same pages asked for by the other scheme, arrive in the crawl order, in slices of it."""
+    visited = frontier.visited_store(fresh_path(spark, "visited"), crawling.VISITED_BUCKETS)
+    held = crawl.held_store(fresh_path(spark, "held"), crawling.VISITED_BUCKETS)
+    leveled.create(spark, visited)
+    leveled.create(spark, held)
+    queue, state = fresh_path(spark, "queue"), fresh_path(spark, "state")
+    tables = crawl.Crawl(visited, held, fresh_path(spark, "outcomes"))
+    pages = read_table(spark, folder, "pages").select("page_id", "url")
+    other = F.when(F.col("url").startswith("https"), F.regexp_replace("url", "^https", "http")).otherwise(
+        F.regexp_replace("url", "^http", "https")
+    )
+    asked = F.array(
+        F.struct(F.col("url"), (F.col("page_id") * 3).alias("arrival_id")),
+        F.struct(other.alias("url"), (F.col("page_id") * 3 + 1).alias("arrival_id")),
+        # What a page names by a word alone has no domain, an address with a bad port is none.
+        F.struct(
+            F.when(F.col("page_id") % 2 == 0, F.lit("http://intranet/")).otherwise(F.lit("http://x.example:y/")).alias("url"),
+            (F.col("page_id") * 3 + 2).alias("arrival_id"),
+        ),
+    )
+    rows = pages.select("page_id", F.explode(asked).alias("a")).select(
+        "a.arrival_id", "a.url", F.timestamp_seconds(F.col("page_id") * crawling.CRAWL_STEP).alias("ts")
+    )
+    web = records(spark, folder).select("link", "page_id", "text")
+    for part in _slices(rows, F.col("arrival_id")):
+        part.write.mode("append").parquet(queue)
+        arriving = frontier.read_frontier(spark, queue, rows.schema)
+        crawl.start_counted_crawl(arriving, tables, web, profiles(spark, folder), state).awaitTermination()
+    return crawl.outcomes(spark, tables)
+
+
 def _stored(spark: SparkSession, folder: str) -> tuple[str, str]:
     sites, links = fresh_path(spark, "sites"), fresh_path(spark, "links")
     pages = _stream(spark, folder, "pages")
@@ -157,6 +189,7 @@ QUERIES = {
     "politeness_expiry": politeness_expiry,
     "stream_crawl_loop": stream_crawl_loop,
     "stream_frontier": stream_frontier,
+    "stream_outcomes": stream_outcomes,
     "stream_politeness": stream_politeness,
     "stream_politeness_state": stream_politeness_state,
     "stream_sites_sink": stream_sites_sink,
@@ -187,6 +220,43 @@ SELECT DISTINCT md5(dst), 'waiting' FROM page_anchors WHERE md5(dst) NOT IN (SEL
         select=f"""
 SELECT link, md5(link) AS url_key, {sql.domain_of_host(sql.host('link'))} AS domain, min(page_id) AS ts
 FROM page_links WHERE md5(link) NOT IN (SELECT url_key FROM visited) GROUP BY link""",
+    ),
+    "stream_outcomes": sql.with_ctes(
+        *sql.TO_PAGE_SITES,
+        sql.PROFILES,
+        sql.PAGE_LANGUAGE,
+        f"""
+asked AS (
+  SELECT page_id * 3 AS arrival_id, page_id, link, url FROM page_links
+  UNION ALL
+  SELECT page_id * 3 + 1, page_id,
+         CASE WHEN starts_with(link, 'https') THEN 'http' || substring(link, 6) ELSE 'https' || substring(link, 5) END,
+         CASE WHEN starts_with(url, 'https') THEN 'http' || substring(url, 6) ELSE 'https' || substring(url, 5) END
+  FROM page_links
+),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY link ORDER BY page_id, url) AS copy FROM asked),
+open_arrivals AS (
+  SELECT arrival_id, link, {sql.domain_of_host(sql.host('link'))} AS domain, url,
+         make_timestamp(page_id * {crawling.CRAWL_STEP} * 1000000) AS ts FROM firsts WHERE copy = 1
+)""",
+        crawling._OUTCOME_CTES,
+        """
+tried AS (SELECT r.link, a.n IS NOT NULL AS ok FROM numbered r LEFT JOIN admitted a ON a.domain = r.domain AND a.n = r.n),
+fetches AS (
+  SELECT t.link, s.page_id, l.language FROM tried t LEFT JOIN page_sites s ON s.link = t.link
+  LEFT JOIN page_language l ON l.page_id = s.page_id WHERE ok
+)""",
+        select=f"""
+SELECT outcome, n::BIGINT AS n FROM (
+  SELECT 'polled' AS outcome, 3 * count(*) AS n FROM pages
+  UNION ALL SELECT 'no_domain', count(*) FROM pages WHERE page_id % 2 = 0
+  UNION ALL SELECT 'malformed_url', count(*) FROM pages WHERE page_id % 2 <> 0
+  UNION ALL SELECT 'visited_skip', count(*) FROM firsts WHERE copy > 1
+  UNION ALL SELECT 'domain_skip', count(*) FROM tried WHERE NOT ok
+  UNION ALL SELECT 'fetched', count(page_id) FROM fetches
+  UNION ALL SELECT 'fetch_failed', count(*) FROM fetches WHERE page_id IS NULL
+  UNION ALL SELECT 'page_stored', count(*) FROM fetches WHERE language IN {sql.ACCEPTED}
+  UNION ALL SELECT 'language_skip', count(*) FROM fetches WHERE page_id IS NOT NULL AND language NOT IN {sql.ACCEPTED})""",
     ),
     "stream_politeness": crawling.ORACLES["politeness_admit"],
     "stream_politeness_state": crawling.ORACLES["politeness_admit"],
