@@ -252,3 +252,67 @@ def admit(
     columns = rows.select("block", "seq", "arrival_id", "domain", "url", "ts", "since")
     flagged = columns.groupBy("block").applyInPandas(flag, schema)
     return flagged.withColumn("ts", F.timestamp_micros("ts"))
+
+
+def _held_before(arrivals: DataFrame, holds: DataFrame, count: int | None) -> DataFrame:
+    """arrivals with `held` (microseconds) and `holder`: the last of `holds` before them in the order of their domain.
+
+    Both tables are cut into blocks together; what a block passes on is its last hold, one row per domain and block.
+    """
+    columns = ("arrival_id", "domain", "url", "ts")
+    both = arrivals.select(*columns, F.lit(False).alias("is_hold")).unionByName(
+        holds.select(*columns, F.lit(True).alias("is_hold"))
+    )
+    rows = blocks(both, count, "is_hold")
+    mark = F.when(F.col("is_hold"), F.struct(F.col("ts").alias("held"), F.col("arrival_id").alias("holder")))
+    here = Window.partitionBy("domain", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("domain").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    last = rows.filter("is_hold").groupBy("domain", "block").agg(F.max_by(mark, "seq").alias("last"))
+    spans = rows.select("domain", "block").distinct().join(last, ["domain", "block"], "left")
+    passed_on = spans.select("domain", "block", F.last("last", ignorenulls=True).over(earlier).alias("carry"))
+    local = rows.withColumn("hold", F.last(mark, ignorenulls=True).over(here)).filter("NOT is_hold")
+    found = local.join(passed_on, ["domain", "block"], "left").withColumn("hold", F.coalesce("hold", "carry"))
+    return found.select("arrival_id", "domain", "url", F.timestamp_micros("ts").alias("ts"), "hold.held", "hold.holder")
+
+
+def admit_redirected(
+    arrivals: DataFrame, period_seconds: int = PERIOD_SECONDS, count: int | None = None, rounds: int = 1000
+) -> DataFrame:
+    """arrival_id, domain, url, ts, admitted, where an admission holds two domains: the one asked and the one that answers.
+
+    `arrivals(arrival_id, domain, url, ts, answered)`: a row is admitted iff no admission held its domain in the period
+    before it, in the order (ts, url, arrival_id) of all rows; an admitted row holds `domain` and, unless that is null or
+    the same, `answered`. arrival_id is unique.
+
+    A hold from another domain is like a fresh start: what came before it in the domain no longer matters, since no
+    earlier admission is later than it. So holds cut a domain into stretches that the prefix scan of `admit` decides as
+    if they were domains of their own. Which holds there are depends on the admissions, so rounds repeat until the
+    admissions stay the same. A row depends on earlier ones only: after n rounds all rows are right whose decision
+    depends on a chain of fewer than n redirects, and the state that stays the same is the only one.
+    """
+    rows = written(
+        arrivals.filter(F.col("domain").isNotNull()).select(
+            "arrival_id", "domain", "url", F.timestamp_micros(micros(arrivals)).alias("ts"), "answered"
+        ),
+        "redirected",
+    )
+    crossing = rows.filter("answered <> domain")
+    checked, state = admit(rows, period_seconds, count), None
+    for _ in range(rounds):
+        checked = written(checked, "redirect-round")
+        admitted = checked.filter("admitted").select("arrival_id")
+        now = admitted.agg(F.count("*"), F.sum(F.xxhash64("arrival_id").cast("decimal(38,0)"))).first()
+        if now == state:
+            return checked
+        state = now
+        holds = crossing.join(admitted, "arrival_id", "left_semi").select(
+            "arrival_id", F.col("answered").alias("domain"), "url", "ts"
+        )
+        placed = _held_before(rows, holds, count)
+        stretch = F.to_json(F.struct(F.col("domain").alias("d"), F.col("holder").cast("string").alias("h")))
+        placed = written(placed.withColumn("stretch", stretch), "stretches")
+        since = placed.filter("held IS NOT NULL").groupBy(F.col("stretch").alias("domain")).agg(F.max("held").alias("since"))
+        pieces = placed.select("arrival_id", F.col("stretch").alias("domain"), "url", "ts")
+        decided = admit(pieces, period_seconds, count, written(since, "holds")).select("arrival_id", "admitted")
+        checked = rows.select("arrival_id", "domain", "url", "ts").join(decided, "arrival_id")
+    raise RuntimeError(f"admissions still change after {rounds} rounds")

@@ -81,6 +81,15 @@ def politeness_admit_hot(spark: SparkSession, folder: str) -> DataFrame:
     return hot.select("arrival_id", "domain", "admitted")
 
 
+def politeness_redirects(spark: SparkSession, folder: str) -> DataFrame:
+    """Every third event of a user is answered by a neighbour, one of the ten with the same first digits."""
+    events = _arrivals(spark, folder, "user_id").withColumn("user", F.col("domain").cast("long"))
+    neighbour = F.col("user") - F.col("user") % 10 + (F.col("user") + F.col("arrival_id")) % 10
+    answered = F.when(F.col("arrival_id") % 3 == 0, neighbour).otherwise(F.col("user")).cast("string")
+    checked = politeness.admit_redirected(events.withColumn("answered", answered), PERIOD)
+    return checked.select("arrival_id", "domain", "admitted")
+
+
 def politeness_schedule(spark: SparkSession, folder: str) -> DataFrame:
     slots = politeness.schedule(_arrivals(spark, folder, "user_id"), PERIOD)
     return slots.select("arrival_id", "domain", F.unix_micros("slot").alias("slot_us"))
@@ -163,6 +172,7 @@ QUERIES = {
     "visited_update": visited_update,
     "politeness_admit": politeness_admit,
     "politeness_admit_hot": politeness_admit_hot,
+    "politeness_redirects": politeness_redirects,
     "politeness_schedule": politeness_schedule,
     "politeness_schedule_hot": politeness_schedule_hot,
     "crawl_outcomes": crawl_outcomes,
@@ -267,6 +277,27 @@ SELECT md5(link) AS url_key FROM page_links UNION SELECT md5(regexp_replace(link
     ),
     "politeness_admit": _admit("user_id", PERIOD),
     "politeness_admit_hot": _admit("event_type", HOT_PERIOD),
+    # One event after the other, ten neighbours at a time; `held` has the last hold of each of the ten.
+    "politeness_redirects": f"""
+WITH RECURSIVE numbered AS (
+  SELECT event_id AS arrival_id, user_id, user_id // 10 AS ten, user_id % 10 AS own,
+         CASE WHEN event_id % 3 = 0 THEN (user_id + event_id) % 10 ELSE user_id % 10 END AS other, epoch_us(ts) AS us,
+         row_number() OVER (PARTITION BY user_id // 10 ORDER BY ts, props, event_id) AS n
+  FROM events
+),
+walk AS (
+  SELECT ten, 0::BIGINT AS n, -1::BIGINT AS arrival_id, false AS admitted,
+         list_transform(range(0, 10), lambda i: -{PERIOD * 10**6}::BIGINT * 1000000) AS held
+  FROM (SELECT DISTINCT ten FROM numbered)
+  UNION ALL
+  SELECT ten, n, arrival_id, ok,
+         CASE WHEN ok THEN list_transform(held, lambda h, i: CASE WHEN i - 1 = own OR i - 1 = other THEN us ELSE h END)
+              ELSE held END
+  FROM (SELECT w.ten, e.n, e.arrival_id, e.own, e.other, e.us, w.held, e.us >= w.held[e.own + 1] + {PERIOD * 10**6} AS ok
+        FROM walk w JOIN numbered e ON e.ten = w.ten AND e.n = w.n + 1)
+)
+SELECT arrival_id, user_id::VARCHAR AS domain, w.admitted
+FROM walk w JOIN numbered USING (arrival_id) WHERE w.n > 0""",
     "politeness_schedule": _schedule("user_id", PERIOD),
     "politeness_schedule_hot": _schedule("event_type", HOT_PERIOD),
     "crawl_outcomes": sql.with_ctes(
