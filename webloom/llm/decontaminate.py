@@ -4,7 +4,7 @@ A mask looks at some of the next tokens and ignores the others, so a replaced to
 The hashes of all masks at all places are taken of test items and of training documents; equal hashes give a pair and
 an alignment, and the alignment is verified token by token: a pair counts as an overlap if some stretch of LEAST_TOKENS
 aligned tokens or more (or the whole item, if it is shorter) is equal in LEAST_EQUAL of its places or more. The masks
-hit every such stretch but one: 15 tokens of which exactly every fourth is replaced.
+hit every such stretch.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ MASKS = {
     10: ("111011", "11010011", "11111"),
     11: ("1110111", "111001011", "1011111", "111111"),
     12: ("11101011", "101100111", "111111"),
-    LEAST_TOKENS: ("1111011", "110100010011", "11001111", "111111"),
+    LEAST_TOKENS: ("1111011", "110100010011", "11001111", "111111", "1110111"),
 }
 ALL_MASKS = sorted({mask for masks in MASKS.values() for mask in masks})
 BITS_PER_SEED, MOST_BITS, PROBES = 128, 27, 4  # pre-filter: bits per hash, at most 2**27 (16 MB)
