@@ -23,6 +23,7 @@ PROBES = 2  # slots of an n-gram
 LENGTHS = (3, 4)
 TRAIN_PER_LANGUAGE = 3000  # labelled documents of each language that training uses (expected number)
 LEAST_SHARE = 0.02  # a language contains an n-gram that stands in this share of its documents,
+SMOOTHING = 10  # documents added to those of a language when shares are taken, so that few documents prove little
 RELATIVE_SHARE = 0.25  # and in this share of the largest such share of any language
 UNKNOWN = "und"
 
@@ -92,11 +93,14 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     if not names:
         return empty
     numbers = {name: i for i, name in enumerate(names)}
-    most = labelled.sparkSession.createDataFrame(
-        [(n, i, TRAIN_PER_LANGUAGE / counts[n]) for n, i in numbers.items()], "lang string, number int, share double"
-    )
-    share = F.pmod("key", F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.join(most, "lang").filter(share < F.col("share")).select("text", "number")
+    # Number and share of each language are constants of the plan: the texts are not shuffled to meet them.
+    constants = F.create_map(
+        *(part for n, i in numbers.items()
+          for part in (F.lit(n), F.struct(F.lit(i).alias("number"), F.lit(TRAIN_PER_LANGUAGE / counts[n]).alias("share"))))
+    )
+    own = F.element_at(constants, F.col("lang"))
+    drawn = F.pmod("key", F.lit(1 << 30)) / float(1 << 30)
+    sample = rows.filter(drawn < own["share"]).select("text", own["number"].alias("number"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         table = np.unpackbits(letters).astype(bool)
@@ -121,8 +125,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
 
     seen = map_batches(sample, work, "gram long, number int, n long").groupBy("gram", "number").agg(F.sum("n").alias("n"))
     used = sample.groupBy("number").agg(F.count("*").alias("docs"))
-    rated = seen.join(F.broadcast(used), "number").withColumn("rate", F.col("n") / F.col("docs"))  # a row per language
-    rated = rated.filter((F.col("rate") >= LEAST_SHARE) & (F.col("n") >= 2) | (F.col("docs") < 2 / LEAST_SHARE))
+    rated = seen.join(F.broadcast(used), "number").withColumn("rate", F.col("n") / (F.col("docs") + SMOOTHING))  # a row per language
+    rated = rated.filter(F.col("rate") >= LEAST_SHARE)
     best = F.max("rate").over(Window.partitionBy("gram"))
     kept = rated.withColumn("best", best).filter(F.col("rate") >= RELATIVE_SHARE * F.col("best"))
     places = F.array(
