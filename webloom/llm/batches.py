@@ -136,15 +136,25 @@ def slices(strings: list[str], limit: int = 1 << 20, most: int = 512) -> Iterato
 
 
 def shared_output(spark, name: str) -> str:
-    """A new folder for files, below the one that the cluster shares."""
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder for files, below the one that the cluster shares, with the scheme that Spark itself would use."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+# Schemes of Hadoop's file systems and what pyarrow calls the same store.
+STORES = {"s3a": "s3", "s3n": "s3"}
 
 
 def filesystem(path: str):
-    """(file system, path on it) for any address that pyarrow knows; plain paths are local."""
+    """(file system, path on it) for an address with a scheme; one without is refused, since it could be any store's."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        raise ValueError(f"{path} does not say on which file system it is")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"{STORES.get(scheme, scheme)}:{rest}")
 
 
 def share(spark, value):

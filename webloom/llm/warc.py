@@ -4,7 +4,8 @@ Each record is a gzip member of its own. A record's block is checked against WAR
 payload for revisits, which carry none). The reader goes from member to member; where a check fails (bad gzip member,
 bad checksum, bad version line, header or digest) it searches the bytes for the next place that starts a valid record
 - a gzip member that opens with a version line, or a bare version line in an uncompressed archive -, goes on there,
-and reports the bytes between as a quarantined gap.
+and reports the bytes between as a quarantined gap. Inside a member with several records it does the same, and what a
+damaged member gives before the damage is kept.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 ROLL_BYTES = 32 << 20  # an archive is closed when it is larger
 FEED_BYTES = 1 << 14
 FLUSH_BYTES = 8 << 20  # payloads per batch of result rows
-HEADER_BYTES = 1 << 20  # longer headers are taken for damage where a search for the next record finds a version line
 
 
 def digest(payload: bytes) -> str:
@@ -60,34 +60,47 @@ class BadRecord(Exception):
     pass
 
 
-def parse(data: bytes, at: int = 0, most: int | None = None) -> tuple[dict[str, str], bytes, int]:
-    """Headers (lower-case names, `most` bytes if given), block and end of the record at `at`; raises BadRecord."""
+def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+    """Headers (lower-case names), block and end of the record at `at`; raises BadRecord.
+
+    Lines are read one by one, so what is no record ends at its first line that is no header.
+    """
     if not data.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n"), at):
         raise BadRecord("no version line")
-    end = data.find(b"\r\n\r\n", at, len(data) if most is None else at + most)
-    if end < 0:
-        raise BadRecord("headers without an end")
-    headers = {}
-    for line in data[at:end].split(b"\r\n")[1:]:
+    headers, begin = {}, at + 10
+    while (end := data.find(b"\r\n", begin)) != begin:
+        line = data[begin:end] if end > 0 else b""
         name, colon, value = line.partition(b":")
         if not colon:
-            raise BadRecord("a header without a colon")
+            raise BadRecord("headers without an end" if end < 0 else "a header without a colon")
         headers[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+        begin = end + 2
     size = headers.get("content-length", "")
     if not (size.isascii() and size.isdigit()):
         raise BadRecord("no content length")
-    begin = end + 4
+    begin += 2
     stop = begin + int(size)
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise BadRecord("the block does not end where its length says")
     block = data[begin:stop]
     stated = headers.get("warc-payload-digest")
-    if stated and headers.get("warc-type") != "revisit":
-        if stated.removeprefix("sha1:").upper() != digest(payload_of(headers, block)):
-            raise BadRecord("the payload digest differs")
+    if stated and headers.get("warc-type") != "revisit" and not agrees(stated, payload_of(headers, block)):
+        raise BadRecord("the payload digest differs")
     return headers, block, stop + 4
 
 
+def agrees(stated: str, payload: bytes) -> bool:
+    """Whether a stated digest (`algorithm:value`, in base32 or hexadecimal) is that of the payload; one that cannot be
+    computed here proves nothing and is accepted. A bare value is taken for SHA-1."""
+    name, colon, value = stated.rpartition(":")
+    name = name.strip().lower().replace("-", "") if colon else "sha1"
+    if name not in hashlib.algorithms_guaranteed or name.startswith("shake"):
+        return True
+    found = hashlib.new(name, payload, usedforsecurity=False).digest()
+    value = value.strip()
+    return value.lower() == found.hex() or value.upper().rstrip("=") == base64.b32encode(found).decode().rstrip("=")
+
+
 def payload_of(headers: dict[str, str], block: bytes) -> bytes:
     """The block without its HTTP headers, if it has some."""
     if headers.get("content-type", "").replace(" ", "").startswith("application/http;"):
@@ -95,19 +108,44 @@ def payload_of(headers: dict[str, str], block: bytes) -> bytes:
     return block
 
 
-def read_member(data: bytes, at: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at `at`; raises BadRecord."""
-    unpack, parts = zlib.decompressobj(31), []
-    try:
-        while not unpack.eof:
-            if at >= len(data):
-                raise BadRecord("the member is cut off")
-            piece = data[at : at + FEED_BYTES]
+def read_member(data: bytes, at: int) -> tuple[bytes, int | None, str]:
+    """What the gzip member at `at` decompresses to, and its end; of a damaged one what precedes the damage, None and
+    the reason."""
+    unpack, parts, step = zlib.decompressobj(31), [], FEED_BYTES
+    while not unpack.eof:
+        if at >= len(data):
+            return b"".join(parts), None, "the member is cut off"
+        before, piece = unpack.copy(), data[at : at + step]
+        try:
             parts.append(unpack.decompress(piece))
-            at += len(piece)
-    except zlib.error as error:
-        raise BadRecord(str(error)) from None
-    return b"".join(parts), at - len(unpack.unused_data)
+        except zlib.error as error:
+            if step == 1:
+                return b"".join(parts), None, str(error)
+            unpack, step = before, 1  # byte by byte up to the damage
+            continue
+        at += len(piece)
+    return b"".join(parts), at - len(unpack.unused_data), ""
+
+
+def read_records(plain: bytes) -> Iterator[tuple[int, int, tuple[dict[str, str], bytes] | str]]:
+    """What the content of a member holds, in order: start, end and (headers, block), or a reason where bytes are lost."""
+    at, gap, why = 0, None, ""
+    while at < len(plain):
+        try:
+            headers, block, end = parse(plain, at)
+        except BadRecord as error:
+            if gap is None:
+                gap, why = at, str(error)
+            at = plain.find(b"WARC/1.", at + 1)
+            at = len(plain) if at < 0 else at
+            continue
+        if gap is not None:
+            yield gap, at, why
+            gap = None
+        yield at, end, (headers, block)
+        at = end
+    if gap is not None:
+        yield gap, len(plain), why
 
 
 def next_start(data: bytes, at: int) -> int:
@@ -118,36 +156,42 @@ def next_start(data: bytes, at: int) -> int:
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str] | None, bytes, str]]:
     """All that an archive holds, in order: ("record", start, end, headers, block, "") and quarantined
-    ("gap", start, end, None, b"", reason). Records and gaps cover the archive without overlap.
+    ("gap", start, end, None, b"", reason).
 
-    A valid place is one whose record passes all checks; a member with several records gives them all. Empty input
-    gives nothing.
+    A valid place is one whose record passes all checks. Of a gzip member with several records, damaged ones are left out
+    and the others kept; the member's place stands for all of them, and the reason says which bytes of its content are
+    lost. Of a member that is cut off or fails its checksum the records before the damage are kept, and the gap spans from
+    its start to the next valid place. Empty input gives nothing.
     """
     at, gap, why = 0, None, ""
     while at < len(data):
-        try:
-            if data.startswith(GZIP_MAGIC, at):
-                plain, end = read_member(data, at)
-                found, inner = [], 0
-                while inner < len(plain):
-                    headers, block, inner = parse(plain, inner)
-                    found.append((headers, block))
-                if not found:
-                    raise BadRecord("an empty member")
-            else:
-                headers, block, end = parse(data, at, None if gap is None else HEADER_BYTES)
-                found = [(headers, block)]
-        except BadRecord as error:
-            if gap is None:
-                gap, why = at, str(error)
-            at = next_start(data, at + 1)
-            continue
-        if gap is not None:
+        found: list[tuple[int, int, tuple[dict[str, str], bytes] | str]] = []
+        if data.startswith(GZIP_MAGIC, at):
+            plain, end, reason = read_member(data, at)
+            found = list(read_records(plain))
+            if not any(isinstance(what, tuple) for _, _, what in found):
+                end, reason = None, reason or (found[0][2] if found else "an empty member")
+        else:
+            try:
+                headers, block, end = parse(data, at)
+                found, reason = [(at, end, (headers, block))], ""
+            except BadRecord as error:
+                end, reason = None, str(error)
+        records = [what for _, _, what in found if isinstance(what, tuple)]
+        if gap is not None and (end is not None or records):
             yield "gap", gap, at, None, b"", why
             gap = None
-        for headers, block in found:
-            yield "record", at, end, headers, block, ""
-        at = end
+        if end is None and gap is None:
+            gap, why = at, reason
+        for first, last, what in found if end is not None else ():
+            if isinstance(what, str):
+                yield "gap", at, end, None, b"", f"bytes {first} to {last} of the member: {what}"
+            else:
+                yield "record", at, end, *what, ""
+        if end is None:
+            for headers, block in records:
+                yield "record", at, at, headers, block, ""
+        at = next_start(data, at + 1) if end is None else end
     if gap is not None:
         yield "gap", gap, len(data), None, b"", why
 
