@@ -1,3 +1,4 @@
+import json
 import math
 from collections import Counter
 
@@ -75,3 +76,37 @@ def test_profile_files(spark, profile, tmp_path):
     assert sorted(read_profiles(spark, str(tmp_path / "files")).collect()) == sorted(profile.collect())
     (tmp_path / "one").write_text('{"freq": {"a": 3,\n " b": 2},\n "n_words": [3, 2, 0], "name": "xx"}')
     assert sorted(read_profiles(spark, str(tmp_path / "one")).collect()) == [("xx", 1, "a", 3), ("xx", 2, " b", 2)]
+
+
+def test_profile_files_replace_each_other(spark, tmp_path):
+    """Odd codes and grams survive; languages of an earlier write go; nothing but the files is left."""
+    path = str(tmp_path / "files")
+    schema = "lang string, n int, gram string, cnt long"
+    write_profiles(spark.createDataFrame([("old", 1, "a", 1)], schema), path)
+    rows = [("../x", 1, '"', 2), ("../x", 2, "é\\", 3), ("de", 1, "a", 2**40), ("de", 3, " ab", 1)]
+    write_profiles(spark.createDataFrame([*rows, (None, 1, "z", 1)], schema), path)
+    assert sorted(tuple(r) for r in read_profiles(spark, path).collect()) == sorted(rows)
+    assert sorted(p.name for p in (tmp_path / "files").iterdir()) == ["%2E%2E%2Fx.json", "de.json"]
+    one = json.loads((tmp_path / "files" / "de.json").read_text())
+    assert one == {"freq": {"a": 2**40, " ab": 1}, "n_words": [2**40, 0, 1], "name": "de"}
+
+
+def test_profile_writer_holds_one_gram(tmp_path):
+    """Memory does not grow with the language: 400,000 grams pass through a writer below 4 MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from webloom.sources.profiles import ProfileWriter
+
+    def batches():
+        for at in range(0, 400_000, 1000):
+            grams = [f"{i:06d}"[:3] + chr(0x4E00 + i % 1000) for i in range(at, at + 1000)]
+            yield pa.record_batch({"lang": ["xx"] * 1000, "n": [3] * 1000, "gram": grams, "cnt": [1] * 1000})
+
+    tracemalloc.start()
+    writer = ProfileWriter(f"file:{tmp_path}", True)
+    writer.commit([writer.write(batches())])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20 and (tmp_path / "xx.json").stat().st_size > 4_000_000

@@ -268,8 +268,19 @@ SELECT DISTINCT dst AS url, md5(dst) AS url_key FROM page_anchors WHERE md5(dst)
     "frontier_rejects": sql.with_ctes(
         *sql.TO_ACCEPTED_ANCHORS,
         _FOUND,
-        select="""
-SELECT 'kept' AS reason, count(*) AS n FROM found UNION ALL SELECT 'no_domain', count(*) FROM found""",
+        rf"""
+addresses AS (
+  SELECT link AS url FROM found
+  UNION ALL SELECT regexp_extract(link, '^\w+://[^/?#]*?(\w+)(?:[/?#]|$)', 1) FROM found
+),
+hosts AS (
+  SELECT regexp_extract(lower(CASE WHEN regexp_matches(url, '^\w+://.+') THEN url ELSE 'http://' || url END),
+                        '^\w+://([^/?#:]*)', 1) AS host FROM addresses
+)""",
+        select=f"""
+SELECT CASE WHEN host = '' THEN 'malformed_url' WHEN {sql.domain_of_host('host')} IS NULL THEN 'no_domain' ELSE 'kept' END
+       AS reason, count(*) AS n
+FROM hosts GROUP BY 1""",
     ),
     "visited_update": sql.with_ctes(
         *sql.TO_PAGE_LINKS, select="""

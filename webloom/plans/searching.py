@@ -109,9 +109,15 @@ def search_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def search_hits(spark: SparkSession, folder: str) -> DataFrame:
-    shaped = search.shape_hits(_marked(spark, folder, PLAIN))
-    no_tags = F.col("tags").isNull().alias("no_tags")
-    return shaped.select("query_id", "rank_no", "title", "link", "full_text", "rank", no_tags)
+    """Every other hit has a rank and tags of its own, made from its document: the others get what a missing one gets."""
+    own = F.col("rank_no") % 2 == 1
+    marked = _marked(spark, folder, PLAIN).withColumn("page_rank", F.when(own, F.length("title") / 4))
+    marked = marked.withColumn("tags", F.when(own, F.regexp_replace("title", " ", ",")))
+    shaped = search.shape_hits(marked)
+    return shaped.select(
+        "query_id", "rank_no", "title", "link", "full_text", "rank", F.size("tags").alias("n_tags"),
+        F.get("tags", F.lit(1)).alias("second_tag"),
+    )
 
 
 def export_hits_json(spark: SparkSession, folder: str) -> DataFrame:
@@ -491,7 +497,10 @@ SELECT r.query_id, r.rank_no, d.link,
     "search_hits": sql.with_ctes(
         *_PLAIN_HITS,
         select=f"""
-SELECT query_id, rank_no, title, link, text AS full_text, 1.0::DOUBLE AS rank, true AS no_tags {_RANKED_DOCS}""",
+SELECT query_id, rank_no, title, link, text AS full_text,
+       CASE WHEN rank_no % 2 = 1 THEN length(title) / 4.0 ELSE 1.0 END::DOUBLE AS rank,
+       CASE WHEN rank_no % 2 = 1 THEN len(string_split(title, ' ')) END::INTEGER AS n_tags,
+       CASE WHEN rank_no % 2 = 1 THEN string_split(title, ' ')[2] END AS second_tag {_RANKED_DOCS}""",
     ),
     "export_hits_json": sql.with_ctes(
         *_PLAIN_HITS,
