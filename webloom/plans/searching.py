@@ -499,8 +499,8 @@ SELECT r.query_id, r.rank_no, d.link,
         select=f"""
 SELECT query_id, rank_no, title, link, text AS full_text,
        CASE WHEN rank_no % 2 = 1 THEN length(title) / 4.0 ELSE 1.0 END::DOUBLE AS rank,
-       CASE WHEN rank_no % 2 = 1 THEN len(string_split(title, ' ')) END::INTEGER AS n_tags,
-       CASE WHEN rank_no % 2 = 1 THEN string_split(title, ' ')[2] END AS second_tag {_RANKED_DOCS}""",
+       CASE WHEN rank_no % 2 = 1 THEN len(string_split(replace(title, ' ', ','), ',')) END::INTEGER AS n_tags,
+       CASE WHEN rank_no % 2 = 1 THEN string_split(replace(title, ' ', ','), ',')[2] END AS second_tag {_RANKED_DOCS}""",
     ),
     "export_hits_json": sql.with_ctes(
         *_PLAIN_HITS,
