@@ -139,3 +139,33 @@ def test_group_structure(spark):
         ("or", ["c", "d"], 3, ["or"], 0),
         ("or", ["e"], None, [], 2),
     ]
+
+
+def test_blocks_that_cannot_matter_are_skipped(spark):
+    """The best hits are those of a full evaluation, ties and excluded words included, from fewer postings."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    rows = [
+        (str(i), r.choice(["en", "es"]), " ".join(r.choices(words, [1 / (k + 1) for k in range(30)], k=r.choice([3, 9, 40, 200, 500]))))
+        for i in range(1500)
+    ]
+    sites = spark.createDataFrame(rows, "id string, language string, text string").select(
+        "id", "language", F.lit("x.com").alias("domain"), F.substring_index("text", " ", 2).alias("title"), "text",
+        F.lit("").alias("keywords"),
+    )
+    postings = search.postings(sites, 20).cache()
+    stats = search.field_stats(sites).cache()
+    full = search.Index(sites, postings, search.dictionary(postings).cache(), stats, search.title_grams(sites))
+    index = full._replace(blocks=search.block_bounds(postings, stats).cache())
+    queries = ["w0 w1", "w7", "w29 w28", "w3 w3 w4-w5", "w2 -w1", "w6 +w1", "nothing", "w0 (w1 | w9)", '"w0 w0"', "w1 domain:x.com"]
+    asked = spark.createDataFrame([(i, q, "en") for i, q in enumerate(queries)], "query_id int, query string, lang string")
+    got, want = ({tuple(x) for x in search.search(asked, i).collect()} for i in (index, full))
+    assert got == want and len({x[0] for x in got}) == 9
+    parsed = search.parse_queries(asked)
+    split = search.clauses(parsed)
+    plain = search.plain_queries(parsed, split)
+    assert sorted(x[0] for x in plain.collect()) == [0, 1, 2, 3, 4, 6]
+    kept = search.reachable_blocks(split.join(plain, "query_id", "left_semi"), parsed, index)
+    rows_scored = {x["query_id"]: x["n"] for x in kept.groupBy("query_id").agg(F.sum("n").alias("n")).collect()}
+    held = {(x["term"]): x["n"] for x in postings.filter("language = 'en'").groupBy("term").agg(F.count("*").alias("n")).collect()}
+    assert rows_scored[0] < 0.75 * (held["w0"] + held["w1"]) and rows_scored[1] < held["w7"]

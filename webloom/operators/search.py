@@ -38,6 +38,7 @@ EXCLUDE_TOKEN = r"^-(\S+)"
 MAX_DISTANCE = 2
 BUCKETS = 16  # parts of the postings of a language
 CLAUSE = r'[+|]?\s*(?:"[^"]*"(?:~\d*)?|[^\s"+|()]+|[()])'
+FIRST_POSTINGS = 100  # per wanted hit, postings in a query's best blocks that are scored before others are left out
 HEAD = 3  # letters under which titles are stored
 COMPLETED = 8  # inputs of one word with up to so many letters are answered from a table
 MOST_SLOP = 1_000_000  # larger distances after a phrase count as this one
@@ -60,24 +61,42 @@ class Index(NamedTuple):
     titles: DataFrame
     deletions: DataFrame | None = None  # of the terms; made from the dictionary for each search if it is not stored
     completions: DataFrame | None = None  # of short inputs; from the titles if it is not stored
+    blocks: DataFrame | None = None  # bounds of the postings' blocks; without them all postings of a term are scored
 
 
 # ---- index ---------------------------------------------------------------------------------------------------------
 
 
-def postings(sites: DataFrame) -> DataFrame:
-    """language, field, term, id, tf, len (number of tokens in that field of that document), positions, bucket of the term.
+def postings(sites: DataFrame, parts: int = 16) -> DataFrame:
+    """language, field, term, id, tf, len (number of tokens in that field of that document), positions, bucket of the term,
+    block of the document.
 
-    Only phrases read the positions; Parquet keeps them in a column of their own.
+    Only phrases read the positions; Parquet keeps them in a column of their own. Documents of about the same length share
+    blocks, `parts` for each length: what a word is worth differs most by length, so blocks differ in their best score.
     """
     fields = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("tokens")) for f in FIELD_BOOSTS])
-    per_field = explode_as(sites.select("language", "id", fields.alias("fields")), "fields", "f").select(
-        "language", "id", "f.field", F.size("f.tokens").alias("len"), term_positions(F.col("f.tokens")).alias("terms")
+    rows = sites.select("language", "id", fields.alias("fields"))
+    size = F.aggregate("fields", F.lit(1), lambda n, f: n + F.size(f["tokens"]))
+    block = F.floor(2 * F.log2(size)).cast("int") * 65536 + F.pmod(F.hash("id"), F.lit(parts))
+    per_field = explode_as(rows.withColumn("block", block), "fields", "f").select(
+        "language", "id", "block", "f.field", F.size("f.tokens").alias("len"),
+        term_positions(F.col("f.tokens")).alias("terms"),
+    )
+    found = explode_as(per_field, "terms", "t").select(
+        "language", "field", "t.term", "id", "t.tf", "len", "t.positions", "block"
     )
-    found = explode_as(per_field, "terms", "t").select("language", "field", "t.term", "id", "t.tf", "len", "t.positions")
     return found.withColumn("bucket", bucket_of(F.col("term")))
 
 
+def block_bounds(index: DataFrame, stats: DataFrame) -> DataFrame:
+    """language, bucket, term, field, block, top, n: the largest share of its idf and boost that a word scores in a block,
+    and the postings there."""
+    rated = index.join(stats.select("language", "field", "avg_len"), ["language", "field"])
+    return rated.groupBy("language", "bucket", "term", "field", "block").agg(
+        F.max(_saturated()).alias("top"), F.count(F.lit(1)).alias("n")
+    )
+
+
 def field_stats(sites: DataFrame) -> DataFrame:
     """language, field, n_docs, avg_len over the documents where the field is not empty; a few rows per language."""
     fields = F.array(
@@ -291,22 +310,31 @@ def clauses(parsed: DataFrame) -> DataFrame:
 _IDF = "ln(1 + (n_docs - df + 0.5D) / (df + 0.5D))"
 
 
+def _saturated() -> Column:
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+
+
 def _relevance(idf: Column) -> Column:
     norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
     return boost(F.col("field")) * idf * F.col("tf") * (K1 + 1) / norm
 
 
-def _bm25(wanted: DataFrame, index: Index) -> DataFrame:
-    """query_id, language, clause, id, score for `wanted(query_id, language, clause, term)`.
-
-    The weights are joined to the query terms first, from the dictionary; the postings are read once.
-    """
-    weights = written(
+def _weights(wanted: DataFrame, index: Index) -> DataFrame:
+    """query_id, language, clause, field, term, avg_len, idf for `wanted(query_id, language, clause, term)`, written."""
+    return written(
         wanted.join(index.terms, ["language", "term"])
         .join(index.stats, ["language", "field"])
         .select("query_id", "language", "clause", "field", "term", "avg_len", F.expr(_IDF).alias("idf")),
         "weights",
     )
+
+
+def _bm25(wanted: DataFrame, index: Index) -> DataFrame:
+    """query_id, language, clause, id, score for `wanted(query_id, language, clause, term)`.
+
+    The weights are joined to the query terms first, from the dictionary; the postings are read once.
+    """
+    weights = _weights(wanted, index)
     return (
         _postings_of(weights, index, "field")
         .select("query_id", "language", "clause", "id", _relevance(F.col("idf")).alias("score"))
@@ -595,12 +623,63 @@ def matches(parsed_clauses: DataFrame, index: Index) -> DataFrame:
     return reduce(DataFrame.unionByName, [m(parsed_clauses, index) for kind, m in by_kind.items() if kind in present])
 
 
+def plain_queries(parsed: DataFrame, split: DataFrame) -> DataFrame:
+    """query_id of the queries that only ask for any of their words, on all hosts."""
+    plain = (F.col("kind") == "terms") & ((F.col("op") == "or") | (F.col("clause") == 0))
+    plain = plain & (F.size("opens") == 0) & (F.col("closes") == 0)
+    asked = split.groupBy("query_id").agg(F.every(plain).alias("plain")).filter("plain")
+    return asked.join(parsed.filter("coalesce(domain, '') = ''"), "query_id", "left_semi").select("query_id")
+
+
+def reachable_blocks(split: DataFrame, parsed: DataFrame, index: Index, size: int = RESULT_SIZE) -> DataFrame:
+    """The words of plain queries and the blocks whose documents can be among the best `size`: query_id, language, field,
+    term, idf, avg_len, block, n.
+
+    A document scores at most what its block allows for the words together. The best blocks of a query, up to
+    FIRST_POSTINGS postings for each hit, are scored first; if they have `size` hits, blocks that cannot reach the last of
+    these are left out.
+    """
+    wanted = split.select("query_id", "language", "clause", F.explode(F.array_distinct("terms")).alias("term"))
+    weights = _weights(wanted, index)
+    asked = weights.withColumn("bucket", bucket_of(F.col("term"))).filter("bucket >= 0")
+    allowed = boost(F.col("field")) * F.col("idf") * F.col("top")
+    bounds = index.blocks.join(asked, ["language", "bucket", "term", "field"]).withColumn("allowed", allowed)
+    bounds = written(bounds, "block-bounds")
+    place = ["query_id", "language", "block"]
+    totals = bounds.groupBy(*place).agg(F.sum("allowed").alias("allowed"), F.sum("n").alias("n"))
+    best_first = Window.partitionBy("query_id").orderBy(F.desc("allowed"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = written(totals.withColumn("before", F.coalesce(F.sum("n").over(best_first), F.lit(0))), "block-totals")
+    first = bounds.drop("allowed").join(totals.filter(F.col("before") < FIRST_POSTINGS * size), place, "left_semi")
+    tried = exclude_terms(scored(first, index), parsed, index)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    least = tried.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") == size)
+    least = written(least.select("query_id", (F.col("score") - 1e-5).alias("least")), "least-scores")
+    kept = totals.join(least, "query_id", "left").filter("least IS NULL OR allowed >= least")
+    return bounds.drop("allowed").join(kept.select(*place), place, "left_semi")
+
+
+def scored(words: DataFrame, index: Index) -> DataFrame:
+    """query_id, language, id, score over the postings of `words` in their blocks."""
+    asked = written(words.drop("top", "n"), "asked-blocks").filter("bucket >= 0")
+    found = index.postings.join(asked, ["language", "bucket", "term", "field", "block"])
+    return found.groupBy("query_id", "language", "id").agg(F.sum(_relevance(F.col("idf"))).alias("score"))
+
+
 def search(queries: DataFrame, index: Index) -> DataFrame:
     """query_id, rank_no, language, id, score for `queries(query_id, query, lang)`."""
     parsed = written(parse_queries(queries), "parsed")
     split = written(clauses(parsed), "clauses")
-    hits = combine(matches(split, index), split)
-    return top_hits(exclude_terms(restrict_domain(hits, parsed, index.sites), parsed, index))
+    if index.blocks is None:
+        hits = combine(matches(split, index), split)
+        return top_hits(exclude_terms(restrict_domain(hits, parsed, index.sites), parsed, index))
+    plain = written(plain_queries(parsed, split), "plain-queries")
+    easy = split.join(plain, "query_id", "left_semi")
+    found = exclude_terms(scored(reachable_blocks(easy, parsed, index), index), parsed, index)
+    others = written(split.join(plain, "query_id", "left_anti"), "other-clauses")
+    if not others.isEmpty():
+        hits = combine(matches(others, index), others)
+        found = found.unionByName(exclude_terms(restrict_domain(hits, parsed, index.sites), parsed, index))
+    return top_hits(found)
 
 
 # ---- presentation --------------------------------------------------------------------------------------------------

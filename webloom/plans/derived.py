@@ -15,6 +15,8 @@ from webloom.operators import documents, extract, language, links, search
 from webloom.session import write_scratch
 from webloom.sources.tables import read_table, spread
 
+DOCUMENTS_PER_PART = 3000  # over the lengths of documents, a block of the search index has a tenth of it or so
+
 _stored: dict[tuple[str, str, int, str], tuple[str, T.StructType]] = {}
 
 
@@ -112,8 +114,9 @@ def postings(spark: SparkSession, folder: str) -> DataFrame:
     """
 
     def build() -> DataFrame:
-        index = search.postings(spread(indexed_sites(spark, folder)))
-        order = ("language", "bucket", "term", "field", "id")
+        found = indexed_sites(spark, folder)
+        index = search.postings(spread(found), max(16, found.count() // DOCUMENTS_PER_PART))
+        order = ("language", "bucket", "term", "field", "block", "id")
         return index.repartitionByRange(*order).sortWithinPartitions(*order)
 
     return stored(spark, folder, "postings", build, "language", "bucket")
@@ -129,6 +132,7 @@ def search_index(spark: SparkSession, folder: str) -> search.Index:
     """The stored tables a search reads."""
     documents_table, index = indexed_sites(spark, folder), postings(spark, folder)
     terms = stored(spark, folder, "terms", lambda: search.dictionary(index))
+    stats = stored(spark, folder, "field_stats", lambda: search.field_stats(documents_table))
 
     def kept(name: str, build: Callable[[], DataFrame], *order: str) -> DataFrame:
         return stored(spark, folder, name, lambda: _by_bucket(build(), *order), "language", "bucket")
@@ -138,8 +142,9 @@ def search_index(spark: SparkSession, folder: str) -> search.Index:
         documents_table,
         index,
         terms,
-        stored(spark, folder, "field_stats", lambda: search.field_stats(documents_table)),
+        stats,
         titles,
         kept("deletions", lambda: search.deletion_index(terms), "key", "term"),
         kept("completions", lambda: search.completions(titles), "prefix", "at"),
+        kept("block_bounds", lambda: search.block_bounds(index, stats), "term", "field", "block"),
     )

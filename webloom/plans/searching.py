@@ -67,7 +67,7 @@ def _run(spark: SparkSession, folder: str, rows: list[Row]) -> DataFrame:
 
 
 def search_postings(spark: SparkSession, folder: str) -> DataFrame:
-    return search.postings(indexed_sites(spark, folder)).drop("bucket")
+    return search.postings(indexed_sites(spark, folder)).drop("bucket", "block")
 
 
 def search_stats(spark: SparkSession, folder: str) -> DataFrame:
