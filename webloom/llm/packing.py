@@ -260,7 +260,7 @@ def pieces(
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, Plan]:
-    """The rows of `found` with sequence_id and offset, and the plan. Lengths are 1 to `capacity`.
+    """The rows of `found` with sequence_id and offset, and the plan. Lengths are 1 to `capacity`, which is below 32,768.
 
     `task` and `rank` number the rows of a length within a task. `found` must give the same rows whenever it is read.
     """

@@ -149,15 +149,21 @@ def spectrum(centred: np.ndarray, divisor: int) -> tuple[np.ndarray, np.ndarray]
     """
     rough = (centred / divisor).astype(float)
     _, u = np.linalg.eigh(rough)
-    turned = np.array([[int(round(v * (1 << 53))) for v in row] for row in u.tolist()], object) * (1 << 7)
+    turned = fixed(u, 60)
     exact = turned.T.dot(centred).dot(turned)
     e, turn = diagonal((exact / (divisor << 120)).astype(float))
-    u = u @ turn
+    # Small parts of a vector count where a dimension is large, so they are right relative to their own size too.
+    u = (turned.dot(fixed(turn, 100)) / (1 << 160)).astype(float)
     u /= np.linalg.norm(u, axis=0)
     order = np.argsort(-e, kind="stable")
     return e[order], u[:, order]
 
 
+def fixed(values: np.ndarray, bits: int) -> np.ndarray:
+    """Values times 2**bits, cut to integers of any size."""
+    return np.array([[int(v * 2.0**bits) for v in row] for row in values.tolist()], object)
+
+
 def whitened(model: Model, x: np.ndarray) -> np.ndarray:
     return ((x - model.low).astype(float) - model.mean) @ model.axes
 
