@@ -312,6 +312,37 @@ def test_repeated_bytes(docs, none, monkeypatch, hot):
     assert repeated_bytes.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("hot", [15, 0])
+def test_repeated_bytes_of_rows_with_one_id(spark, monkeypatch, hot):
+    """Each row of an id loses what its own text repeats, nothing at the places of another one; copies of rows stay rows."""
+    monkeypatch.setattr(repeated_bytes, "HOT_SEGMENTS", hot)
+    passage, other = prose(60, 2), prose(70, 21)
+    rows = [
+        (1, passage), (2, passage + prose(40, 22)), (2, other), (2, other), (2, passage), (3, prose(5, 23) + other[50:]),
+        (3, other), (3, None), (3, ""), (4, passage[80:200] + prose(20, 24)), (4, prose(60, 25)),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert rows_of(repeated_bytes.remove_repeats(docs), *names) == ordered(repeats(rows))
+
+
+def test_suffixes_of_names():
+    """The recursive step on its own: alphabets of any size, runs, periods, and sequences that need several levels."""
+    from webloom.llm.suffix_sort import _sorted_names
+
+    r = np.random.default_rng(3)
+    cases = [r.integers(0, r.integers(1, 9), r.integers(1, 90)) for _ in range(300)]
+    cases += [np.zeros(500, int), np.tile([0, 1], 300), np.tile([1, 0, 2, 0], 150), np.arange(400), np.arange(400)[::-1]]
+    cases += [np.tile(r.integers(0, 900, 60), 8), np.append(np.tile([2, 1, 2, 0, 1], 90), [1, 0])]
+    word = np.array([0])
+    for _ in range(10):
+        word = np.concatenate((word, 1 - word))  # no three equal stretches in a row
+    for case in [*cases, word]:
+        _, names = np.unique(case, return_inverse=True)
+        letters = names.tolist()
+        assert _sorted_names(names).tolist() == sorted(range(len(letters)), key=lambda i: letters[i:])
+
+
 def test_suffix_arrays():
     from webloom.llm.suffix_sort import suffix_array
 

@@ -35,6 +35,7 @@ CHUNK_BYTES = 6 << 20  # text whose anchors a task puts together before it sends
 FILTER_BITS, MOST_FILTER_BITS, PROBES = 24, 28, 3
 _BASE = 0x9E3779B97F4A7C55
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_ROW = ("id", "copy")  # a document and the hash of its text: rows of one id with other texts have spans of their own
 _NAMELESS = (1 << 63) - (1 << 41)  # from here on numbers stand for documents without an id, which come after all others
 
 
@@ -114,13 +115,14 @@ def parts_of(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], limit: int = 1 << 18) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """(ids, texts as bytes) of some consecutive rows at a time."""
+def pieces(batches: Iterator[pa.RecordBatch], limit: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """(ids, hashes of texts, texts as bytes) of some consecutive rows at a time."""
     for part in parts_of(batches):
         ids = np.array(part.column("id"), np.int64)
+        copy = np.array(part.column("copy"), np.int64)
         raw = [x or b"" for x in part.column("raw").to_pylist()]
         for first, last in chunks(raw, limit):
-            yield ids[first:last], raw[first:last]
+            yield ids[first:last], copy[first:last], raw[first:last]
 
 
 def shared_anchors(rows: DataFrame, bits: int) -> DataFrame:
@@ -142,7 +144,7 @@ def shared_anchors(rows: DataFrame, bits: int) -> DataFrame:
             parts = np.append(cuts, len(value))
             return {"bucket": bucket[cuts], "anchors": [packed(value[a:b]) for a, b in zip(parts[:-1], parts[1:])]}
 
-        for ids, raw in pieces(batches):
+        for ids, _, raw in pieces(batches):
             data, offsets = concatenated(raw)
             document, _, _, _, anchor = window_anchors(data, offsets)
             if len(anchor):
@@ -228,11 +230,11 @@ def _probes(anchor: np.ndarray, part: int) -> Iterator[np.ndarray]:
 
 
 def segments(rows: DataFrame, allowed: AnchorFilter) -> DataFrame:
-    """id, start, windows, anchor, context (hash of the segment and of its anchor's place in it) of shared anchors."""
+    """id, copy, start, windows, anchor, context (hash of the segment and of its anchor's place in it) of shared anchors."""
     shared = share(rows.sparkSession, allowed)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for ids, raw in pieces(batches):
+        for ids, copy, raw in pieces(batches):
             data, offsets = concatenated(raw)
             document, first, count, place, anchor = window_anchors(data, offsets)
             keep = held(shared).passes(anchor)
@@ -241,11 +243,11 @@ def segments(rows: DataFrame, allowed: AnchorFilter) -> DataFrame:
                 continue
             context = _context(data, first, count, place)
             yield {
-                "id": ids[document], "start": first - offsets[document], "windows": count,
+                "id": ids[document], "copy": copy[document], "start": first - offsets[document], "windows": count,
                 "anchor": anchor.view(np.int64), "context": context.view(np.int64),
             }
 
-    return map_batches(rows, work, "id long, start int, windows int, anchor long, context long")
+    return map_batches(rows, work, "id long, copy long, start int, windows int, anchor long, context long")
 
 
 def _context(data: np.ndarray, first: np.ndarray, count: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -258,7 +260,7 @@ def texts_of_segments(rows: DataFrame, wanted: AnchorFilter) -> DataFrame:
     shared = share(rows.sparkSession, wanted)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for ids, raw in pieces(batches, 1 << 19):
+        for ids, _, raw in pieces(batches, 1 << 19):
             data, offsets = concatenated(raw)
             document, first, count, place, anchor = window_anchors(data, offsets)
             keep = held(shared).passes(anchor)
@@ -340,11 +342,11 @@ def sorted_shards(parts: DataFrame) -> DataFrame:
 
 
 def windows_of(rows: DataFrame, wanted: AnchorFilter) -> DataFrame:
-    """id, start, window_a, window_b (hashes) of every window of the wanted anchors."""
+    """id, copy, start, window_a, window_b (hashes) of every window of the wanted anchors."""
     shared = share(rows.sparkSession, wanted)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for ids, raw in pieces(batches):
+        for ids, copy, raw in pieces(batches):
             data, offsets = concatenated(raw)
             document, first, count, _, anchor = window_anchors(data, offsets)
             keep = held(shared).passes(anchor)
@@ -354,12 +356,12 @@ def windows_of(rows: DataFrame, wanted: AnchorFilter) -> DataFrame:
             begin = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
             owner = np.repeat(document, count)
             yield {
-                "id": ids[owner], "start": begin - offsets[owner],
+                "id": ids[owner], "copy": copy[owner], "start": begin - offsets[owner],
                 "window_a": segment_hashes(data, begin, begin + WINDOW).view(np.int64),
                 "window_b": np.repeat(anchor, count).view(np.int64),
             }
 
-    return map_batches(rows, work, "id long, start int, window_a long, window_b long")
+    return map_batches(rows, work, "id long, copy long, start int, window_a long, window_b long")
 
 
 def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -371,36 +373,38 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def spans_per_document(ranges: DataFrame) -> DataFrame:
-    """id, spans (begin and end of maximal runs, one after the other) from (id, begin, end)."""
+    """id, copy, spans (begin and end of maximal runs, one after the other) from (id, copy, begin, end)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         key, held_begin, held_end = None, [], []
-        out: dict[str, list] = {"id": [], "spans": []}
+        out: dict[str, list] = {"id": [], "copy": [], "spans": []}
 
         def close() -> None:
             begin, end = merged(np.concatenate(held_begin), np.concatenate(held_end))
-            out["id"].append(key)
+            out["id"].append(key[0])
+            out["copy"].append(key[1])
             out["spans"].append(np.stack((begin, end), 1).ravel())
 
         for batch in batches:
-            ids, begin, end = (np.array(batch.column(c), np.int64) for c in ("id", "begin", "end"))
-            cuts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])).tolist() + [len(ids)]
+            ids, copy, begin, end = (np.array(batch.column(c), np.int64) for c in ("id", "copy", "begin", "end"))
+            new = np.append(True, (ids[1:] != ids[:-1]) | (copy[1:] != copy[:-1]))
+            cuts = np.flatnonzero(new).tolist() + [len(ids)]
             for a, b in zip(cuts, cuts[1:]):
-                if ids[a] != key:
+                if (ids[a], copy[a]) != key:
                     if held_begin:
                         close()
-                    key, held_begin, held_end = int(ids[a]), [], []
+                    key, held_begin, held_end = (int(ids[a]), int(copy[a])), [], []
                 held_begin.append(begin[a:b])
                 held_end.append(end[a:b])
             if len(out["id"]) > 2000:
                 yield out
-                out = {"id": [], "spans": []}
+                out = {"id": [], "copy": [], "spans": []}
         if held_begin:
             close()
         yield out
 
-    dealt = ranges.repartition(partitions(ranges), "id").sortWithinPartitions("id")
-    return map_batches(dealt, work, "id long, spans array<int>")
+    dealt = ranges.repartition(partitions(ranges), "id", "copy").sortWithinPartitions("id", "copy")
+    return map_batches(dealt, work, "id long, copy long, spans array<int>")
 
 
 def kept_bytes(docs: DataFrame) -> DataFrame:
@@ -430,9 +434,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A byte goes if a string of 50 bytes that covers it also starts in a document with a smaller id, as both stand in the
     input. Null texts are empty; rows with equal ids remove nothing from each other; documents without an id come after
-    all others and remove nothing from each other. Rows that repeat an id with another text are one document that has
-    the windows of both, so a place that one of them loses is lost at the same offset in the other. Repeated rows are
-    all returned; an empty table gives an empty one.
+    all others and remove nothing from each other. Rows that repeat an id with another text are judged one by one: each
+    loses what its own text repeats of smaller ids. Repeated rows are all returned; an empty table gives an empty one.
 
     Whole copies of an earlier document are settled by a digest and don't go on. Anchors with very many different
     segments don't form a shard: their windows are grouped one by one, with partial aggregation.
@@ -441,17 +444,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     rows = docs.select(
         F.coalesce(docs[id_col].cast("long"), F.lit(_NAMELESS) + F.pmod(F.xxhash64(text), F.lit(1 << 40))).alias("id"),
+        F.xxhash64(F.lit(5), text).alias("copy"),
         text.cast("binary").alias("raw"),
     )
     keys = written(
-        rows.select("id", F.octet_length("raw").cast("long").alias("n_bytes"), F.sha2("raw", 256).alias("sha")), "byte-keys"
+        rows.select("id", "copy", F.octet_length("raw").cast("long").alias("n_bytes"), F.sha2("raw", 256).alias("sha")), "byte-keys"
     )
     firsts = keys.filter(F.col("n_bytes") >= WINDOW).groupBy("sha").agg(F.min("id").alias("earliest"))
-    copies = keys.join(firsts, "sha").filter(earlier("earliest")).select("id", "sha")
-    copies = written(copies.distinct(), "byte-copies")
-    several = keys.groupBy("id").agg(F.min("sha").alias("a"), F.max("sha").alias("b")).filter("a <> b").select("id")
-    whole = written(copies.select("id").distinct().join(several, "id", "left_anti"), "byte-whole-copies")
-    own = rows.join(whole, "id", "left_anti").select("id", "raw")
+    copies = keys.join(firsts, "sha").filter(earlier("earliest"))
+    whole = written(copies.select(*_ROW).distinct(), "byte-whole-copies")
+    own = rows.join(whole, [*_ROW], "left_anti")
     total = keys.agg(F.sum("n_bytes")).first()[0] or 0
     bits = max(4, int(max(4 * partitions(docs), total // BUCKET_BYTES)).bit_length())
 
@@ -480,19 +482,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     release(spark)
     ranges = found.join(runs, ["anchor", "context"]).filter(earlier("low"))
     ranges = ranges.select(
-        "id", (F.col("start") + F.col("first")).alias("begin"), (F.col("start") + F.col("last") + WINDOW).alias("end")
+        *_ROW, (F.col("start") + F.col("first")).alias("begin"), (F.col("start") + F.col("last") + WINDOW).alias("end")
     )
     hot_anchors = AnchorFilter(bucketed(stats.filter("kind = 2"), bits), bits)
     if hot_anchors.any:
         windows = written(windows_of(own, hot_anchors), "byte-windows")
         least = windows.groupBy("window_a", "window_b").agg(F.min("id").alias("low"))
         repeated = windows.join(least, ["window_a", "window_b"]).filter(earlier("low"))
-        ranges = ranges.unionByName(repeated.select("id", F.col("start").alias("begin"), (F.col("start") + WINDOW).alias("end")))
+        ranges = ranges.unionByName(repeated.select(*_ROW, F.col("start").alias("begin"), (F.col("start") + WINDOW).alias("end")))
     spans = written(spans_per_document(ranges), "byte-spans")
     release(spark)
-    cut = kept_bytes(own.join(spans, "id"))
-    rest = keys.join(spans.select("id"), "id", "left_anti").join(whole.withColumn("copy", F.lit(True)), "id", "left")
-    gone = F.coalesce("copy", F.lit(False))
+    cut = kept_bytes(own.join(spans, [*_ROW]))
+    rest = keys.join(spans.select(*_ROW), [*_ROW], "left_anti").join(whole.withColumn("whole", F.lit(True)), [*_ROW], "left")
+    gone = F.coalesce("whole", F.lit(False))
     rest = rest.select(
         "id", "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(0).alias("n_removed"),

@@ -47,32 +47,84 @@ def _names(text: np.ndarray, small: np.ndarray, starts: np.ndarray) -> np.ndarra
         done += 6
 
 
+def _same_substrings(names: np.ndarray, first: np.ndarray, second: np.ndarray, length: np.ndarray, short: int = 16) -> np.ndarray:
+    """Whether the stretches of the given lengths from the first and from the second places hold the same names."""
+    equal = np.ones(len(first), bool)
+    on = np.flatnonzero(length <= short)
+    for at in range(short):
+        on = on[length[on] > at]
+        differ = names[first[on] + at] != names[second[on] + at]
+        equal[on[differ]] = False
+        on = on[~differ]
+    for i in np.flatnonzero(length > short).tolist():
+        a, b, n = int(first[i]), int(second[i]), int(length[i])
+        equal[i] = np.array_equal(names[a : a + n], names[b : b + n])
+    return equal
+
+
+def _induced(names: np.ndarray, small: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Order of all suffixes induced from leftmost-smaller ones in the order given.
+
+    If these are in the order of their suffixes, so is the result; if they are in any order, the result has the
+    leftmost-smaller substrings in theirs. There may be as many buckets as names, so entries move one by one.
+    """
+    n = len(names)
+    end = np.cumsum(np.bincount(names))
+    order = np.argsort(names[seeds], kind="stable")
+    letter = names[seeds[order]]
+    last = np.searchsorted(letter, letter, side="right")
+    places = np.full(n, -1, np.int64)
+    places[end[letter] - last + np.arange(len(letter))] = seeds[order]
+    before = np.append(-1, names)  # by suffix: the name before it; the last entry answers for empty places
+    larger, smaller = before.copy(), before.copy()
+    larger[1:][small] = -1
+    smaller[1:][~small] = -1
+    larger[n] = smaller[n] = -1
+    out, goes, head = places.tolist(), larger.tolist(), np.append(0, end[:-1]).tolist()
+    start = int(names[-1])  # the last suffix is larger than the empty one behind it
+    out[head[start]] = n - 1
+    head[start] += 1
+    for suffix in out:
+        name = goes[suffix]
+        if name >= 0:
+            out[head[name]] = suffix - 1
+            head[name] += 1
+    goes, tail = smaller.tolist(), end.tolist()
+    for suffix in reversed(out):
+        name = goes[suffix]
+        if name >= 0:
+            tail[name] -= 1
+            out[tail[name]] = suffix - 1
+    return np.array(out, np.int64)
+
+
 def _sorted_names(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a sequence of names: the recursive step, by doubling the length that ranks cover."""
-    rank, reach, n = names.astype(np.int64), 1, len(names)
-    while True:
-        top = int(rank.max()) + 1
-        if top == n:
-            return np.argsort(rank, kind="stable")
-        # Only names that are not unique yet are sorted again; ranks are first places of their groups.
-        count = np.bincount(rank, minlength=top)
-        first = np.cumsum(count) - count
-        rank = first[rank]
-        while True:
-            size = np.bincount(rank, minlength=n)
-            on = np.flatnonzero(size[rank] > 1)
-            if not len(on):
-                return np.argsort(rank, kind="stable")
-            follow = np.where(on + reach < n, rank[np.minimum(on + reach, n - 1)] + 1, 0)
-            order = np.lexsort((follow, rank[on]))
-            a, b = rank[on][order], follow[order]
-            head = np.append(True, a[1:] != a[:-1])
-            new = head | np.append(True, b[1:] != b[:-1])
-            place = np.arange(len(on))
-            group = np.maximum.accumulate(np.where(head, place, 0))
-            part = np.maximum.accumulate(np.where(new, place, 0))
-            rank[on[order]] = a + part - group
-            reach *= 2
+    """Order of the suffixes of a sequence of names (ranks without gaps): the method itself, one level up.
+
+    The leftmost-smaller substrings of names are sorted by inducing, named in turn, and their suffixes sorted by a call
+    of this function, whose sequence is half as long at most; from these all suffixes are induced.
+    """
+    n = len(names)
+    if int(names.max()) + 1 == n:
+        return np.argsort(names, kind="stable")
+    small = suffix_types(names)
+    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    if len(lms) > 1:
+        number = np.full(n, -1, np.int64)
+        number[lms] = np.arange(len(lms))
+        length = np.append(lms[1:] + 1, n) - lms
+        found = _induced(names, small, lms)
+        found = number[found]
+        found = found[found >= 0]
+        # The last substring ends with the sequence and equals none.
+        a, b = found[:-1], found[1:]
+        alike = np.flatnonzero((length[a] == length[b]) & (a != len(lms) - 1) & (b != len(lms) - 1))
+        new = np.ones(len(lms), bool)
+        new[1 + alike] = ~_same_substrings(names, lms[a[alike]], lms[b[alike]], length[a[alike]])
+        rank = np.empty(len(lms), np.int64)
+        rank[found] = np.cumsum(new) - 1
+        lms = lms[_sorted_names(rank)]
+    return _induced(names, small, lms)
 
 
 class _Buckets:
