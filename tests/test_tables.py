@@ -1,6 +1,6 @@
 from webloom.functions import urls
 from webloom.operators import documents, graph, links
-from webloom.session import fresh_path
+from webloom.session import fresh_path, written
 from webloom.sources.versioned import compact, read_latest, write_version
 from webloom.streaming.sinks import LINK_SCHEMA
 from pyspark.sql import functions as F
@@ -65,6 +65,58 @@ def test_documents_are_replaced_as_a_whole(spark):
     assert spark.createDataFrame([], schema).unionByName(table).count() == 1
 
 
+def test_documents_on_shelves(spark, monkeypatch):
+    """Lookups find what they find without shelves, and read the shelves of their keys only."""
+    monkeypatch.setattr(documents, "DOCUMENTS_PER_SHELF", 20)
+    link = F.format_string("http://h%d.com/a", "id")
+    plain = spark.range(400).select(
+        F.when(F.col("id") % 3 == 0, "fa").otherwise("en").alias("language"), urls.site_id(link).alias("id"),
+        link.alias("link"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("title"), F.lit(1).alias("version"),
+    )
+    table = written(documents.shelved(plain, plain.count()), "shelved", "language", documents.SHELF)
+    assert documents.shelves_of(table) == 20 and documents.shelves_of(plain) == 0
+    assert table.drop(documents.SHELF).exceptAll(plain.select(*table.drop(documents.SHELF).columns)).isEmpty()
+    found = documents.site_lookup(table, "en", "https://h7.com/a")
+    assert found.collect() == documents.site_lookup(plain, "en", "https://h7.com/a").collect() == [("http://h7.com/a", "t7")]
+    assert files_read(found) == 1
+    assert documents.site_lookup(table, "fa", "http://h7.com/a").isEmpty()
+    probes = spark.createDataFrame(
+        [("en", "http://h7.com/a"), ("en", "http://h7.com/a"), ("fa", "h9.com/a"), ("fa", "h7.com/a"), (None, "h9.com/a"), ("en", None)],
+        "language string, link string",
+    )
+    want = [("en", "http://h7.com/a", "t7"), ("fa", "http://h9.com/a", "t9")]
+    for stored in (table, plain):
+        assert sorted(documents.sites_lookup(stored, probes).collect()) == want
+    keys = probes.select("language", urls.site_id(F.col("link")).alias("id"), F.lit(5).alias("n"))
+    keys = written(keys, "keys")
+    for stored in (table, plain):
+        got = documents.with_documents(keys, stored)
+        assert sorted(r.title for r in got.collect()) == ["t7", "t7", "t9"]
+        assert set(got.columns) == {"language", "id", "n", "link", "title", "version"}
+    assert files_read(documents.with_documents(keys, table)) <= 4
+    empty = written(documents.shelved(plain.limit(0), 0), "shelved", "language", documents.SHELF)
+    assert documents.with_documents(keys, empty).isEmpty() and documents.site_lookup(empty, "en", "h7.com/a").isEmpty()
+
+
+def files_read(df) -> int:
+    """Files that a plan's scan read; of several scans the one of most files."""
+    df = df.select("*")  # a plan that ran before counts no files when it runs again
+    df.collect()
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif name == "FileSourceScanExec":
+            found.append(node.metrics().apply("numFiles").value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return max(found)
+
+
 def test_versioned_table(spark):
     path, small = fresh_path(spark, "t"), fresh_path(spark, "t")
     rows = lambda *r: spark.createDataFrame(list(r), LINK_SCHEMA)

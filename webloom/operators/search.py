@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions.rows import explode_as
 from webloom.functions.text import TOKEN, term_positions, tokens
+from webloom.operators import documents
 from webloom.session import written
 
 # Fixed values.
@@ -739,10 +740,9 @@ def summary(text: Column, marked: Column) -> Column:
 
 
 def with_fragments(hits: DataFrame, queries: DataFrame, sites: DataFrame) -> DataFrame:
-    """Hits with their document and `fragments`."""
+    """Hits with their document and `fragments`; of stored documents only the shelves of hits are read."""
     return (
-        written(hits, "hits")
-        .join(sites, ["language", "id"])
+        documents.with_documents(written(hits, "hits"), sites)
         .join(highlight_terms(queries), "query_id", "left")
         .withColumn("fragments", F.when(F.col("marks").isNotNull(), fragments(F.col("text"), F.col("marks"))))
         .withColumn("fragments", F.coalesce("fragments", F.array().cast("array<string>")))
@@ -835,9 +835,9 @@ def autocomplete(
     best = points.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= hits)
     columns = ("query_id", "language", "id", "at")
     best = written(best.select(*columns).unionByName(easy.select(*columns)), "best")
-    titled = sites.select("language", "id", F.lower("title").alias("suggestion"))
     # At most `hits` rows per input are left.
-    first = best.join(titled, ["language", "id"]).groupBy("query_id", "suggestion").agg(F.min("at").alias("at"))
+    titled = documents.with_documents(best, sites).withColumn("suggestion", F.lower("title"))
+    first = titled.groupBy("query_id", "suggestion").agg(F.min("at").alias("at"))
     again = Window.partitionBy("query_id").orderBy("at")
     return (
         first.withColumn("rank_no", F.row_number().over(again))

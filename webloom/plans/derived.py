@@ -87,7 +87,12 @@ def build_sites(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sites(spark: SparkSession, folder: str) -> DataFrame:
-    return stored(spark, folder, "sites", lambda: build_sites(spark, folder), "language")
+    """The document table on its shelves; there is a document per record at most."""
+
+    def build() -> DataFrame:
+        return documents.shelved(build_sites(spark, folder), records(spark, folder).count())
+
+    return stored(spark, folder, "sites", build, "language", documents.SHELF)
 
 
 def link_table(spark: SparkSession, folder: str) -> DataFrame:
