@@ -63,6 +63,7 @@ class Index(NamedTuple):
     deletions: DataFrame | None = None  # of the terms; made from the dictionary for each search if it is not stored
     completions: DataFrame | None = None  # of short inputs; from the titles if it is not stored
     blocks: DataFrame | None = None  # bounds of the postings' blocks; without them all postings of a term are scored
+    hosts: DataFrame | None = None  # which documents a host has; from the documents if it is not stored
 
 
 # ---- index ---------------------------------------------------------------------------------------------------------
@@ -151,6 +152,11 @@ def deletion_index(terms: DataFrame) -> DataFrame:
     return found.select("language", "d.depth", "d.key", "term", bucket_of(F.col("d.key")).alias("bucket"))
 
 
+def host_index(sites: DataFrame) -> DataFrame:
+    """language, bucket, domain, id: the documents of each host, for queries that name one."""
+    return sites.select("language", bucket_of(F.col("domain")).alias("bucket"), "domain", "id")
+
+
 def bucket_of(term: Column) -> Column:
     """The part of the postings that holds a term."""
     return F.pmod(F.hash(term), F.lit(BUCKETS))
@@ -585,13 +591,17 @@ def combine(matched: DataFrame, parsed_clauses: DataFrame) -> DataFrame:
     )
 
 
-def restrict_domain(hits: DataFrame, parsed: DataFrame, sites: DataFrame) -> DataFrame:
-    """Keep hits on the host a query names; queries without one keep everything."""
-    named = parsed.filter("domain <> ''").select("query_id", F.col("domain").alias("wanted"))
-    inside = hits.join(named, "query_id").join(
-        sites.select("language", "id", F.col("domain").alias("wanted")), ["language", "id", "wanted"], "left_semi"
-    )
-    return hits.join(named, "query_id", "left_anti").unionByName(inside.drop("wanted"))
+def restrict_domain(hits: DataFrame, parsed: DataFrame, index: Index) -> DataFrame:
+    """Keep hits on the host a query names; queries without one keep everything.
+
+    Of stored hosts the buckets of the named ones are read; no document is.
+    """
+    hosts = host_index(index.sites) if index.hosts is None else index.hosts
+    named = written(parsed.filter("domain <> ''").select("query_id", "language", "domain"), "named-hosts")
+    asked = named.withColumn("bucket", bucket_of(F.col("domain"))).filter("bucket >= 0")
+    allowed = hosts.join(asked, ["language", "bucket", "domain"]).select("query_id", "language", "id")
+    inside = hits.join(named, "query_id", "left_semi").join(allowed, ["query_id", "language", "id"], "left_semi")
+    return hits.join(named, "query_id", "left_anti").unionByName(inside)
 
 
 def exclude_terms(hits: DataFrame, parsed: DataFrame, index: Index) -> DataFrame:
@@ -672,14 +682,14 @@ def search(queries: DataFrame, index: Index) -> DataFrame:
     split = written(clauses(parsed), "clauses")
     if index.blocks is None:
         hits = combine(matches(split, index), split)
-        return top_hits(exclude_terms(restrict_domain(hits, parsed, index.sites), parsed, index))
+        return top_hits(exclude_terms(restrict_domain(hits, parsed, index), parsed, index))
     plain = written(plain_queries(parsed, split), "plain-queries")
     easy = split.join(plain, "query_id", "left_semi")
     found = exclude_terms(scored(reachable_blocks(easy, parsed, index), index), parsed, index)
     others = written(split.join(plain, "query_id", "left_anti"), "other-clauses")
     if not others.isEmpty():
         hits = combine(matches(others, index), others)
-        found = found.unionByName(exclude_terms(restrict_domain(hits, parsed, index.sites), parsed, index))
+        found = found.unionByName(exclude_terms(restrict_domain(hits, parsed, index), parsed, index))
     return top_hits(found)
 
 

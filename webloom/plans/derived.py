@@ -152,4 +152,5 @@ def search_index(spark: SparkSession, folder: str) -> search.Index:
         kept("deletions", lambda: search.deletion_index(terms), "key", "term"),
         kept("completions", lambda: search.completions(titles), "prefix", "at"),
         kept("block_bounds", lambda: search.block_bounds(index, stats), "term", "field", "block"),
+        kept("hosts", lambda: search.host_index(documents_table), "domain", "id"),
     )
