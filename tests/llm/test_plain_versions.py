@@ -1,4 +1,4 @@
-"""op5's fingerprints and likeness, and op9's forward pass, against plain programs that follow their definitions."""
+"""op5's fingerprints and likeness, op9's forward pass and op10's n-grams against plain programs that follow their definitions."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from webloom.llm import fuzzy_hash, quality_cnn
+from webloom.llm import fuzzy_hash, language_bits, quality_cnn
 
 R = random.Random(11)
 M32, M64 = (1 << 32) - 1, (1 << 64) - 1
@@ -125,3 +125,24 @@ def test_forward_pass_of_the_network():
     got = quality_cnn.score_texts(net, texts)
     assert got == pytest.approx([plain_score(net, t.encode()) for t in texts], abs=1e-5)
     assert len(set(np.round(got, 6))) > 8
+
+
+def plain_grams(text: str) -> list[tuple[str, ...]]:
+    """3- and 4-grams whose inner characters are letters; other characters are one boundary, which texts begin and end with."""
+    marks = ["", *(c if c.isalpha() else "" for c in text.lower()), ""]
+    return [tuple(marks[i : i + n]) for n in language_bits.LENGTHS for i in range(len(marks) - n + 1) if all(marks[i + 1 : i + n - 1])]
+
+
+def test_grams_of_a_text_wherever_it_stands_in_a_batch():
+    letters = np.unpackbits(language_bits.letter_table()).astype(bool)
+    texts = ["Abc", "", "ab", "one two, THREE", "Ünï 漢字漢字 x", "12 .", "a", "\n", "one two, THREE", "Abc"]
+    whole, number = [], {}
+    for strings in (texts, texts[3:], texts[::-1], texts[4:5]):
+        values, owner, count = language_bits.grams(strings, letters)
+        assert count.tolist() == [sum(c.isalpha() for c in t.lower()) for t in strings]
+        for i, text in enumerate(strings):
+            found, want = sorted(values[owner == i].tolist()), plain_grams(text)
+            assert len(found) == len(want)
+            assert number.setdefault(text, found) == found  # the same wherever it stands
+            whole.append((len(set(found)), len(set(want))))
+    assert all(a == b for a, b in whole)

@@ -46,9 +46,11 @@ def grams(strings: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarr
     Texts are lower-cased; all that is no letter is one kind of boundary, which may stand at an end of an n-gram only.
     """
     lowered = [t.lower() + "\n" for t in strings]
-    codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), "<u4")
+    # The first text has a boundary before it too, as the others have that of the text before.
+    codes = np.frombuffer("".join(["\n", *lowered]).encode("utf-32-le", "surrogatepass"), "<u4")
     letter = letters[codes]
     owner = np.repeat(np.arange(len(strings), dtype=np.int32), [len(t) for t in lowered])
+    owner = np.append(np.zeros(1, np.int32), owner)
     count = np.bincount(owner[letter], minlength=len(strings))
     x = np.where(letter, codes, 0).astype(np.uint64)
     found, whose = [], []
