@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.operators import language
 from webloom.plans import sql
-from webloom.plans.derived import profiles, sites
+from webloom.plans.derived import profiles, sites, stored
 from webloom.session import fresh_path
 from webloom.sources.profiles import read_profiles, write_profiles
 from webloom.sources.tables import read_table, spread
@@ -32,12 +32,20 @@ def language_profile_totals(spark: SparkSession, folder: str) -> DataFrame:
     return language.profile_totals(profiles(spark, folder))
 
 
+def document_words(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, word, tf of the documents; detection reads them twice."""
+    counted = language.word_counts(_documents(spark, folder).select("doc_id", "text"), "text", "doc_id")
+    return stored(spark, folder, "document_words", lambda: counted)
+
+
 def detect_language(spark: SparkSession, folder: str) -> DataFrame:
-    return language.detect(_documents(spark, folder), profiles(spark, folder), "doc_id", "text")
+    words = document_words(spark, folder)
+    return language.detect(_documents(spark, folder), profiles(spark, folder), "doc_id", "text", words)
 
 
 def detect_scores(spark: SparkSession, folder: str) -> DataFrame:
-    found = language.scores(_documents(spark, folder), profiles(spark, folder), "doc_id", "text")
+    words = document_words(spark, folder)
+    found = language.scores(_documents(spark, folder), profiles(spark, folder), "doc_id", "text", words)
     return found.select("doc_id", "lang", F.round("score", 6).alias("score"), "n_grams")
 
 

@@ -73,7 +73,9 @@ def counted_crawl(crawl: Crawl, web: DataFrame, profile: DataFrame, period_secon
         answered = written(answered, "crawl-answered")
         pages = answered.filter("page_id IS NOT NULL").select("page_id", "text")
         stored = F.col("language").isin(*language.ACCEPTED_LANGUAGES)
-        spoken, told = _counted(language.detect(pages, profile, "page_id", "text"), "told", stored=stored, skipped=~stored)
+        words = written(language.word_counts(pages, "text", "page_id"), "crawl-words")
+        detected = language.detect(pages, profile, "page_id", "text", words)
+        spoken, told = _counted(detected, "told", stored=stored, skipped=~stored)
         spoken.write.format("noop").mode("overwrite").save()
         a, f = arrived.get, fetches.get
         counts = {
@@ -85,7 +87,7 @@ def counted_crawl(crawl: Crawl, web: DataFrame, profile: DataFrame, period_secon
         write_batch(spark.createDataFrame(sorted(counts.items()), OUTCOME_SCHEMA), crawl.outcomes, batch_id)
         leveled.append(admitted.groupBy("domain").agg(F.max(micros(checked)).alias("since")), crawl.held, batch_id)
         mark_keys(fresh.select("url_key"), crawl.visited, batch_id)
-        remove_written(keyed, first, fresh, checked, answered)
+        remove_written(keyed, first, fresh, checked, answered, words)
 
     return run
 

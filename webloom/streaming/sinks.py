@@ -36,7 +36,8 @@ def store_pages(
 
     def run(pages: DataFrame, batch_id: int) -> None:
         found = written(extract.crawl_records(spread(pages)), "batch_records")
-        spoken = written(language.detect(found.drop("anchors"), profile, "page_id", "text"), "batch_languages")
+        words = written(language.word_counts(found, "text", "page_id"), "batch_words")
+        spoken = written(language.detect(found, profile, "page_id", "text", words), "batch_languages")
         accepted = language.accepted(spoken)
         winners = (
             accepted.join(found.select("page_id", "id"), "page_id")
@@ -58,7 +59,7 @@ def store_pages(
             targets = extract.anchors_long(found.join(accepted.select("page_id"), "page_id", "left_semi"))
             new = frontier.new_links(targets, known.select("url_key"))
             write_batch(new.select("url"), frontier_path, batch_id)
-        remove_written(found, spoken)
+        remove_written(found, words, spoken)
 
     return run
 
