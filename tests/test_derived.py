@@ -65,3 +65,16 @@ def test_detection_reads_counted_words(spark):
     assert plain == {1: "xx", 2: "yy", 3: "error"}
     silent = texts.withColumn("text", F.lit(""))
     assert {r.k: r.language for r in language.detect(silent, profile, "k", "text", words).collect()} == plain
+
+
+def test_ids_stay_in_dictionaries(spark, monkeypatch):
+    """The stored rows per document cost no more when there are more documents than a dictionary of ids holds."""
+    monkeypatch.setattr(derived, "DOCUMENTS_PER_SLICE", 5)
+    folder = folder_of(spark, 12)
+    index = derived.search_index(spark, folder)
+    for table in (index.postings, index.titles):
+        assert {r.slice for r in table.select("slice").distinct().collect()} == {0, 1, 2}
+        per_file = table.groupBy(F.input_file_name()).agg(F.countDistinct("slice").alias("n"))
+        assert {r.n for r in per_file.collect()} == {1}
+    asked = searching.query_table(spark, [(1, '"red fox"', "en"), (2, "fox", "en")])
+    assert searching.search.search(asked, index).count() == 24
