@@ -78,3 +78,22 @@ def test_ids_stay_in_dictionaries(spark, monkeypatch):
         assert {r.n for r in per_file.collect()} == {1}
     asked = searching.query_table(spark, [(1, '"red fox"', "en"), (2, "fox", "en")])
     assert searching.search.search(asked, index).count() == 24
+
+
+def test_politeness_asks_the_state_once():
+    """A domain's earlier admission is read by one call, and its timer is deleted by its time."""
+    from unittest.mock import MagicMock
+
+    import pandas as pd
+
+    from webloom.streaming.frontier import PolitenessState, expiry_millis
+
+    state, handle = PolitenessState(10, expire=True), MagicMock()
+    state.init(handle)
+    state.last.get.return_value = (5_000_000,)
+    rows = pd.DataFrame({"arrival_id": [1], "domain": ["a"], "url": ["u"], "us": [20_000_000]})
+    assert [*state.handleInputRows(("a",), iter([rows]), None)][0]["admitted"].tolist() == [True]
+    handle.listTimers.assert_not_called()
+    state.last.exists.assert_not_called()
+    handle.deleteTimer.assert_called_once_with(expiry_millis(5_000_000, 10_000_000))
+    handle.registerTimer.assert_called_once_with(expiry_millis(20_000_000, 10_000_000))

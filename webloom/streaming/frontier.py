@@ -224,14 +224,15 @@ class PolitenessState(StatefulProcessor):
         pieces = [piece[["arrival_id", "domain", "url", "us"]] for piece in rows]
         us, number = (np.concatenate([p[c].to_numpy() for p in pieces]) for c in ("us", "arrival_id"))
         order = np.lexsort((number, np.concatenate([p["url"].to_numpy(dtype=object) for p in pieces]).astype(str), us))
-        last = self.last.get()[0] if self.last.exists() else None
+        held = self.last.get()  # every call is a message to the state store and back
+        last = held[0] if held else None
         flags = np.empty(len(us), dtype=bool)
         flags[order], now = admitted_positions(us[order], self.period, last)
         if now is not None and now != last:
             self.last.update((int(now),))
             if self.expire:
-                for timer in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(timer)
+                if last is not None:
+                    self.handle.deleteTimer(expiry_millis(last, self.period))  # the one of the admission before
                 self.handle.registerTimer(expiry_millis(int(now), self.period))
         done = 0
         for piece in pieces:
