@@ -113,3 +113,18 @@ def test_character_references(spark):
         got = {r.t: r.o for r in df.select("t", html.decode_entities(F.col("t"), attribute).alias("o")).collect()}
         want = {k: v for k, v in cases.items() if k != "&#65" or not attribute}
         assert {k: got[k] for k in want} == want
+
+
+def test_reference_decoding_evaluates_its_text_once(spark):
+    """The text of a page is two replacements of its markup; both ran again for every use inside the decoding."""
+    df = spark.createDataFrame([("<p>a &amp; b</p>",)], "clean string").select(html.visible_text(F.col("clean")).alias("t"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 3
+    assert df.first().t == "a & b"
+
+
+def test_white_space_and_what_is_not_visible(spark):
+    rows = [" a  b\tc\n\n d e  ", "x <!-- <p> -->y<SCRIPT a>z</script >w<?php 1>v<STYLE>u", "a < b <! c", "p<!--q"]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    got = [r.o for r in df.select(html.collapse_space(html.clean_html(F.col("t"))).alias("o")).collect()]
+    assert got == ["a b c d e", "x ywv", "a < b <! c", "p"]

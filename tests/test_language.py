@@ -110,3 +110,27 @@ def test_profile_writer_holds_one_gram(tmp_path):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 4 << 20 and (tmp_path / "xx.json").stat().st_size > 4_000_000
+
+
+def test_words_are_cut_and_counted_in_one_pass(spark, profile):
+    """Texts of other separators than blanks, letters beyond two bytes, none at all; runs of a word count as one row."""
+    odd = [(1, "-a--b a\tB\n"), (2, "𐐀𐐀x1𐐀𐐀X"), (3, "12 ,"), (4, ""), (5, None), (6, "the")]
+    texts = spark.createDataFrame(odd, "id long, text string")
+    got = language.word_counts(texts, "text", "id")
+    assert sorted(map(tuple, got.collect())) == [(1, "a", 2), (1, "b", 2), (2, "𐐨𐐨x", 2), (6, "the", 1)]
+    counted = language.scores(texts, profile, "id", "text").select("id", "n_grams").distinct()
+    assert sorted(map(tuple, counted.collect())) == [
+        (i, sum(grams(t).values())) for i, t in odd if t and grams(t)
+    ]
+    kinds = texts.select(language.words(F.col("text")).alias("w")).collect()
+    assert [r.w for r in kinds][2:5] == [[], [], None]
+
+
+def test_profiles_from_counted_words(spark, profile, monkeypatch):
+    """Words that were counted before are not cut again."""
+    texts = spark.createDataFrame([*TRAIN, *TRAIN, (None, "eins")], "lang string, text string")
+    whole = language.profiles(texts, "text", "lang")
+    counted = language.word_counts(texts, "text", "lang").localCheckpoint()
+    monkeypatch.setattr(language, "words", None)
+    again = language.profiles(texts, "text", "lang", counted)
+    assert sorted(map(str, again.collect())) == sorted(map(str, whole.collect()))
