@@ -33,19 +33,21 @@ def language_profile_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document_words(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, word, tf of the documents; detection reads them twice."""
-    counted = language.word_counts(_documents(spark, folder).select("doc_id", "text"), "text", "doc_id")
+    """doc_id, lang, word, tf of the documents; the profiles are learned from them, and detection reads them twice."""
+    counted = language.word_counts(_documents(spark, folder), "text", "doc_id", "lang")
     return stored(spark, folder, "document_words", lambda: counted)
 
 
 def detect_language(spark: SparkSession, folder: str) -> DataFrame:
     words = document_words(spark, folder)
-    return language.detect(_documents(spark, folder), profiles(spark, folder), "doc_id", "text", words)
+    ids = read_table(spark, folder, "documents").select("doc_id")
+    return language.detect(ids, profiles(spark, folder, words), "doc_id", "text", words)
 
 
 def detect_scores(spark: SparkSession, folder: str) -> DataFrame:
     words = document_words(spark, folder)
-    found = language.scores(_documents(spark, folder), profiles(spark, folder), "doc_id", "text", words)
+    ids = read_table(spark, folder, "documents").select("doc_id")
+    found = language.scores(ids, profiles(spark, folder, words), "doc_id", "text", words)
     return found.select("doc_id", "lang", F.round("score", 6).alias("score"), "n_grams")
 
 
