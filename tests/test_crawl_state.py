@@ -49,6 +49,24 @@ def test_redirects_of_nothing(spark):
     assert politeness.admit_redirected(df, 7).count() == 0
 
 
+def test_rounds_decide_only_what_changed(spark, monkeypatch):
+    """A chain of redirects, each deciding about the next: a round decides the one domain that is next, and no others."""
+    monkeypatch.setattr(politeness, "FAN_IN", 2)  # the rounds of the chain are folded on the way
+    chain = [(i, f"d{i}", "u", 5 * i, f"d{i + 1}") for i in range(7)]
+    rest = [(100 + i, f"e{i % 20}", "u", 3 * i, None) for i in range(200)]
+    df = spark.createDataFrame([*chain, *rest], ARRIVALS).withColumn("ts", F.timestamp_seconds("at"))
+    admit, sizes = politeness.admit, []
+
+    def counted(arrivals, *args):
+        sizes.append(arrivals.count())
+        return admit(arrivals, *args)
+
+    monkeypatch.setattr(politeness, "admit", counted)
+    got = politeness.admit_redirected(df, 7, 2).collect()
+    assert {r["arrival_id"]: r["admitted"] for r in got} == walk([*chain, *rest], 7)
+    assert sizes[0] == len(chain) + len(rest) and sizes[1] == 6 and len(sizes) > 4 and max(sizes[2:]) < 6
+
+
 def test_state_expires(spark):
     """Four micro batches in order of time: decisions are those of a walk, and only domains of the last period have state."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)

@@ -8,6 +8,8 @@ prefix operations over the blocks, so no block waits for the one before it.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -275,6 +277,46 @@ def _held_before(arrivals: DataFrame, holds: DataFrame, count: int | None) -> Da
     return found.select("arrival_id", "domain", "url", F.timestamp_micros("ts").alias("ts"), "hold.held", "hold.holder")
 
 
+class Decided(NamedTuple):
+    """What a round decided: its domains (None: all), and arrival_id, domain, admitted of all their rows; both written."""
+
+    domains: DataFrame | None
+    rows: DataFrame
+
+
+def _latest(rounds: list[Decided]) -> DataFrame:
+    """arrival_id, domain, admitted: of each round the domains that no later one has decided again."""
+    later, found = None, None
+    for domains, rows in reversed(rounds):
+        left = rows if later is None else rows.join(later, "domain", "left_anti")
+        found = left if found is None else found.unionByName(left)
+        later = domains if later is None or domains is None else later.unionByName(domains)
+    return found
+
+
+def _changed(rounds: list[Decided]) -> DataFrame:
+    """arrival_id of the rows whose admission the last round has changed."""
+    domains, rows = rounds[-1]
+    now = rows.filter("admitted").select("arrival_id", F.lit(1).alias("change"))
+    if domains is None:
+        return now.select("arrival_id")
+    before = _latest(rounds[:-1]).join(domains, "domain", "left_semi").filter("admitted")
+    both = now.unionByName(before.select("arrival_id", F.lit(-1).alias("change")))
+    seen = both.groupBy("arrival_id").agg(F.max("change").alias("now"), F.min("change").alias("before"))
+    return seen.filter("now < 0 OR before > 0").select("arrival_id")
+
+
+def _folded(rounds: list[Decided]) -> list[Decided]:
+    """The rounds after the first as one, when there are FAN_IN of them: what reads them all stays small."""
+    if len(rounds) <= FAN_IN:
+        return rounds
+    domains = rounds[1].domains
+    for later in rounds[2:]:
+        domains = domains.unionByName(later.domains)
+    merged = Decided(written(domains.distinct(), "redirect-domains"), written(_latest(rounds[1:]), "redirect-round"))
+    return [rounds[0], merged]
+
+
 def admit_redirected(
     arrivals: DataFrame, period_seconds: int = PERIOD_SECONDS, count: int | None = None, rounds: int = 1000
 ) -> DataFrame:
@@ -289,6 +331,8 @@ def admit_redirected(
     if they were domains of their own. Which holds there are depends on the admissions, so rounds repeat until the
     admissions stay the same. A row depends on earlier ones only: after n rounds all rows are right whose decision
     depends on a chain of fewer than n redirects, and the state that stays the same is the only one.
+
+    A round decides the domains whose holds the round before has changed, and no others: those would come out as they are.
     """
     rows = written(
         arrivals.filter(F.col("domain").isNotNull()).select(
@@ -296,23 +340,31 @@ def admit_redirected(
         ),
         "redirected",
     )
-    crossing = rows.filter("answered <> domain")
-    checked, state = admit(rows, period_seconds, count), None
+    crossing = rows.filter("answered <> domain").select("arrival_id", F.col("answered").alias("domain"), "url", "ts")
+    columns = ("arrival_id", "domain", "admitted")
+    done = [Decided(None, written(admit(rows, period_seconds, count).select(*columns), "redirect-round"))]
     for _ in range(rounds):
-        checked = written(checked, "redirect-round")
-        admitted = checked.filter("admitted").select("arrival_id")
-        now = admitted.agg(F.count("*"), F.sum(F.xxhash64("arrival_id").cast("decimal(38,0)"))).first()
-        if now == state:
-            return checked
-        state = now
-        holds = crossing.join(admitted, "arrival_id", "left_semi").select(
-            "arrival_id", F.col("answered").alias("domain"), "url", "ts"
-        )
-        placed = _held_before(rows, holds, count)
-        stretch = F.to_json(F.struct(F.col("domain").alias("d"), F.col("holder").cast("string").alias("h")))
-        placed = written(placed.withColumn("stretch", stretch), "stretches")
-        since = placed.filter("held IS NOT NULL").groupBy(F.col("stretch").alias("domain")).agg(F.max("held").alias("since"))
-        pieces = placed.select("arrival_id", F.col("stretch").alias("domain"), "url", "ts")
-        decided = admit(pieces, period_seconds, count, written(since, "holds")).select("arrival_id", "admitted")
-        checked = rows.select("arrival_id", "domain", "url", "ts").join(decided, "arrival_id")
+        changed = written(_changed(done), "redirect-changes")
+        moved = crossing.join(changed, "arrival_id", "left_semi").select("domain").distinct()
+        domains = written(moved, "redirect-domains")
+        if domains.isEmpty():
+            decided = _latest(done).select("arrival_id", "admitted")
+            return rows.select("arrival_id", "domain", "url", "ts").join(decided, "arrival_id")
+        done = _folded(done)
+        asking = written(crossing.join(domains, "domain", "left_semi"), "redirect-asking")
+        holds = asking.join(_latest(done).filter("admitted").select("arrival_id"), "arrival_id", "left_semi")
+        again = rows.select("arrival_id", "domain", "url", "ts").join(domains, "domain", "left_semi")
+        decided = _with_holds(again, holds, period_seconds, count).select(*columns)
+        done.append(Decided(domains, written(decided, "redirect-round")))
     raise RuntimeError(f"admissions still change after {rounds} rounds")
+
+
+def _with_holds(rows: DataFrame, holds: DataFrame, period_seconds: int, count: int | None) -> DataFrame:
+    """`admit` of whole domains that `holds(arrival_id, domain, url, ts)` from elsewhere cut into stretches."""
+    placed = _held_before(rows, holds, count)
+    stretch = F.to_json(F.struct(F.col("domain").alias("d"), F.col("holder").cast("string").alias("h")))
+    placed = written(placed.withColumn("stretch", stretch), "stretches")
+    since = placed.filter("held IS NOT NULL").groupBy(F.col("stretch").alias("domain")).agg(F.max("held").alias("since"))
+    pieces = placed.select("arrival_id", F.col("stretch").alias("domain"), "url", "ts")
+    decided = admit(pieces, period_seconds, count, written(since, "holds"))
+    return decided.withColumn("domain", F.from_json("domain", "d string")["d"])
